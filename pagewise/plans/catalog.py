@@ -109,3 +109,6 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
                           rank_col="bm25_rank")
     return top.select("search_id", F.col("bm25_rank").cast("long").alias("bm25_rank"),
                       F.col("doc_key").alias("doc_id"), r6("bm25_score").alias("bm25_score"))
+
+
+from . import catalog_scalar  # noqa: E402,F401  (registers more queries)
