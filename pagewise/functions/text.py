@@ -95,3 +95,19 @@ def link_fingerprint(links) -> Column:
 def snippet(text, n: int = 100) -> Column:
     """P10: first ``n`` characters."""
     return F.substring(_c(text), 1, n)
+
+
+def py_fixed(x, digits: int) -> Column:
+    """``f"{x:.<digits>f}"`` exactly as Python prints it (round-half-even on the
+    binary value).  Java's ``%.nf`` rounds the shortest decimal form half-up and
+    differs on values that print as exact ties, so the few formatted report
+    values go through one Arrow-batched pandas UDF."""
+    import pandas as pd
+
+    fmt = "{:.%df}" % digits
+
+    def _fmt(s):
+        return s.map(lambda v: None if v is None or v != v else fmt.format(v))
+
+    _fmt.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(_fmt, "string")(_c(x).cast("double"))

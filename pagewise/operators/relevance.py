@@ -143,9 +143,23 @@ def relevance_stats(scored: DataFrame, group: str, score: str = "relevance_score
                .withColumn("quality_category", S.sqs_category("result_count", "sqs_score")))
 
 
-def embedding_cosine(vectors: DataFrame, query_vec: Column, key: str, vec: str) -> DataFrame:
-    """Cosine of every vector with one query vector (a literal or scalar subquery)."""
-    return vectors.select(key, T.cosine(F.col(vec), query_vec).alias("semantic_score"))
+def embedding_cosine(vectors: DataFrame, key: str, vec: str, query_vector: DataFrame,
+                     query_vec: str = "qvec") -> DataFrame:
+    """Cosine of every vector with one query vector.
+
+    ``query_vector`` is a one-row DataFrame; its components (one row per
+    dimension, bounded by the embedding size) are broadcast and joined to the
+    exploded item components on the dimension index, then summed per item.
+    """
+    q = F.broadcast(query_vector.select(F.posexplode(query_vec).alias("_dim", "_q"))
+                    .withColumn("_q", F.col("_q").cast("double")))
+    items = vectors.select(key, F.posexplode(vec).alias("_dim", "_v")).withColumn("_v", F.col("_v").cast("double"))
+    parts = (items.join(q, "_dim")
+                  .groupBy(key).agg(F.sum(F.col("_v") * F.col("_q")).alias("_dot"),
+                                    F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_ni"),
+                                    F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("_nq")))
+    return (parts.select(key, F.when((F.col("_ni") == 0) | (F.col("_nq") == 0), F.lit(0.0))
+                         .otherwise(F.col("_dot") / (F.col("_ni") * F.col("_nq"))).alias("semantic_score")))
 
 
 def semantic_rerank(ranked: DataFrame, group: str, order_key: str, score: str | None,

@@ -77,12 +77,12 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, key: str, ts: str, set_a
     lookback = -(-max_ttl // bucket_s)   # buckets that can still hold a live entry
 
     def bucket(c: str) -> Column:
-        return F.floor(F.unix_micros(F.col(c)) / F.lit(bucket_s * 1_000_000)).cast("long")
+        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(bucket_s * 1_000_000)).cast("long")
 
-    ent = cache.select(F.col(key).alias("_k"), F.col(set_at).alias("_t"), F.lit(1).alias("_is_set"),
-                       F.col(set_at).alias("_set_at"), ttl_col.cast("long").alias("_ttl"),
+    ent = cache.select(F.col(key).alias("_k"), F.col(set_at).cast("timestamp").alias("_t"), F.lit(1).alias("_is_set"),
+                       F.col(set_at).cast("timestamp").alias("_set_at"), ttl_col.cast("long").alias("_ttl"),
                        F.lit(None).alias("_req"))
-    rq = requests.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(0).alias("_is_set"),
+    rq = requests.select(F.col(key).alias("_k"), F.col(ts).cast("timestamp").alias("_t"), F.lit(0).alias("_is_set"),
                          F.lit(None).cast("timestamp").alias("_set_at"), F.lit(None).cast("long").alias("_ttl"),
                          F.struct(*requests.columns).alias("_req"))
     ent = ent.withColumn("_req", F.lit(None).cast(rq.schema["_req"].dataType))
@@ -103,7 +103,7 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, key: str, ts: str, set_a
     for c in cands[1:]:
         best = F.when(best.isNull() | (c.isNotNull() & (c["_set_at"] > best["_set_at"])), c).otherwise(best)
     out = hits.select("_req.*", best["_set_at"].alias("cache_set_at"), best["_ttl"].alias("cache_ttl_s"))
-    live = (F.unix_micros(F.col(ts)) < F.unix_micros(F.col("cache_set_at")) + F.col("cache_ttl_s") * 1_000_000)
+    live = (F.unix_micros(F.col(ts).cast("timestamp")) < F.unix_micros(F.col("cache_set_at")) + F.col("cache_ttl_s") * 1_000_000)
     return out.withColumn("cache_hit", F.coalesce(live, F.lit(False)))
 
 

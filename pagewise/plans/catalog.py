@@ -61,7 +61,7 @@ bm AS (SELECT h.search_id, h.doc_key, h.seq, coalesce(s.score, 0.0) AS bm25_scor
          GROUP BY 1, 2) s USING (search_id, doc_key))
 """
 
-ORACLE_SEARCH_RRF = "WITH " + _SQL_BM25 + """,
+_SQL_RRF = _SQL_BM25 + """,
 lex AS (SELECT search_id, doc_key,
                row_number() OVER (PARTITION BY search_id ORDER BY round(bm25_score, 9) DESC, seq) - 1 AS rnk
         FROM bm QUALIFY rnk < 100),
@@ -69,12 +69,15 @@ cred AS (SELECT search_id, doc_key, row_number() OVER (PARTITION BY search_id OR
 fused AS (SELECT search_id, doc_key, sum(CAST(1 AS DOUBLE) / (60 + rnk + 1)) AS rrf
           FROM (SELECT * FROM lex UNION ALL SELECT * FROM lex UNION ALL SELECT * FROM cred) GROUP BY 1, 2),
 fin AS (SELECT b.search_id, b.doc_key, b.seq, b.bm25_score, coalesce(f.rrf, 0.0) AS final_score
-        FROM bm b LEFT JOIN fused f USING (search_id, doc_key))
+        FROM bm b LEFT JOIN fused f USING (search_id, doc_key)),
+ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY round(final_score, 9) DESC, seq) - 1
+                AS final_rank FROM fin) WHERE final_rank < 25)
+"""
+
+ORACLE_SEARCH_RRF = "WITH " + _SQL_RRF + """
 SELECT search_id, final_rank, doc_key AS doc_id, round(final_score, 6) AS final_score,
        round(bm25_score, 6) AS bm25_score, CAST(0.0 AS DOUBLE) AS credibility_score
-FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY round(final_score, 9) DESC, seq) - 1
-                AS final_rank FROM fin)
-WHERE final_rank < 25
+FROM ranked
 """
 
 
@@ -112,3 +115,4 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 from . import catalog_scalar  # noqa: E402,F401  (registers more queries)
+from . import catalog_relevance  # noqa: E402,F401
