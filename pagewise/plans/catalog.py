@@ -116,3 +116,4 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 from . import catalog_scalar  # noqa: E402,F401  (registers more queries)
 from . import catalog_relevance  # noqa: E402,F401
+from . import catalog_dom  # noqa: E402,F401
