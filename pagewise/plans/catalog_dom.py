@@ -319,3 +319,14 @@ def monitor_run(spark: SparkSession, sf: str) -> DataFrame:
     return (new.join(flag, "row_id", "left").withColumn("changed", F.coalesce("changed", F.lit(False)))
                .select("row_id", "url", "result_vl", "updated_datetime", "full_scan_datetime", "css_selector_list",
                        "web_page_type", "run_code", "changed"))
+
+
+# ---- X2 streaming ---------------------------------------------------------------------------
+
+@register("stream_changes")
+def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """X2 over the pages table read as a file stream (one micro-batch per file)."""
+    from ..streaming import changes as X2
+    q, root = X2.start(spark, sf, now=F.lit(NOW).cast("timestamp"), file_glob="pages.parquet")
+    q.awaitTermination()
+    return X2.read_changes(spark, root).select("url", "result_vl", "is_new", "batch_id")
