@@ -35,12 +35,16 @@ def bm25_scores(items: DataFrame, queries: DataFrame, group: str, key: str, text
     ``epsilon`` times the mean idf of all corpus terms; unknown terms score 0;
     repeated query tokens count each time.
     """
+    # one pass over the text: distinct terms per document with their counts and the
+    # document length; every statistic below reuses this aggregate (its shuffle is
+    # shared through exchange reuse), so the corpus text is read and split once
     toks = items.select(group, key, T.space_tokens(text).alias("_toks"))
-    docs = toks.select(group, key, F.size("_toks").cast("double").alias("_dl"))
+    doc_terms = (toks.select(group, key, F.size("_toks").alias("_dl"), F.explode("_toks").alias("term"))
+                     .groupBy(group, key, "_dl", "term").agg(F.count(F.lit(1)).alias("_tf")))
+    docs = doc_terms.groupBy(group, key).agg(F.max("_dl").cast("double").alias("_dl"))
     corpus = docs.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avgdl"))
 
-    dfreq = (toks.select(group, F.explode(F.array_distinct("_toks")).alias("term"))
-                 .groupBy(group, "term").agg(F.count(F.lit(1)).alias("_df")))
+    dfreq = doc_terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("_df"))
     raw = (dfreq.join(corpus.select(group, "_n"), group)
                 .withColumn("_idf", F.log(F.col("_n") - F.col("_df") + 0.5) - F.log(F.col("_df") + 0.5)))
     mean_idf = raw.groupBy(group).agg(F.avg("_idf").alias("_mean_idf"))
@@ -53,18 +57,14 @@ def bm25_scores(items: DataFrame, queries: DataFrame, group: str, key: str, text
                                        .otherwise(F.col("_idf")))
                   .select(group, "term", "_qtf", "_idf"))
 
-    tf = (toks.select(group, key, F.explode("_toks").alias("term"))
-              .join(qidf.select(group, "term"), [group, "term"], "left_semi")
-              .groupBy(group, key, "term").agg(F.count(F.lit(1)).alias("_tf")))
-    contrib = (tf.join(qidf, [group, "term"])
-                 .join(docs, [group, key])
-                 .join(corpus.select(group, "_avgdl"), group)
-                 .withColumn("_c", F.col("_qtf") * F.col("_idf") * (F.col("_tf") * (k1 + 1))
-                             / (F.col("_tf") + k1 * (1 - b + b * F.col("_dl") / F.col("_avgdl"))))
-                 .groupBy(group, key).agg(F.sum("_c").alias("_s")))
-    return (items.select(group, key)
-                 .join(contrib, [group, key], "left")
-                 .select(group, key, F.coalesce("_s", F.lit(0.0)).alias("bm25_score")))
+    contrib = (doc_terms.join(qidf, [group, "term"])
+                        .join(corpus.select(group, "_avgdl"), group)
+                        .withColumn("_c", F.col("_qtf") * F.col("_idf") * (F.col("_tf") * (k1 + 1))
+                                    / (F.col("_tf") + k1 * (1 - b + b * F.col("_dl") / F.col("_avgdl"))))
+                        .groupBy(group, key).agg(F.sum("_c").alias("_s")))
+    return (docs.select(group, key)
+                .join(contrib, [group, key], "left")
+                .select(group, key, F.coalesce("_s", F.lit(0.0)).alias("bm25_score")))
 
 
 def tfidf_cosine(items: DataFrame, queries: DataFrame, group: str, key: str, text: str,

@@ -243,7 +243,7 @@ ROBOTS_TXT = "User-agent: *\nDisallow: /fr/\nAllow: /en/\nDisallow: /es/1\n\nUse
 _ROBOTS_SQL = "'" + ROBOTS_TXT.replace("\n", "' || chr(10) || '") + "'"
 
 
-@register("robots_filter", f"""
+ORACLE_ROBOTS_FILTER = f"""
 WITH hosts AS (SELECT DISTINCT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host FROM pages),
 lines AS (SELECT host, unnest(string_split({_ROBOTS_SQL}, chr(10))) AS line,
                  unnest(range(len(string_split({_ROBOTS_SQL}, chr(10))))) AS pos FROM hosts),
@@ -264,7 +264,10 @@ pg AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)
 hit AS (SELECT page_id, arg_min(allow, pos) AS a FROM pg JOIN rules USING (host)
         WHERE starts_with(path, prefix) GROUP BY 1)
 SELECT page_id, coalesce(a, true) AS allowed FROM pg LEFT JOIN hit USING (page_id)
-""")
+"""
+
+
+@register("robots_filter", ORACLE_ROBOTS_FILTER)
 def robots_filter(spark: SparkSession, sf: str) -> DataFrame:
     from ..functions import urls as U
     from ..operators.robots import allowed
@@ -330,3 +333,51 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     q, root = X2.start(spark, sf, now=F.lit(NOW).cast("timestamp"), file_glob="pages.parquet")
     q.awaitTermination()
     return X2.read_changes(spark, root).select("url", "result_vl", "is_new", "batch_id")
+
+
+# ---- S10 / S11 digests ------------------------------------------------------------------------
+
+_ITEM_SQL = ("'<li><p>\"' || url || '\"</p><a href=\"' || url || '\" target=\"_blank\">リンクを開く</a><br>'"
+             " || '<p>(スクリーンショット取得失敗)</p></li>'")
+
+
+@register("digest", f"""
+WITH {_LINKS_SQL},
+raw AS (SELECT page_id, list_filter(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1), lambda x: x <> '') AS l
+        FROM pages),
+before AS (SELECT page_id AS row_id, sha256('[' || array_to_string(list_transform(l, lambda x: '''' || x || ''''), ', ')
+                  || ']') AS old_vl FROM raw),
+after AS (SELECT page_id AS row_id, url, sha256({_PY_REPR}) AS new_vl FROM links),
+ch AS (SELECT row_id, url FROM after JOIN before USING (row_id) WHERE old_vl IS DISTINCT FROM new_vl)
+SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain,
+       '<html><body><h2>更新ページ一覧</h2><ul>' || string_agg({_ITEM_SQL}, '' ORDER BY row_id) || '</ul></body></html>'
+         AS html
+FROM ch GROUP BY 1
+""")
+def digest(spark: SparkSession, sf: str) -> DataFrame:
+    """S10 over the J4 changes, one digest per domain (positional image list empty)."""
+    from ..functions import urls as U
+    from ..operators.digest import update_digest
+    ch = change_diff(spark, sf).withColumn("domain", U.netloc("url")).withColumn("image_cid", F.lit(None).cast("string"))
+    return update_digest(ch, "domain", "row_id").select("domain", "html")
+
+
+@register("error_digest", f"""
+WITH robots AS ({ORACLE_ROBOTS_FILTER}),
+e AS (SELECT p.page_id, p.url FROM pages p JOIN robots r USING (page_id) WHERE NOT r.allowed)
+SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain,
+       '<html><body><h2>Errors</h2><ul>' ||
+       string_agg('<li>' || replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
+                  '"', '&quot;'), '''', '&#x27;') || ': Full scan returned None</li>', '' ORDER BY page_id)
+       || '</ul></body></html>' AS html
+FROM e GROUP BY 1
+""")
+def error_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """S12 + S11: pages the robots rules block fail their full scan; one error digest per domain."""
+    from ..functions import urls as U
+    from ..operators.digest import error_digest as digest_errors
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    blocked = robots_filter(spark, sf).filter(~F.col("allowed")).join(pages, "page_id")
+    errs = blocked.select("page_id", "url", F.lit("Full scan returned None").alias("message"),
+                          U.netloc("url").alias("domain"))
+    return digest_errors(errs, "domain", "page_id").select("domain", "html")
