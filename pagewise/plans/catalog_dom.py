@@ -296,7 +296,8 @@ def _run_state(spark, sf):
     if "run1" not in memo:
         from ..session import cut_lineage
         now = F.lit(NOW).cast("timestamp")
-        new, changed, errors = MON.monitoring_run(_first_watch(pages), pages, now, nodes, prep)
+        new, changed, errors = MON.monitoring_run(_first_watch(pages), pages, now, nodes, prep,
+                                                  analysis=_analysis(spark, sf))
         memo["run1"] = cut_lineage(new)
     return memo["run1"]
 

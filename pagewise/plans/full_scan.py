@@ -8,7 +8,7 @@ Steps per page, all as DataFrame joins and aggregations over ``dom_nodes``:
    root's subtree is joined by its interval, every node is rescored against the
    root's box with a depth weight, and the root moves to the best node while
    that node scores strictly higher.  Only unfinished pages take part in a
-   pass; the small per-page state is checkpointed between passes.
+   pass; each pass reads the previous state once (optionally checkpointed).
 3. T8 selector list from the last rescoring (ranks 2-4, nodes repeated as the
    reference's list repeats them), own selector first.
 4. A10/A11 links and text of the winner; P16/P17 page type; J5 pagination.
@@ -67,9 +67,14 @@ def _rescore(prepared: DataFrame, roots: DataFrame, profile: DS.Profile) -> Data
 
 
 def refine(prepared: DataFrame, start: DataFrame, profile: DS.Profile = DS.CURRENT,
-           checkpoint: bool = True) -> DataFrame:
+           checkpoint: bool = False) -> DataFrame:
     """Unrolled refinement loop.  ``start`` = top candidates.
 
+    Each pass left-joins the per-page state to the nodes of the current root's
+    interval (finished pages join nothing) and aggregates per page, so every
+    pass references the previous state exactly once and the plan grows
+    linearly.  ``checkpoint`` cuts the lineage after every pass.
+
     Output per page: the final root (``root_*``), its ``score``, ``moves`` and the
     root whose rescoring gave the final list (``list_*``) for T8.
     """
@@ -79,33 +84,48 @@ def refine(prepared: DataFrame, start: DataFrame, profile: DS.Profile = DS.CURRE
         F.col("cand_score").alias("score"), F.lit(0).alias("moves"), F.lit(False).alias("done"),
         F.col("node_id").alias("list_id"), F.col("subtree_end").alias("list_end"),
         F.col("rect").alias("list_rect"), F.col("depth").alias("list_depth"))
+    state_cols = state.columns
     first_unconditional = profile.name == "legacy"
     passes = profile.max_moves + (1 if first_unconditional else 0)
+    nodes = prepared.select(F.col("page_id").alias("_p"), *NODE_COLS)
     for i in range(passes):
-        active = state.filter(~F.col("done"))
-        finished = state.filter(F.col("done"))
-        scored = _rescore(prepared, active, profile)
-        agg = scored.groupBy("page_id").agg(
-            F.max_by(F.struct("node_id", "subtree_end", "rect", "depth", "score"),
-                     F.struct(F.col("score"), -F.col("node_id"))).alias("best"),
-            F.max(F.when(F.col("node_id") == F.col("root_id"), F.col("score"))).alias("root_score"))
-        j = active.drop("score").join(agg, "page_id", "left")
+        s = state.alias("s")
+        cond = ((F.col("_p") == F.col("s.page_id")) & (F.col("node_id") >= F.col("s.root_id"))
+                & (F.col("node_id") <= F.col("s.root_end")) & ~F.col("s.done"))
+        j = s.join(nodes, cond, "left")
+        score = DS.refinement_score(F.col("rect"), F.col("s.root_rect.width"), F.col("s.root_rect.height"),
+                                    F.col("depth"), F.col("s.root_depth"), F.col("n_links"), F.col("text_len"),
+                                    profile)
+        j = j.withColumn("_score", score)
+        agg = j.groupBy(F.col("s.page_id").alias("page_id")).agg(
+            F.first(F.struct(*[F.col("s." + c).alias(c) for c in state_cols if c != "page_id"])).alias("st"),
+            F.max_by(F.struct(F.col("node_id"), F.col("subtree_end"), F.col("rect"), F.col("depth"),
+                              F.col("_score").alias("score")),
+                     F.when(F.col("node_id").isNotNull(), F.struct(F.col("_score"), -F.col("node_id")))).alias("best"),
+            F.max(F.when(F.col("node_id") == F.col("s.root_id"), F.col("_score"))).alias("root_score"))
+        active = ~F.col("st.done") & F.col("best.node_id").isNotNull()
         if first_unconditional and i == 0:
-            moved = F.col("best").isNotNull()
+            moved = active
         else:
-            moved = F.col("best").isNotNull() & (F.col("best.score") > F.col("root_score"))
-        nxt = j.select(
+            moved = active & (F.col("best.score") > F.col("root_score"))
+
+        def pick(best_field, st_field):
+            return F.when(moved, F.col("best." + best_field)).otherwise(F.col("st." + st_field))
+
+        state = agg.select(
             "page_id",
-            F.when(moved, F.col("best.node_id")).otherwise(F.col("root_id")).alias("root_id"),
-            F.when(moved, F.col("best.subtree_end")).otherwise(F.col("root_end")).alias("root_end"),
-            F.when(moved, F.col("best.rect")).otherwise(F.col("root_rect")).alias("root_rect"),
-            F.when(moved, F.col("best.depth")).otherwise(F.col("root_depth")).alias("root_depth"),
-            F.when(moved, F.col("best.score")).otherwise(F.col("root_score")).alias("score"),
-            (F.col("moves") + F.when(moved, 1).otherwise(0)).alias("moves"),
-            (~moved).alias("done"),
-            F.col("root_id").alias("list_id"), F.col("root_end").alias("list_end"),
-            F.col("root_rect").alias("list_rect"), F.col("root_depth").alias("list_depth"))
-        state = finished.unionByName(nxt)
+            pick("node_id", "root_id").alias("root_id"),
+            pick("subtree_end", "root_end").alias("root_end"),
+            pick("rect", "root_rect").alias("root_rect"),
+            pick("depth", "root_depth").alias("root_depth"),
+            F.when(moved, F.col("best.score")).when(~F.col("st.done") & F.col("root_score").isNotNull(),
+                                                    F.col("root_score")).otherwise(F.col("st.score")).alias("score"),
+            (F.col("st.moves") + F.when(moved, 1).otherwise(0)).alias("moves"),
+            (F.col("st.done") | ~moved).alias("done"),
+            F.when(F.col("st.done"), F.col("st.list_id")).otherwise(F.col("st.root_id")).alias("list_id"),
+            F.when(F.col("st.done"), F.col("st.list_end")).otherwise(F.col("st.root_end")).alias("list_end"),
+            F.when(F.col("st.done"), F.col("st.list_rect")).otherwise(F.col("st.root_rect")).alias("list_rect"),
+            F.when(F.col("st.done"), F.col("st.list_depth")).otherwise(F.col("st.root_depth")).alias("list_depth"))
         if checkpoint:
             state = cut_lineage(state)
     return state
@@ -140,7 +160,7 @@ def selector_list(prepared: DataFrame, state: DataFrame, profile: DS.Profile = D
 
 def main_content(pages: DataFrame, prepared: DataFrame, nodes: DataFrame | None = None,
                  profile: DS.Profile = DS.CURRENT, previous_type: str | None = None,
-                 checkpoint: bool = True) -> DataFrame:
+                 checkpoint: bool = False) -> DataFrame:
     """C2 without pagination: one row per page that has a main-content element."""
     start = top_candidate(candidates(prepared, profile))
     state = refine(prepared, start, profile, checkpoint)

@@ -17,6 +17,7 @@ from ..functions import urls as U
 from ..operators import dom as DOM
 from ..operators import pagination as PG
 from ..operators import selectors as SEL
+from ..session import cut_lineage
 from . import full_scan as FS
 
 QUICK_SCAN_MAX_AGE_DAYS = 4
@@ -33,12 +34,16 @@ def page_links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def page_analysis(pages: DataFrame, nodes: DataFrame, prepared: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """Per page: main-content result (C2 body) plus the page's own type and next URL."""
-    mc = FS.main_content(pages, prepared, nodes, checkpoint=checkpoint).drop("web_type")
+    """Per page: main-content result (C2 body) plus the page's own type and next URL.
+
+    One row per page, read by every scan path of the run (quick-full, full, the
+    pagination hops), so it is written once to the checkpoint folder."""
+    mc = FS.main_content(pages, prepared, nodes).drop("web_type")
     pl = page_links(nodes, pages)
     base = pages.select("page_id", "url").join(pl, "page_id", "left")
     base = base.withColumn("next_url", PG.next_url("url", "page_links"))
-    return base.join(mc.drop("url"), "page_id", "left")
+    out = base.join(mc.drop("url"), "page_id", "left")
+    return cut_lineage(out) if checkpoint else out
 
 
 def full_scan(requests: DataFrame, analysis: DataFrame, previous_type: Column | None = None,
@@ -188,11 +193,11 @@ def set_image_names(watch: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def monitoring_run(watch: DataFrame, pages: DataFrame, now: Column, nodes: DataFrame | None = None,
-                   prepared: DataFrame | None = None):
+                   prepared: DataFrame | None = None, analysis: DataFrame | None = None):
     """Returns ``(new_watch, changed_rows, errors)``; the run code is stamped on every row."""
     if prepared is None:
         nodes, prepared = FS.prepare(pages, nodes)
-    new, errors = update_state(watch, pages, nodes, prepared, now)
+    new, errors = update_state(watch, pages, nodes, prepared, now, analysis=analysis)
     changed = changes(watch, new)
     new = new.withColumn("run_code", D.iso_utc_string(now))
     return new, changed, errors
