@@ -137,3 +137,14 @@ def rrf(ranked_lists: list[DataFrame], keys: list[str], k: int = RRF_K, rank: st
     for c in keys:
         cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
     return u.filter(cond).groupBy(*keys).agg(F.sum("_rr").alias("rrf_score"))
+
+
+def merge_cached_and_fresh(cached: DataFrame, fresh: DataFrame, keys: list[str], href: str = "href",
+                           seq: str = "seq") -> DataFrame:
+    """U1 + A2: cached hits are merged before fresh ones (fresh rows get later
+    sequence numbers), then one row per href: last values, first position."""
+    off = cached.groupBy(*keys).agg(F.max(seq).alias("_off"))
+    f = (fresh.join(off, keys, "left")
+              .withColumn(seq, F.col(seq) + F.coalesce(F.col("_off") + 1, F.lit(0)))
+              .drop("_off"))
+    return dedupe_hits(cached.unionByName(f), keys, href, seq)

@@ -129,6 +129,8 @@ def update_state(watch: DataFrame, pages: DataFrame, nodes: DataFrame, prepared:
     """
     if analysis is None:
         analysis = page_analysis(pages, nodes, prepared)
+    skipped = watch.filter(F.col("url").isNull() | (F.col("url") == ""))      # F9
+    watch = watch.filter(F.col("url").isNotNull() & (F.col("url") != ""))
     d = scan_decision(watch, now)
     q = quick_scan(d.filter(F.col("scan_mode") == "quick"), pages, nodes, prepared)
     qcols = ["css_selector", "css_selector_list", "text", "links", "result_web_type", "result_url"]
@@ -174,7 +176,20 @@ def update_state(watch: DataFrame, pages: DataFrame, nodes: DataFrame, prepared:
                                        F.lit("Full scan returned None").alias("message"))
     keep = ["row_id", "url", "run_code", "result_vl", "updated_datetime", "full_scan_datetime",
             "css_selector_list", "web_page_type", "image_filename"]
-    return out.select(*keep), errors
+    return out.select(*keep).unionByName(skipped.select(*keep)), errors
+
+
+def timeout_errors(durations: DataFrame, limit_s: float = 60.0, url: str = "url",
+                   duration: str = "duration_s") -> DataFrame:
+    """S12 time-limit rows: reported after the work, only for scans that ran to the end."""
+    msg = F.format_string("Processing time exceeded %s sec -> %.2f sec", F.lit(str(int(limit_s))), F.col(duration))
+    return durations.filter(F.col(duration) > limit_s).select(url, msg.alias("message"))
+
+
+def zip_positional(urls: DataFrame, images: DataFrame) -> DataFrame:
+    """Pair changed URLs with screenshot ids by position (full outer on ``pos``);
+    a missing image gets no id (the digest shows the placeholder)."""
+    return urls.select("pos", "url").join(images.select("pos", "image_cid"), "pos", "full")
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:

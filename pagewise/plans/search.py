@@ -78,3 +78,39 @@ def first_benchmark_query(benchmark: DataFrame):
 def queries_for(hits: DataFrame, query_col, group: str = "search_id") -> DataFrame:
     """One query row per search present in ``hits``."""
     return hits.select(group).distinct().withColumn("query", query_col)
+
+
+def search_with_cache(queries: DataFrame, cache: DataFrame, fresh_hits: DataFrame, now,
+                      use_enhancement: bool = True, lexical_top_n: int = 100, semantic_top_n: int = 25,
+                      content: DataFrame | None = None, semantic: DataFrame | None = None,
+                      ttl_s: int = H.CACHE_TTL_S, max_results: int = 100) -> DataFrame:
+    """C9 end to end over tables.
+
+    ``queries(search_id, query)``; ``cache(cache_key, set_at, pos, href, title, body)``
+    (one row per cached hit); ``fresh_hits(q, backend_priority, pos, href, title, body)``
+    results per query variant ``q`` from each backend.  Steps: P13 variants ->
+    J6/F11 cache lookup per variant (P12 key) -> S8 fallback for the misses ->
+    U1/A2 merge and dedupe by href -> C9 ranking.
+    """
+    from ..functions import text as TX
+    v = queries.select("search_id", "query",
+                       F.explode(H.query_variants(F.col("query")) if use_enhancement else F.array("query")).alias("q"))
+    v = v.withColumn("cache_key", TX.cache_key("q")).withColumn("_now", now)
+    entries = cache.select("cache_key", "set_at").distinct()
+    looked = H.cache_lookup(v, entries, "cache_key", "_now", "set_at", ttl_s=ttl_s)
+    hit_rows = (looked.filter("cache_hit")
+                      .join(cache.withColumnRenamed("set_at", "cache_set_at"), ["cache_key", "cache_set_at"])
+                      .select("search_id", "q", "pos", "href", "title", "body"))
+    misses = looked.filter(~F.col("cache_hit")).select("search_id", "q")
+    fresh = H.backend_fallback(fresh_hits.join(misses, "q"), "q", "backend_priority", "pos", max_results)
+    fresh = fresh.select("search_id", "q", "pos", "href", "title", "body")
+    # Cached results enter first, then fresh ones; inside each, variants in text
+    # order and hits by position.  A search holds at most variants x max_results
+    # rows, so numbering them with a window per search is bounded.
+    from pyspark.sql import Window
+    u = (hit_rows.withColumn("_fresh", F.lit(1 == 0)).unionByName(fresh.withColumn("_fresh", F.lit(True))))
+    u = u.withColumn("seq", F.row_number().over(Window.partitionBy("search_id").orderBy("_fresh", "q", "pos"))
+                     .cast("long")).drop("_fresh", "q", "pos")
+    hits = H.dedupe_hits(u, ["search_id"], "href", "seq").withColumn("doc_key", F.col("href"))
+    return high_precision_search(hits, queries.select("search_id", "query"), content=content, semantic=semantic,
+                                 lexical_top_n=lexical_top_n, semantic_top_n=semantic_top_n)
