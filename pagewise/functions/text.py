@@ -111,3 +111,33 @@ def py_fixed(x, digits: int) -> Column:
 
     _fmt.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(_fmt, "string")(_c(x).cast("double"))
+
+
+def _run_starts(s: Column) -> Column:
+    n = F.size(s)
+    return F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                    lambda i: (i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1)))
+
+
+def term_counts(sorted_tokens, starts=None) -> Column:
+    """Distinct tokens of one row with their counts, ``array<struct<term, tf>>``,
+    from an already sorted token array and (optionally) its run starts.
+    Counting happens inside the row, so counting terms per document needs no
+    shuffle."""
+    s = _c(sorted_tokens)
+    n = F.size(s)
+    st = _c(starts) if starts is not None else _run_starts(s)
+    ends = F.concat(F.slice(st, 2, F.greatest(n, F.lit(1))), F.array(n + 1))
+    runs = F.transform(F.arrays_zip(st.alias("b"), ends.alias("e")),
+                       lambda r: F.struct(F.element_at(s, r["b"]).alias("term"), (r["e"] - r["b"]).alias("tf")))
+    return F.when(n > 0, runs).otherwise(F.array().cast("array<struct<term:string,tf:int>>"))
+
+
+def with_term_counts(df, cols: list[str], tokens: Column, keep_len: str | None = None):
+    """``df`` -> rows ``(*cols, [keep_len], term, tf)``.  The sorted tokens and
+    their run starts are materialised in their own projections so the lambdas
+    read columns instead of re-evaluating the sort."""
+    extra = [F.size("_sorted").alias(keep_len)] if keep_len else []
+    sorted_df = df.select(*cols, F.sort_array(tokens).alias("_sorted"))
+    with_starts = sorted_df.select(*cols, "_sorted", _run_starts(F.col("_sorted")).alias("_starts"))
+    return with_starts.select(*cols, *extra, F.inline(term_counts("_sorted", "_starts")))

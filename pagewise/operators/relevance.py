@@ -35,13 +35,12 @@ def bm25_scores(items: DataFrame, queries: DataFrame, group: str, key: str, text
     ``epsilon`` times the mean idf of all corpus terms; unknown terms score 0;
     repeated query tokens count each time.
     """
-    # one pass over the text: distinct terms per document with their counts and the
-    # document length; every statistic below reuses this aggregate (its shuffle is
-    # shared through exchange reuse), so the corpus text is read and split once
-    toks = items.select(group, key, T.space_tokens(text).alias("_toks"))
-    doc_terms = (toks.select(group, key, F.size("_toks").alias("_dl"), F.explode("_toks").alias("term"))
-                     .groupBy(group, key, "_dl", "term").agg(F.count(F.lit(1)).alias("_tf")))
-    docs = doc_terms.groupBy(group, key).agg(F.max("_dl").cast("double").alias("_dl"))
+    # distinct terms per document with their counts are computed inside each row
+    # (no shuffle of (document, term) pairs); the only large shuffle is the
+    # document-frequency aggregate, which combines map-side by term
+    doc_terms = T.with_term_counts(items, [group, key], T.space_tokens(text), keep_len="_dl") \
+                 .withColumnRenamed("tf", "_tf")
+    docs = items.select(group, key, F.size(T.space_tokens(text)).cast("double").alias("_dl"))
     corpus = docs.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avgdl"))
 
     dfreq = doc_terms.groupBy(group, "term").agg(F.count(F.lit(1)).alias("_df"))
@@ -72,9 +71,8 @@ def tfidf_cosine(items: DataFrame, queries: DataFrame, group: str, key: str, tex
     """Cosine of each item with the query in a TF-IDF space fitted on the
     group's items plus the query (smooth idf, raw tf, L2 norm)."""
     def terms(df: DataFrame, cols: list[str], col: str) -> DataFrame:
-        return (df.select(*cols, F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))),
-                                                                   F.lit(TFIDF_TOKEN), 0)).alias("term"))
-                  .groupBy(*cols, "term").agg(F.count(F.lit(1)).alias("_tf")))
+        toks = F.regexp_extract_all(F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit(TFIDF_TOKEN), 0)
+        return T.with_term_counts(df, cols, toks).withColumnRenamed("tf", "_tf")
 
     it = terms(items, [group, key], text)
     qt = terms(queries, [group], query)

@@ -12,10 +12,23 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+    """Read one table.  With ``spread``, an input that plans fewer scan tasks than
+    the cluster's parallelism (e.g. a single-row-group file) is hash-spread on its first (id) column
+    over ``defaultParallelism`` partitions, so per-row work (tokenising, parsing)
+    is not confined to one task.  Large inputs already have many splits and are
+    left untouched (no extra shuffle)."""
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread_input(df) if spread else df
+
+
+def spread_input(df: DataFrame) -> DataFrame:
+    want = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < want:
+        return df.repartition(want, df.columns[0])
+    return df
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
