@@ -19,11 +19,22 @@ DIGEST_NO_IMAGE = "(スクリーンショット取得失敗)"
 ERROR_HEADING = "Errors"
 
 
-def _ordered_concat(df: DataFrame, group: str, order: str, piece: str, sep: str = "") -> DataFrame:
-    return (df.groupBy(group)
+MAX_ITEMS = 1000
+
+
+def _ordered_concat(df: DataFrame, group: str, order: str, piece: str, sep: str = "",
+                    max_items: int | None = None) -> DataFrame:
+    """One row per group (and per ``part`` when ``max_items`` is set: items are cut
+    into parts of at most ``max_items`` consecutive ``order`` values, so no row
+    ever collects an unbounded group)."""
+    keys = [group]
+    if max_items is not None:
+        df = df.withColumn("part", F.floor(F.col(order) / F.lit(max_items)).cast("long"))
+        keys = [group, "part"]
+    return (df.groupBy(*keys)
               .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(piece).alias("p"))))
                    .alias("_parts"))
-              .select(group, F.array_join(F.transform("_parts", lambda s: s["p"]), sep).alias("_body")))
+              .select(*keys, F.array_join(F.transform("_parts", lambda s: s["p"]), sep).alias("_body")))
 
 
 def answer_prompt(docs: DataFrame, group: str, rank: str, head: str, mid: str, tail: str) -> DataFrame:
@@ -46,9 +57,10 @@ def answer_prompt(docs: DataFrame, group: str, rank: str, head: str, mid: str, t
 
 
 def update_digest(changes: DataFrame, group: str, pos: str, url: str = "url",
-                  image: str = "image_cid") -> DataFrame:
+                  image: str = "image_cid", max_items: int = MAX_ITEMS) -> DataFrame:
     """HTML list of changed URLs, each with its screenshot reference or a
-    placeholder, one document per group in ``pos`` order."""
+    placeholder, in ``pos`` order; one document per group and part (at most
+    ``max_items`` positions per part)."""
     item = F.concat(
         F.lit("<li><p>\""), F.col(url), F.lit("\"</p><a href=\""), F.col(url),
         F.lit(f"\" target=\"_blank\">{DIGEST_LINK_TEXT}</a><br>"),
@@ -56,16 +68,16 @@ def update_digest(changes: DataFrame, group: str, pos: str, url: str = "url",
                F.concat(F.lit("<img src=\"cid:"), F.col(image), F.lit("\" style=\"max-width:500px;\">")))
          .otherwise(F.lit(f"<p>{DIGEST_NO_IMAGE}</p>")),
         F.lit("</li>"))
-    body = _ordered_concat(changes.withColumn("_item", item), group, pos, "_item")
-    return body.select(group, F.concat(F.lit(f"<html><body><h2>{DIGEST_HEADING}</h2><ul>"), F.col("_body"),
-                                       F.lit("</ul></body></html>")).alias("html"))
+    body = _ordered_concat(changes.withColumn("_item", item), group, pos, "_item", max_items=max_items)
+    return body.select(group, "part", F.concat(F.lit(f"<html><body><h2>{DIGEST_HEADING}</h2><ul>"), F.col("_body"),
+                                               F.lit("</ul></body></html>")).alias("html"))
 
 
 def error_digest(errors: DataFrame, group: str, pos: str, url: str = "url",
-                 message: str = "message") -> DataFrame:
-    """HTML-escaped error list, one document per group."""
+                 message: str = "message", max_items: int = MAX_ITEMS) -> DataFrame:
+    """HTML-escaped error list, one document per group and part."""
     item = F.concat(F.lit("<li>"), T.html_escape(F.col(url)), F.lit(": "),
                     T.html_escape(F.col(message)), F.lit("</li>"))
-    body = _ordered_concat(errors.withColumn("_item", item), group, pos, "_item")
-    return body.select(group, F.concat(F.lit(f"<html><body><h2>{ERROR_HEADING}</h2><ul>"), F.col("_body"),
-                                       F.lit("</ul></body></html>")).alias("html"))
+    body = _ordered_concat(errors.withColumn("_item", item), group, pos, "_item", max_items=max_items)
+    return body.select(group, "part", F.concat(F.lit(f"<html><body><h2>{ERROR_HEADING}</h2><ul>"), F.col("_body"),
+                                               F.lit("</ul></body></html>")).alias("html"))

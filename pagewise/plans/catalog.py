@@ -28,6 +28,12 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def utc(spark: SparkSession) -> None:
+    """Date-time outputs are UTC strings (as the oracle's); make the session agree."""
+    if spark.conf.get("spark.sql.session.timeZone", "UTC") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def r6(c) -> F.Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 

@@ -10,7 +10,7 @@ from ..operators import relevance as R
 from ..operators import search as H
 from ..operators.rank import top_n_per_group
 from ..sources.tables import table
-from .catalog import _SQL_RRF, r6, register
+from .catalog import _SQL_RRF, r6, register, utc
 from .catalog_scalar import words_sql
 from .search import first_benchmark_query
 
@@ -177,6 +177,7 @@ SELECT r.event_id,
 FROM r ASOF LEFT JOIN s ON r.user_id = s.user_id AND r.ts >= s.set_at
 """)
 def cache_ttl_asof(spark: SparkSession, sf: str) -> DataFrame:
+    utc(spark)
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
     cache = e.filter(F.col("event_type") == "view").select("user_id", F.col("ts").alias("set_at"))
     req = e.filter(F.col("event_type") == "click").select("event_id", "user_id", "ts")

@@ -11,7 +11,7 @@ from ..functions import times as D
 from ..functions import urls as U
 from ..operators import search as H
 from ..sources.tables import table
-from .catalog import r6, register
+from .catalog import r6, register, utc
 
 # DuckDB pieces shared by several oracle statements.
 NETLOC_SQL = "regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
@@ -154,6 +154,7 @@ _FORMATS_SPARK = [
 
 
 def _event_strings(spark, sf):
+    utc(spark)
     e = table(spark, sf, "events").select("event_id", "ts")
     arr = F.array(*[F.struct(F.lit(n).alias("fmt"), F.date_format("ts", f).alias("s")) for n, f in _FORMATS_SPARK],
                   F.struct(F.lit("empty").alias("fmt"), F.lit("").alias("s")),
@@ -205,6 +206,7 @@ def scan_age(spark: SparkSession, sf: str) -> DataFrame:
 SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS last_modified FROM events
 """)
 def last_modified(spark: SparkSession, sf: str) -> DataFrame:
+    utc(spark)
     e = table(spark, sf, "events")
     header = F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")
     return e.select("event_id", D.header_datetime(header).alias("last_modified"))

@@ -67,13 +67,15 @@ def _rescore(prepared: DataFrame, roots: DataFrame, profile: DS.Profile) -> Data
 
 
 def refine(prepared: DataFrame, start: DataFrame, profile: DS.Profile = DS.CURRENT,
-           checkpoint: bool = False) -> DataFrame:
+           checkpoint: bool = True) -> DataFrame:
     """Unrolled refinement loop.  ``start`` = top candidates.
 
     Each pass left-joins the per-page state to the nodes of the current root's
     interval (finished pages join nothing) and aggregates per page, so every
     pass references the previous state exactly once and the plan grows
-    linearly.  ``checkpoint`` cuts the lineage after every pass.
+    linearly.  ``checkpoint`` (default) writes the small per-page state to the
+    shared checkpoint folder after every pass, which keeps each pass a short job
+    and bounds recomputation after an executor loss.
 
     Output per page: the final root (``root_*``), its ``score``, ``moves`` and the
     root whose rescoring gave the final list (``list_*``) for T8.
@@ -160,7 +162,7 @@ def selector_list(prepared: DataFrame, state: DataFrame, profile: DS.Profile = D
 
 def main_content(pages: DataFrame, prepared: DataFrame, nodes: DataFrame | None = None,
                  profile: DS.Profile = DS.CURRENT, previous_type: str | None = None,
-                 checkpoint: bool = False) -> DataFrame:
+                 checkpoint: bool = True) -> DataFrame:
     """C2 without pagination: one row per page that has a main-content element."""
     start = top_candidate(candidates(prepared, profile))
     state = refine(prepared, start, profile, checkpoint)
