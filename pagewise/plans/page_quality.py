@@ -89,3 +89,22 @@ def process_content(pages: DataFrame, main: DataFrame) -> DataFrame:
     out = p.join(main.select("page_id", "text"), "page_id", "left")
     return out.withColumn("final_url", F.col("url")).withColumn(
         "credibility_score", S.credibility("final_url", "author", "date"))
+
+
+def search_and_validate(results_pages: DataFrame, result_nodes: DataFrame, pages: DataFrame,
+                        keyword: str, limit: int = 5) -> DataFrame:
+    """Result URLs of each search-results page (S9, first ``limit``, T7), each
+    target page evaluated (C6) against the keyword and labelled (F8, P10).
+
+    ``results_pages(page_id, url)`` with their parsed ``result_nodes``; ``pages``
+    holds the snapshots of the target URLs (``page_id, url, html``).
+    """
+    urls = result_urls(result_nodes, results_pages, limit=limit).select(
+        F.col("page_id").alias("results_page_id"), F.col("rank"), F.col("href").alias("url"))
+    targets = pages.join(urls.select("url").distinct(), "url", "left_semi")
+    nodes, prep = FS.prepare(targets)
+    q = targets.select("page_id").withColumn("query", F.lit(keyword))
+    ev = evaluate(targets, q, nodes, prep).join(q, "page_id")
+    labelled = validate(ev)
+    out = urls.join(labelled.drop("page_id"), "url", "left")
+    return out.withColumn("label", F.coalesce("label", F.lit(LABELS["none"])))

@@ -134,3 +134,16 @@ def test_subtree_text_and_links(spark):
     links = DOM.subtree_links(nodes, roots, pages).first().links
     assert t == "B mid A"
     assert links == ["http://ex.com/a", "http://ex.com/d/b"]
+
+
+def test_search_and_validate(spark):
+    from pagewise.plans.page_quality import search_and_validate
+    res_html = ("<body><div class='g'><a href='http://t.com/a'>A</a></div><div class='g'><a href='/rel'>r</a>"
+                "<a href='http://t.com/b'>B</a><a href='http://t.com/a'>A again</a></div></body>")
+    results = spark.createDataFrame([(1, "http://search.com/q", res_html)], "page_id long, url string, html string")
+    rnodes, _ = FS.prepare(results, cut=False)
+    target = ("<body><main><p>python " + "word " * 20 + "</p></main></body>")
+    pages = spark.createDataFrame([(10, "http://t.com/a", target)], "page_id long, url string, html string")
+    out = {r.url: r.label for r in search_and_validate(results, rnodes, pages, "python").collect()}
+    assert set(out) == {"http://t.com/a", "http://t.com/b"}
+    assert out["http://t.com/b"] == "no content" and out["http://t.com/a"] == "EMPTY"
