@@ -82,15 +82,16 @@ def tfidf_cosine(items: DataFrame, queries: DataFrame, group: str, key: str, tex
                .select(group, "term", (F.coalesce("_dfi", F.lit(0)) + F.coalesce("_dfq", F.lit(0))).alias("_df")))
     idf = (dfreq.join(n_items, group)
                 .select(group, "term", (F.log((1 + F.col("_n")) / (1 + F.col("_df"))) + 1).alias("_idf")))
-    iw = it.join(idf, [group, "term"]).withColumn("_w", F.col("_tf") * F.col("_idf"))
     qw = qt.join(idf, [group, "term"]).withColumn("_wq", F.col("_tf") * F.col("_idf"))
-    inorm = iw.groupBy(group, key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_ni"))
     qnorm = qw.groupBy(group).agg(F.sqrt(F.sum(F.col("_wq") * F.col("_wq"))).alias("_nq"))
-    dots = (iw.join(qw.select(group, "term", "_wq"), [group, "term"])
-              .groupBy(group, key).agg(F.sum(F.col("_w") * F.col("_wq")).alias("_dot")))
+    # one pass over the item terms gives both the item norm and the dot product
+    idf_q = idf.join(qw.select(group, "term", "_wq"), [group, "term"], "left")
+    per_item = (it.join(idf_q, [group, "term"])
+                  .withColumn("_w", F.col("_tf") * F.col("_idf"))
+                  .groupBy(group, key).agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_ni"),
+                                           F.sum(F.col("_w") * F.col("_wq")).alias("_dot")))
     cos = (items.select(group, key)
-                .join(dots, [group, key], "left")
-                .join(inorm, [group, key], "left")
+                .join(per_item, [group, key], "left")
                 .join(qnorm, group, "left")
                 .select(group, key,
                         F.when((F.col("_ni") > 0) & (F.col("_nq") > 0) & F.col("_dot").isNotNull(),
