@@ -104,6 +104,8 @@ def py_fixed(x, digits: int) -> Column:
     values go through one Arrow-batched pandas UDF."""
     import pandas as pd
 
+    from ..session import ship_package
+    ship_package()
     fmt = "{:.%df}" % digits
 
     def _fmt(s):

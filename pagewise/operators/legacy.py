@@ -128,5 +128,7 @@ def _flatten(batches):
 
 def flatten_snapshots(snapshots: DataFrame, page_id: str = "page_id", doc: str = "json") -> DataFrame:
     """S5 read-back: nested snapshot documents (``children`` lists) -> pre-ordered node rows."""
+    from ..session import ship_package
+    ship_package(snapshots.sparkSession)
     return snapshots.select(F.col(page_id).cast("long").alias("page_id"), F.col(doc).alias("json")) \
                     .mapInPandas(_flatten, _FLAT_SCHEMA)

@@ -30,6 +30,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark, allow_local_default=True)
+    ship_package(spark)
     return spark
 
 
@@ -60,3 +61,33 @@ def cut_lineage(df):
 
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Make ``pagewise`` importable by the Python workers (for its pandas UDFs).
+
+    On a cluster the package is normally shipped with ``--py-files``; when the
+    workers cannot import it, the driver's copy is zipped once per application
+    and added with ``addPyFile`` (Spark serves it to every executor)."""
+    spark = spark or SparkSession.getActiveSession()
+    if spark is None:
+        return
+    key = spark.sparkContext.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    import pagewise
+    root = os.path.dirname(os.path.dirname(os.path.abspath(pagewise.__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="pagewise-pkg-"), "pagewise.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for dirpath, _, files in os.walk(os.path.join(root, "pagewise")):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(dirpath, f)
+                    z.write(full, os.path.relpath(full, root))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(key)

@@ -249,5 +249,7 @@ def _html_to_nodes(batches, rows_per_chunk: int = 50_000):
 
 def html_to_nodes(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """``pages(page_id, html)`` -> ``dom_nodes`` (see module doc)."""
+    from ..session import ship_package
+    ship_package(pages.sparkSession)
     src = pages.select(pages[page_id].cast("long").alias("page_id"), pages[html].alias("html"))
     return src.mapInPandas(_html_to_nodes, NODE_SCHEMA)
