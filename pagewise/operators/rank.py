@@ -19,19 +19,31 @@ from pyspark.sql import functions as F
 def top_n_per_group(df: DataFrame, group_cols: list[str], order: list[Column], n: int,
                     rank_col: str = "rank") -> DataFrame:
     w = Window.partitionBy(*group_cols).orderBy(*order)
-    return (df.withColumn(rank_col, F.row_number().over(w) - 1)
-              .filter(F.col(rank_col) < n))
+    # the filter must sit on the row_number column itself for Catalyst to plan a
+    # WindowGroupLimit (per-task top-n before the shuffle)
+    return (df.withColumn("_rn", F.row_number().over(w))
+              .filter(F.col("_rn") <= n)
+              .withColumn(rank_col, F.col("_rn") - 1)
+              .drop("_rn"))
 
 
 def blocked_rank(df: DataFrame, group_cols: list[str], key_col: str, seq_col: str,
                  rank_col: str = "rank", descending: bool = True,
-                 block_size: int = 1 << 20) -> DataFrame:
+                 rows_per_block: int = 1 << 16) -> DataFrame:
     """0-based stable rank by ``key_col`` (desc by default), ties by ``seq_col`` asc.
 
-    ``seq_col`` must be a non-negative unique long inside each group.
+    ``seq_col`` must be unique inside each group (any long; sparse ids are fine).
+    Each group's seq range is cut into blocks sized so that a block holds about
+    ``rows_per_block`` rows on average; counts per (group, key, block) and a
+    window over those counts give every block its offset, and ``row_number``
+    runs inside one block only.
     """
-    blk = F.floor(F.col(seq_col) / F.lit(block_size)).cast("long")
-    keyed = df.withColumn("_blk", blk)
+    stats = df.groupBy(*group_cols).agg(F.min(seq_col).alias("_lo"), F.max(seq_col).alias("_hi"),
+                                        F.count(F.lit(1)).alias("_cnt"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("_hi") - F.col("_lo") + 1) * F.lit(rows_per_block) / F.col("_cnt")))
+    keyed = (df.join(stats, group_cols)
+               .withColumn("_blk", F.floor((F.col(seq_col) - F.col("_lo")) / width).cast("long"))
+               .drop("_lo", "_hi", "_cnt"))
     key_order = F.col(key_col).desc() if descending else F.col(key_col).asc()
     counts = keyed.groupBy(*group_cols, key_col, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     w_off = (Window.partitionBy(*group_cols).orderBy(key_order, F.col("_blk").asc())

@@ -66,9 +66,13 @@ def test_rrf_and_final_ranking(spark):
 def test_blocked_rank(spark):
     rows = [("g", i, float(i % 3)) for i in range(50)]
     df = spark.createDataFrame(rows, "g string, seq long, c double")
-    got = {r.seq: r.rank for r in blocked_rank(df, ["g"], "c", "seq", block_size=7).collect()}
+    got = {r.seq: r.rank for r in blocked_rank(df, ["g"], "c", "seq", rows_per_block=7).collect()}
     exp = sorted(range(50), key=lambda i: (-(i % 3), i))
     assert [got[i] for i in exp] == list(range(50))
+    sparse = spark.createDataFrame([("g", i * 7919 + 3, float(i % 2)) for i in range(40)], "g string, seq long, c double")
+    got = {r.seq: r.rank for r in blocked_rank(sparse, ["g"], "c", "seq", rows_per_block=5).collect()}
+    exp = sorted((i * 7919 + 3 for i in range(40)), key=lambda s: (-(((s - 3) // 7919) % 2), s))
+    assert [got[s] for s in exp] == list(range(40))
 
 
 def test_cache_lookup_brute_force(spark):
