@@ -10,8 +10,6 @@ A page's nodes come from one HTML row, so a page is bounded by its HTML size.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,9 +27,6 @@ INDENT = 16.0
 INLINE_TAGS = ("a", "abbr", "b", "br", "cite", "code", "em", "i", "img", "label", "q", "s", "small", "span",
                "strong", "sub", "sup", "u")
 
-RECT_TYPE = "struct<x:double,y:double,width:double,height:double>"
-
-
 def elements(nodes: DataFrame) -> DataFrame:
     return nodes.filter(F.col("tag") != "#text")
 
@@ -168,6 +163,3 @@ def subtree_links(nodes: DataFrame, roots: DataFrame, pages: DataFrame, root: st
     return (roots.select("page_id", root).join(agg, ["page_id", root], "left")
                  .withColumn("links", F.coalesce("links", F.array().cast("array<string>"))))
 
-
-def gamma_log_norm(shape: float, scale: float) -> float:
-    return math.lgamma(shape) + shape * math.log(scale)

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from ..functions import dom_scores as DS
 from ..functions import text as TX
-from ..operators import dom as DOM
 from ..operators import pagination as PG
 from ..operators import quality as Q
 from ..sources.tables import table
