@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: the characters Python's str.split() treats as whitespace in the test texts.
-WS_CLASS = "[ \\t\\n\\r\\f\\u000b]"
+# Fixed value: the characters Python's str.split() treats as whitespace.
+WS_CLASS = ("[ \\t\\n\\r\\f\\u000b\\u001c-\\u001f\\u0085\\u00a0\\u1680\\u2000-\\u200a"
+            "\\u2028\\u2029\\u202f\\u205f\\u3000]")
 WS_RUN = WS_CLASS + "+"
 
 

@@ -11,7 +11,7 @@ from ..operators import search as H
 from ..operators.rank import top_n_per_group
 from ..sources.tables import table
 from .catalog import _SQL_RRF, r6, register, utc
-from .catalog_scalar import words_sql
+from .sql_parts import words_sql
 from .search import first_benchmark_query
 
 

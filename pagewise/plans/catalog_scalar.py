@@ -104,13 +104,7 @@ def page_type(spark: SparkSession, sf: str) -> DataFrame:
                     U.page_number("url").alias("page_number"))
 
 
-_WORDS_SQL = ("CASE WHEN regexp_replace({x}, '^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g') = '' "
-              "THEN []::VARCHAR[] ELSE string_split_regex(regexp_replace({x}, "
-              "'^[ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+$', '', 'g'), '[ \\t\\n\\r\\f\\v]+') END")
-
-
-def words_sql(x: str) -> str:
-    return _WORDS_SQL.format(x=x)
+from .sql_parts import words_sql  # noqa: E402
 
 
 @register("cache_key", f"""

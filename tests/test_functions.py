@@ -128,3 +128,10 @@ def test_resolve(spark):
     got = [r[0] for r in df.select(U.resolve("b", "l")).collect()]
     from urllib.parse import urljoin
     assert got == [urljoin(b, l) for b, l in rows]
+
+
+def test_words_python_whitespace(spark):
+    texts = ["a b　c \x1c d\te f", "  ", "x y"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r[0] for r in df.select(T.words("s")).collect()]
+    assert got == [t.split() for t in texts]
