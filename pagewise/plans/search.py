@@ -48,14 +48,18 @@ def high_precision_search(hits: DataFrame, queries: DataFrame, content: DataFram
                         "credibility_score", "seq")
     fused = H.rrf([lexical, sem, cred], [group, key], k=rrf_k)
 
-    out = (docs.join(fused, [group, key], "left")
-               .join(scored.select(group, key, "bm25_score"), [group, key], "left")
-               .withColumn("final_score", F.coalesce("rrf_score", F.lit(0.0))))
+    # rank on keys and scores only; the payload (title, body, ...) is joined to the
+    # top rows afterwards, so the texts of the other hits never pass a shuffle
+    keys = docs.select(group, key, "seq", "credibility_score")
+    ranked = (keys.join(fused, [group, key], "left")
+                  .join(scored.select(group, key, "bm25_score"), [group, key], "left")
+                  .withColumn("final_score", F.coalesce("rrf_score", F.lit(0.0))))
     if semantic is not None:
-        out = out.join(sem.select(group, key, "semantic_score"), [group, key], "left")
-    final = top_n_per_group(out, [group], [F.round("final_score", SCORE_DIGITS).desc(), F.col("seq").asc()],
-                            semantic_top_n, rank_col="final_rank")
-    return final.drop("rrf_score")
+        ranked = ranked.join(sem.select(group, key, "semantic_score"), [group, key], "left")
+    final = top_n_per_group(ranked, [group], [F.round("final_score", SCORE_DIGITS).desc(), F.col("seq").asc()],
+                            semantic_top_n, rank_col="final_rank").drop("rrf_score")
+    payload = docs.drop("seq", "credibility_score")
+    return final.join(payload, [group, key], "left")
 
 
 def hits_from_documents(documents: DataFrame) -> DataFrame:
