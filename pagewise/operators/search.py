@@ -59,52 +59,43 @@ def dedupe_hits(hits: DataFrame, keys: list[str], href: str, seq: str) -> DataFr
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, key: str, ts: str, set_at: str,
-                 ttl_s: int | str = CACHE_TTL_S, bucket_s: int = 3600) -> DataFrame:
+                 ttl_s: int = CACHE_TTL_S, bucket_s: int = 300) -> DataFrame:
     """J6 + F11 as-of lookup: for each request find the latest cache entry with the
     same key and ``set_at <= ts``; it is a hit iff ``ts < set_at + ttl``.
 
-    Only entries younger than the TTL can hit, so the search is bounded in time:
-    requests and entries are bucketed by ``bucket_s``; the running latest entry
-    inside a bucket comes from a window over that (key, bucket) only, and the
-    latest entry of the earlier buckets inside the TTL from a per-bucket max.
-    No pairs are formed, and no window spans a whole key.
-    ``ttl_s`` may be a constant or the name of a per-entry TTL column.
+    Only entries younger than the TTL can hit, so time is cut into buckets of
+    ``bucket_s`` seconds.  Inside a (key, bucket) a running ``max_by`` over the
+    time-ordered union of entries and requests gives the latest earlier entry;
+    the latest entry of the preceding buckets that can still be live comes from
+    a range window over per-(key, bucket) maxima (one small row per bucket).
+    No request x entry pairs are formed and no window spans a whole key's rows,
+    so a hot key is spread over its time buckets.
     """
-    ttl_col = F.col(ttl_s) if isinstance(ttl_s, str) else F.lit(int(ttl_s))
-    max_ttl = ttl_s if isinstance(ttl_s, int) else None
-    if max_ttl is None:
-        raise ValueError("cache_lookup needs a constant TTL bound (seconds)")
-    lookback = -(-max_ttl // bucket_s)   # buckets that can still hold a live entry
+    lookback = -(-int(ttl_s) // bucket_s)   # earlier buckets that can still hold a live entry
+    micros = F.lit(bucket_s * 1_000_000)
 
     def bucket(c: str) -> Column:
-        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(bucket_s * 1_000_000)).cast("long")
+        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / micros).cast("long")
 
     ent = cache.select(F.col(key).alias("_k"), F.col(set_at).cast("timestamp").alias("_t"), F.lit(1).alias("_is_set"),
-                       F.col(set_at).cast("timestamp").alias("_set_at"), ttl_col.cast("long").alias("_ttl"),
-                       F.lit(None).alias("_req"))
+                       F.col(set_at).cast("timestamp").alias("_set_at"))
     rq = requests.select(F.col(key).alias("_k"), F.col(ts).cast("timestamp").alias("_t"), F.lit(0).alias("_is_set"),
-                         F.lit(None).cast("timestamp").alias("_set_at"), F.lit(None).cast("long").alias("_ttl"),
-                         F.struct(*requests.columns).alias("_req"))
+                         F.lit(None).cast("timestamp").alias("_set_at"), F.struct(*requests.columns).alias("_req"))
     ent = ent.withColumn("_req", F.lit(None).cast(rq.schema["_req"].dataType))
     both = ent.unionByName(rq).withColumn("_b", bucket("_t"))
     # entries at the same instant as a request are visible to it (set_at <= ts)
     w = (Window.partitionBy("_k", "_b").orderBy(F.col("_t").asc(), F.col("_is_set").desc())
          .rowsBetween(Window.unboundedPreceding, 0))
-    running = both.withColumn("_last", F.max_by(F.struct("_set_at", "_ttl"), F.col("_set_at")).over(w))
-    per_bucket = (ent.withColumn("_b", bucket("_t"))
-                     .groupBy("_k", "_b").agg(F.max_by(F.struct("_set_at", "_ttl"), F.col("_set_at")).alias("_bl")))
-    hits = running.filter(F.col("_is_set") == 0)
-    cands = [F.col("_last")]
-    for d in range(1, lookback + 1):
-        p = per_bucket.select("_k", (F.col("_b") + d).alias("_b"), F.col("_bl").alias(f"_p{d}"))
-        hits = hits.join(p, ["_k", "_b"], "left")
-        cands.append(F.col(f"_p{d}"))
-    best = cands[0]
-    for c in cands[1:]:
-        best = F.when(best.isNull() | (c.isNotNull() & (c["_set_at"] > best["_set_at"])), c).otherwise(best)
-    out = hits.select("_req.*", best["_set_at"].alias("cache_set_at"), best["_ttl"].alias("cache_ttl_s"))
-    live = (F.unix_micros(F.col(ts).cast("timestamp")) < F.unix_micros(F.col("cache_set_at")) + F.col("cache_ttl_s") * 1_000_000)
-    return out.withColumn("cache_hit", F.coalesce(live, F.lit(False)))
+    running = both.withColumn("_in", F.max("_set_at").over(w)).filter(F.col("_is_set") == 0)
+    # latest entry in the preceding `lookback` buckets, for every bucket a request falls in
+    per_bucket = both.groupBy("_k", "_b").agg(F.max("_set_at").alias("_bmax"))
+    wb = Window.partitionBy("_k").orderBy("_b").rangeBetween(-lookback, -1)
+    prev = per_bucket.withColumn("_prev", F.max("_bmax").over(wb)).select("_k", "_b", "_prev")
+    hits = running.join(prev, ["_k", "_b"], "left")
+    best = F.greatest(F.col("_in"), F.col("_prev"))     # greatest ignores nulls
+    out = hits.select("_req.*", best.alias("cache_set_at"))
+    live = F.unix_micros(F.col(ts).cast("timestamp")) < F.unix_micros(F.col("cache_set_at")) + F.lit(int(ttl_s) * 1_000_000)
+    return out.withColumn("cache_ttl_s", F.lit(int(ttl_s))).withColumn("cache_hit", F.coalesce(live, F.lit(False)))
 
 
 def enrich_hits(hits: DataFrame, content: DataFrame | None, href: str = "href") -> DataFrame:

@@ -181,7 +181,7 @@ def cache_ttl_asof(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
     cache = e.filter(F.col("event_type") == "view").select("user_id", F.col("ts").alias("set_at"))
     req = e.filter(F.col("event_type") == "click").select("event_id", "user_id", "ts")
-    out = H.cache_lookup(req, cache, "user_id", "ts", "set_at", ttl_s=3600, bucket_s=3600)
+    out = H.cache_lookup(req, cache, "user_id", "ts", "set_at", ttl_s=3600)
     return out.select("event_id",
                       F.when(F.col("cache_hit"), F.date_format("cache_set_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
                       .alias("cache_set_at"), "cache_hit")
