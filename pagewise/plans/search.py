@@ -112,7 +112,7 @@ def search_with_cache(queries: DataFrame, cache: DataFrame, fresh_hits: DataFram
     # order and hits by position.  A search holds at most variants x max_results
     # rows, so numbering them with a window per search is bounded.
     from pyspark.sql import Window
-    u = (hit_rows.withColumn("_fresh", F.lit(1 == 0)).unionByName(fresh.withColumn("_fresh", F.lit(True))))
+    u = (hit_rows.withColumn("_fresh", F.lit(False)).unionByName(fresh.withColumn("_fresh", F.lit(True))))
     u = u.withColumn("seq", F.row_number().over(Window.partitionBy("search_id").orderBy("_fresh", "q", "pos"))
                      .cast("long")).drop("_fresh", "q", "pos")
     hits = H.dedupe_hits(u, ["search_id"], "href", "seq").withColumn("doc_key", F.col("href"))
