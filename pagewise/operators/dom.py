@@ -45,32 +45,33 @@ def subtree_metrics(nodes: DataFrame) -> DataFrame:
     ``n_words``, ``n_links`` (descendant ``<a href>``, self excluded) and
     ``chars_before`` (text characters before the element in document order)."""
     is_text = F.col("tag") == "#text"
-    own = nodes.select(
-        "page_id", "node_id",
-        F.when(is_text, F.length("text")).otherwise(0).alias("_len"),
-        F.when(is_text, 1).otherwise(0).alias("_runs"),
-        F.when(is_text, T.word_count("text")).otherwise(0).alias("_words"),
-        F.when((F.col("tag") == "a") & F.col("href").isNotNull() & (F.col("href") != ""), 1).otherwise(0).alias("_lnk"))
+    vals = {
+        "_len": F.when(is_text, F.length("text")).otherwise(0),
+        "_runs": F.when(is_text, 1).otherwise(0),
+        "_words": F.when(is_text, T.word_count("text")).otherwise(0),
+        "_lnk": F.when((F.col("tag") == "a") & F.col("href").isNotNull() & (F.col("href") != ""), 1).otherwise(0),
+    }
     w = Window.partitionBy("page_id").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
-    cum = own.select("page_id", "node_id", "_len", "_lnk",
-                     *[F.sum(c).over(w).alias("c" + c) for c in ("_len", "_runs", "_words", "_lnk")])
-    el = elements(nodes).withColumn("subtree_end", F.col("node_id") + F.col("subtree_size") - 1)
-    at_self = cum.select("page_id", "node_id", *[F.col("c" + c).alias("s" + c) for c in ("_len", "_runs", "_words", "_lnk")],
-                         F.col("_len").alias("own_len"), F.col("_lnk").alias("own_lnk"))
+    # one window pass over all rows gives the running sums at every node; elements
+    # keep their own columns, so the value "at self" needs no join
+    cum = nodes.select("*", *[v.alias(k) for k, v in vals.items()])
+    cum = cum.select("*", *[F.sum(k).over(w).alias("c" + k) for k in vals])
     at_end = cum.select("page_id", F.col("node_id").alias("subtree_end"),
-                        *[F.col("c" + c).alias("e" + c) for c in ("_len", "_runs", "_words", "_lnk")])
-    m = el.join(at_self, ["page_id", "node_id"]).join(at_end, ["page_id", "subtree_end"])
+                        *[F.col("c" + k).alias("e" + k) for k in vals])
+    el = (cum.filter(~is_text)
+             .withColumn("subtree_end", F.col("node_id") + F.col("subtree_size") - 1))
+    m = el.join(at_end, ["page_id", "subtree_end"])
 
-    def sub(c):   # sum over node..end of the per-node value
-        return F.col("e" + c) - F.col("s" + c) + (F.col("own_len") if c == "_len" else F.col("own_lnk") if c == "_lnk" else F.lit(0))
+    def sub(k):   # sum over node..end of the per-node value
+        return F.col("e" + k) - F.col("c" + k) + F.col(k)
 
-    runs = F.col("e_runs") - F.col("s_runs")
+    runs = F.col("e_runs") - F.col("c_runs")
     m = (m.withColumn("text_len", (sub("_len") + F.greatest(runs - 1, F.lit(0))).cast("int"))
           .withColumn("n_runs", runs.cast("int"))
-          .withColumn("n_words", (F.col("e_words") - F.col("s_words")).cast("int"))
-          .withColumn("n_links", (sub("_lnk") - F.col("own_lnk")).cast("int"))
-          .withColumn("chars_before", (F.col("s_len") - F.col("own_len")).cast("long")))
-    return m.drop(*[p + c for p in ("s", "e") for c in ("_len", "_runs", "_words", "_lnk")], "own_len", "own_lnk")
+          .withColumn("n_words", (F.col("e_words") - F.col("c_words")).cast("int"))
+          .withColumn("n_links", (sub("_lnk") - F.col("_lnk")).cast("int"))
+          .withColumn("chars_before", (F.col("c_len") - F.col("_len")).cast("long")))
+    return m.drop(*[p + k for p in ("c", "e", "") for k in vals])
 
 
 def layout(metrics: DataFrame) -> DataFrame:
