@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, language, quality
+from . import bpe, decontamination, language, pii, quality
 from .common import read
 from .sql import ORACLE
 
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op1(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op3(spark, read(spark, sf_dir, "documents"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op4(spark, read(spark, sf_dir, "documents"))
 
@@ -34,4 +38,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op4_language, op6_byte_bpe, op9_quality)}
+    f.__name__: f for f in (op1_decontamination, op3_pii, op4_language, op6_byte_bpe, op9_quality)}
