@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, language, pii, quality
+from . import bpe, decontamination, language, pii, quality, secret_scan
 from .common import read
 from .sql import ORACLE
 
@@ -28,6 +28,10 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.op4(spark, read(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.op5(spark, read(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op6(spark, read(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY),
                    public_tokenizers.PATTERN)
@@ -38,4 +42,4 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_pii, op4_language, op6_byte_bpe, op9_quality)}
+    f.__name__: f for f in (op1_decontamination, op3_pii, op4_language, op5_secret_scan, op6_byte_bpe, op9_quality)}

@@ -326,8 +326,12 @@ def _told(column: str) -> F.Column:
     return F.array_join(F.transform(column, lambda s: F.concat_ws(":", F.get(name, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _count(kind: int) -> F.Column:
+    return F.size(F.filter("base", lambda s: s["kind"] == kind))
+
+
 def op3(spark, docs: DataFrame) -> DataFrame:
     """The contract's counts, digest and list of spans."""
     found = find_personal_data(docs, fit(docs))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{n}") for k, n in enumerate(KINDS)]
+    counts = [_count(k).cast("bigint").alias(f"n_{n}") for k, n in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(_told("base"), 256).alias("base_sha256"), _told("spans").alias("spans"))
