@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, language, pii, quality, secret_scan
+from . import bpe, decontamination, jaccard_join, language, pii, quality, secret_scan
 from .common import read
 from .sql import ORACLE
 
@@ -41,5 +41,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.op10(spark, read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_pii, op4_language, op5_secret_scan, op6_byte_bpe, op9_quality)}
+    f.__name__: f for f in (op1_decontamination, op3_pii, op4_language, op5_secret_scan, op6_byte_bpe, op9_quality, op10_jaccard_join)}
