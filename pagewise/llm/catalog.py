@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard_join, language, pii, quality, secret_scan
+from . import bpe, decontamination, jaccard_join, language, nearest, pii, quality, secret_scan, warc
 from .common import read
 from .sql import ORACLE
 
@@ -20,6 +20,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.op1(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op2(spark, read(spark, sf_dir, "pages"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op3(spark, read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                    public_tokenizers.PATTERN)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.op8(spark, read(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op9(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -45,5 +53,6 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.op10(spark, read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontamination, op3_pii, op4_language, op5_secret_scan, op6_byte_bpe, op9_quality, op10_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_decontamination, op2_warc, op3_pii, op4_language, op5_secret_scan, op6_byte_bpe, op8_nearest, op9_quality,
+    op10_jaccard_join)}

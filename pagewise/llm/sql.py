@@ -43,3 +43,12 @@ r(a, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.b, r.c FROM r JOIN u ON
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT a, min(c) AS c FROM r GROUP BY 1) m ON m.a = d.doc_id
 """
+
+ORACLE["op2_warc"] = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+g AS (SELECT b, max(page_id) AS top, count(*) AS n FROM p GROUP BY b)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS payload_digest,
+       CASE WHEN octet_length(b) >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN octet_length(b) >= 1000 AND page_id <> top THEN top END AS refers_to, CAST(NULL AS VARCHAR) AS error
+FROM p JOIN g USING (b)
+"""
