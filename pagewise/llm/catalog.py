@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard_join, language, nearest, pii, quality, secret_scan, warc
+from . import bpe, decontamination, jaccard_join, language, nearest, passages, pii, quality, secret_scan, warc
 from .common import read
 from .sql import ORACLE
 
@@ -41,6 +41,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                    public_tokenizers.PATTERN)
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.op7(spark, read(spark, sf_dir, "documents"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.op8(spark, read(spark, sf_dir, "embeddings"))
 
@@ -54,5 +58,5 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_decontamination, op2_warc, op3_pii, op4_language, op5_secret_scan, op6_byte_bpe, op8_nearest, op9_quality,
+    op1_decontamination, op2_warc, op3_pii, op4_language, op5_secret_scan, op6_byte_bpe, op7_substring_dedup, op8_nearest, op9_quality,
     op10_jaccard_join)}

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import mix64, written
 
-TABLES = 24
-PROBES = 12
+TABLES = 16
+PROBES = 8
 #: Queries that one pass over the index answers.
 QUERY_BLOCK = 2048
 
