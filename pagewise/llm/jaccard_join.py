@@ -3,9 +3,10 @@
 A document is its set of distinct word shingles (64-bit hashes).  Two documents link when the size of their
 intersection is at least ``num/den`` of that of their union; the result is the linked components.
 
-1. Equal sets are one node.  Sets are ordered by a fixed order of all shingles, rare ones first within slices of
-   the hash range; two sets that link share a shingle among the first ``n - ceil(num/den * n) + 1`` of each.  So
-   the nodes that share such a shingle hold every link (exact), and most documents share none and are done.
+1. Equal sets are one node.  In any fixed order of all shingles, two sets that link share a shingle among the
+   first ``n - ceil(num/den * n) + 1`` of each (exact).  Shingles that one node alone has come first in the order.
+   A node with that many lone shingles within one slice of the hash range links with nothing: one cheap pass is
+   enough for most.  The others are ordered by the document frequencies among themselves, over all shingles.
 2. Nodes connected by shared prefix shingles form clusters.  A task builds a signature tree over a cluster's
    sets: every tree node holds the OR (and AND) of its sets' token bitmaps and the range of their sizes.  A dual
    traversal drops pairs of tree nodes whose largest possible overlap is too small, and pairs that are already one
@@ -67,13 +68,12 @@ def slices(num: int, den: int) -> int:
 
 
 def _described(k: int, num: int, den: int):
-    parts = slices(num, den)
-    edges = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    top = (1 << 64) // slices(num, den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in by_bytes(batches, "text"):
-            n, keys, tokens, sizes = [], [], [], []
+            n, keys, tokens = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, k)
                 n.append(len(s))
@@ -81,44 +81,35 @@ def _described(k: int, num: int, den: int):
                 keys.append(key)
                 if key is None or key in seen:                 # an equal set of this task has told its tokens
                     tokens.append(None)
-                    sizes.append(None)
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(key)
-                ends = np.append(np.searchsorted(s, edges), len(s))
-                last = int(np.searchsorted(ends, prefix_length(len(s), num, den)))
-                tokens.append(s[:ends[last]].view(np.int64))
-                sizes.append(np.diff(ends[:last + 1], prepend=0).astype(np.int32))
+                tokens.append(s[:np.searchsorted(s, np.uint64(min(top, 2**64 - 1)))].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("uid"), batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.binary()),
-                 pa.array(tokens, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
-                names=["uid", "doc_id", "n", "set_key", "tokens", "sizes"])
+                 pa.array(tokens, pa.list_(pa.int64()))], names=["uid", "doc_id", "n", "set_key", "tokens"])
+    return run
+
+
+def _whole_sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text"):
+            sets = [shingles(t, k).view(np.int64) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], names=["node", "tokens"])
     return run
 
 
 def _prefixes(num: int, den: int):
     """Of a node's shared tokens (with document frequencies), those among the first of its order."""
-    parts = slices(num, den)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             nodes, out = [], []
-            for node, n, sizes, shared in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "sizes", "shared"))):
-                token = np.array([s["token"] for s in shared], np.int64)
-                df = np.array([s["df"] for s in shared], np.int64)
-                u = token.view(np.uint64)
-                part = np.array([(int(x) * parts) >> 64 for x in u], np.int64)
-                order = np.lexsort((u, df, part))
-                part = part[order]
-                start = np.concatenate(([0], np.cumsum(sizes)))
-                held = np.bincount(part, minlength=len(sizes))
-                before = np.concatenate(([0], np.cumsum(held)))
-                # tokens that no other node has come first in their slice
-                place = start[part] + (np.array(sizes)[part] - held[part]) + np.arange(len(part)) - before[part]
-                for t in token[order][place < prefix_length(n, num, den)]:
+            for node, n, shared in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "shared"))):
+                rows = sorted((s["df"], s["token"]) for s in shared)
+                for _, token in rows[:max(prefix_length(n, num, den) - (n - len(rows)), 0)]:     # the others are lone
                     nodes.append(node)
-                    out.append(int(t))
+                    out.append(token)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.int64())], names=["node", "token"])
     return run
 
@@ -243,7 +234,11 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
 
 
 def _sets(frame: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(s, np.uint64) for s in frame["tokens"]]
+    return [np.asarray(s, np.int64).view(np.uint64) for s in frame["tokens"]]
+
+
+def _set(scalar: pa.ListScalar) -> np.ndarray:
+    return scalar.values.to_numpy(zero_copy_only=False).view(np.uint64)
 
 
 def _edges(nodes: np.ndarray, forest: Forest) -> pd.DataFrame:
@@ -258,17 +253,6 @@ def _edges(nodes: np.ndarray, forest: Forest) -> pd.DataFrame:
 # The join
 # --------------------------------------------------------------------------------------
 
-def _survivor_sets(docs: DataFrame, clusters: DataFrame, k: int) -> DataFrame:
-    """``node, cluster, tokens`` (all of them, as bytes) of the clustered nodes, from one more reading of their texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "text"):
-            sets = [shingles(t, k).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cluster"), pa.array(sets, pa.binary())],
-                                             names=["node", "cluster", "tokens"])
-    texts = docs.join(broadcast_if_small(clusters, 32), docs["uid"] == clusters["node"])
-    return texts.select("node", "cluster", "text").mapInArrow(run, "node long, cluster long, tokens binary")
-
-
 def _whole_clusters(num: int, den: int):
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("node")
@@ -286,9 +270,8 @@ def _large_clusters(large: DataFrame, num: int, den: int) -> DataFrame:
     leaders = leaders.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, "tokens"):
-            hit = [linked(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), num, den)
-                   for a, b in zip(batch.column("tokens").to_pylist(), batch.column("leader").to_pylist())]
+        for batch in batches:
+            hit = [linked(_set(batch.column("tokens")[i]), _set(batch.column("leader")[i]), num, den) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("cluster"), pa.array(hit)], names=["node", "cluster", "hit"])
     salted = large.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
     seen = written(salted.join(leaders, (salted["cluster"] == leaders["of"]) & (salted["salt"] == leaders["salt"]))
@@ -329,22 +312,29 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     rows have the same numbers each time they are read."""
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("bigint").alias("doc_id"),
                        F.col("text").cast("string").alias("text"))
-    told = written(rows.mapInArrow(_described(k, num, den), "uid long, doc_id long, n long, set_key binary, tokens array<long>, sizes array<int>"), "sets")
-    # one node for equal sets; nulls of doc_id do not count as smallest
+    told = written(rows.mapInArrow(_described(k, num, den), "uid long, doc_id long, n long, set_key binary, tokens array<long>"), "sets")
+    # one node for equal sets
     node = written(told.where("set_key is not null").groupBy("set_key").agg(
         F.min(F.when(F.col("tokens").isNotNull(), F.col("uid"))).alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
     copies = node.where("copies > 1").select("set_key", F.col("node").alias("kept"))
     teller = told.where("tokens is not null").join(broadcast_if_small(written(copies, "copies"), 48), "set_key", "left").where(
-        "kept is null or kept = uid").select(F.col("uid").alias("node"), "n", "tokens", "sizes")
+        "kept is null or kept = uid").select(F.col("uid").alias("node"), "n", "tokens")
+    # nodes with a prefix full of lone tokens link with nothing
+    need = F.col("n") - F.ceil(F.col("n") * num / F.lit(float(den)) - 1e-9) + 1
     token = teller.select("node", F.explode("tokens").alias("token"))
-    shared = token.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
+    met = token.withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").groupBy("node").agg(F.count("*").alias("met"))
+    open_ = teller.select("node", "n", F.size("tokens").alias("told")).join(met, "node", "left").where(
+        F.col("told") - F.coalesce("met", F.lit(0)) < need).select("node", "n")
+    open_ = broadcast_if_small(written(open_, "open-nodes"), 24)
+    texts = rows.join(open_, F.col("uid") == F.col("node")).select("node", "text")
+    whole = written(texts.mapInArrow(_whole_sets(k), "node long, tokens array<long>"), "open-sets")
+    shared = whole.select("node", F.explode("tokens").alias("token")).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1")
     per_node = shared.groupBy("node").agg(F.collect_list(F.struct("token", "df")).alias("shared"))
-    prefix = per_node.join(teller.select("node", "n", "sizes"), "node").select("node", "n", "sizes", "shared").mapInArrow(
-        _prefixes(num, den), "node long, token long")
+    prefix = per_node.join(open_, "node").select("node", "n", "shared").mapInArrow(_prefixes(num, den), "node long, token long")
     least = F.min("node").over(Window.partitionBy("token"))
     pairs = prefix.select("node", least.alias("other")).where("node != other")
     clusters = written(components(pairs, "clusters").select("node", F.col("root").alias("cluster")), "clusters")
-    sets = written(_survivor_sets(rows, clusters, k), "cluster-sets")
+    sets = whole.join(broadcast_if_small(clusters, 32), "node").select("node", "cluster", "tokens")
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
     big = written(sizes.where(F.col("members") > BLOCK).select("cluster"), "large-clusters")
     small = sets.join(broadcast_if_small(big, 16), "cluster", "left_anti")
