@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import by_bytes
 
 #: Pieces kept with their encodings in a Python worker; beyond that the table starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 1_000_000
 CACHE_PIECE_CHARS = 64
 
 
