@@ -83,12 +83,11 @@ def page_number(s) -> Column:
 
 
 def resolve(base, link) -> Column:
-    """P11 ``urljoin(base, link)`` for the link shapes found in pages.
+    """P11 ``urljoin(base, link)``.
 
-    Absolute links are kept, ``//host`` links take the base scheme, ``/path``
-    links take scheme+netloc, ``?q`` and ``#f`` replace the tail, and plain
-    relative links replace the last segment of the base path.  Dot segments of
-    the result are removed.
+    Absolute and ``//host`` links are kept as they are, ``?q`` and ``#f`` replace the tail; of all
+    others the path is joined to the base's folder (``/path``: to the host) and its dot segments are
+    resolved, however many there are.  A link's query and fragment take no part in that.
     """
     b, l = _c(base), _c(link)
     sch, net = scheme(b), netloc(b)
@@ -96,22 +95,29 @@ def resolve(base, link) -> Column:
     bpath = path(b)
     bdir = F.regexp_replace(bpath, r"[^/]*$", "")
     bquery = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)?", 1)
-    joined = (
+    lpath = F.regexp_extract(l, r"^[^?#]*", 0)
+    ltail = F.regexp_replace(l, r"^[^?#]*", "")
+    full = F.when(l.startswith("/"), lpath).otherwise(F.concat(F.when(bdir == "", F.lit("/")).otherwise(bdir), lpath))
+    return (
         F.when(l.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), l)
         .when(l.startswith("//"), F.concat(sch, F.lit(":"), l))
-        .when(l.startswith("/"), F.concat(origin, l))
         .when(l.startswith("?"), F.concat(origin, bpath, l))
         .when(l.startswith("#"), F.concat(origin, bpath, bquery, l))
         .when(l == "", b)
-        .otherwise(F.concat(origin, F.when(bdir == "", F.lit("/")).otherwise(bdir), l))
+        .otherwise(F.concat(origin, _remove_dot_segments(full, l.startswith("/")), ltail))
     )
-    return _remove_dot_segments(joined)
 
 
-def _remove_dot_segments(u: Column) -> Column:
-    # "/./" -> "/", then collapse "seg/../" pairs a few times (paths in pages are shallow).
-    out = F.regexp_replace(u, r"/\./", "/")
-    out = F.regexp_replace(out, r"/\.$", "/")
-    for _ in range(4):
-        out = F.regexp_replace(out, r"(?<![/:])/(?!\.\./)[^/?#]+/\.\./", "/")
-    return out
+def _remove_dot_segments(p: Column, keep_empty: Column) -> Column:
+    """A fold over the segments of an absolute path: ``..`` drops the one before, ``.`` goes, and so do
+    empty ones unless ``keep_empty``."""
+    parts = F.split(p, "/")
+    last = F.element_at(parts, -1)
+    inner = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 2, F.lit(0))), lambda s: keep_empty | (s != ""))
+
+    def step(done, s):
+        return (F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+                .when(s == ".", done).otherwise(F.concat(done, F.array(s))))
+    kept = F.aggregate(F.concat(inner, F.array(last)), F.array().cast("array<string>"), step)
+    kept = F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))

@@ -14,19 +14,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.text import WS_RUN
 
 _KEYS = ("user-agent", "allow", "disallow", "crawl-delay", "request-rate")
 
 
+def _strip(c) -> F.Column:
+    """Without white space at either end, line breaks and tabs included."""
+    return F.regexp_replace(c, f"^{WS_RUN}|{WS_RUN}$", "")
+
+
 def rules(robots: DataFrame, host: str = "host", text: str = "robots_txt") -> DataFrame:
     """``(host, pos, allow, prefix)`` rules of the default (``*``) group of each file."""
     lines = robots.select(host, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("pos", "line"))
-    clean = F.trim(F.regexp_replace("line", "#.*$", ""))
+    clean = _strip(F.regexp_replace("line", "#.*", ""))
     colon = F.instr(clean, ":")
     kv = (lines.withColumn("_c", clean).filter(colon > 0)
                .select(host, "pos",
-                       F.lower(F.trim(F.substring_index("_c", ":", 1))).alias("k"),
-                       F.trim(F.expr("substr(_c, instr(_c, ':') + 1)")).alias("v"))
+                       F.lower(_strip(F.substring_index("_c", ":", 1))).alias("k"),
+                       _strip(F.expr("substr(_c, instr(_c, ':') + 1)")).alias("v"))
                .filter(F.col("k").isin(*_KEYS)))
     w = Window.partitionBy(host).orderBy("pos")
     g = (kv.withColumn("_prev", F.lag("k").over(w))

@@ -159,7 +159,7 @@ SELECT q, backend, pos, doc_id FROM h JOIN b USING (q) WHERE backend_priority =
 def backend_fallback(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents")
     hits = d.select(F.col("lang").alias("q"), F.col("source").alias("backend"),
-                    F.substring("source", 4, 10).cast("int").alias("backend_priority"), "doc_id")
+                    F.expr("substr(source, 4)").cast("int").alias("backend_priority"), "doc_id")
     # positions only matter up to the cap, so the per-list numbering is a bounded top-n
     ranked = top_n_per_group(hits, ["q", "backend"], [F.col("doc_id").asc()], 50, rank_col="_r") \
         .withColumn("pos", (F.col("_r") + 1).cast("long"))

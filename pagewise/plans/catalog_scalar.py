@@ -70,7 +70,7 @@ FROM pages
 def url_valid(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "pages")
     return p.select("page_id", U.is_well_formed("url").alias("valid"),
-                    U.is_well_formed(F.substring("url", 9, 1 << 20)).alias("valid_cut"))
+                    U.is_well_formed(F.expr("substr(url, 9)")).alias("valid_cut"))
 
 
 @register("credibility", f"""
