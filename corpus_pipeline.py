@@ -43,7 +43,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether decoding gives the text back."""
     ship_package(spark)
     path, pattern = public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN
-    done = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    done = bpe.encode_and_decode(docs, path, pattern)
     return done.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"), "ids",
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import regex
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes
 
-#: Pieces kept with their encodings in a Python worker; beyond that the table starts anew.
-CACHE_PIECES = 1_000_000
+#: Pieces kept with their encodings in a Python worker, and token pairs known to be compatible or not; beyond that the
+#: table starts anew.  About 60 MB each.
+CACHE_PIECES = 300_000
+CACHE_PAIRS = 300_000
 CACHE_PIECE_CHARS = 64
 
 
@@ -31,13 +34,6 @@ class Vocabulary:
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self._pair: dict[tuple[int, int], bool] = {}
-        #: Tokens that merging gives back; others occur only as whole pieces.
-        self.usable = {t: i for t, i in ranks.items() if self.merged(t) == [i]}
-        #: The longest usable token of three bytes or more for each three last bytes.
-        self.reach: dict[bytes, int] = {}
-        for t in self.usable:
-            if len(t) > 2:
-                self.reach[t[-3:]] = max(self.reach.get(t[-3:], 2), len(t))
         self.longest = max(map(len, ranks), default=1)
 
     @classmethod
@@ -45,6 +41,20 @@ class Vocabulary:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
+    @cached_property
+    def usable(self) -> dict[bytes, int]:
+        """Tokens that merging gives back; others occur only as whole pieces.  Only encoding needs them."""
+        return {t: i for t, i in self.ranks.items() if self.merged(t) == [i]}
+
+    @cached_property
+    def reach(self) -> dict[bytes, int]:
+        """The longest usable token of three bytes or more for each three last bytes."""
+        longest: dict[bytes, int] = {}
+        for t in self.usable:
+            if len(t) > 2:
+                longest[t[-3:]] = max(longest.get(t[-3:], 2), len(t))
+        return longest
+
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
         get, none = self.ranks.get, 1 << 62
@@ -63,7 +73,7 @@ class Vocabulary:
     def compatible(self, a: int, b: int) -> bool:
         known = self._pair.get((a, b))
         if known is None:
-            if len(self._pair) > 500_000:
+            if len(self._pair) >= CACHE_PAIRS:
                 self._pair.clear()
             known = self._pair[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
         return known
@@ -187,8 +197,21 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
 
 
+def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """:func:`encode`, then :func:`decode` of those ids, in one worker: ``doc_id, ids, decoded`` per row of ``docs``.
+    Two steps in a row would hold two workers, each with its own vocabulary, for every running task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = tokenizer(path, pattern)
+        for batch in by_bytes(batches, "text"):
+            ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())],
+                                             names=["doc_id", "ids", "decoded"])
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
+                       ).mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
+
+
 def op6(spark, docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """The contract's digest of the encoded and decoded texts."""
-    return decode(encode(docs, path, pattern), path, pattern).select(
+    return encode_and_decode(docs, path, pattern).select(
         "doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
