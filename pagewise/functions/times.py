@@ -17,6 +17,9 @@ _D = r"\d{4}-\d{2}-\d{2}"
 _T = r"\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?"
 ISO_AWARE = rf"^{_D}[T ]{_T}(Z|[+-]\d{{2}}:\d{{2}})$"
 ISO_NAIVE = rf"^{_D}([T ]{_T})?$"
+# Every ISO shape: basic or extended date and time, hours alone, any number of fraction digits, offsets of three lengths.
+ISO_ANY = (r"^(\d{4})(-?)(\d{2})\2(\d{2})(?:[T ](\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
+           r"(Z|[+-]\d{2}(?::?\d{2})?)?)?$")
 ISO_BASIC_NAIVE = r"^\d{8}[T ]\d{2}:\d{2}(:\d{2})?$"
 
 # Legacy formats (pattern, Spark datetime pattern) in the reference order.
@@ -52,6 +55,16 @@ def _legacy(s: Column) -> Column:
     return out
 
 
+def _iso_any(s: Column) -> tuple[Column, Column]:
+    """(timestamp, offset as text) of any ISO shape; a missing time part is zero, a missing offset empty."""
+    def part(i: int) -> Column:
+        return F.regexp_extract(s, ISO_ANY, i)
+    zone = F.regexp_replace(F.regexp_replace(part(10), r"^([+-]\d{2})$", "$1:00"), r"^([+-]\d{2})(\d{2})$", "$1:$2")
+    time = [F.when(part(i) == "", "00").otherwise(part(i)) for i in (5, 7, 8, 9)]
+    text = F.concat(F.concat_ws("-", part(1), part(3), part(4)), F.lit(" "), F.concat_ws(":", *time[:3]), F.lit("."), time[3], zone)
+    return F.when(s.rlike(ISO_ANY), text.try_cast("timestamp")), zone
+
+
 def parse_datetime(s) -> Column:
     """P4 ``safe_parse_datetime`` -> struct<ts: timestamp, naive: boolean>."""
     x = _c(s)
@@ -60,6 +73,9 @@ def parse_datetime(s) -> Column:
     iso_naive = F.coalesce(
         F.when(x.rlike(ISO_NAIVE), F.replace(x, F.lit("T"), F.lit(" ")).try_cast("timestamp")),
         F.when(x.rlike(ISO_BASIC_NAIVE), F.replace(basic, F.lit("T"), F.lit(" ")).try_cast("timestamp")))
+    wide, zone = _iso_any(x)             # evaluated only where the common shapes don't match
+    iso_aware = F.coalesce(iso_aware, F.when(iso_naive.isNull() & (zone != ""), wide))
+    iso_naive = F.coalesce(iso_naive, F.when(zone == "", wide))
     legacy = _legacy(x)
     epoch = F.lit(EPOCH).cast("timestamp")
     empty = x.isNull() | (x == "")

@@ -67,6 +67,18 @@ def test_parse_datetime(spark):
         ("1970-01-01 00:00:00", False), ("1970-01-01 00:00:00", False)]
 
 
+def test_parse_datetime_iso_shapes(spark):
+    rows = ["20240101", "2024-01-01T10:11:12+0900", "20240101T101010Z", "2024-01-01T10", "2024-01-01T10:11:12.1234567",
+            "2024-01-01T10:11:12+09", "20240101T1011", "2024-13-01T10", "2024-0101"]
+    df = spark.createDataFrame([(r,) for r in rows], "s string").select(D.parse_datetime("s").alias("p"))
+    got = [tuple(r) for r in df.select(F.date_format("p.ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), "p.naive").collect()]
+    epoch = ("1970-01-01 00:00:00.000000", False)
+    assert got == [
+        ("2024-01-01 00:00:00.000000", True), ("2024-01-01 01:11:12.000000", False), ("2024-01-01 10:10:10.000000", False),
+        ("2024-01-01 10:00:00.000000", True), ("2024-01-01 10:11:12.123456", True), ("2024-01-01 01:11:12.000000", False),
+        ("2024-01-01 10:11:00.000000", True), epoch, epoch]
+
+
 def test_age_days(spark):
     df = spark.createDataFrame([("2024-02-27T12:00:00Z",), ("2024-02-27 12:00:00",), ("",)], "s string")
     got = [r[0] for r in df.select(D.age_days("s", F.lit("2024-03-01 00:00:00").cast("timestamp"))).collect()]
