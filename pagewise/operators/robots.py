@@ -46,12 +46,11 @@ def rules(robots: DataFrame, host: str = "host", text: str = "robots_txt") -> Da
                      F.col("v").alias("prefix")))
 
 
-def allowed(pages: DataFrame, robots: DataFrame, host: str = "host", url: str = "url",
-            key: str = "page_id") -> DataFrame:
+def allowed(pages: DataFrame, robots: DataFrame, host: str = "host", url: str = "url") -> DataFrame:
     """F5 + J11: ``allowed`` per page (path of its URL, '/' when empty)."""
-    r = rules(robots, host)
-    p = pages.withColumn("_path", F.when(U.path(url) == "", F.lit("/")).otherwise(U.path(url)))
-    hit = (p.select(key, host, "_path").join(r, host)
-            .filter(F.col("_path").startswith(F.col("prefix")))
-            .groupBy(key).agg(F.min_by("allow", "pos").alias("_a")))
-    return p.join(hit, key, "left").withColumn("allowed", F.coalesce("_a", F.lit(True))).drop("_a", "_path")
+    r = rules(robots, host).groupBy(host).agg(
+        F.array_sort(F.collect_list(F.struct("pos", "allow", "prefix"))).alias("_rules"))     # no longer than the host's file
+    path = F.when(U.path(url) == "", F.lit("/")).otherwise(U.path(url))
+    p = pages.join(r, host, "left").withColumn("_path", path)
+    first = F.get(F.filter("_rules", lambda x: F.col("_path").startswith(x["prefix"])), F.lit(0))
+    return p.withColumn("allowed", F.coalesce(first["allow"], F.lit(True))).drop("_rules", "_path")
