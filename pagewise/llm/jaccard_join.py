@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,16 +102,22 @@ def _whole_sets(k: int):
 
 
 def _prefixes(num: int, den: int):
-    """Of a node's shared tokens (with document frequencies), those among the first of its order."""
+    """Of a node's shared tokens (with document frequencies), those among the first of its order.  Works on the flat
+    Arrow arrays: the tokens of a batch never become Python objects."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, out = [], []
-            for node, n, shared in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "shared"))):
-                rows = sorted((s["df"], s["token"]) for s in shared)
-                for _, token in rows[:max(prefix_length(n, num, den) - (n - len(rows)), 0)]:     # the others are lone
-                    nodes.append(node)
-                    out.append(token)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(out, pa.int64())], names=["node", "token"])
+            lists = batch.column("shared")
+            held = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+            flat = lists.flatten()
+            df, token = (pc.struct_field(flat, c).to_numpy(zero_copy_only=False) for c in ("df", "token"))
+            n, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n", "node"))
+            row = np.repeat(np.arange(len(held)), held)
+            order = np.lexsort((token, df, row))                    # rows stay in their places
+            rank = np.arange(len(row)) - (np.cumsum(held) - held)[row]
+            most = prefix_length(n, num, den) - (n - held)          # the others are lone
+            keep = rank < most[row]
+            yield pa.RecordBatch.from_arrays([pa.array(node[row][keep], pa.int64()), pa.array(token[order][keep], pa.int64())],
+                                             names=["node", "token"])
     return run
 
 
