@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, worker_table
 
 #: Pieces kept with their encodings in a Python worker, and token pairs known to be compatible or not; beyond that the
 #: table starts anew.  About 60 MB each.
@@ -162,13 +162,8 @@ class Tokenizer:
         return b"".join(map(self.vocabulary.token.__getitem__, memoryview(ids).cast("I")))
 
 
-_LOADED: dict[tuple[str, str], Tokenizer] = {}
-
-
 def tokenizer(path: str, pattern: str) -> Tokenizer:
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = Tokenizer(Vocabulary.load(path), pattern)
-    return _LOADED[path, pattern]
+    return worker_table((path, pattern), lambda: Tokenizer(Vocabulary.load(path), pattern))
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -51,6 +51,19 @@ def by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 2
             yield batch.slice(a, b - a)
 
 
+_TABLE: dict = {}
+
+
+def worker_table(key, make):
+    """The one table that a Python worker keeps between tasks, made by ``make()``.  Workers are used again from
+    operator to operator: when another operator asks for its table, the one held till then goes."""
+    if key not in _TABLE:
+        _TABLE.clear()
+        pa.default_memory_pool().release_unused()
+        _TABLE[key] = make()
+    return _TABLE[key]
+
+
 def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit finaliser (a bijection for each seed), vectorised."""
     x = x.astype(np.uint64) + np.uint64((seed * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))

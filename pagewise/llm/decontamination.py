@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, by_bytes, written
+from .common import broadcast_if_small, by_bytes, worker_table, written
 
 WINDOW = 13
 BLOCK_BYTES = 16 << 20
@@ -204,6 +204,7 @@ def suffix_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 def _matcher(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_table("suffixes", lambda: None)          # what other operators kept goes; Spark keeps the broadcast
         tests: Suffixes = held.value
         for batch in by_bytes(batches, "text", 8 << 20):
             shard = [words(t) for t in batch.column("text").to_pylist()]

@@ -27,22 +27,22 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, by_bytes, components, mix64, written
+from .common import broadcast_if_small, by_bytes, components, mix64, worker_table, written
 
 #: Nodes of a cluster that one task compares with each other.
 BLOCK = 1024
 LEAF, FANOUT = 16, 8
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_HASHES: dict[bytes, int] = {}
 
 
-def _word_hash(word: bytes) -> int:
-    h = _HASHES.get(word)
-    if h is None:
-        if len(_HASHES) > 400_000:
-            _HASHES.clear()
-        h = _HASHES[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
-    return h
+class WordHashes(dict):
+    """64-bit hashes of words, kept between the texts that a Python worker reads."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
 
 
 def shingles(text: str | None, k: int) -> np.ndarray:
@@ -51,7 +51,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_word_hash, words), np.uint64, len(words))
+    h = np.fromiter(map(worker_table("word hashes", WordHashes).__getitem__, words), np.uint64, len(words))
     n = min(k, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for i in range(n):

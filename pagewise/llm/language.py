@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, unit, written
+from .common import by_bytes, unit, worker_table, written
 
 BITS = 16
 COLUMNS = 1 << BITS
@@ -25,14 +25,9 @@ SCALE = 32.0
 #: The model is fitted on at most about so many labelled documents of each language.
 ROWS_PER_LANGUAGE = 1000
 
-_LETTER: np.ndarray | None = None
-
 
 def _letters() -> np.ndarray:
-    global _LETTER
-    if _LETTER is None:
-        _LETTER = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-    return _LETTER
+    return worker_table("letters", lambda: np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
 
 
 def grams(texts: list[str | None]) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
