@@ -1,13 +1,13 @@
 """Text digests built from ranked rows (S10 update digest, S11 error digest, P28 prompt).
 
-Each digest is one row per group, assembled from an ordered ``collect_list``
-of per-row fragments.  Groups are bounded by construction (a top-n list, or one
-digest per domain / run), which is what makes the collect safe.
+S10 and S11 give the lines of a digest as rows with a total order (``section``, ``pos``), however many there
+are: no task gathers a digest, and a sink that writes them in that order gives the document.  P28 is one row
+per group from an ordered ``collect_list``, bounded by its top-n list.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,25 +16,27 @@ from ..functions import text as T
 DIGEST_HEADING = "更新ページ一覧"
 DIGEST_LINK_TEXT = "リンクを開く"
 DIGEST_NO_IMAGE = "(スクリーンショット取得失敗)"
-ERROR_HEADING = "Errors"
+# Error-digest heading.
+ERROR_HEADING = "Web Checker Error Report"
 
 
-MAX_ITEMS = 1000
-
-
-def _ordered_concat(df: DataFrame, group: str, order: str, piece: str, sep: str = "",
-                    max_items: int | None = None) -> DataFrame:
-    """One row per group (and per ``part`` when ``max_items`` is set: items are cut
-    into parts of at most ``max_items`` consecutive ``order`` values, so no row
-    ever collects an unbounded group)."""
-    keys = [group]
-    if max_items is not None:
-        df = df.withColumn("part", F.floor(F.col(order) / F.lit(max_items)).cast("long"))
-        keys = [group, "part"]
-    return (df.groupBy(*keys)
+def _ordered_concat(df: DataFrame, group: str, order: str, piece: str) -> DataFrame:
+    """One row per group: its pieces in order (for groups that a top-n list bounds)."""
+    return (df.groupBy(group)
               .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(piece).alias("p"))))
                    .alias("_parts"))
-              .select(*keys, F.array_join(F.transform("_parts", lambda s: s["p"]), sep).alias("_body")))
+              .select(group, F.array_join(F.transform("_parts", lambda s: s["p"]), "").alias("_body")))
+
+
+def _lines(items: DataFrame, group: str, pos: str, item: Column, head: str, tail: str) -> DataFrame:
+    """``group, section, pos, line``: the heading (section 0), the items (1) in ``pos`` order, the closing (2).
+    A group without items has no lines."""
+    body = items.select(group, F.lit(1).alias("section"), F.col(pos).cast("long").alias("pos"), item.alias("line"))
+    ends = F.array(F.struct(F.lit(0).alias("section"), F.lit(head).alias("line")),
+                   F.struct(F.lit(2).alias("section"), F.lit(tail).alias("line")))
+    frame = (items.select(group).distinct().select(group, F.explode(ends).alias("e"))
+                  .select(group, "e.section", F.lit(None).cast("long").alias("pos"), "e.line"))
+    return body.unionByName(frame)
 
 
 def answer_prompt(docs: DataFrame, group: str, rank: str, head: str, mid: str, tail: str) -> DataFrame:
@@ -57,10 +59,9 @@ def answer_prompt(docs: DataFrame, group: str, rank: str, head: str, mid: str, t
 
 
 def update_digest(changes: DataFrame, group: str, pos: str, url: str = "url",
-                  image: str = "image_cid", max_items: int = MAX_ITEMS) -> DataFrame:
+                  image: str = "image_cid") -> DataFrame:
     """HTML list of changed URLs, each with its screenshot reference or a
-    placeholder, in ``pos`` order; one document per group and part (at most
-    ``max_items`` positions per part)."""
+    placeholder, in ``pos`` order; lines join without a separator."""
     item = F.concat(
         F.lit("<li><p>\""), F.col(url), F.lit("\"</p><a href=\""), F.col(url),
         F.lit(f"\" target=\"_blank\">{DIGEST_LINK_TEXT}</a><br>"),
@@ -68,16 +69,10 @@ def update_digest(changes: DataFrame, group: str, pos: str, url: str = "url",
                F.concat(F.lit("<img src=\"cid:"), F.col(image), F.lit("\" style=\"max-width:500px;\">")))
          .otherwise(F.lit(f"<p>{DIGEST_NO_IMAGE}</p>")),
         F.lit("</li>"))
-    body = _ordered_concat(changes.withColumn("_item", item), group, pos, "_item", max_items=max_items)
-    return body.select(group, "part", F.concat(F.lit(f"<html><body><h2>{DIGEST_HEADING}</h2><ul>"), F.col("_body"),
-                                               F.lit("</ul></body></html>")).alias("html"))
+    return _lines(changes, group, pos, item, f"<html><body><h2>{DIGEST_HEADING}</h2><ul>", "</ul></body></html>")
 
 
-def error_digest(errors: DataFrame, group: str, pos: str, url: str = "url",
-                 message: str = "message", max_items: int = MAX_ITEMS) -> DataFrame:
-    """HTML-escaped error list, one document per group and part."""
-    item = F.concat(F.lit("<li>"), T.html_escape(F.col(url)), F.lit(": "),
-                    T.html_escape(F.col(message)), F.lit("</li>"))
-    body = _ordered_concat(errors.withColumn("_item", item), group, pos, "_item", max_items=max_items)
-    return body.select(group, "part", F.concat(F.lit(f"<html><body><h2>{ERROR_HEADING}</h2><ul>"), F.col("_body"),
-                                               F.lit("</ul></body></html>")).alias("html"))
+def error_digest(errors: DataFrame, group: str, pos: str, url: str = "url", message: str = "message") -> DataFrame:
+    """Every error as the list ``[url, message]`` printed and HTML-escaped; lines join by newline."""
+    item = F.concat(F.lit("<li>"), T.html_escape(T.py_list_repr(F.array(F.col(url), F.col(message)))), F.lit("</li>"))
+    return _lines(errors, group, pos, item, f"<h1>{ERROR_HEADING}</h1>\n<ul>", "</ul>")

@@ -349,29 +349,31 @@ raw AS (SELECT page_id, list_filter(regexp_extract_all(html, '<a\\s[^>]*href="([
 before AS (SELECT page_id AS row_id, sha256('[' || array_to_string(list_transform(l, lambda x: '''' || x || ''''), ', ')
                   || ']') AS old_vl FROM raw),
 after AS (SELECT page_id AS row_id, url, sha256({_PY_REPR}) AS new_vl FROM links),
-ch AS (SELECT row_id, url FROM after JOIN before USING (row_id) WHERE old_vl IS DISTINCT FROM new_vl)
-SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, row_id // 1000 AS part,
-       '<html><body><h2>更新ページ一覧</h2><ul>' || string_agg({_ITEM_SQL}, '' ORDER BY row_id) || '</ul></body></html>'
-         AS html
-FROM ch GROUP BY 1, 2
+ch AS (SELECT row_id, url FROM after JOIN before USING (row_id) WHERE old_vl IS DISTINCT FROM new_vl),
+it AS (SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, row_id, {_ITEM_SQL} AS line FROM ch)
+SELECT domain, 1 AS section, CAST(row_id AS BIGINT) AS pos, line FROM it
+UNION ALL SELECT DISTINCT domain, 0, CAST(NULL AS BIGINT), '<html><body><h2>更新ページ一覧</h2><ul>' FROM it
+UNION ALL SELECT DISTINCT domain, 2, CAST(NULL AS BIGINT), '</ul></body></html>' FROM it
 """)
 def digest(spark: SparkSession, sf: str) -> DataFrame:
     """S10 over the J4 changes, one digest per domain (positional image list empty)."""
     from ..functions import urls as U
     from ..operators.digest import update_digest
     ch = change_diff(spark, sf).withColumn("domain", U.netloc("url")).withColumn("image_cid", F.lit(None).cast("string"))
-    return update_digest(ch, "domain", "row_id").select("domain", "part", "html")
+    return update_digest(ch, "domain", "row_id")
 
 
 @register("error_digest", f"""
 WITH robots AS ({ORACLE_ROBOTS_FILTER}),
-e AS (SELECT p.page_id, p.url FROM pages p JOIN robots r USING (page_id) WHERE NOT r.allowed)
-SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, page_id // 1000 AS part,
-       '<html><body><h2>Errors</h2><ul>' ||
-       string_agg('<li>' || replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'),
-                  '"', '&quot;'), '''', '&#x27;') || ': Full scan returned None</li>', '' ORDER BY page_id)
-       || '</ul></body></html>' AS html
-FROM e GROUP BY 1, 2
+e AS (SELECT p.page_id, p.url FROM pages p JOIN robots r USING (page_id) WHERE NOT r.allowed),
+q AS (SELECT page_id, url, CASE WHEN contains(url, '''') AND NOT contains(url, '"') THEN '"' || replace(url, '\\', '\\\\') || '"'
+                                ELSE '''' || replace(replace(url, '\\', '\\\\'), '''', '\\''') || '''' END AS u FROM e),
+it AS (SELECT regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain, page_id,
+              '<li>' || replace(replace(replace(replace(replace('[' || u || ', ''Full scan returned None'']',
+                '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</li>' AS line FROM q)
+SELECT domain, 1 AS section, CAST(page_id AS BIGINT) AS pos, line FROM it
+UNION ALL SELECT DISTINCT domain, 0, CAST(NULL AS BIGINT), '<h1>Web Checker Error Report</h1>' || chr(10) || '<ul>' FROM it
+UNION ALL SELECT DISTINCT domain, 2, CAST(NULL AS BIGINT), '</ul>' FROM it
 """)
 def error_digest(spark: SparkSession, sf: str) -> DataFrame:
     """S12 + S11: pages the robots rules block fail their full scan; one error digest per domain."""
@@ -381,4 +383,4 @@ def error_digest(spark: SparkSession, sf: str) -> DataFrame:
     blocked = robots_filter(spark, sf).filter(~F.col("allowed")).join(pages, "page_id")
     errs = blocked.select("page_id", "url", F.lit("Full scan returned None").alias("message"),
                           U.netloc("url").alias("domain"))
-    return digest_errors(errs, "domain", "page_id").select("domain", "part", "html")
+    return digest_errors(errs, "domain", "page_id")
