@@ -199,9 +199,10 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return a.join(b, "row_id").filter(~F.col("_old").eqNullSafe(F.col("result_vl"))).select("row_id", "url")
 
 
-def set_image_names(watch: DataFrame, images: DataFrame) -> DataFrame:
-    """Every row with the url gets the base name of its image path."""
-    im = images.groupBy("url").agg(F.last("image_path").alias("_img"))
+def set_image_names(watch: DataFrame, images: DataFrame, order: str | None = None) -> DataFrame:
+    """Every row with the url gets the base name of its image path: of several, the last by the column
+    ``order``, or the largest path when none is named."""
+    im = images.groupBy("url").agg(F.max_by("image_path", order or "image_path").alias("_img"))
     return (watch.join(im, "url", "left")
                  .withColumn("image_filename", F.coalesce(U.base_name("_img"), F.col("image_filename")))
                  .drop("_img"))

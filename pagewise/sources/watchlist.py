@@ -7,6 +7,7 @@ selector list becomes an empty array.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,9 +41,21 @@ def normalize(df: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """JSON array of records (or JSON Lines with ``multiline=False``)."""
-    df = spark.read.schema(WATCH_SCHEMA).option("multiLine", multiline).json(path)
-    return normalize(df)
+    """One file with a JSON array of records; a record without ``row_id`` takes its position in the array.
+    An absent file, or one that is no JSON array, gives an empty watch list.
+
+    With ``multiline=False``, JSON Lines, which Spark splits: lines have no position, so records need ``row_id``."""
+    try:
+        if not multiline:
+            return normalize(spark.read.schema(WATCH_SCHEMA).json(path))
+        texts = spark.read.text(path, wholetext=True)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return normalize(spark.createDataFrame([], WATCH_SCHEMA))
+    arrays = texts.where(F.col("value").rlike(r"^\s*\["))
+    records = arrays.select(F.posexplode(F.from_json("value", T.ArrayType(WATCH_SCHEMA))).alias("pos", "r"))
+    return normalize(records.select("pos", "r.*").withColumn("row_id", F.coalesce("row_id", F.col("pos").cast("long"))))
 
 
 def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
