@@ -351,6 +351,34 @@ def test_repeated_passages(spark, tmp_path):
     assert passages.op7(spark, spark.read.parquet(str(tmp_path / "e"))).count() == 0
 
 
+def _brute_runs(texts, least=50):
+    """Words of each text within runs of ``least`` words that another text has too."""
+    grams = collections.defaultdict(set)
+    for n, w in enumerate(texts):
+        for i in range(len(w) - least + 1):
+            grams[tuple(w[i:i + least])].add(n)
+    return [{j for i in range(len(w) - least + 1) if len(grams[tuple(w[i:i + least])]) > 1 for j in range(i, i + least)} for w in texts]
+
+
+def test_passages_beside_a_leader(spark, tmp_path):
+    """Passages that the first document of a group holds in part, or not at all but for a short line: whole by one function."""
+    r = np.random.default_rng(11)
+    say = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    texts = []
+    for _ in range(12):                # 48 words of a repeat of 52; 50 words of one of 70; a line of 30 before two families
+        p, q, line, one, two = say(52), say(70), say(30), say(40), say(40)
+        texts += [say(30) + p[:48] + say(30), say(20) + p + say(40), p + say(50)]
+        texts += [say(30) + q[:50] + say(30), say(20) + q + say(40), say(9) + q + say(50)]
+        texts += [say(40) + line + say(50)] + [say(20) + line + x + say(20) for x in (one, two, one, two, one, two)]
+    path = str(tmp_path / "p")
+    spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(path)
+    got = {x.doc_id: x for x in passages.repeated_passages(spark.read.parquet(path), functions=1).collect()}
+    want = _brute_runs(texts)
+    assert set(got) == {i for i, w in enumerate(want) if w}
+    for i, x in got.items():
+        assert want[i] <= {j for s, e in x.passages for j in range(s, e)}, i
+
+
 def test_passages_edges(spark, odd):
     got = {r.doc_id: (r.class_id, r.n_passages) for r in passages.op7(spark, odd).collect()}
     assert got == {6: (6, 1), 7: (6, 1), 8: (8, 1), 9: (8, 1)}
