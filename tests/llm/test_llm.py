@@ -379,6 +379,39 @@ def test_passages_beside_a_leader(spark, tmp_path):
         assert want[i] <= {j for s, e in x.passages for j in range(s, e)}, i
 
 
+def _sequence(w):
+    return passages.Sequence(passages.shingle_sequence(" ".join(w)))
+
+
+def test_near_copies_with_a_phrase_said_elsewhere():
+    r = np.random.default_rng(12)
+    say = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    for n in range(60):
+        p = say(70)
+        near = p[:35] + ["other"] + p[36:]
+        at = int(r.integers(0, 28))
+        phrase = p[at:at + 6]
+        lost = p[:at + 2] + ["gone"] + p[at + 3:]              # b has the phrase's shingles elsewhere only
+        line = say(8)
+        often = line * int(r.integers(2, 40))
+        for b, a, least in ((say(20) + phrase + say(30) + near + say(20), say(40) + p + say(30), 66),
+                            (say(20) + near + say(30) + phrase + say(20), say(10) + phrase + say(40) + p + say(30), 66),
+                            (say(9) + phrase + say(9) + phrase + say(3) + lost + say(9), say(40) + p + say(30), 65),
+                            (often + say(9) + near[:20] + line + near[20:] + often, say(40) + often + p[:20] + line + p[20:] + say(3), 70),
+                            (near + say(5) + near, p + say(90), 66)):
+            x, y = _sequence(a), _sequence(b)
+            if least == 65 and not 5 < at < 25:
+                continue
+            found = passages.similar_regions(x, y, 46)
+            want = next(i for i in range(len(a)) if a[i:i + 8] == p[:8])
+            assert max((min(e + 4, want + len(p)) - max(s, want) for s, e, _, _ in found), default=0) >= least, (n, least, found)
+            for s, e, u, v in found:
+                one, two = set(x.shingles[s:e].tolist()), set(y.shingles[u:v].tolist())
+                assert e - s >= 46 and v - u >= 46 and len(one & two) >= 0.8 * len(one | two)
+            if b[:70] == near:                  # both copies in b
+                assert len({u for _, _, u, _ in found}) == 2
+
+
 def test_passages_edges(spark, odd):
     got = {r.doc_id: (r.class_id, r.n_passages) for r in passages.op7(spark, odd).collect()}
     assert got == {6: (6, 1), 7: (6, 1), 8: (8, 1), 9: (8, 1)}
