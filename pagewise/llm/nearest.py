@@ -7,7 +7,7 @@ own largest coordinates), and all vectors found there are ranked by their exact
 
 Equal vectors are one entry of the index with its smallest ids, which is all that a list of neighbours can hold.
 Queries are taken in blocks of a bounded size; each block is one pass over the index, whose tasks keep their best
-candidates for each query.
+candidates for each query.  Queries that meet fewer candidates than asked for are ranked against the whole index.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ TABLES = 16
 PROBES = 8
 #: Queries that one pass over the index answers.
 QUERY_BLOCK = 2048
+#: Ids that the index keeps of equal vectors: more than a query may ask for.
+KEEP = 11
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -84,7 +86,7 @@ def _by_length(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]
         yield own, _matrix(batch.column("vector").take(pa.array(own)))
 
 
-def build_index(vectors: DataFrame, tables: int = TABLES, seed: int = 0, keep: int = 11) -> DataFrame:
+def build_index(vectors: DataFrame, tables: int = TABLES, seed: int = 0, keep: int = KEEP) -> DataFrame:
     """The written index of ``vectors(vec_id, embedding)``: one entry for each distinct usable vector, with its
     ``keep`` smallest ids and its bucket in every table."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +113,7 @@ def build_index(vectors: DataFrame, tables: int = TABLES, seed: int = 0, keep: i
 def _ranked(held, k: int):
     """Best ``k`` of a task for each query of the block: rows (query_id, vec_id, score)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = held.value                       # query ids, vectors, and per table a mask (query, bucket)
+        block = held.value                       # query ids, vectors, and per table a mask (query, bucket); no masks: all are found
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             ids = batch.column("ids").to_pylist()
@@ -120,7 +122,7 @@ def _ranked(held, k: int):
                 if x.shape[1] not in block:
                     continue
                 q_ids, q, masks = block[x.shape[1]]
-                found = np.zeros((len(q), len(own)), bool)
+                found = np.full((len(q), len(own)), not masks)
                 for t, mask in enumerate(masks):
                     found |= mask[:, codes[own, t]]
                 for i in range(len(q)):
@@ -145,36 +147,48 @@ def _ranked(held, k: int):
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, n_probes: int = PROBES, seed: int = 0) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, tables: int = TABLES, n_probes: int = PROBES, seed: int = 0,
+           keep: int = KEEP) -> DataFrame:
     """The ``k`` nearest found for each of ``queries(vec_id, embedding)`` by Euclidean distance, without the query's
-    own id: ``query_id, rank, vec_id, score``; nearest first, ties to the smaller id.
+    own id: ``query_id, rank, vec_id, score``; nearest first, ties to the smaller id.  Fewer only if there are no more.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do ids that are null;
     vectors of another length are no candidates.  Rows with the query's id are no candidates either.  Repeated query
-    rows are answered once.  An empty table gives no rows."""
+    rows are answered once.  An empty table gives no rows.  ``keep`` is that of the index, and more than ``k``."""
+    if k >= keep:
+        raise ValueError(f"an index that keeps {keep} ids of equal vectors can't give {k} neighbours")
     spark = index.sparkSession
     rows = written(queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(
         F.col("vec_id").isNotNull() & usable("vector")).groupBy("vec_id").agg(F.min("vector").alias("vector")), "ann-queries")
-    blocks = -(-rows.count() // QUERY_BLOCK) or 1
-    best = None
-    for b in range(blocks):
-        taken = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()     # about QUERY_BLOCK rows
-        block = {}
-        for d in {len(r.vector) for r in taken}:
-            own = [r for r in taken if len(r.vector) == d]
-            q = np.array([r.vector for r in own], np.float64)
-            unit = q / np.linalg.norm(q, axis=1, keepdims=True)
-            masks = []
-            for t in range(tables):
-                x = rotated(unit, t, seed)
-                mask = np.zeros((len(q), 2 * x.shape[1]), bool)
-                np.put_along_axis(mask, probes(x, n_probes), True, 1)
-                masks.append(mask)
-            block[d] = (np.array([r.vec_id for r in own], np.int64), q, masks)
-        part = index.mapInArrow(_ranked(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score double")
-        best = part if best is None else best.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy("score", "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def answered(rows: DataFrame, probed: bool) -> DataFrame:
+        blocks = -(-rows.count() // QUERY_BLOCK) or 1
+        best = None
+        for b in range(blocks):
+            taken = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()     # about QUERY_BLOCK rows
+            block = {}
+            for d in {len(r.vector) for r in taken}:
+                own = [r for r in taken if len(r.vector) == d]
+                q = np.array([r.vector for r in own], np.float64)
+                unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+                masks = []
+                for t in range(tables if probed else 0):
+                    x = rotated(unit, t, seed)
+                    mask = np.zeros((len(q), 2 * x.shape[1]), bool)
+                    np.put_along_axis(mask, probes(x, n_probes), True, 1)
+                    masks.append(mask)
+                block[d] = (np.array([r.vec_id for r in own], np.int64), q, masks)
+            part = index.mapInArrow(_ranked(spark.sparkContext.broadcast(block), k), "query_id long, vec_id long, score double")
+            best = part if best is None else best.unionByName(part)
+        order = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    found = written(answered(rows, True), "ann-found")
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("full"))
+    short = written(rows.join(full, F.col("vec_id") == F.col("full"), "left_anti"), "ann-short")
+    if short.isEmpty():
+        return found
+    return found.join(full, F.col("query_id") == F.col("full"), "left_semi").unionByName(answered(short, False))
 
 
 def op8(spark, embeddings: DataFrame) -> DataFrame:

@@ -446,6 +446,19 @@ def test_nearest_edges(spark):
     assert nearest.op8(spark, e.limit(0)).count() == 0
 
 
+def test_nearest_gives_all_of_a_small_table(spark):
+    x = np.random.default_rng(5).normal(size=(8, 64))
+    rows = [(i * 100, v.tolist()) for i, v in enumerate([*x, -x[0]])]
+    e = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.op8(spark, e).toPandas()
+    assert len(got) == 9 * 8
+    for q, v in rows:
+        d = {i: float(np.sqrt(((np.array(w) - np.array(v)) ** 2).sum())) for i, w in rows if i != q}
+        assert got[got["query_id"] == q].sort_values("rank")["vec_id"].tolist() == sorted(d, key=lambda i: (d[i], i))
+    with pytest.raises(ValueError):
+        nearest.search(nearest.build_index(e), e, 11)
+
+
 def test_rotation_keeps_norms():
     x = np.random.default_rng(2).normal(size=(20, 10))
     assert np.allclose(np.linalg.norm(nearest.rotated(x, 3), axis=1), np.linalg.norm(x, axis=1))
