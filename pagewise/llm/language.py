@@ -223,16 +223,27 @@ def training_rows(docs: DataFrame) -> DataFrame:
                        F.col("lang").cast("string").alias("lang")).where(fold(F.col("doc_id")) != 1)
 
 
+def _without_letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in by_bytes(batches, "text"):
+        _, n_letters = grams(batch.column("text").to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(n_letters == 0))], names=["bad"])
+
+
 def keep_known(docs: DataFrame, min_score: float = 0.4) -> DataFrame:
     """``docs`` without the rows whose language can't be told: no letters, or the best language's probability
-    under ``min_score``.  The model is fitted on the training fold of ``docs`` itself.  All columns stay.
+    under ``min_score``.  The model is fitted on the training fold of ``docs`` itself; where that teaches no
+    language, only null texts and texts without letters go.  All columns stay.
 
     The decision depends on the text alone, so rejected texts leave by their hash."""
     model = fit(training_rows(docs))
     keyed = docs.select(F.struct("*").alias("row"))
-    scored = predict(keyed.select(F.xxhash64("row.text").alias("doc_id"), "row.text").where("row.text is not null"), model)
-    bad = written(scored.where((F.col("lang_pred") == "und") | (F.col("score") < min_score))
-                  .select(F.col("doc_id").alias("bad")).distinct(), "unknown-language")
+    texts = keyed.select(F.xxhash64("row.text").alias("doc_id"), F.col("row.text").cast("string").alias("text")).where("text is not null")
+    if model:
+        scored = predict(texts, model)
+        bad = scored.where((F.col("lang_pred") == "und") | (F.col("score") < min_score)).select(F.col("doc_id").alias("bad"))
+    else:
+        bad = texts.mapInArrow(_without_letters, "bad bigint")
+    bad = written(bad.distinct(), "unknown-language")
     return keyed.where("row.text is not null").join(bad, F.xxhash64("row.text") == F.col("bad"), "left_anti").select("row.*")
 
 

@@ -217,6 +217,14 @@ def test_language_edges(spark, odd, nothing):
     assert language.keep_known(odd).columns == odd.columns
 
 
+def test_language_of_documents_without_labels(spark):
+    rows = [_row(1, "Das ist ein sauberer Text.", None), _row(2, "漢字", None), _row(3, None, None), _row(4, "", None), _row(5, "12 + 3", None)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    assert sorted(r.doc_id for r in language.keep_known(docs).collect()) == [1, 2]
+    held = docs.withColumn("lang", F.when(language.fold(F.col("doc_id")) == 1, "de"))          # labels of the held-out fold only
+    assert held.where("lang is not null").count() and sorted(r.doc_id for r in language.keep_known(held).collect()) == [1, 2]
+
+
 def test_ftrl_is_sparse_and_temperature_calibrates():
     r = np.random.default_rng(1)
     rows = [(np.array([y, 2 + i % 50, language.COLUMNS]), np.array([1.0, 0.01, 1.0]), y) for i, y in enumerate(r.integers(0, 2, 200))]
