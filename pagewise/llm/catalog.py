@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontamination, jaccard_join, language, nearest, passages, pii, quality, secret_scan, warc
+from . import (bpe, decontamination, jaccard_join, language, merkle, nearest, passages, pii, quality, secret_scan,
+               warc)
 from .common import read
 from .sql import ORACLE
 
@@ -57,6 +58,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.op10(spark, read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.op11(spark, read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_decontamination, op2_warc, op3_pii, op4_language, op5_secret_scan, op6_byte_bpe, op7_substring_dedup, op8_nearest, op9_quality,
-    op10_jaccard_join)}
+    op10_jaccard_join, op11_merkle_manifest)}

@@ -52,3 +52,51 @@ SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes, sha1(b) AS pay
        CASE WHEN octet_length(b) >= 1000 AND page_id <> top THEN top END AS refers_to, CAST(NULL AS VARCHAR) AS error
 FROM p JOIN g USING (b)
 """
+
+
+def _merkle(levels: int = 6, crown: int = 4) -> str:
+    """Levels are written out one by one: 16 ** ``levels`` leaves a source, 16 ** ``crown`` sources."""
+    def field(c):
+        return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || {c} END"
+
+    def tree(start, name, n):
+        out = []
+        for k in range(n):
+            nodes = start if k == 0 else f"{name}n{k}"
+            out.append(f"""{name}l{k} AS (SELECT s, p, h, count(*) OVER (PARTITION BY s) AS c,
+  coalesce(string_agg(h, '') OVER (PARTITION BY s, p // 16 ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+  coalesce(string_agg(h, '') OVER (PARTITION BY s, p // 16 ORDER BY p ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {nodes}),
+{name}n{k + 1} AS (SELECT s, p // 16 AS p, CASE WHEN any_value(c) > 1 THEN sha256(string_agg(h, '' ORDER BY p)) ELSE any_value(h) END AS h
+  FROM {name}l{k} GROUP BY s, p // 16)""")
+        return ",\n".join(out)
+
+    def climb(frm, name, n, s, p):
+        out = []
+        for k in range(n):
+            out.append(f"""{name}f{k} AS (SELECT f.* EXCLUDE (g, proof), proof || l || r AS proof,
+  CASE WHEN c > 1 THEN sha256(l || g || r) ELSE g END AS g FROM {frm if k == 0 else f'{name}f{k - 1}'} f
+  JOIN {name}l{k} t ON t.s = f.{s} AND t.p = f.{p} // {16 ** k})""")
+        return ",\n".join(out)
+
+    crc = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+    list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))))"""
+    body = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce('s' || source, '') AS src, sha256({body} || {field('text')}) AS h,
+    CASE WHEN {crc} % 5 = 0 THEN sha256({body} || {field(lower)}) END AS tampered FROM documents),
+leaf AS (SELECT *, src AS s, row_number() OVER (PARTITION BY src ORDER BY doc_id NULLS FIRST, h) - 1 AS p FROM d),
+{tree("leaf", "a", levels)},
+subs AS (SELECT s AS src, h AS subroot, h, 0 AS s, row_number() OVER (ORDER BY s) - 1 AS p FROM an{levels}),
+{tree("subs", "b", crown)},
+f AS (SELECT doc_id, leaf.h AS leaf, leaf.src, leaf.p, subroot, subs.s AS one, subs.p AS q, coalesce(tampered, leaf.h) AS g, '' AS proof
+      FROM leaf JOIN subs ON subs.src = leaf.src),
+{climb("f", "a", levels, "src", "p")},
+{climb(f"af{levels - 1}", "b", crown, "one", "q")}
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, g AS folded_root, g = root.h AS verified
+FROM bf{crown - 1}, (SELECT h FROM bn{crown}) root
+"""
+
+
+ORACLE["op11_merkle_manifest"] = _merkle()
