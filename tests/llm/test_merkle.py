@@ -96,7 +96,7 @@ def test_nothing(spark):
 
 def test_directory_ranks_are_counts_of_smaller_ids(spark):
     pick = random.Random(5)
-    ids = pick.sample(range(-(1 << 62), 1 << 62), 300) + list(range(100_000, 100_500)) + pick.sample(range(1 << 24), 300)
+    ids = list({pick.randrange(-(1 << 63), 1 << 63) for _ in range(300)} | set(range(100_000, 100_500)) | set(pick.sample(range(1 << 24), 300)))
     docs = spark.createDataFrame([_row(i, "t", "s") for i in ids], SCHEMA)
     rows = merkle.leaves(docs)
     words = merkle.directory(merkle.bitmaps(rows))
