@@ -7,14 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe, decontamination, jaccard_join, language, merkle, nearest, passages, pii, quality, secret_scan,
-               warc)
+from . import (bpe, decontamination, jaccard_join, language, merkle, nearest, passages, phrases, pii, quality,
+               secret_scan, token_counts, warc)
 from .common import read
 from .sql import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+COUNTED = "byte_bpe_50k.json"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.op11(spark, read(spark, sf_dir, "documents"))
 
 
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.op12(spark, read(spark, sf_dir, "documents"), public_tokenizers.path(COUNTED))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.op13(spark, read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_decontamination, op2_warc, op3_pii, op4_language, op5_secret_scan, op6_byte_bpe, op7_substring_dedup, op8_nearest, op9_quality,
-    op10_jaccard_join, op11_merkle_manifest)}
+    op10_jaccard_join, op11_merkle_manifest, op12_token_counts, op13_phrase_collocations)}

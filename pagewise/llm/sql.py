@@ -100,3 +100,23 @@ FROM bf{crown - 1}, (SELECT h FROM bn{crown}) root
 
 
 ORACLE["op11_merkle_manifest"] = _merkle()
+
+ORACLE["op13_phrase_collocations"] = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+           FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+g AS (SELECT lang, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 10),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM f WHERE m > 1),
+s AS (SELECT c.*, fl.f AS l, fr.f AS r, CAST(1000000::HUGEINT * a * a // (fl.f::HUGEINT * fr.f) AS BIGINT) AS score
+      FROM c JOIN f fl ON fl.lang = c.lang AND fl.phrase = array_to_string(c.w[1:k], ' ')
+             JOIN f fr ON fr.lang = c.lang AND fr.phrase = array_to_string(c.w[k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+longer AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS f
+           FROM (SELECT lang, w, a, unnest([1, 2]) AS i FROM c WHERE m = 3 AND k = 1) GROUP BY 1, 2),
+left_over AS (SELECT b.* FROM b LEFT JOIN longer USING (lang, phrase) WHERE b.m = 3 OR longer.f IS NULL OR 100 * longer.f < 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM left_over JOIN n USING (lang) QUALIFY rank <= 2000
+"""
