@@ -6,8 +6,8 @@ that the vocabulary belongs to; documents only bring their pre-token frequencies
 and summed.  No id is ever kept.
 
 Pre-tokens are cut in the JVM.  Which characters are letters, numbers or spaces depends on the Unicode version, and the
-library's is not Java's; so the library is asked once for each code point, and the expression used here names those
-that Java takes for something else.
+library's is not Java's; so the library is asked for all code points, and texts with one that Java takes for
+something else are cut by an expression that names those.
 
 The frequent pre-tokens (a bounded number, by a histogram of their frequencies) are broadcast, so that no common word
 becomes a hot key; the frequencies of all others are shuffled by pre-token.
@@ -19,6 +19,7 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import groupby
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -50,26 +51,51 @@ def _class_text(points: frozenset[int]) -> str:
 
 @lru_cache(maxsize=4)
 def _library_classes(path: str) -> dict[str, frozenset[int]]:
-    """The library's letters, numbers and spaces, told by how it cuts ``a?1?!`` around each code point."""
+    """The library's letters, numbers and spaces, told by how it cuts strings with each code point in them: first
+    ``a...1`` around 256 in a row, then, where those are not of one kind, ``a?1?!`` around each."""
     cut = _load(path).pre_tokenizer.pre_tokenize_str
     kinds = {"L": set(), "N": set(), "S": set()}
-    for c in _ASSIGNED:
-        ch = chr(c)
-        spans = [s for _, s in cut(f"a{ch}1{ch}!")]
-        if (0, 2) in spans:
-            kinds["L"].add(c)
-        elif (1, 4) in spans:
-            kinds["N"].add(c)
-        elif (3, 5) not in spans or (2, 3) not in spans or (1, 3) in spans:
-            kinds["S"].add(c)
+
+    def spans(text):
+        return [s for _, s in cut(text)]
+    for start in range(0, 0x110000, 256):
+        row = [c for c in range(start, start + 256) if not 0xD800 <= c < 0xE000]
+        n = len(row)
+        found = spans(f"a{''.join(map(chr, row))}1") if n else None
+        if found is None or found == [(0, 1), (1, n + 1), (n + 1, n + 2)]:
+            continue
+        if found == [(0, n + 1), (n + 1, n + 2)]:
+            kinds["L"].update(row)
+            continue
+        for c in row:
+            ch = chr(c)
+            one = spans(f"a{ch}1{ch}!")
+            if (0, 2) in one:
+                kinds["L"].add(c)
+            elif (1, 4) in one:
+                kinds["N"].add(c)
+            elif (3, 5) not in one or (2, 3) not in one or (1, 3) in one:
+                kinds["S"].add(c)
     return {k: frozenset(v) for k, v in kinds.items()}
 
 
-def pretoken_pattern(spark: SparkSession, path: str) -> str:
-    """The library's byte-level pre-token expression for Java's engine, its classes corrected code point by code point."""
-    probe = spark.createDataFrame([("".join(map(chr, _ASSIGNED)),)], "s string")
+class Pattern(NamedTuple):
+    """Java's expression for pre-tokens (``plain``), and where it is not the library's: texts that match ``doubtful`` are
+    cut by ``exact``, which names every code point that the two take for different things."""
+    plain: str
+    doubtful: str
+    exact: str
+
+
+def _expression(letter: str, number: str, space: str, other: str, blank: str) -> str:
+    return f"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|{space}+{blank}|{space}+"
+
+
+def pretoken_pattern(spark: SparkSession, path: str) -> Pattern:
+    """The library's byte-level pre-token expression for Java's engine."""
+    probe = spark.createDataFrame(pa.table({"s": ["".join(map(chr, _ASSIGNED))]}))
     names = {"L": r"\p{L}", "N": r"\p{N}", "S": r"\p{IsWhite_Space}"}
-    java = probe.select(*(F.regexp_replace("s", f"[^{v}]", "").alias(k) for k, v in names.items())).first()
+    java = probe.select(*(F.regexp_replace("s", f"[^{v}]", "").alias(k) for k, v in (names | {"Cn": r"\p{Cn}"}).items())).first()
     own = _library_classes(path)
     held = {k: frozenset(map(ord, java[k])) for k in names}
     body = {k: names[k] + _class_text(own[k] - held[k]) for k in names}
@@ -77,8 +103,12 @@ def pretoken_pattern(spark: SparkSession, path: str) -> str:
     letter, number, space = (f"[{body[k]}&&[^{less[k]}]]" if less[k] else f"[{body[k]}]" for k in "LNS")
     beyond = _class_text(frozenset().union(*(held[k] - own[k] for k in names)) - frozenset().union(*own.values()))
     other = f"[^{''.join(body.values())}]" if not beyond else f"(?:[^{''.join(body.values())}]|[{beyond}])"
-    blank = f"(?!{other}|{letter}|{number})"
-    return f"'s|'t|'re|'ve|'m|'ll|'d| ?{letter}+| ?{number}+| ?{other}+|{space}+{blank}|{space}+"
+    # nearly all of them are code points that Java's Unicode version does not know
+    unlike = frozenset().union(*(held[k] ^ own[k] for k in names))
+    every = "".join(names.values())
+    return Pattern(_expression(names["L"], names["N"], names["S"], f"[^{every}]", f"(?![^{names['S']}])"),
+                   f"[\\p{{Cn}}{_class_text(unlike - frozenset(map(ord, java['Cn'])))}]",
+                   _expression(letter, number, space, other, f"(?!{other}|{letter}|{number})"))
 
 
 def _special(path: str) -> list[str]:
@@ -90,13 +120,15 @@ def _quoted(text: str) -> str:
     return "".join(c if c.isalnum() else f"\\x{{{ord(c):X}}}" for c in text)
 
 
-def pretokens(docs: DataFrame, pattern: str, special: list[str]) -> DataFrame:
+def pretokens(docs: DataFrame, pattern: Pattern, special: list[str]) -> DataFrame:
     """``docs`` with a row for each pre-token, in ``piece``; null stands for a special string and for an empty text."""
     split = "|".join(map(_quoted, special)) or "(?!)"
     segments = F.split(F.coalesce("text", F.lit("")), split, -1)
+    plain, exact = (F.regexp_extract_all("segment", F.lit(p), F.lit(0)) for p in (pattern.plain, pattern.exact))
+    pieces = F.when(F.rlike("segment", F.lit(pattern.doubtful)), exact).otherwise(plain)
     return (docs.withColumn("n_special", (F.size(segments) - 1).cast("bigint"))
             .withColumn("segment", F.explode(segments)).drop("text")
-            .withColumn("piece", F.explode_outer(F.regexp_extract_all("segment", F.lit(pattern), F.lit(0)))).drop("segment"))
+            .withColumn("piece", F.explode_outer(pieces)).drop("segment"))
 
 
 def piece_counts(pieces: DataFrame, path: str) -> DataFrame:
