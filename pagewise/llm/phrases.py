@@ -28,7 +28,7 @@ WORDS, LEAST, TOP = 3, 10, 2000
 #: Numerator and denominator of the share at which a longer phrase takes its parts' place.
 PART = (50, 100)
 #: Word occurrences that one partition of the sort gets on average.
-PARTITION_WORDS = 1_500_000
+PARTITION_WORDS = 1_000_000
 #: The frequent words go to the workers only if they take so many bytes at most; else no suffix is cut by them.
 FREQUENT_BYTES = 16 << 20
 UNKNOWN = "und"
@@ -106,7 +106,7 @@ def _language(df: DataFrame) -> DataFrame:
                      F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _by_language(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[tuple[str, bytes]]:
+def _by_language(batches: Iterator[pa.RecordBatch], limit: int = 6 << 20) -> Iterator[tuple[str, bytes]]:
     """The texts of a language in a batch as one byte string, in lower case, a piece's end between them."""
     for batch in by_bytes(batches, "text", limit):
         lang = batch.column("lang").dictionary_encode()
