@@ -162,7 +162,7 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     without added special tokens: special strings inside a text count as one token.
 
     Null and empty texts have no tokens.  Repeated rows give repeated rows, an empty table none; other columns are not
-    read.  ``docs`` is read twice, and its rows are numbered on the way: a table that Spark reads, not a result whose
+    read.  ``docs`` is read three times, and its rows are numbered on the way: a table that Spark reads, not a result whose
     row order may change.  A text is cut whole; a pre-token of any length is encoded whole."""
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     pattern, special = pretoken_pattern(spark, path), _special(path)
@@ -174,23 +174,16 @@ def count_tokens(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
 
     rows = base.select(F.monotonically_increasing_id().alias("uid"), "doc_id",
                        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "text")
-    looked = pretokens(rows, pattern, special).join(head, "piece", "left")
-    known = ["uid", "doc_id", "n_bytes", "n_special"]
-    if not rest:
-        return _summed(looked.groupBy(*known).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")))
-    left = F.when(F.col("n").isNull(), F.col("piece")).alias("piece")
-    looked = written(looked.groupBy(*known, left).agg(F.count("*").alias("times"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")),
-                     "token-frequencies")
-    tail = (looked.where("piece is not null").select("uid", "piece", "times")
-            .join(counted.where(~is_head).select("piece", F.col("n").alias("each")), "piece")
-            .groupBy("uid").agg(F.sum(F.col("times") * F.col("each")).alias("n")))
-    none = [F.lit(None).cast("bigint").alias(c) for c in known[1:]]
-    both = looked.select(*known, "n").unionByName(tail.select("uid", *none, "n"))
-    return _summed(both.groupBy("uid").agg(*(F.max(c).alias(c) for c in known[1:]), F.sum("n").alias("n")))
-
-
-def _summed(df: DataFrame) -> DataFrame:
-    return df.select("doc_id", "n_bytes", (F.col("n") + F.col("n_special")).alias("n_tokens"))
+    known = [c for c in rows.columns if c != "text"] + ["n_special"]
+    pieces = pretokens(rows, pattern, special).join(head, "piece", "left").select(*known, "n")
+    if rest:
+        # all other pre-tokens, from a second pass: no text or known pre-token is shuffled with them
+        tail = pretokens(rows.select("uid", "text"), pattern, special).where("piece is not null").select("uid", "piece")
+        tail = tail.join(head, "piece", "left_anti").join(counted.where(~is_head).select("piece", "n"), "piece")
+        none = [F.lit(None).cast("bigint").alias(c) for c in known[1:]]
+        pieces = pieces.unionByName(tail.select("uid", *none, "n"))
+    return (pieces.groupBy("uid").agg(*(F.max(c).alias(c) for c in known[1:]), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+            .select("doc_id", "n_bytes", (F.col("n") + F.col("n_special")).alias("n_tokens")))
 
 
 def op12(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
