@@ -13,76 +13,52 @@ from pyspark.sql import functions as F
 EPOCH = "1970-01-01 00:00:00"
 DEFAULT_AGE_DAYS = 99
 
-_D = r"\d{4}-\d{2}-\d{2}"
-_T = r"\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?"
-ISO_AWARE = rf"^{_D}[T ]{_T}(Z|[+-]\d{{2}}:\d{{2}})$"
-ISO_NAIVE = rf"^{_D}([T ]{_T})?$"
 # Every ISO shape: basic or extended date and time, hours alone, any number of fraction digits, offsets of three lengths.
 ISO_ANY = (r"^(\d{4})(-?)(\d{2})\2(\d{2})(?:[T ](\d{2})(?:(:?)(\d{2})(?:\6(\d{2})(?:[.,](\d{1,6})\d*)?)?)?"
-           r"(Z|[+-]\d{2}(?::?\d{2})?)?)?$")
-ISO_BASIC_NAIVE = r"^\d{8}[T ]\d{2}:\d{2}(:\d{2})?$"
-
-# Legacy formats (pattern, Spark datetime pattern) in the reference order.
-# The four that an ISO parser already accepts are listed but never reached.
-LEGACY_FORMATS = [
-    (r"^\d{4}\d{2}\d{2} \d{2}:\d{2}:\d{2}$", "yyyyMMdd HH:mm:ss"),
-    (r"^\d{4}\d{2}\d{2} \d{2}:\d{2}$", "yyyyMMdd HH:mm"),
-    (r"^\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}$", "yyyy-MM-dd HH:mm:ss"),
-    (r"^\d{4}/\d{2}/\d{2} \d{2}:\d{2}$", "yyyy/MM/dd HH:mm"),
-    (r"^\d{4}-\d{2}-\d{2}$", "yyyy-MM-dd"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
-    (r"^\d{2}:\d{2}:\d{2}$", "HH:mm:ss"),
-    (r"^\d{2}:\d{2}$", "HH:mm"),
-]
+           r"(Z|[+-]\d{2}(?::?\d{2})?)?)?\z")
+# The parts of a match in one order, the offset behind '#'; a digit after the fraction stands for an absent one.
+ISO_PARTS = "@$1-$3-$4 $5:$7:$8.$90#$10"
+
+# The legacy formats that no ISO shape covers, as the shapes of their digits:
+# year/month/day with a time, month/day/year, year/month/day, day-month-year, times alone.
+LEGACY_SHAPES = ("0000/00/00 00:00", "00/00/0000", "0000/00/00", "00-00-0000", "00:00:00", "00:00")
+TIME_ONLY_DATE = "1900-01-01 "
 
 
 def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def _legacy(s: Column) -> Column:
-    out = None
-    for pat, fmt in LEGACY_FORMATS:
-        if fmt.startswith("HH"):   # time only: the date part is 1900-01-01
-            parsed = F.try_to_timestamp(F.concat(F.lit("1900-01-01 "), s), F.lit("yyyy-MM-dd " + fmt))
-        else:
-            parsed = F.try_to_timestamp(s, F.lit(fmt))
-        # a pattern that matches but fails to parse falls through to the next one
-        branch = F.when(s.rlike(pat), parsed)
-        out = branch if out is None else F.coalesce(out, branch)
+def _legacy_text(x: Column) -> Column:
+    """The date and time text of a legacy format, null for any other shape."""
+    shape = F.translate(x, "0123456789", "0000000000")
+    year_last = F.concat_ws("-", F.substring(x, 7, 4), *(F.substring(x, i, 2) for i in (1, 4)))
+    day_first = F.concat_ws("-", F.substring(x, 7, 4), *(F.substring(x, i, 2) for i in (4, 1)))
+    dashed = F.replace(x, F.lit("/"), F.lit("-"))
+    texts = (F.concat(dashed, F.lit(":00")), year_last, dashed, day_first,
+             F.concat(F.lit(TIME_ONLY_DATE), x), F.concat(F.lit(TIME_ONLY_DATE), x, F.lit(":00")))
+    out = F.lit(None).cast("string")
+    for name, text in zip(LEGACY_SHAPES, texts):
+        out = F.when(shape == name, text).otherwise(out)
     return out
 
 
-def _iso_any(s: Column) -> tuple[Column, Column]:
-    """(timestamp, offset as text) of any ISO shape; a missing time part is zero, a missing offset empty."""
-    def part(i: int) -> Column:
-        return F.regexp_extract(s, ISO_ANY, i)
-    zone = F.regexp_replace(F.regexp_replace(part(10), r"^([+-]\d{2})$", "$1:00"), r"^([+-]\d{2})(\d{2})$", "$1:$2")
-    time = [F.when(part(i) == "", "00").otherwise(part(i)) for i in (5, 7, 8, 9)]
-    text = F.concat(F.concat_ws("-", part(1), part(3), part(4)), F.lit(" "), F.concat_ws(":", *time[:3]), F.lit("."), time[3], zone)
-    return F.when(s.rlike(ISO_ANY), text.try_cast("timestamp")), zone
-
-
 def parse_datetime(s) -> Column:
-    """P4 ``safe_parse_datetime`` -> struct<ts: timestamp, naive: boolean>."""
+    """P4 ``safe_parse_datetime`` -> struct<ts: timestamp, naive: boolean>.
+
+    A text is matched once: its ISO parts are put in one order by one replacement, absent ones filled in by plain
+    ones, and whatever it is, one cast makes the timestamp.  The expression stays small enough to be compiled
+    wherever it is used."""
     x = _c(s)
-    basic = F.regexp_replace(x, r"^(\d{4})(\d{2})(\d{2})", "$1-$2-$3")
-    iso_aware = F.when(x.rlike(ISO_AWARE), F.replace(x, F.lit("T"), F.lit(" ")).try_cast("timestamp"))
-    iso_naive = F.coalesce(
-        F.when(x.rlike(ISO_NAIVE), F.replace(x, F.lit("T"), F.lit(" ")).try_cast("timestamp")),
-        F.when(x.rlike(ISO_BASIC_NAIVE), F.replace(basic, F.lit("T"), F.lit(" ")).try_cast("timestamp")))
-    wide, zone = _iso_any(x)             # evaluated only where the common shapes don't match
-    iso_aware = F.coalesce(iso_aware, F.when(iso_naive.isNull() & (zone != ""), wide))
-    iso_naive = F.coalesce(iso_naive, F.when(zone == "", wide))
-    legacy = _legacy(x)
-    epoch = F.lit(EPOCH).cast("timestamp")
-    empty = x.isNull() | (x == "")
-    ts = (F.when(empty, epoch).when(iso_aware.isNotNull(), iso_aware).when(iso_naive.isNotNull(), iso_naive)
-          .otherwise(F.coalesce(legacy, epoch)))
-    naive = F.when(empty, F.lit(False)).otherwise(iso_aware.isNull() & iso_naive.isNotNull())
-    return F.struct(ts.alias("ts"), naive.alias("naive"))
+    iso = F.regexp_replace(x, ISO_ANY, ISO_PARTS)
+    is_iso = iso.startswith("@") & ~x.startswith("@")
+    zone = F.substring_index(iso, "#", -1)
+    text = F.substring_index(F.substring(iso, 2, 64), "#", 1)
+    for gap, filled in ((" :", " 00:"), ("::", ":00:"), (":.", ":00.")):
+        text = F.replace(text, F.lit(gap), F.lit(filled))
+    ts = F.when(is_iso, F.concat(text, zone)).otherwise(_legacy_text(x)).try_cast("timestamp")
+    return F.struct(F.coalesce(ts, F.lit(EPOCH).cast("timestamp")).alias("ts"),
+                    F.coalesce(is_iso & (zone == "") & ts.isNotNull(), F.lit(False)).alias("naive"))
 
 
 def iso_utc_string(ts) -> Column:
@@ -100,7 +76,5 @@ def age_days(full_scan, now) -> Column:
     """Whole days since the last full scan, floored; 99 when empty or naive."""
     s = _c(full_scan)
     p = parse_datetime(s)
-    secs = F.unix_micros(_c(now)) - F.unix_micros(p["ts"])
-    days = F.floor(secs / F.lit(86_400_000_000)).cast("long")
-    return (F.when(s.isNull() | (s == "") | p["naive"], F.lit(DEFAULT_AGE_DAYS).cast("long"))
-            .otherwise(days))
+    days = F.floor((F.unix_micros(_c(now)) - F.unix_micros(p["ts"])) / F.lit(86_400_000_000)).cast("long")
+    return F.when((F.coalesce(s, F.lit("")) == "") | p["naive"], F.lit(DEFAULT_AGE_DAYS).cast("long")).otherwise(days)

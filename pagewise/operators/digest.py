@@ -76,3 +76,13 @@ def error_digest(errors: DataFrame, group: str, pos: str, url: str = "url", mess
     """Every error as the list ``[url, message]`` printed and HTML-escaped; lines join by newline."""
     item = F.concat(F.lit("<li>"), T.html_escape(T.py_list_repr(F.array(F.col(url), F.col(message)))), F.lit("</li>"))
     return _lines(errors, group, pos, item, f"<h1>{ERROR_HEADING}</h1>\n<ul>", "</ul>")
+
+
+def write_document(lines: DataFrame, path: str, sep: str) -> None:
+    """Write the lines of one digest so that its part files, read in the order of their names, are the document: dealt
+    out by range of (``section``, ``pos``) and sorted.  ``sep`` stands between lines; every line ends in ``>``, which the
+    writer puts there itself as the end of a record, so that nothing else is added."""
+    ordered = lines.repartitionByRange("section", "pos").sortWithinPartitions("section", "pos")
+    start = F.when(F.col("section") == 0, F.lit("")).otherwise(F.lit(sep))
+    body = F.concat(start, F.expr("substr(line, 1, length(line) - 1)"))
+    ordered.select(body.alias("value")).write.mode("overwrite").option("lineSep", ">").text(path)

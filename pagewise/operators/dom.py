@@ -140,9 +140,11 @@ def children(nodes: DataFrame) -> DataFrame:
 
 def in_subtree(nodes: DataFrame, roots: DataFrame, root: str = "root_id", end: str = "root_end") -> DataFrame:
     """Nodes inside each root's interval (equi on page, range on id)."""
-    r = roots.withColumnRenamed("page_id", "_rpage")
-    cond = ((nodes["page_id"] == r["_rpage"]) & (nodes["node_id"] >= r[root]) & (nodes["node_id"] <= r[end]))
-    return nodes.join(r, cond).drop("_rpage")
+    r = roots.withColumnRenamed("page_id", "_rpage").alias("_r")
+    n = nodes.alias("_n")
+    cond = ((F.col("_n.page_id") == F.col("_r._rpage")) & (F.col("_n.node_id") >= F.col(f"_r.{root}"))
+            & (F.col("_n.node_id") <= F.col(f"_r.{end}")))
+    return n.join(r, cond).drop("_rpage")
 
 
 def subtree_text(nodes: DataFrame, roots: DataFrame, root: str = "root_id", end: str = "root_end") -> DataFrame:

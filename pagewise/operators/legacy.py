@@ -1,15 +1,11 @@
 """Operators of the legacy detector variant and small helpers it used
-(F6, F14, F15, L6, A12, P27, S5).
+(F6, F14, F15, L6, A12, P27).
 """
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import dom as DOM
 from .selectors import legacy_selector
@@ -82,53 +78,3 @@ def distinct_values(df: DataFrame, col: str) -> DataFrame:
 def page_dimensions(*measures: str) -> Column:
     """The largest of the page's width (or height) measures."""
     return F.greatest(*[F.col(m) for m in measures])
-
-
-def node_json(prepared: DataFrame) -> DataFrame:
-    """S5 ``to_dict`` per node (flat; children are the rows with this parent)."""
-    rec = F.struct("tag", "id", "attributes", "rect", "depth", "css_selector", F.col("n_links").alias("n_links"),
-                   F.col("text_len").alias("text_len"))
-    return prepared.select("page_id", "node_id", "parent_id", F.to_json(rec).alias("json"))
-
-
-_FLAT_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()), T.StructField("node_id", T.IntegerType()),
-    T.StructField("parent_id", T.IntegerType()), T.StructField("depth", T.IntegerType()),
-    T.StructField("subtree_size", T.IntegerType()), T.StructField("tag", T.StringType()),
-    T.StructField("id", T.StringType()), T.StructField("text", T.StringType()),
-    T.StructField("css_selector", T.StringType()),
-    T.StructField("rect", T.StructType([T.StructField(n, T.DoubleType()) for n in ("x", "y", "width", "height")])),
-])
-
-
-def _flatten(batches):
-    for pdf in batches:
-        out = []
-        for pid, doc in zip(pdf["page_id"].tolist(), pdf["json"].tolist()):
-            rows: list = []
-            stack = [(json.loads(doc) if doc else None, None)]
-            while stack:
-                node, parent = stack.pop()
-                if not node:
-                    continue
-                idx = len(rows)
-                r = node.get("rect") or None
-                rows.append([pid, idx, parent, node.get("depth"), 1, node.get("tag"), node.get("id"),
-                             node.get("text"), node.get("css_selector"),
-                             (r.get("x"), r.get("y"), r.get("width"), r.get("height")) if r else None])
-                for child in reversed(node.get("children") or []):
-                    stack.append((child, idx))
-            for i in range(len(rows) - 1, 0, -1):          # subtree sizes from the pre-order list
-                p = rows[i][2]
-                if p is not None:
-                    rows[p][4] += rows[i][4]
-            out.extend(rows)
-        yield pd.DataFrame(out, columns=[f.name for f in _FLAT_SCHEMA.fields])
-
-
-def flatten_snapshots(snapshots: DataFrame, page_id: str = "page_id", doc: str = "json") -> DataFrame:
-    """S5 read-back: nested snapshot documents (``children`` lists) -> pre-ordered node rows."""
-    from ..session import ship_package
-    ship_package(snapshots.sparkSession)
-    return snapshots.select(F.col(page_id).cast("long").alias("page_id"), F.col(doc).alias("json")) \
-                    .mapInPandas(_flatten, _FLAT_SCHEMA)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..session import cut_lineage
 
 # Page types and their priorities.
 WEB_TYPES = {"plane": 1, "page_changer": 2, "not_quickscan": 3}
@@ -71,29 +72,24 @@ def should_check_update(base_url, links) -> Column:
     return U.is_paginated(base_url) & has
 
 
-def watch_url(base_url, links) -> Column:
-    """``get_watch_url``: next URL only when the update check applies."""
-    return F.when(should_check_update(base_url, links), next_url(base_url, links))
-
-
-def follow_chain(pages: DataFrame, url: str = "url", nxt: str = "next_url", max_hops: int = 3) -> DataFrame:
-    """Follow ``next_url`` up to ``max_hops`` times with unrolled equi-joins.
-
-    Returns the input rows plus ``final_url`` (the page whose content is used),
-    ``hops`` and ``chain_ok`` (false when a hop points at a page that is not in
-    the snapshot table, which the reference reports as a failed scan).
-    """
-    look = pages.select(F.col(url).alias("_u"), F.col(nxt).alias("_n"))
-    cur = pages.withColumn("final_url", F.col(url)).withColumn("_next", F.col(nxt)) \
-               .withColumn("hops", F.lit(0)).withColumn("chain_ok", F.lit(True))
-    for _ in range(max_hops):
-        step = look.select(F.col("_u").alias("_next"), F.col("_n").alias("_n2"), F.lit(True).alias("_hit"))
-        cur = cur.join(step, "_next", "left")
-        moved = F.col("_next").isNotNull()
-        hit = F.coalesce(F.col("_hit"), F.lit(False))
-        cur = (cur.withColumn("chain_ok", F.col("chain_ok") & (~moved | hit))
-                  .withColumn("final_url", F.when(moved, F.col("_next")).otherwise(F.col("final_url")))
-                  .withColumn("hops", F.col("hops") + F.when(moved, 1).otherwise(0))
-                  .withColumn("_next", F.when(moved & hit, F.col("_n2")))
-                  .drop("_n2", "_hit"))
-    return cur.drop("_next")
+def follow_chain(requests: DataFrame, pages: DataFrame, max_hops: int = 3, url: str = "url", nxt: str = "next_url") -> DataFrame:
+    """J5 with the robots gate (J11): from each request's ``url`` follow ``pages``' next URL up to ``max_hops`` times.
+
+    ``pages`` has one row per URL with ``next_url`` and, if robots rules apply, ``allowed``.  Returns the requests with
+    ``final_url`` (the last page reached), ``hops`` and ``chain_ok``, false when the first page or a hop is blocked or
+    not among ``pages``; what such a page links to is not followed.  Only rows that still have a next URL take part in a
+    hop, so null URLs are in no join, and the hops end with the last of them."""
+    gate = F.coalesce(F.col("allowed"), F.lit(True)) if "allowed" in pages.columns else F.lit(True)
+    look = pages.where(F.col(url).isNotNull()).select(F.col(url).alias("final_url"), F.col(nxt).alias("_next"), gate.alias("_open"))
+    front = requests.withColumn("final_url", F.col(url)).withColumn("hops", F.lit(0))
+    keep, out = front.columns, None
+    for hop in range(max_hops + 1):
+        met = front.join(look, "final_url", "left").withColumn("chain_ok", F.coalesce("_open", F.lit(False)))
+        met = cut_lineage(met)
+        goes = F.col("chain_ok") & F.col("_next").isNotNull() & F.lit(hop < max_hops)
+        done = met.where(~goes).select(*keep, "chain_ok")
+        out = done if out is None else out.unionByName(done)
+        front = (met.where(goes).withColumn("final_url", F.col("_next")).withColumn("hops", F.lit(hop + 1)).select(*keep))
+        if hop == max_hops or front.isEmpty():
+            break
+    return out

@@ -6,6 +6,10 @@ page's main-content subtree (one interval per page).
 
 from __future__ import annotations
 
+import operator
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,31 +28,40 @@ EXPECTED_RESULTS_SELECTORS = [".search-results", ".results-list", "#search-resul
 MIN_ITEM_WORDS = 10
 
 
-def valid_result_item(n_links="n_links", n_words="n_words") -> Column:
-    """at least one link and at least 10 whitespace words."""
-    return (F.coalesce(F.col(n_links), F.lit(0)) > 0) & (F.coalesce(F.col(n_words), F.lit(0)) >= MIN_ITEM_WORDS)
+@dataclass(frozen=True)
+class Rules:
+    """The rule table of a run; a caller may bring other words, selectors and limits."""
+    none_keywords: tuple[str, ...] = tuple(NO_RESULTS_KEYWORDS)
+    none_selectors: tuple[str, ...] = tuple(NO_RESULTS_SELECTORS)
+    some_selectors: tuple[str, ...] = tuple(EXPECTED_RESULTS_SELECTORS)
+    min_item_words: int = MIN_ITEM_WORDS
 
 
-def has_keyword(text, keywords=NO_RESULTS_KEYWORDS) -> Column:
-    t = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    return F.exists(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: F.instr(t, k) > 0)
+RULES = Rules()
 
 
-def page_selector_hits(prepared: DataFrame, pages: DataFrame, selectors: list[str], name: str) -> DataFrame:
-    """Page-level ``bool_or``: does any node of the page match any of the (constant)
-    selectors?  Each page gets the fixed selector list; matching joins on (page, tag)."""
-    ps = pages.select("page_id", F.explode(F.array(*[F.lit(s) for s in selectors])).alias("selector"))
-    hit = SEL.match_nodes(ps, prepared, "selector").select("page_id").distinct().withColumn(name, F.lit(True))
-    return pages.select("page_id").join(hit, "page_id", "left").withColumn(name, F.coalesce(F.col(name), F.lit(False)))
+def valid_result_item(n_links="n_links", n_words="n_words", rules: Rules = RULES) -> Column:
+    """at least one link and at least 10 whitespace words."""
+    return (F.coalesce(F.col(n_links), F.lit(0)) > 0) & (F.coalesce(F.col(n_words), F.lit(0)) >= rules.min_item_words)
+
+
+def has_keyword(text, keywords=RULES.none_keywords) -> Column:
+    t = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
+    return reduce(operator.or_, (F.contains(t, F.lit(k.lower())) for k in keywords), F.lit(False))
 
 
-def no_results(main: DataFrame, prepared: DataFrame, pages: DataFrame, default_empty: bool = True) -> DataFrame:
+def no_results(main: DataFrame, prepared: DataFrame, pages: DataFrame, default_empty: bool = True,
+               rules: Rules = RULES) -> DataFrame:
     """F4 per page: keyword in the main text -> true; a no-results selector anywhere
-    on the page -> true; an expected results container -> false; else ``default_empty``."""
-    nr = page_selector_hits(prepared, pages, NO_RESULTS_SELECTORS, "_nr")
-    ex = page_selector_hits(prepared, pages, EXPECTED_RESULTS_SELECTORS, "_ex")
-    j = main.select("page_id", "text").join(nr, "page_id").join(ex, "page_id")
-    res = (F.when(has_keyword("text"), True).when(F.col("_nr"), True).when(F.col("_ex"), False)
+    on the page -> true; an expected results container -> false; else ``default_empty``.
+
+    The selectors are constants, so one pass over the elements tells for each page
+    whether any of them matches."""
+    def some(selectors):
+        return F.bool_or(reduce(operator.or_, (SEL.constant_selector(s) for s in selectors), F.lit(False)))
+    seen = prepared.groupBy("page_id").agg(some(rules.none_selectors).alias("_nr"), some(rules.some_selectors).alias("_ex"))
+    j = main.select("page_id", "text").join(pages.select("page_id"), "page_id", "left_semi").join(seen, "page_id", "left")
+    res = (F.when(has_keyword("text", rules.none_keywords), True).when(F.col("_nr"), True).when(F.col("_ex"), False)
            .otherwise(F.lit(default_empty)))
     return j.select("page_id", res.alias("is_no_results"))
 
@@ -76,11 +89,11 @@ def result_container(prepared: DataFrame, main: DataFrame) -> DataFrame:
                        F.col("c.container_score").alias("container_score"), F.col("c.n_children").alias("n_children"))
 
 
-def result_items(prepared: DataFrame, containers: DataFrame) -> DataFrame:
+def result_items(prepared: DataFrame, containers: DataFrame, rules: Rules = RULES) -> DataFrame:
     """A5 rows: the container's children that are valid result items."""
     kids = prepared.join(containers.select("page_id", F.col("container_id").alias("parent_id")),
                          ["page_id", "parent_id"])
-    return kids.filter(valid_result_item())
+    return kids.filter(valid_result_item(rules=rules))
 
 
 def quantify(items: DataFrame, main: DataFrame) -> DataFrame:

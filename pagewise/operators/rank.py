@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def top_n_per_group(df: DataFrame, group_cols: list[str], order: list[Column], n: int,
                     rank_col: str = "rank") -> DataFrame:
@@ -54,3 +56,14 @@ def blocked_rank(df: DataFrame, group_cols: list[str], key_col: str, seq_col: st
     return (inner.join(offsets, on=[*group_cols, key_col, "_blk"], how="inner")
                  .withColumn(rank_col, (F.col("_off") + F.col("_rn")).cast("long"))
                  .drop("_blk", "_off", "_rn"))
+
+
+def positions(df: DataFrame, order: list[str], pos: str) -> DataFrame:
+    """``df`` with the 0-based position of each row in the order of ``order``, over all rows.  Rows are dealt out by
+    range and numbered range by range; one small row per range gives the offsets."""
+    ranged = cut_lineage(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)       # as many rows as ranges
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.join(offsets, "_part").withColumn(pos, (F.col("_offset") + own).cast("long")).drop("_part", "_offset")

@@ -10,12 +10,21 @@ when AQE measures them under the broadcast threshold and sort-merges otherwise.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import hashlib
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
-from .rank import top_n_per_group
+from ..session import written
+from .rank import positions, top_n_per_group
+
+#: Bytes of query vectors that are broadcast at a time.
+QUERY_BLOCK_BYTES = 4 << 20
 
 # Okapi BM25 defaults of the library the reference calls.
 BM25_K1 = 1.5
@@ -109,15 +118,19 @@ def jaccard_scores(items: DataFrame, queries: DataFrame, group: str, key: str, t
 
 
 def score_relevance(items: DataFrame, queries: DataFrame, group: str, key: str, text: str,
-                    query: str = "query", semantic: DataFrame | None = None) -> DataFrame:
+                    query: str = "query", semantic: DataFrame | None = None, model: Callable | None = None) -> DataFrame:
     """Jaccard, tf-idf cosine, semantic score and their hybrid per item.
 
-    ``semantic`` is an optional ``(group, key, semantic_score)`` table produced
-    by a model (e.g. :func:`embedding_cosine` or a pandas UDF); without one the
+    ``semantic`` is an optional ``(group, key, semantic_score)`` table; ``model``
+    (see :func:`model_score`) scores query and text itself; without either the
     semantic term is 0.
     """
     out = (jaccard_scores(items, queries, group, key, text, query)
            .join(tfidf_cosine(items, queries, group, key, text, query), [group, key]))
+    if model is not None:
+        pairs = items.select(group, key, F.coalesce(text, F.lit("")).alias("_t")).join(
+            queries.select(group, F.coalesce(query, F.lit("")).alias("_q")), group)
+        semantic = pairs.select(group, key, model_score(model)(F.col("_q"), F.col("_t")).alias("semantic_score"))
     if semantic is not None:
         out = out.join(semantic.select(group, key, "semantic_score"), [group, key], "left")
     else:
@@ -142,23 +155,58 @@ def relevance_stats(scored: DataFrame, group: str, score: str = "relevance_score
                .withColumn("quality_category", S.sqs_category("result_count", "sqs_score")))
 
 
-def embedding_cosine(vectors: DataFrame, key: str, vec: str, query_vector: DataFrame,
-                     query_vec: str = "qvec") -> DataFrame:
-    """Cosine of every vector with one query vector.
-
-    ``query_vector`` is a one-row DataFrame; its components (one row per
-    dimension, bounded by the embedding size) are broadcast and joined to the
-    exploded item components on the dimension index, then summed per item.
-    """
-    q = F.broadcast(query_vector.select(F.posexplode(query_vec).alias("_dim", "_q"))
-                    .withColumn("_q", F.col("_q").cast("double")))
-    items = vectors.select(key, F.posexplode(vec).alias("_dim", "_v")).withColumn("_v", F.col("_v").cast("double"))
-    parts = (items.join(q, "_dim")
-                  .groupBy(key).agg(F.sum(F.col("_v") * F.col("_q")).alias("_dot"),
-                                    F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_ni"),
-                                    F.sqrt(F.sum(F.col("_q") * F.col("_q"))).alias("_nq")))
-    return (parts.select(key, F.when((F.col("_ni") == 0) | (F.col("_nq") == 0), F.lit(0.0))
-                         .otherwise(F.col("_dot") / (F.col("_ni") * F.col("_nq"))).alias("semantic_score")))
+def embedding_cosine(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str = "embedding", query: str = "query_id",
+                     query_vec: str = "qvec", top_n: int = 25) -> DataFrame:
+    """P22 + T4 for many query vectors: the ``top_n`` vectors of each by cosine, ``query, key, semantic_score, rank``.
+
+    Queries go in blocks of bounded bytes, each broadcast as one row with all its vectors, so that a vector is read once
+    a block and its cosines are one projection; a task keeps ``top_n`` rows of a query before anything is shuffled.
+    A vector without length has a cosine of 0, like a null one; ties go to the smaller key."""
+    width = 8 * (queries.agg(F.max(F.size(query_vec))).first()[0] or 1) + 24
+    asked = queries.where(F.col(query_vec).isNotNull()).select(query, F.col(query_vec).cast("array<double>").alias("_v"))
+    numbered = positions(asked.withColumn("_n", F.sqrt(T.dot("_v", "_v"))), [query], "_number")
+    block = F.floor(F.col("_number") / max(1, QUERY_BLOCK_BYTES // width)).cast("int")
+    blocks = written(numbered.groupBy(block.alias("_block")).agg(F.collect_list(F.struct(
+        F.col(query).alias("q"), F.col("_v").alias("v"), F.col("_n").alias("n"))).alias("_queries")), "query-blocks")
+    items = vectors.where(F.col(vec).isNotNull()).select(key, F.col(vec).cast("array<double>").alias("_v"))
+    items = items.withColumn("_n", F.sqrt(T.dot("_v", "_v")))
+    out = None
+    for i in range(blocks.count()):
+        one = F.broadcast(blocks.where(F.col("_block") == i).select("_queries", F.lit(1).alias("_one")))
+        met = items.withColumn("_one", F.lit(1)).join(one, "_one").select(key, "_v", "_n", F.explode("_queries").alias("_q"))
+        length = F.col("_n") * F.col("_q.n")
+        met = met.select(key, F.col("_q.q").alias(query),
+                         F.when(length > 0, T.dot(F.col("_q.v"), "_v") / length).otherwise(0.0).alias("semantic_score"))
+        order = [F.round("semantic_score", 9).desc(), F.col(key).asc()]
+        best = written(top_n_per_group(met, [query], order, top_n), "query-best")
+        out = best if out is None else out.unionByName(best)
+    if out is None:
+        return items.select(key, F.lit(None).cast(queries.schema[query].dataType).alias(query), F.lit(0.0).alias("semantic_score"),
+                            F.lit(0).alias("rank")).limit(0)
+    return out
+
+
+def model_score(load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]]) -> Callable[..., Column]:
+    """T4's model as an iterator pandas UDF of (query, text).  ``load`` returns a function from pairs to scores; it runs
+    once in each Python worker that scores anything, and the worker keeps what it returns."""
+    name = hashlib.sha256(cloudpickle.dumps(load)).hexdigest()
+
+    def score(batches):
+        predict = _loaded(name, load)
+        for queries, texts in batches:
+            yield pd.Series(predict(list(zip(queries, texts))), dtype="float64")
+    score.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(score, "double")
+
+
+_MODELS: dict = {}
+
+
+def _loaded(name: str, load: Callable) -> Callable:
+    """The model that this worker holds under ``name``."""
+    if name not in _MODELS:
+        _MODELS[name] = load()
+    return _MODELS[name]
 
 
 def semantic_rerank(ranked: DataFrame, group: str, order_key: str, score: str | None,

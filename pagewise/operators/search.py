@@ -59,43 +59,42 @@ def dedupe_hits(hits: DataFrame, keys: list[str], href: str, seq: str) -> DataFr
 
 
 def cache_lookup(requests: DataFrame, cache: DataFrame, key: str, ts: str, set_at: str,
-                 ttl_s: int = CACHE_TTL_S, bucket_s: int = 300) -> DataFrame:
+                 ttl_s: int = CACHE_TTL_S) -> DataFrame:
     """J6 + F11 as-of lookup: for each request find the latest cache entry with the
-    same key and ``set_at <= ts``; it is a hit iff ``ts < set_at + ttl``.
-
-    Only entries younger than the TTL can hit, so time is cut into buckets of
-    ``bucket_s`` seconds.  Inside a (key, bucket) a running ``max_by`` over the
-    time-ordered union of entries and requests gives the latest earlier entry;
-    the latest entry of the preceding buckets that can still be live comes from
-    a range window over per-(key, bucket) maxima (one small row per bucket).
-    No request x entry pairs are formed and no window spans a whole key's rows,
-    so a hot key is spread over its time buckets.
-    """
-    lookback = -(-int(ttl_s) // bucket_s)   # earlier buckets that can still hold a live entry
-    micros = F.lit(bucket_s * 1_000_000)
+    same key and ``set_at <= ts``; it is a hit iff ``ts < set_at + ttl``.  Requests
+    come back with ``cache_set_at``, ``cache_ttl_s`` and ``cache_hit``."""
+    ent = cache.select(F.col(key).alias("_k"), F.col(set_at).cast("timestamp").alias("_t"), F.lit(True).alias("_is_set"))
+    rq = requests.select(F.col(key).alias("_k"), F.col(ts).cast("timestamp").alias("_t"), F.lit(False).alias("_is_set"),
+                         F.struct(*requests.columns).alias("_req"))
+    ent = ent.withColumn("_req", F.lit(None).cast(rq.schema["_req"].dataType))
+    return _as_of(ent.unionByName(rq), ttl_s)
 
-    def bucket(c: str) -> Column:
-        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / micros).cast("long")
 
-    ent = cache.select(F.col(key).alias("_k"), F.col(set_at).cast("timestamp").alias("_t"), F.lit(1).alias("_is_set"),
-                       F.col(set_at).cast("timestamp").alias("_set_at"))
-    rq = requests.select(F.col(key).alias("_k"), F.col(ts).cast("timestamp").alias("_t"), F.lit(0).alias("_is_set"),
-                         F.lit(None).cast("timestamp").alias("_set_at"), F.struct(*requests.columns).alias("_req"))
-    ent = ent.withColumn("_req", F.lit(None).cast(rq.schema["_req"].dataType))
-    both = ent.unionByName(rq).withColumn("_b", bucket("_t"))
+def cache_replay(events: DataFrame, key: str, ts: str, is_entry: Column, is_request: Column,
+                 ttl_s: int = CACHE_TTL_S) -> DataFrame:
+    """:func:`cache_lookup` over one log of entries and requests, read once: its request rows."""
+    log = events.select(F.col(key).alias("_k"), F.col(ts).cast("timestamp").alias("_t"), is_entry.alias("_is_set"),
+                        is_request.alias("_asked"), F.struct(*events.columns).alias("_req"))
+    return _as_of(log.where("_is_set or _asked").drop("_asked"), ttl_s)
+
+
+def _as_of(log: DataFrame, ttl_s: int) -> DataFrame:
+    """The cache as a walk along time: at each request the latest entry of its key is known and older ones are gone.
+
+    Time is cut into buckets as long as an entry lives, and an entry is put into its own bucket and the next one: past
+    that it has expired and is dropped.  So one window over (key, bucket) is enough, a hot key is spread over its
+    buckets, and neither requests nor entries are read or shuffled twice."""
+    ttl = F.lit(int(ttl_s) * 1_000_000)
+    own = F.floor(F.unix_micros("_t") / ttl).cast("long")
+    placed = log.withColumn("_b", F.explode(F.when(F.col("_is_set"), F.array(own, own + 1)).otherwise(F.array(own))))
     # entries at the same instant as a request are visible to it (set_at <= ts)
     w = (Window.partitionBy("_k", "_b").orderBy(F.col("_t").asc(), F.col("_is_set").desc())
          .rowsBetween(Window.unboundedPreceding, 0))
-    running = both.withColumn("_in", F.max("_set_at").over(w)).filter(F.col("_is_set") == 0)
-    # latest entry in the preceding `lookback` buckets, for every bucket a request falls in
-    per_bucket = both.groupBy("_k", "_b").agg(F.max("_set_at").alias("_bmax"))
-    wb = Window.partitionBy("_k").orderBy("_b").rangeBetween(-lookback, -1)
-    prev = per_bucket.withColumn("_prev", F.max("_bmax").over(wb)).select("_k", "_b", "_prev")
-    hits = running.join(prev, ["_k", "_b"], "left")
-    best = F.greatest(F.col("_in"), F.col("_prev"))     # greatest ignores nulls
-    out = hits.select("_req.*", best.alias("cache_set_at"))
-    live = F.unix_micros(F.col(ts).cast("timestamp")) < F.unix_micros(F.col("cache_set_at")) + F.lit(int(ttl_s) * 1_000_000)
-    return out.withColumn("cache_ttl_s", F.lit(int(ttl_s))).withColumn("cache_hit", F.coalesce(live, F.lit(False)))
+    latest = F.max(F.when(F.col("_is_set"), F.col("_t"))).over(w)
+    out = placed.withColumn("cache_set_at", latest).where("not _is_set")
+    live = F.unix_micros("_t") < F.unix_micros("cache_set_at") + ttl
+    return (out.select("_req.*", "cache_set_at", F.lit(int(ttl_s)).alias("cache_ttl_s"),
+                       F.coalesce(live, F.lit(False)).alias("cache_hit")))
 
 
 def enrich_hits(hits: DataFrame, content: DataFrame | None, href: str = "href") -> DataFrame:
@@ -128,14 +127,3 @@ def rrf(ranked_lists: list[DataFrame], keys: list[str], k: int = RRF_K, rank: st
     for c in keys:
         cond = F.col(c).isNotNull() if cond is None else cond & F.col(c).isNotNull()
     return u.filter(cond).groupBy(*keys).agg(F.sum("_rr").alias("rrf_score"))
-
-
-def merge_cached_and_fresh(cached: DataFrame, fresh: DataFrame, keys: list[str], href: str = "href",
-                           seq: str = "seq") -> DataFrame:
-    """U1 + A2: cached hits are merged before fresh ones (fresh rows get later
-    sequence numbers), then one row per href: last values, first position."""
-    off = cached.groupBy(*keys).agg(F.max(seq).alias("_off"))
-    f = (fresh.join(off, keys, "left")
-              .withColumn(seq, F.col(seq) + F.coalesce(F.col("_off") + 1, F.lit(0)))
-              .drop("_off"))
-    return dedupe_hits(cached.unionByName(f), keys, href, seq)

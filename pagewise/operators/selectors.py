@@ -3,12 +3,14 @@
 Selectors are the simple compound form the library itself generates
 (``tag``, ``#id``, ``.class`` parts and ``[attr='value']`` tests).  They are
 compiled into a struct by regular expressions, and matched with an equi-join
-on (page, tag) - or on page alone for tag-less selectors - plus a filter, so a
-selector never meets nodes of another tag.
+on the page and the selector's most selective part (id, class, attribute or
+tag) plus a filter.  Constant selectors are column tests and need no join.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,20 +48,50 @@ def matches(sel: Column, tag="tag", id_="id", cls="class", attributes="attribute
            (F.size(F.array_except(sel["classes"], node_classes)) == 0) & attr_ok
 
 
+def constant_selector(sel: str) -> Column:
+    """The test of a selector that is known when the plan is made, on a node's ``tag, id, class, attributes``."""
+    base = re.sub(r"\[[^\]]*\]", "", sel.strip())
+    tag, name = re.match(r"[A-Za-z][A-Za-z0-9-]*", base), re.search(r"#([^.#\s]+)", base)
+    test = F.col("tag") != "#text"
+    if tag:
+        test = test & (F.lower("tag") == tag.group().lower())
+    if name:
+        test = test & F.col("id").eqNullSafe(F.lit(name.group(1)))
+    for c in re.findall(r"\.([^.#\s]+)", base):
+        test = test & F.array_contains(T.words(F.coalesce("class", F.lit(""))), c)
+    for key, value in re.findall(_ATTR, sel):
+        held = F.try_element_at("attributes", F.lit(key))
+        test = test & (held.isNotNull() if value == "" else held.eqNullSafe(F.lit(value)))
+    return F.coalesce(test, F.lit(False))
+
+
+def _selector_key(sel: Column) -> Column:
+    """The most selective part of a compiled selector: its id, else its first class, attribute or tag."""
+    return (F.when(sel["id"] != "", F.concat(F.lit("#"), sel["id"]))
+            .when(F.size(sel["classes"]) > 0, F.concat(F.lit("."), sel["classes"][0]))
+            .when(F.size(sel["attr_keys"]) > 0, F.concat(F.lit("["), sel["attr_keys"][0])).otherwise(sel["tag"]))
+
+
+def _node_keys() -> Column:
+    """All keys by which selectors can ask for a node."""
+    classes = F.transform(F.array_distinct(T.words(F.coalesce("class", F.lit("")))), lambda c: F.concat(F.lit("."), c))
+    names = F.transform(F.coalesce(F.map_keys("attributes"), F.array().cast("array<string>")), lambda k: F.concat(F.lit("["), k))
+    own = F.when(F.coalesce("id", F.lit("")) != "", F.array(F.concat(F.lit("#"), F.col("id")))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(F.lower("tag")), own, classes, names)
+
+
 def match_nodes(selectors: DataFrame, nodes: DataFrame, sel_col: str = "selector") -> DataFrame:
     """Every (selector row, node) pair on the same page that matches.
 
     ``selectors`` needs ``page_id`` and ``sel_col``; ``nodes`` is the element table.
+    A selector asks by its most selective part and a node answers to each of its
+    own, so a selector meets only nodes that have its id, class, attribute or tag.
     """
     s = selectors.withColumn("_sel", compile_selector(sel_col))
-    el = nodes.filter(F.col("tag") != "#text").withColumn("_tag", F.lower("tag"))
-    tagged = s.filter(F.col("_sel.tag") != "").withColumn("_tag", F.col("_sel.tag"))
-    untagged = s.filter(F.col("_sel.tag") == "")
-    j1 = tagged.join(el, ["page_id", "_tag"])
-    j2 = untagged.join(el, "page_id")
-    cols = [c for c in j1.columns]
-    out = j1.select(*cols).unionByName(j2.select(*cols))
-    return out.filter(matches(F.col("_sel"))).drop("_sel", "_tag")
+    s = s.withColumn("_key", _selector_key(F.col("_sel")))
+    pages = s.select("page_id").distinct()
+    el = nodes.filter(F.col("tag") != "#text").join(pages, "page_id", "left_semi").withColumn("_key", F.explode(_node_keys()))
+    return s.join(el, ["page_id", "_key"]).filter(matches(F.col("_sel"))).drop("_sel", "_key")
 
 
 def first_match(selector_lists: DataFrame, nodes: DataFrame, key: str = "row_id",

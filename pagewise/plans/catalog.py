@@ -39,85 +39,97 @@ def r6(c) -> F.Column:
 
 
 # --------------------------------------------------------------------------------------
-# Search (C9 chain: T3, T5, A7, T6) over documents; one search per source
+# Search (C9 chain: J7, A8a, T3, T5, A7, T6): every benchmark item asks one stored result list
 # --------------------------------------------------------------------------------------
 
-_SQL_BM25 = """
-q AS (SELECT text AS query FROM benchmark ORDER BY item_id LIMIT 1),
-hits AS (SELECT source AS search_id, doc_id AS seq, doc_id AS doc_key, text AS body FROM documents),
-toks AS (SELECT search_id, doc_key, string_split(coalesce(body, ''), ' ') AS t FROM hits),
-docs AS (SELECT search_id, doc_key, CAST(len(t) AS DOUBLE) AS dl FROM toks),
-corpus AS (SELECT search_id, count(*) AS n, avg(dl) AS avgdl FROM docs GROUP BY 1),
-dfreq AS (SELECT search_id, term, count(*) AS df
-          FROM (SELECT DISTINCT search_id, doc_key, unnest(t) AS term FROM toks) GROUP BY 1, 2),
-raw AS (SELECT search_id, term, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM dfreq JOIN corpus USING (search_id)),
-mean_idf AS (SELECT search_id, avg(idf) AS m FROM raw GROUP BY 1),
-qterms AS (SELECT search_id, term, count(*) AS qtf
-           FROM (SELECT c.search_id, unnest(string_split(q.query, ' ')) AS term FROM corpus c, q) GROUP BY 1, 2),
-qidf AS (SELECT search_id, term, qtf, CASE WHEN r.idf < 0 THEN 0.25 * m.m ELSE r.idf END AS idf
-         FROM qterms JOIN raw r USING (search_id, term) JOIN mean_idf m USING (search_id)),
-tf AS (SELECT search_id, doc_key, term, count(*) AS tf
-       FROM (SELECT search_id, doc_key, unnest(t) AS term FROM toks) GROUP BY 1, 2, 3),
-bm AS (SELECT h.search_id, h.doc_key, h.seq, coalesce(s.score, 0.0) AS bm25_score
-       FROM hits h LEFT JOIN (
-         SELECT search_id, doc_key,
-                sum(qtf * idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
-         FROM tf JOIN qidf USING (search_id, term) JOIN docs USING (search_id, doc_key)
-              JOIN corpus USING (search_id)
-         GROUP BY 1, 2) s USING (search_id, doc_key))
+SQL_SEARCHES = """
+lists AS (SELECT corpus, row_number() OVER (ORDER BY corpus) - 1 AS at
+          FROM (SELECT DISTINCT source AS corpus FROM documents WHERE source IS NOT NULL)),
+q AS (SELECT item_id AS search, corpus, query
+      FROM (SELECT item_id, coalesce(text, '') AS query, row_number() OVER (ORDER BY item_id) - 1 AS number FROM benchmark)
+      JOIN lists ON at = number % (SELECT count(*) FROM lists))
 """
 
-_SQL_RRF = _SQL_BM25 + """,
-lex AS (SELECT search_id, doc_key,
-               row_number() OVER (PARTITION BY search_id ORDER BY round(bm25_score, 9) DESC, seq) - 1 AS rnk
-        FROM bm QUALIFY rnk < 100),
-cred AS (SELECT search_id, doc_key, row_number() OVER (PARTITION BY search_id ORDER BY seq) - 1 AS rnk FROM hits),
-fused AS (SELECT search_id, doc_key, sum(CAST(1 AS DOUBLE) / (60 + rnk + 1)) AS rrf
-          FROM (SELECT * FROM lex UNION ALL SELECT * FROM lex UNION ALL SELECT * FROM cred) GROUP BY 1, 2),
-fin AS (SELECT b.search_id, b.doc_key, b.seq, b.bm25_score, coalesce(f.rrf, 0.0) AS final_score
-        FROM bm b LEFT JOIN fused f USING (search_id, doc_key)),
-ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY round(final_score, 9) DESC, seq) - 1
-                AS final_rank FROM fin) WHERE final_rank < 25)
+# Hits as they were stored, and with the content of the page they lead to.
+_SQL_HITS = "hits AS (SELECT source AS corpus, doc_id AS seq, doc_id AS doc, text AS body, 0.0::DOUBLE AS cred, 'doc:' || doc_id AS href FROM documents)"
+_SQL_CONTENT = r"""
+content AS (SELECT url, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text,
+                   least((CASE regexp_extract(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '[^.]*$', 0)
+                               WHEN 'gov' THEN 0.3 WHEN 'edu' THEN 0.3 WHEN 'org' THEN 0.1 ELSE 0.0 END
+                          + CASE WHEN starts_with(lower(url), 'https:') THEN 0.1 ELSE 0.0 END)::DOUBLE / 1.1, 1.0) AS cred
+            FROM (SELECT url, arg_max(html, page_id) AS html FROM pages GROUP BY url)),
+hits AS (SELECT source AS corpus, doc_id AS seq, doc_id AS doc, coalesce(c.text, d.text) AS body, coalesce(cred, 0.0) AS cred,
+                coalesce(p.url, 'doc:' || doc_id) AS href
+         FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id LEFT JOIN content c ON c.url = p.url)
 """
 
-ORACLE_SEARCH_RRF = "WITH " + _SQL_RRF + """
-SELECT search_id, final_rank, doc_key AS doc_id, round(final_score, 6) AS final_score,
-       round(bm25_score, 6) AS bm25_score, CAST(0.0 AS DOUBLE) AS credibility_score
-FROM ranked
+_SQL_BM25 = """
+toks AS (SELECT corpus, doc, string_split(coalesce(body, ''), ' ') AS t FROM hits),
+docs AS (SELECT corpus, doc, CAST(len(t) AS DOUBLE) AS dl FROM toks),
+corpora AS (SELECT corpus, count(*) AS n, avg(dl) AS avgdl FROM docs GROUP BY 1),
+tf AS (SELECT corpus, doc, term, count(*) AS tf FROM (SELECT corpus, doc, unnest(t) AS term FROM toks) GROUP BY 1, 2, 3),
+raw AS (SELECT corpus, term, ln(n - df + 0.5) - ln(df + 0.5) AS idf
+        FROM (SELECT corpus, term, count(*) AS df FROM tf GROUP BY 1, 2) JOIN corpora USING (corpus)),
+mean_idf AS (SELECT corpus, avg(idf) AS m FROM raw GROUP BY 1),
+qidf AS (SELECT search, corpus, term, qtf, CASE WHEN idf < 0 THEN 0.25 * m ELSE idf END AS idf
+         FROM (SELECT search, corpus, term, count(*) AS qtf
+               FROM (SELECT search, corpus, unnest(string_split(query, ' ')) AS term FROM q) GROUP BY 1, 2, 3)
+         JOIN raw USING (corpus, term) JOIN mean_idf USING (corpus)),
+bm AS (SELECT q.search, h.corpus, h.doc, h.seq, coalesce(s.score, 0.0) AS bm25_score
+       FROM q JOIN hits h USING (corpus) LEFT JOIN (
+         SELECT search, doc, sum(qtf * idf * (tf * 2.5) / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score
+         FROM tf JOIN qidf USING (corpus, term) JOIN docs USING (corpus, doc) JOIN corpora USING (corpus)
+         GROUP BY 1, 2) s ON s.search = q.search AND s.doc = h.doc),
+lex AS (SELECT * FROM (SELECT search, doc, bm25_score, row_number() OVER (PARTITION BY search ORDER BY round(bm25_score, 9) DESC, seq) - 1
+                       AS rnk FROM bm) WHERE rnk < 100)
 """
 
+SQL_RRF = f"{SQL_SEARCHES}, {_SQL_CONTENT}, {_SQL_BM25}" + """,
+cred AS (SELECT corpus, doc, row_number() OVER (PARTITION BY corpus ORDER BY cred DESC, seq) - 1 AS rnk FROM hits),
+fused AS (SELECT search, doc, sum(CAST(1 AS DOUBLE) / (60 + rnk + 1)) AS rrf
+          FROM (SELECT search, doc, rnk FROM lex UNION ALL SELECT search, doc, rnk FROM lex
+                UNION ALL SELECT search, doc, rnk FROM q JOIN cred USING (corpus)) GROUP BY 1, 2),
+ranked AS (SELECT * FROM (SELECT b.search, b.corpus, b.doc, h.href, h.body, h.cred, b.bm25_score, f.rrf AS final_score,
+                  row_number() OVER (PARTITION BY b.search ORDER BY round(f.rrf, 9) DESC, b.seq) - 1 AS final_rank
+           FROM bm b JOIN fused f USING (search, doc) JOIN hits h USING (corpus, doc)) WHERE final_rank < 25)
+"""
+
+
+def searches(spark: SparkSession, sf: str) -> DataFrame:
+    from .search import benchmark_queries
+    return benchmark_queries(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
 
-@register("search_rrf", ORACLE_SEARCH_RRF)
+
+def searched(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
+    """C9 over hits with their content for every search."""
+    from ..operators.inverted import build_index
+    from ..session import written
+    from .search import content_from_pages, enriched, hits_from_documents, ranked_search
+    pages = table(spark, sf, "pages")
+    docs = written(enriched(hits_from_documents(table(spark, sf, "documents"), pages), content_from_pages(pages)), "search-docs")
+    return ranked_search(build_index(docs, "corpus", "doc", "body", "seq", ("space",)), docs, asked)
+
+
+@register("search_rrf", f"WITH {SQL_RRF}" + """
+SELECT search, final_rank, doc AS doc_id, round(final_score, 6) AS final_score, round(bm25_score, 6) AS bm25_score,
+       round(cred, 6) AS credibility_score, href FROM ranked
+""")
 def search_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    from .search import first_benchmark_query, high_precision_search, hits_from_documents, queries_for
-    hits = hits_from_documents(table(spark, sf, "documents"))
-    queries = queries_for(hits, first_benchmark_query(table(spark, sf, "benchmark")))
-    res = high_precision_search(hits, queries)
-    return res.select("search_id", F.col("final_rank").cast("long").alias("final_rank"),
-                      F.col("doc_key").alias("doc_id"), r6("final_score").alias("final_score"),
-                      r6("bm25_score").alias("bm25_score"), r6("credibility_score").alias("credibility_score"))
-
-
-ORACLE_BM25_TOPK = "WITH " + _SQL_BM25 + """
-SELECT search_id, rnk AS bm25_rank, doc_key AS doc_id, round(bm25_score, 6) AS bm25_score
-FROM (SELECT *, row_number() OVER (PARTITION BY search_id ORDER BY round(bm25_score, 9) DESC, seq) - 1 AS rnk
-      FROM bm) WHERE rnk < 100
-"""
+    res = searched(spark, sf, searches(spark, sf))
+    return res.select("search", F.col("final_rank").cast("long").alias("final_rank"), F.col("doc").alias("doc_id"),
+                      r6("final_score").alias("final_score"), r6("bm25_score").alias("bm25_score"),
+                      r6("credibility_score").alias("credibility_score"), "href")
 
 
-@register("bm25_topk", ORACLE_BM25_TOPK)
+@register("bm25_topk", f"WITH {SQL_SEARCHES}, {_SQL_HITS}, {_SQL_BM25}" + """
+SELECT search, rnk AS bm25_rank, doc AS doc_id, round(bm25_score, 6) AS bm25_score FROM lex
+""")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    from ..operators.rank import top_n_per_group
-    from ..operators.relevance import bm25_scores
-    from .search import first_benchmark_query, hits_from_documents, queries_for
-    hits = hits_from_documents(table(spark, sf, "documents"))
-    queries = queries_for(hits, first_benchmark_query(table(spark, sf, "benchmark")))
-    bm = bm25_scores(hits, queries, "search_id", "doc_key", "body").join(
-        hits.select("search_id", "doc_key", "seq"), ["search_id", "doc_key"])
-    top = top_n_per_group(bm, ["search_id"], [F.round("bm25_score", 9).desc(), F.col("seq").asc()], 100,
-                          rank_col="bm25_rank")
-    return top.select("search_id", F.col("bm25_rank").cast("long").alias("bm25_rank"),
-                      F.col("doc_key").alias("doc_id"), r6("bm25_score").alias("bm25_score"))
+    from ..operators.inverted import bm25_top, build_index
+    index = build_index(table(spark, sf, "documents").where("source is not null"), "source", "doc_id", "text", "doc_id", ("space",))
+    top = bm25_top(index, searches(spark, sf), 100)
+    return top.select("search", F.col("rank").cast("long").alias("bm25_rank"), F.col("doc").alias("doc_id"),
+                      r6("bm25_score").alias("bm25_score"))
 
 
 from . import catalog_scalar  # noqa: E402,F401  (registers more queries)

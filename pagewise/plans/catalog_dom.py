@@ -19,13 +19,16 @@ from . import full_scan as FS
 from . import monitoring as MON
 from .catalog import r6, register, utc
 from .catalog_scalar import NOW
+from .sql_parts import words_sql
 
 _CACHE: dict = {}
 
 
 def _prepared(spark: SparkSession, sf: str):
     utc(spark)
-    key = (id(spark), spark.sparkContext.applicationId, sf)
+    files = spark.read.parquet(f"{sf.rstrip('/')}/pages.parquet").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size")
+    state = files.distinct().agg(F.count("*"), F.max("file_modification_time"), F.sum("file_size")).first()
+    key = (spark.sparkContext.applicationId, sf, *state)
     if key not in _CACHE:
         pages = table(spark, sf, "pages").select("page_id", "url", "html")
         nodes, prep = FS.prepare(pages)
@@ -160,10 +163,57 @@ def next_page(spark: SparkSession, sf: str) -> DataFrame:
                      PG.should_check_update("url", "page_links").alias("should_check_update"))
 
 
-@register("pagination_chain")
+# Numbered series derived from the pages: page p heads 1 + p % 5 pages /s<p>/page-<k>, each with a link to the one before
+# it and to the next; where 7 divides p the last one links to a page that is not there.  Of each host, robots rules
+# close all series whose path begins like its smallest id's, and the second page of its largest id's series.
+_SERIES_SQL = r"""
+heads AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://([^/?#]*))', 1) AS origin,
+                 regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://([^/?#]*))', 2) AS host, 1 + page_id % 5 AS len FROM pages),
+series AS (SELECT *, '/s' || page_id || '/page-' || k AS path FROM (SELECT *, unnest(range(1, len + 1)) AS k FROM heads)),
+closed AS (SELECT host, '/s' || min(page_id) AS prefix FROM heads GROUP BY 1
+           UNION ALL SELECT host, '/s' || max(page_id) || '/page-2' FROM heads GROUP BY 1),
+snap AS (SELECT origin || path AS url, NOT EXISTS (SELECT 1 FROM closed c WHERE c.host = s.host AND starts_with(s.path, c.prefix)) AS allowed,
+                CASE WHEN k < len OR page_id % 7 = 0 THEN origin || '/s' || page_id || '/page-' || (k + 1) END AS nxt FROM series s)
+"""
+
+
+def _series(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """``(pages, robots)`` of the numbered series."""
+    from ..functions import urls as U
+    heads = table(spark, sf, "pages").select(
+        "page_id", F.concat(U.scheme("url"), F.lit("://"), U.netloc("url")).alias("origin"), U.netloc("url").alias("host"),
+        (F.col("page_id") % 5 + 1).cast("int").alias("len"))
+    k = heads.select("*", F.explode(F.sequence(F.lit(1), F.col("len"))).alias("k"))
+
+    def at(n):
+        return F.concat(F.lit("/s"), F.col("page_id").cast("string"), F.lit("/page-"), n.cast("string"))
+
+    def link(n):
+        return F.concat(F.lit('<p><a href="'), at(n), F.lit('">another part</a> of these words</p>'))
+    more = (F.col("k") < F.col("len")) | (F.col("page_id") % 7 == 0)
+    html = F.concat(F.lit("<html><body><main><h1>part</h1>"), F.when(F.col("k") > 1, link(F.col("k") - 1)).otherwise(F.lit("")),
+                    F.when(more, link(F.col("k") + 1)).otherwise(F.lit("")), F.lit("</main></body></html>"))
+    pages = k.select((F.col("page_id") * 10 + F.col("k")).alias("page_id"), F.concat("origin", at(F.col("k"))).alias("url"), html.alias("html"))
+    robots = heads.groupBy("host").agg(F.concat(
+        F.lit("User-agent: *\nDisallow: /s"), F.min("page_id").cast("string"),
+        F.lit("\nDisallow: /s"), F.max("page_id").cast("string"), F.lit("/page-2\n")).alias("robots_txt"))
+    return pages, robots
+
+
+@register("pagination_chain", f"""
+WITH RECURSIVE {_SERIES_SQL},
+walk AS (SELECT url, url AS cur, 0 AS hops FROM snap
+         UNION ALL SELECT w.url, s.nxt, hops + 1 FROM walk w JOIN snap s ON s.url = w.cur WHERE s.allowed AND s.nxt IS NOT NULL AND hops < 3),
+ends AS (SELECT url, arg_max(cur, hops) AS final_url, max(hops) AS hops FROM walk GROUP BY 1)
+SELECT ends.url, final_url, hops, coalesce(snap.allowed, false) AS chain_ok FROM ends LEFT JOIN snap ON snap.url = final_url
+""")
 def pagination_chain(spark: SparkSession, sf: str) -> DataFrame:
-    a = _analysis(spark, sf)
-    return PG.follow_chain(a.select("page_id", "url", "next_url")).select("page_id", "final_url", "hops", "chain_ok")
+    """J5 with J11/F5: every page of the series is a request; hops 0 to 3, blocked and missing pages."""
+    from ..sources.html_nodes import html_to_nodes
+    pages, robots = _series(spark, sf)
+    found = MON.page_links(html_to_nodes(pages), pages).join(pages.select("page_id", "url"), "page_id")
+    found = found.select("page_id", "url", PG.next_url("url", "page_links").alias("next_url"))
+    return PG.follow_chain(pages.select("url"), MON.with_robots(found, robots)).select("url", "final_url", "hops", "chain_ok")
 
 
 # ---- main content, quality ----------------------------------------------------------------
@@ -194,44 +244,138 @@ def main_content_legacy(spark: SparkSession, sf: str) -> DataFrame:
     return _main_out(_main(spark, sf, DS.LEGACY))
 
 
-@register("result_container")
+# Results pages derived from the documents: each dozen of ids is one page, every document a list item of its class, with a
+# link unless 7 divides its id; what else is on the page goes by the page's number.
+DOZEN = 12
+_RESULTS_SQL = f"""
+items AS (SELECT doc_id // {DOZEN} AS page_id, doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ad' ELSE 'hit' END AS cls, doc_id % 7 <> 0 AS linked,
+                 CASE WHEN doc_id % 7 <> 0 THEN 'more ' ELSE '' END || coalesce(text, '') AS t FROM documents),
+sized AS (SELECT *, len({words_sql("t")}) AS n_words FROM items),
+box AS (SELECT page_id, count(*) AS n, greatest(count(*) FILTER (cls = 'hit'), count(*) FILTER (cls = 'ad')) AS rep FROM items GROUP BY 1),
+valid AS (SELECT s.* FROM sized s JOIN box USING (page_id) WHERE linked AND n_words >= 10 AND n >= 2 AND rep > 1),
+flags AS (SELECT page_id, page_id % 4 NOT IN (1, 2) AS is_no_results FROM box)
+"""
+
+
+def _results(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """``(pages, nodes, prepared, main)`` of the results pages; the list of results is the main content."""
+    from ..operators import dom as DOM
+    d = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    link = F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit('<a href="/d/'), F.col("doc_id").cast("string"), F.lit('">more</a> '))).otherwise(F.lit(""))
+    item = F.concat(F.lit('<li class="'), F.when(F.col("doc_id") % 5 == 0, "ad").otherwise("hit"), F.lit('">'), link, TX.html_escape("text"), F.lit("</li>"))
+    # a page is a dozen items
+    lists = d.groupBy(F.expr(f"doc_id div {DOZEN}").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("doc_id", item.alias("li")))).alias("l"))
+    more = F.element_at(F.array(*(F.lit(x) for x in (
+        '<p class="x no-results">-</p>', '<ul class="search-results"></ul>', '<div id="search-results-container"></div>', ""))),
+        (F.col("page_id") % 4 + 1).cast("int"))
+    pages = lists.select("page_id", F.concat(F.lit("https://find.example.org/q/"), F.col("page_id").cast("string")).alias("url"),
+                         F.concat(F.lit('<html><body><h1>found</h1><ol id="found">'), F.array_join(F.transform("l", lambda x: x["li"]), ""),
+                                  F.lit("</ol>"), more, F.lit("</body></html>")).alias("html"))
+    nodes, prep = FS.prepare(pages)
+    found = prep.filter("id = 'found'").select("page_id", "node_id", "subtree_end", "tag", "css_selector", "url")
+    text = DOM.subtree_text(nodes, found.select("page_id", F.col("node_id").alias("root_id"), F.col("subtree_end").alias("root_end")))
+    return pages, nodes, prep, found.join(text.select("page_id", "text"), "page_id", "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+@register("result_container", f"""
+WITH {_RESULTS_SQL}
+SELECT page_id, 'ol#found' AS css_selector, round(rep * rep / n, 6) AS container_score, n AS n_children FROM box WHERE n >= 2 AND rep > 1
+""")
 def result_container(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, prep, _ = _prepared(spark, sf)
-    return Q.result_container(prep, _main(spark, sf))
+    """A3, A4 over the results pages."""
+    _, _, prep, main = _results(spark, sf)
+    c = Q.result_container(prep, main)
+    own = prep.select("page_id", F.col("node_id").alias("container_id"), "css_selector")
+    return c.join(own, ["page_id", "container_id"]).select("page_id", "css_selector", r6("container_score").alias("container_score"), "n_children")
 
 
-@register("result_items")
+@register("result_items", f"""
+WITH {_RESULTS_SQL}
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY doc_id) AS pos, CAST(n_words AS INT) AS n_words, 1 AS n_links FROM valid
+""")
 def result_items(spark: SparkSession, sf: str) -> DataFrame:
-    _, _, prep, _ = _prepared(spark, sf)
-    main = _main(spark, sf)
+    """F3, J3, A5 over the results pages: the valid items of each in document order."""
+    from pyspark.sql import Window
+    _, _, prep, main = _results(spark, sf)
     items = Q.result_items(prep, Q.result_container(prep, main))
-    return Q.quantify(items, main)
+    pos = F.row_number().over(Window.partitionBy("page_id").orderBy("node_id")).cast("long")      # a page's items
+    return items.select("page_id", pos.alias("pos"), "n_words", "n_links")
 
 
-@register("no_results")
+@register("no_results", f"WITH {_RESULTS_SQL} SELECT page_id, is_no_results FROM flags")
 def no_results(spark: SparkSession, sf: str) -> DataFrame:
-    pages, _, prep, _ = _prepared(spark, sf)
-    return Q.no_results(_main(spark, sf), prep, pages)
-
-
-@register("page_quality")
+    """F4 over the results pages: selectors for none, for some, and neither."""
+    pages, _, prep, main = _results(spark, sf)
+    return Q.no_results(main, prep, pages)
+
+
+@register("page_quality", f"""
+WITH {_RESULTS_SQL},
+numbered AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS number FROM box),
+q AS (SELECT page_id, query FROM numbered JOIN (SELECT coalesce(text, '') AS query, row_number() OVER (ORDER BY item_id) - 1 AS at FROM benchmark)
+      ON at = number % (SELECT count(*) FROM benchmark)),
+jac AS (SELECT page_id, doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
+               ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS jaccard
+        FROM (SELECT page_id, doc_id, list_distinct({words_sql("lower(t)")}) AS a, list_distinct({words_sql("lower(query)")}) AS b
+              FROM valid JOIN q USING (page_id))),
+tf AS (SELECT page_id, doc_id, term, count(*) AS tf
+       FROM (SELECT page_id, doc_id, unnest(regexp_extract_all(lower(t), '[\\pL\\pN_]{{2,}}')) AS term FROM valid) GROUP BY ALL),
+qt AS (SELECT page_id, term, count(*) AS tf
+       FROM (SELECT page_id, unnest(regexp_extract_all(lower(query), '[\\pL\\pN_]{{2,}}')) AS term FROM q) GROUP BY ALL),
+idf AS (SELECT page_id, term, ln((2 + n) / (1 + count(*))) + 1 AS idf
+        FROM (SELECT page_id, term FROM tf UNION ALL SELECT page_id, term FROM qt)
+        JOIN (SELECT page_id, count(*) AS n FROM valid GROUP BY 1) USING (page_id) GROUP BY page_id, term, n),
+norms AS (SELECT page_id, doc_id, sqrt(sum(tf * idf * tf * idf)) AS ni FROM tf JOIN idf USING (page_id, term) GROUP BY ALL),
+qnorm AS (SELECT page_id, sqrt(sum(tf * idf * tf * idf)) AS nq FROM qt JOIN idf USING (page_id, term) GROUP BY ALL),
+dots AS (SELECT page_id, doc_id, sum(tf.tf * idf * qt.tf * idf) AS d FROM tf JOIN idf USING (page_id, term) JOIN qt USING (page_id, term) GROUP BY ALL),
+scored AS (SELECT page_id, doc_id, 0.2 * jaccard + 0.3 * CASE WHEN ni > 0 AND nq > 0 AND d IS NOT NULL THEN d / (ni * nq) ELSE 0.0 END AS r
+           FROM jac LEFT JOIN norms USING (page_id, doc_id) LEFT JOIN qnorm USING (page_id) LEFT JOIN dots USING (page_id, doc_id)),
+st AS (SELECT page_id, count(*) AS c, avg(r) AS a, var_pop(r) AS v, max(r) AS m FROM scored GROUP BY 1),
+ev AS (SELECT f.page_id, is_no_results OR coalesce(c, 0) = 0 AS is_empty, coalesce(c, 0) AS result_count,
+              greatest(0.0, (ln(c + 1.0) * 0.2 + a * 0.4 - v * 0.2 + m * 0.2) * 100.0) AS s FROM flags f LEFT JOIN st USING (page_id))
+SELECT page_id, 'ol' AS title, is_empty AS is_empty_result, result_count, CASE WHEN NOT is_empty THEN round(s, 6) END AS sqs_score,
+       CASE WHEN is_empty THEN NULL WHEN s >= 60 THEN 'Valid' WHEN s >= 20 THEN 'Low Quality' ELSE 'Invalid/Empty' END AS quality_category,
+       CASE WHEN is_empty THEN 'EMPTY' WHEN s >= 20 AND s < 60 THEN 'LOW QUALITY' ELSE 'INVALID' END AS label
+FROM ev
+""")
 def page_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """C6, C7's labels over the results pages, each asked one benchmark item."""
     from .page_quality import evaluate, validate
-    from .search import first_benchmark_query
-    pages, nodes, prep, _ = _prepared(spark, sf)
-    q = pages.select("page_id").withColumn("query", first_benchmark_query(table(spark, sf, "benchmark")))
-    ev = evaluate(pages, q, nodes, prep, main=_main(spark, sf)).join(q, "page_id")
-    return validate(ev).select("page_id", "node_id", "is_empty_result", "result_count", "sqs_score",
-                               "quality_category", "label", "snippet", "title")
-
-
-@register("content_processing")
+    from .search import queries_of_pages
+    pages, nodes, prep, main = _results(spark, sf)
+    q = queries_of_pages(pages, table(spark, sf, "benchmark"))
+    ev = evaluate(pages, q, nodes, prep, main=main).join(q, "page_id")
+    return validate(ev).select("page_id", "title", "is_empty_result", "result_count", r6("sqs_score").alias("sqs_score"), "quality_category", "label")
+
+
+# Pages with metadata derived from the pages: by its number a page names its author and date in one order of
+# attributes and quotes or another, or not at all; of every third one an extractor knows the author already.
+_HEADS = ('<meta name="author" content="Writer {0}"><meta property="article:published_time" content="2020-01-0{0}">',
+          "<META content='Writer {0}' class=x name='author'>", "<meta content=2021-05-0{0} property=article:published_time>",
+          '<!-- <meta name="author" content="nobody"> --><meta name="author" content="">')
+
+
+@register("content_processing", """
+WITH p AS (SELECT page_id, url, page_id % 4 AS kind, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS host FROM pages),
+m AS (SELECT *, CASE WHEN page_id % 3 = 0 THEN 'Found ' || page_id WHEN kind < 2 THEN 'Writer ' || kind END AS author,
+             CASE kind WHEN 0 THEN '2020-01-00' WHEN 2 THEN '2021-05-02' END AS date FROM p)
+SELECT page_id, url AS final_url, author, date, host AS sitename, CAST(length(url) AS INT) AS text_chars,
+       round(least((CASE regexp_extract(host, '[^.]*$', 0) WHEN 'gov' THEN 0.3 WHEN 'edu' THEN 0.3 WHEN 'org' THEN 0.1 ELSE 0.0 END
+                    + CASE WHEN author IS NOT NULL THEN 0.15 ELSE 0.0 END + CASE WHEN date IS NOT NULL THEN 0.15 ELSE 0.0 END
+                    + CASE WHEN starts_with(lower(url), 'https:') THEN 0.1 ELSE 0.0 END)::DOUBLE / 1.1, 1.0), 6) AS credibility_score
+FROM m
+""")
 def content_processing(spark: SparkSession, sf: str) -> DataFrame:
+    """C10, P24, P14 over pages with metadata."""
     from .page_quality import process_content
-    pages, _, _, _ = _prepared(spark, sf)
-    pc = process_content(table(spark, sf, "pages"), _main(spark, sf))
-    return pc.select("page_id", "final_url", "author", "date", "sitename", r6("credibility_score").alias("credibility_score"),
-                     F.length("text").alias("text_chars"))
+    kind = (F.col("page_id") % 4).cast("int")
+    head = F.element_at(F.array(*(F.lit(h.format(i)) for i, h in enumerate(_HEADS))), kind + 1)
+    pages = table(spark, sf, "pages").select("page_id", "url", F.concat(F.lit("<html><head>"), head, F.lit("</head>"), "html").alias("html"))
+    found = pages.where("page_id % 3 = 0").select("page_id", F.concat(F.lit("Found "), F.col("page_id").cast("string")).alias("author"),
+                                                  F.lit("").alias("date"), F.lit(None).cast("string").alias("sitename"))
+    pc = process_content(pages, pages.select("page_id", F.col("url").alias("text")), found)
+    return pc.select("page_id", "final_url", "author", "date", "sitename", F.length("text").alias("text_chars"),
+                     r6("credibility_score").alias("credibility_score"))
 
 
 # ---- robots -------------------------------------------------------------------------------
@@ -333,7 +477,7 @@ def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming import changes as X2
     q, root = X2.start(spark, sf, now=F.lit(NOW).cast("timestamp"), file_glob="pages.parquet")
     q.awaitTermination()
-    return X2.read_changes(spark, root).select("url", "result_vl", "is_new", "batch_id")
+    return X2.read_changes(spark, root).select("url", "new_url", "result_vl", "is_new", "batch_id")
 
 
 # ---- S10 / S11 digests ------------------------------------------------------------------------

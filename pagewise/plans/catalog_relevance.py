@@ -10,28 +10,18 @@ from ..operators import relevance as R
 from ..operators import search as H
 from ..operators.rank import top_n_per_group
 from ..sources.tables import table
-from .catalog import _SQL_RRF, r6, register, utc
+from .catalog import SQL_RRF, SQL_SEARCHES, r6, register, searches, utc
 from .sql_parts import words_sql
-from .search import first_benchmark_query
 
 
-def _items_and_query(spark, sf):
-    d = table(spark, sf, "documents").select("source", "doc_id", "text")
-    q = first_benchmark_query(table(spark, sf, "benchmark"))
-    queries = d.select("source").distinct().withColumn("query", q)
-    return d, queries
-
-
-_Q = "q AS (SELECT text AS query FROM benchmark ORDER BY item_id LIMIT 1)"
-
 _JACCARD_CTE = f"""
 jac AS (
-  SELECT source, doc_id,
+  SELECT search, corpus, doc,
          CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
               ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS jaccard_score
-  FROM (SELECT source, doc_id, list_distinct({words_sql("lower(coalesce(text, ''))")}) AS a,
+  FROM (SELECT search, corpus, doc_id AS doc, list_distinct({words_sql("lower(coalesce(text, ''))")}) AS a,
                list_distinct({words_sql("lower(q.query)")}) AS b
-        FROM documents, q))
+        FROM documents JOIN q ON q.corpus = source))
 """
 
 _TFIDF_CTE = r"""
@@ -39,105 +29,104 @@ it AS (SELECT source AS g, doc_id AS k, term, count(*) AS tf
        FROM (SELECT source, doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\pL\pN_]{2,}')) AS term
              FROM documents) GROUP BY ALL),
 grp AS (SELECT source AS g, count(*) + 1 AS n FROM documents GROUP BY 1),
-qt AS (SELECT g, term, count(*) AS tf
-       FROM (SELECT g, unnest(regexp_extract_all(lower(q.query), '[\pL\pN_]{2,}')) AS term FROM grp, q)
-       GROUP BY ALL),
+qt AS (SELECT search, g, term, count(*) AS tf
+       FROM (SELECT search, corpus AS g, unnest(regexp_extract_all(lower(query), '[\pL\pN_]{2,}')) AS term FROM q) GROUP BY ALL),
 dfi AS (SELECT g, term, count(*) AS dfi FROM it GROUP BY ALL),
-dfa AS (SELECT coalesce(a.g, b.g) AS g, coalesce(a.term, b.term) AS term,
-               coalesce(a.dfi, 0) + CASE WHEN b.term IS NULL THEN 0 ELSE 1 END AS df
-        FROM dfi a FULL JOIN (SELECT DISTINCT g, term FROM qt) b ON a.g = b.g AND a.term = b.term),
-idf AS (SELECT g, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM dfa JOIN grp USING (g)),
-iw AS (SELECT g, k, term, tf * idf AS w FROM it JOIN idf USING (g, term)),
-qw AS (SELECT g, term, tf * idf AS w FROM qt JOIN idf USING (g, term)),
-inorm AS (SELECT g, k, sqrt(sum(w * w)) AS ni FROM iw GROUP BY ALL),
-qnorm AS (SELECT g, sqrt(sum(w * w)) AS nq FROM qw GROUP BY ALL),
-dots AS (SELECT g, k, sum(iw.w * qw.w) AS d FROM iw JOIN qw USING (g, term) GROUP BY ALL),
+idf AS (SELECT search, g, term, ln((1 + n) / (1 + max(dfi) + max(own))) + 1 AS idf, max(own) AS own
+        FROM (SELECT search, corpus AS g, term, dfi, 0 AS own FROM dfi JOIN q ON q.corpus = g
+              UNION ALL SELECT search, g, term, 0, 1 FROM qt) JOIN grp USING (g) GROUP BY search, g, term, n),
+qw AS (SELECT search, g, term, tf * idf AS w FROM qt JOIN idf USING (search, g, term)),
+qnorm AS (SELECT search, sqrt(sum(w * w)) AS nq FROM qw GROUP BY ALL),
+inorm AS (SELECT search, k, sqrt(sum(tf * idf * tf * idf)) AS ni FROM it JOIN idf USING (g, term) GROUP BY ALL),
+dots AS (SELECT search, k, sum(tf * idf * qw.w) AS d FROM it JOIN idf USING (g, term) JOIN qw USING (search, g, term) GROUP BY ALL),
 tfidf AS (
-  SELECT x.source, x.doc_id,
+  SELECT q.search, q.corpus, x.doc_id AS doc,
          CASE WHEN ni > 0 AND nq > 0 AND dots.d IS NOT NULL THEN dots.d / (ni * nq) ELSE 0.0 END AS tfidf_score
-  FROM documents x
-  LEFT JOIN dots ON dots.g = x.source AND dots.k = x.doc_id
-  LEFT JOIN inorm ON inorm.g = x.source AND inorm.k = x.doc_id
-  LEFT JOIN qnorm ON qnorm.g = x.source)
+  FROM documents x JOIN q ON q.corpus = x.source
+  LEFT JOIN dots ON dots.search = q.search AND dots.k = x.doc_id
+  LEFT JOIN inorm ON inorm.search = q.search AND inorm.k = x.doc_id
+  LEFT JOIN qnorm ON qnorm.search = q.search)
 """
 
 
-@register("jaccard", f"WITH {_Q}, {_JACCARD_CTE} SELECT source, doc_id, round(jaccard_score, 6) AS jaccard_score FROM jac")
+def _first_sql(name: str, score: str, more: str = "") -> str:
+    """The first 100 documents with a score above 0 of each search."""
+    return f"""SELECT search, doc AS doc_id, rnk{more}, round({score}, 6) AS {score} FROM (
+  SELECT *, row_number() OVER (PARTITION BY search ORDER BY round({score}, 9) DESC, doc) - 1 AS rnk FROM {name} WHERE {score} > 0)
+  WHERE rnk < 100"""
+
+
+def _scored(spark: SparkSession, sf: str, *fields: str) -> tuple:
+    from ..operators import inverted as I
+    index = I.build_index(table(spark, sf, "documents").where("source is not null"), "source", "doc_id", "text", "doc_id", fields)
+    asked = searches(spark, sf)
+    return index, asked, I.relevance(index, asked)
+
+
+def _first(scored: DataFrame, score: str, *more: str) -> DataFrame:
+    top = top_n_per_group(scored.where(F.col(score) > 0), ["search"], [F.round(score, 9).desc(), F.col("doc").asc()], 100)
+    return top.select("search", F.col("doc").alias("doc_id"), F.col("rank").cast("long").alias("rnk"),
+                      *[r6(c).alias(c) for c in (*more, score)])
+
+
+@register("jaccard", f"WITH {SQL_SEARCHES}, {_JACCARD_CTE} {_first_sql('jac', 'jaccard_score')}")
 def jaccard(spark: SparkSession, sf: str) -> DataFrame:
-    d, queries = _items_and_query(spark, sf)
-    j = R.jaccard_scores(d, queries, "source", "doc_id", "text")
-    return j.select("source", "doc_id", r6("jaccard_score").alias("jaccard_score"))
+    return _first(_scored(spark, sf, "set")[2], "jaccard_score")
 
 
-@register("tfidf_cosine", f"WITH {_Q}, {_TFIDF_CTE} SELECT source, doc_id, round(tfidf_score, 6) AS tfidf_score FROM tfidf")
+@register("tfidf_cosine", f"WITH {SQL_SEARCHES}, {_TFIDF_CTE} {_first_sql('tfidf', 'tfidf_score')}")
 def tfidf_cosine(spark: SparkSession, sf: str) -> DataFrame:
-    d, queries = _items_and_query(spark, sf)
-    t = R.tfidf_cosine(d, queries, "source", "doc_id", "text")
-    return t.select("source", "doc_id", r6("tfidf_score").alias("tfidf_score"))
+    return _first(_scored(spark, sf, "word")[2], "tfidf_score")
 
 
-_HYBRID = f"""WITH {_Q}, {_JACCARD_CTE}, {_TFIDF_CTE},
-hyb AS (SELECT source, doc_id, jaccard_score, tfidf_score, 0.0::DOUBLE AS semantic_score,
+_HYBRID = f"""WITH {SQL_SEARCHES}, {_JACCARD_CTE}, {_TFIDF_CTE},
+hyb AS (SELECT search, corpus, doc, jaccard_score, tfidf_score, 0.0::DOUBLE AS semantic_score,
                0.2 * jaccard_score + 0.3 * tfidf_score + 0.5 * 0.0::DOUBLE AS relevance_score
-        FROM jac JOIN tfidf USING (source, doc_id))
+        FROM jac JOIN tfidf USING (search, corpus, doc))
 """
 
 
-@register("hybrid_relevance", _HYBRID + """
-SELECT source, doc_id, round(jaccard_score, 6) AS jaccard_score, round(tfidf_score, 6) AS tfidf_score,
-       round(semantic_score, 6) AS semantic_score, round(relevance_score, 6) AS relevance_score FROM hyb
-""")
+@register("hybrid_relevance", _HYBRID + _first_sql(
+    "hyb", "relevance_score", "".join(f", round({c}, 6) AS {c}" for c in ("jaccard_score", "tfidf_score", "semantic_score"))))
 def hybrid_relevance(spark: SparkSession, sf: str) -> DataFrame:
-    d, queries = _items_and_query(spark, sf)
-    s = R.score_relevance(d, queries, "source", "doc_id", "text")
-    return s.select("source", "doc_id", *[r6(c).alias(c) for c in
-                                          ("jaccard_score", "tfidf_score", "semantic_score", "relevance_score")])
+    return _first(_scored(spark, sf, "set", "word")[2], "relevance_score", "jaccard_score", "tfidf_score", "semantic_score")
 
 
 @register("relevance_stats_sqs", _HYBRID + """,
-st AS (SELECT source, count(*) AS result_count, avg(relevance_score) AS a, var_pop(relevance_score) AS v,
-              max(relevance_score) AS m FROM hyb GROUP BY 1),
+st AS (SELECT search, corpus, count(*) AS result_count, avg(relevance_score) AS a, var_pop(relevance_score) AS v,
+              max(relevance_score) AS m FROM hyb GROUP BY 1, 2),
 sq AS (SELECT *, CASE WHEN result_count = 0 THEN 0.0
                       ELSE greatest(0.0, (ln(result_count + 1.0) * 0.2 + a * 0.4 - v * 0.2 + m * 0.2) * 100.0) END AS s
        FROM st)
-SELECT source, result_count, round(a, 6) AS avg_relevance, round(v, 6) AS relevance_variance,
+SELECT search, corpus, result_count, round(a, 6) AS avg_relevance, round(v, 6) AS relevance_variance,
        round(m, 6) AS max_relevance, round(s, 6) AS sqs_score,
        CASE WHEN result_count = 0 THEN 'Invalid/Empty' WHEN s >= 60 THEN 'Valid'
             WHEN s >= 20 THEN 'Low Quality' ELSE 'Invalid/Empty' END AS quality_category
 FROM sq
 """)
 def relevance_stats_sqs(spark: SparkSession, sf: str) -> DataFrame:
-    d, queries = _items_and_query(spark, sf)
-    s = R.score_relevance(d, queries, "source", "doc_id", "text")
-    st = R.relevance_stats(s, "source")
-    return st.select("source", "result_count", *[r6(c).alias(c) for c in
+    from ..operators import inverted as I
+    st = I.relevance_stats(*_scored(spark, sf, "set", "word"))
+    return st.select("search", "corpus", "result_count", *[r6(c).alias(c) for c in
                      ("avg_relevance", "relevance_variance", "max_relevance", "sqs_score")], "quality_category")
 
 
 @register("embedding_cosine", """
-WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings ORDER BY vec_id LIMIT 1),
-s AS (SELECT vec_id, label,
-             CASE WHEN list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) = 0
-                    OR list_dot_product(q.e, q.e) = 0 THEN 0.0
-                  ELSE list_dot_product(CAST(embedding AS DOUBLE[]), q.e)
-                       / (sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))
-                          * sqrt(list_dot_product(q.e, q.e))) END AS sc
-      FROM embeddings, q)
-SELECT vec_id, label, semantic_rank, round(sc, 6) AS semantic_score
-FROM (SELECT *, row_number() OVER (ORDER BY round(sc, 9) DESC, vec_id) - 1 AS semantic_rank FROM s)
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n
+           FROM embeddings WHERE embedding IS NOT NULL),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, x.label, CASE WHEN q.n * x.n > 0 THEN list_dot_product(q.e, x.e) / (q.n * x.n) ELSE 0.0 END AS sc
+      FROM e q, e x WHERE q.vec_id % 20 = 0)
+SELECT query_id, vec_id, label, semantic_rank, round(sc, 6) AS semantic_score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sc, 9) DESC, vec_id) - 1 AS semantic_rank FROM s)
 WHERE semantic_rank < 25
 """)
 def embedding_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector whose id 20 divides against all vectors."""
     e = table(spark, sf, "embeddings")
-    qv = e.orderBy("vec_id").select(F.col("embedding").alias("qvec")).limit(1)
-    s = R.embedding_cosine(e.select("vec_id", "embedding"), "vec_id", "embedding", qv) \
-        .join(e.select("vec_id", "label"), "vec_id")
-    # T4: one global list -> TakeOrderedAndProject keeps 25 rows per task before merging
-    top = s.orderBy(F.round("semantic_score", 9).desc(), F.col("vec_id").asc()).limit(25)
-    from pyspark.sql import Window
-    ranked = top.withColumn("semantic_rank", (F.row_number().over(
-        Window.orderBy(F.round("semantic_score", 9).desc(), F.col("vec_id").asc())) - 1).cast("long"))
-    return ranked.select("vec_id", "label", "semantic_rank", r6("semantic_score").alias("semantic_score"))
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    top = R.embedding_cosine(e, asked)
+    return top.join(e.select("vec_id", "label"), "vec_id").select(
+        "query_id", "vec_id", "label", F.col("rank").cast("long").alias("semantic_rank"), r6("semantic_score").alias("semantic_score"))
 
 
 @register("hit_dedupe", """
@@ -179,9 +168,7 @@ FROM r ASOF LEFT JOIN s ON r.user_id = s.user_id AND r.ts >= s.set_at
 def cache_ttl_asof(spark: SparkSession, sf: str) -> DataFrame:
     utc(spark)
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
-    cache = e.filter(F.col("event_type") == "view").select("user_id", F.col("ts").alias("set_at"))
-    req = e.filter(F.col("event_type") == "click").select("event_id", "user_id", "ts")
-    out = H.cache_lookup(req, cache, "user_id", "ts", "set_at", ttl_s=3600)
+    out = H.cache_replay(e, "user_id", "ts", F.col("event_type") == "view", F.col("event_type") == "click", ttl_s=3600)
     return out.select("event_id",
                       F.when(F.col("cache_hit"), F.date_format("cache_set_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
                       .alias("cache_set_at"), "cache_hit")
@@ -205,23 +192,21 @@ def _sql_str(s: str) -> str:
 
 
 @register("llm_prompt", f"""
-WITH {_SQL_RRF},
+WITH {SQL_RRF},
 blocks AS (
-  SELECT r.search_id, r.final_rank,
-         '--- Information Source ' || (r.final_rank + 1) || ' ---' || chr(10) ||
-         'Title: N/A' || chr(10) || 'URL: doc:' || r.doc_key || chr(10) ||
-         'Final Score: ' || printf('%.4f', r.final_score) || ' (Credibility: ' ||
-         printf('%.2f', 0.0) || ')' || chr(10) ||
-         'Extracted Content:' || chr(10) || d.text || chr(10) || chr(10) AS block
-  FROM ranked r JOIN documents d ON d.doc_id = r.doc_key)
-SELECT search_id, {_sql_str(PROMPT_HEAD)} || q.query || {_sql_str(PROMPT_MID)} ||
+  SELECT search, final_rank,
+         '--- Information Source ' || (final_rank + 1) || ' ---' || chr(10) ||
+         'Title: N/A' || chr(10) || 'URL: ' || href || chr(10) ||
+         'Final Score: ' || printf('%.4f', final_score) || ' (Credibility: ' ||
+         printf('%.2f', cred) || ')' || chr(10) ||
+         'Extracted Content:' || chr(10) || coalesce(body, 'No content extracted.') || chr(10) || chr(10) AS block
+  FROM ranked)
+SELECT search, {_sql_str(PROMPT_HEAD)} || q.query || {_sql_str(PROMPT_MID)} ||
        string_agg(block, '' ORDER BY final_rank) || {_sql_str(PROMPT_TAIL)} AS prompt
-FROM blocks, q GROUP BY search_id, q.query
+FROM blocks JOIN q USING (search) GROUP BY search, q.query
 """)
 def llm_prompt(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.digest import answer_prompt
-    from .search import high_precision_search, hits_from_documents, queries_for
-    hits = hits_from_documents(table(spark, sf, "documents"))
-    queries = queries_for(hits, first_benchmark_query(table(spark, sf, "benchmark")))
-    docs = high_precision_search(hits, queries).join(queries, "search_id")
-    return answer_prompt(docs, "search_id", "final_rank", PROMPT_HEAD, PROMPT_MID, PROMPT_TAIL)
+    asked = searches(spark, sf)
+    docs = searched(spark, sf, asked).join(asked.select("search", "query"), "search")
+    return answer_prompt(docs, "search", "final_rank", PROMPT_HEAD, PROMPT_MID, PROMPT_TAIL)

@@ -4,11 +4,11 @@ Steps per page, all as DataFrame joins and aggregations over ``dom_nodes``:
 
 1. T1 candidates: every element scored against the page box; the best valid
    one (ties in breadth-first order) starts the refinement.
-2. C1 refinement, unrolled (5 passes; 10 in the legacy profile): the current
+2. C1 refinement (at most 5 passes; 10 in the legacy profile): the current
    root's subtree is joined by its interval, every node is rescored against the
    root's box with a depth weight, and the root moves to the best node while
-   that node scores strictly higher.  Only unfinished pages take part in a
-   pass; each pass reads the previous state once (optionally checkpointed).
+   that node scores strictly higher.  Only pages that still move take part in
+   a pass.
 3. T8 selector list from the last rescoring (ranks 2-4, nodes repeated as the
    reference's list repeats them), own selector first.
 4. A10/A11 links and text of the winner; P16/P17 page type; J5 pagination.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import dom_scores as DS
 from ..operators import dom as DOM
 from ..operators import pagination as PG
-from ..session import cut_lineage
+from ..session import cut_lineage, stored_by
 
 NODE_COLS = ["node_id", "subtree_end", "depth", "tag", "id", "attributes", "css_selector", "rect", "n_links",
              "text_len", "n_words"]
@@ -30,15 +30,16 @@ NODE_COLS = ["node_id", "subtree_end", "depth", "tag", "id", "attributes", "css_
 
 def prepare(pages: DataFrame, nodes: DataFrame | None = None, cut: bool = True):
     """``(nodes, prepared)`` for ``pages(page_id, url, html)``: the raw node table
-    (parsed when not given) and the scoring-ready element table.  Both are cut
-    to a reliable checkpoint because every refinement pass reuses them."""
+    (parsed when not given) and the scoring-ready element table.  Both are written
+    once, bucketed by page and sorted: whatever goes page by page afterwards
+    (windows, refinement passes, subtree contents) reads them as they lie."""
     if nodes is None:
         from ..sources.html_nodes import html_to_nodes
         nodes = html_to_nodes(pages)
     if cut:
-        nodes = cut_lineage(nodes)
+        nodes = stored_by(nodes, "page_id", ["page_id", "node_id"], "nodes")
     prepared = DOM.prepared_nodes(nodes, pages)
-    return nodes, (cut_lineage(prepared) if cut else prepared)
+    return nodes, (stored_by(prepared, "page_id", ["page_id", "node_id"], "elements") if cut else prepared)
 
 
 def candidates(prepared: DataFrame, profile: DS.Profile = DS.CURRENT) -> DataFrame:
@@ -68,69 +69,58 @@ def _rescore(prepared: DataFrame, roots: DataFrame, profile: DS.Profile) -> Data
 
 def refine(prepared: DataFrame, start: DataFrame, profile: DS.Profile = DS.CURRENT,
            checkpoint: bool = True) -> DataFrame:
-    """Unrolled refinement loop.  ``start`` = top candidates.
+    """Refinement, pass by pass.  ``start`` = top candidates.
 
-    Each pass left-joins the per-page state to the nodes of the current root's
-    interval (finished pages join nothing) and aggregates per page, so every
-    pass references the previous state exactly once and the plan grows
-    linearly.  ``checkpoint`` (default) writes the small per-page state to the
-    shared checkpoint folder after every pass, which keeps each pass a short job
-    and bounds recomputation after an executor loss.
+    A pass joins only the pages that still move to the nodes of their current
+    root's interval (by page, so a bucketed ``prepared`` stays where it is) and
+    aggregates per page.  Pages whose root no node beats leave the loop with their
+    state; it ends when no page is left or after the last pass.  ``checkpoint``
+    (default) cuts the one-row-per-page state of every pass, which keeps each pass
+    a short job and bounds recomputation after an executor loss.
 
     Output per page: the final root (``root_*``), its ``score``, ``moves`` and the
     root whose rescoring gave the final list (``list_*``) for T8.
     """
-    state = start.select(
+    moving = start.select(
         "page_id", F.col("node_id").alias("root_id"), F.col("subtree_end").alias("root_end"),
         F.col("rect").alias("root_rect"), F.col("depth").alias("root_depth"),
-        F.col("cand_score").alias("score"), F.lit(0).alias("moves"), F.lit(False).alias("done"),
-        F.col("node_id").alias("list_id"), F.col("subtree_end").alias("list_end"),
-        F.col("rect").alias("list_rect"), F.col("depth").alias("list_depth"))
-    state_cols = state.columns
-    first_unconditional = profile.name == "legacy"
-    passes = profile.max_moves + (1 if first_unconditional else 0)
+        F.col("cand_score").alias("score"), F.lit(0).alias("moves"))
+    state_cols = moving.columns
+    root = ["root_id", "root_end", "root_rect", "root_depth"]
     nodes = prepared.select(F.col("page_id").alias("_p"), *NODE_COLS)
+    always_first = profile.name == "legacy"
+    passes = profile.max_moves + (1 if always_first else 0)
+    finished = None
     for i in range(passes):
-        s = state.alias("s")
+        s = moving.alias("s")
         cond = ((F.col("_p") == F.col("s.page_id")) & (F.col("node_id") >= F.col("s.root_id"))
-                & (F.col("node_id") <= F.col("s.root_end")) & ~F.col("s.done"))
-        j = s.join(nodes, cond, "left")
+                & (F.col("node_id") <= F.col("s.root_end")))
         score = DS.refinement_score(F.col("rect"), F.col("s.root_rect.width"), F.col("s.root_rect.height"),
                                     F.col("depth"), F.col("s.root_depth"), F.col("n_links"), F.col("text_len"),
                                     profile)
-        j = j.withColumn("_score", score)
-        agg = j.groupBy(F.col("s.page_id").alias("page_id")).agg(
-            F.first(F.struct(*[F.col("s." + c).alias(c) for c in state_cols if c != "page_id"])).alias("st"),
-            F.max_by(F.struct(F.col("node_id"), F.col("subtree_end"), F.col("rect"), F.col("depth"),
-                              F.col("_score").alias("score")),
-                     F.when(F.col("node_id").isNotNull(), F.struct(F.col("_score"), -F.col("node_id")))).alias("best"),
+        met = s.join(nodes, cond).withColumn("_score", score)
+        best = met.groupBy(F.col("s.page_id").alias("page_id")).agg(
+            F.first(F.struct(*[F.col("s." + c).alias(c) for c in state_cols[1:]])).alias("st"),
+            F.max_by(F.struct(F.col("node_id").alias("root_id"), F.col("subtree_end").alias("root_end"), F.col("rect").alias("root_rect"),
+                              F.col("depth").alias("root_depth"), F.col("_score").alias("score")),
+                     F.struct(F.col("_score"), -F.col("node_id"))).alias("best"),
             F.max(F.when(F.col("node_id") == F.col("s.root_id"), F.col("_score"))).alias("root_score"))
-        active = ~F.col("st.done") & F.col("best.node_id").isNotNull()
-        if first_unconditional and i == 0:
-            moved = active
-        else:
-            moved = active & (F.col("best.score") > F.col("root_score"))
-
-        def pick(best_field, st_field):
-            return F.when(moved, F.col("best." + best_field)).otherwise(F.col("st." + st_field))
-
-        state = agg.select(
-            "page_id",
-            pick("node_id", "root_id").alias("root_id"),
-            pick("subtree_end", "root_end").alias("root_end"),
-            pick("rect", "root_rect").alias("root_rect"),
-            pick("depth", "root_depth").alias("root_depth"),
-            F.when(moved, F.col("best.score")).when(~F.col("st.done") & F.col("root_score").isNotNull(),
-                                                    F.col("root_score")).otherwise(F.col("st.score")).alias("score"),
-            (F.col("st.moves") + F.when(moved, 1).otherwise(0)).alias("moves"),
-            (F.col("st.done") | ~moved).alias("done"),
-            F.when(F.col("st.done"), F.col("st.list_id")).otherwise(F.col("st.root_id")).alias("list_id"),
-            F.when(F.col("st.done"), F.col("st.list_end")).otherwise(F.col("st.root_end")).alias("list_end"),
-            F.when(F.col("st.done"), F.col("st.list_rect")).otherwise(F.col("st.root_rect")).alias("list_rect"),
-            F.when(F.col("st.done"), F.col("st.list_depth")).otherwise(F.col("st.root_depth")).alias("list_depth"))
+        moves = F.lit(True) if always_first and i == 0 else F.col("best.score") > F.col("root_score")
+        best = best.withColumn("_moves", F.coalesce(moves, F.lit(False)))
+        listed = [F.col("st." + c).alias(c.replace("root_", "list_")) for c in root]
+        state = best.select(
+            "page_id", *[F.when(F.col("_moves"), F.col("best." + c)).otherwise(F.col("st." + c)).alias(c) for c in root],
+            F.when(F.col("_moves"), F.col("best.score")).otherwise(F.coalesce("root_score", "st.score")).alias("score"),
+            (F.col("st.moves") + F.col("_moves").cast("int")).alias("moves"), (~F.col("_moves")).alias("done"), *listed)
         if checkpoint:
             state = cut_lineage(state)
-    return state
+        last = i == passes - 1
+        left = state if last else state.where("done")
+        finished = left if finished is None else finished.unionByName(left)
+        moving = state.where("not done").select(*state_cols)
+        if checkpoint and moving.isEmpty():
+            break
+    return finished
 
 
 def selector_list(prepared: DataFrame, state: DataFrame, profile: DS.Profile = DS.CURRENT,
@@ -166,9 +156,8 @@ def main_content(pages: DataFrame, prepared: DataFrame, nodes: DataFrame | None
     """C2 without pagination: one row per page that has a main-content element."""
     start = top_candidate(candidates(prepared, profile))
     state = refine(prepared, start, profile, checkpoint)
-    final = state.join(prepared.select("page_id", F.col("node_id").alias("root_id"), "tag", "id", "attributes",
-                                       "css_selector", "n_links", "text_len", "n_words"),
-                       ["page_id", "root_id"])
+    own = prepared.select("page_id", "node_id", "tag", "id", "attributes", "css_selector", "n_links", "text_len", "n_words")
+    final = DOM.in_subtree(own, state.withColumn("_same", F.col("root_id")), "root_id", "_same").drop("_same", "node_id")
     if profile.name == "current":
         sels = selector_list(prepared, state, profile)
         final = final.join(sels, "page_id", "left")

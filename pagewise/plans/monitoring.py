@@ -8,16 +8,20 @@ by every watch row that needs it; per-row logic is column expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions import times as D
 from ..functions import urls as U
+from ..operators import digest as DG
 from ..operators import dom as DOM
 from ..operators import pagination as PG
+from ..operators import robots as RB
 from ..operators import selectors as SEL
+from ..operators.rank import positions
 from ..session import cut_lineage
+from ..sources import watchlist as WL
 from . import full_scan as FS
 
 QUICK_SCAN_MAX_AGE_DAYS = 4
@@ -33,54 +37,51 @@ def page_links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return DOM.subtree_links(nodes, roots, pages).select("page_id", F.col("links").alias("page_links"))
 
 
-def page_analysis(pages: DataFrame, nodes: DataFrame, prepared: DataFrame, checkpoint: bool = True) -> DataFrame:
-    """Per page: main-content result (C2 body) plus the page's own type and next URL.
+def page_analysis(pages: DataFrame, nodes: DataFrame, prepared: DataFrame, checkpoint: bool = True,
+                  robots: DataFrame | None = None) -> DataFrame:
+    """Per page: main-content result (C2 body), the page's own type and next URL (A9), and whether ``robots``
+    (``host, robots_txt``) lets it be scanned (J11, F5; all pages without it).
 
     One row per page, read by every scan path of the run (quick-full, full, the
     pagination hops), so it is written once to the checkpoint folder."""
     mc = FS.main_content(pages, prepared, nodes).drop("web_type")
     pl = page_links(nodes, pages)
     base = pages.select("page_id", "url").join(pl, "page_id", "left")
-    base = base.withColumn("next_url", PG.next_url("url", "page_links"))
+    base = with_robots(base.withColumn("next_url", PG.next_url("url", "page_links")), robots)
     out = base.join(mc.drop("url"), "page_id", "left")
     return cut_lineage(out) if checkpoint else out
 
 
+def with_robots(pages: DataFrame, robots: DataFrame | None) -> DataFrame:
+    """``allowed`` per page: the robots file of its host against its path."""
+    if robots is None:
+        return pages.withColumn("allowed", F.lit(True))
+    return RB.allowed(pages.withColumn("host", U.netloc("url")), robots, "host").drop("host")
+
+
 def full_scan(requests: DataFrame, analysis: DataFrame, previous_type: Column | None = None,
               max_hops: int = MAX_PAGE_HOPS) -> DataFrame:
-    """C2 per request row (``url`` + optional previous page type): follow the
-    page's next URL up to ``max_hops`` times (J5), take the final page's main
-    content, merge the page type (P16).  A hop to a page missing from the
-    snapshots gives a null result (``found`` false)."""
-    look = analysis.select(F.col("url").alias("_u"), F.col("next_url").alias("_n"))
-    r = requests.withColumn("_prev", previous_type if previous_type is not None else F.lit(None).cast("string"))
-    known = look.select(F.col("_u").alias("url"), F.col("_n").alias("_next"), F.lit(True).alias("_ok"))
-    cur = (r.join(known, "url", "left")
-             .withColumn("_ok", F.coalesce("_ok", F.lit(False)))   # a URL absent from the snapshots fails
-             .withColumn("_cur", F.col("url"))
-             .withColumn("_first_type", PG.web_type("url"))
-             .withColumn("_hops", F.lit(0)))
-    for _ in range(max_hops):
-        step = look.select(F.col("_u").alias("_next"), F.col("_n").alias("_n2"), F.lit(True).alias("_hit"))
-        cur = cur.join(step, "_next", "left")
-        moved = F.col("_next").isNotNull() & F.col("_ok")
-        cur = (cur.withColumn("_ok", F.col("_ok") & (~moved | F.coalesce("_hit", F.lit(False))))
-                  .withColumn("_cur", F.when(moved, F.col("_next")).otherwise(F.col("_cur")))
-                  .withColumn("_hops", F.col("_hops") + F.when(moved, 1).otherwise(0))
-                  .withColumn("_next", F.when(moved, F.col("_n2")))
-                  .drop("_n2", "_hit"))
+    """C2 per request row (``row_id, url`` + optional previous page type): follow the page's next URL up to
+    ``max_hops`` times (J5), take the final page's main content, merge the page type (P16).
+
+    The robots gate stands before every page, the hops' as well: a page that is blocked, or missing from the
+    snapshots, gives a null result (``found`` false)."""
+    prev_col = previous_type if previous_type is not None else F.lit(None).cast("string")
+    r = requests.withColumn("_prev", prev_col)
+    chain = PG.follow_chain(r.select("row_id", "url"), analysis, max_hops=max_hops)
     res_cols = ["node_id", "tag", "css_selector", "css_selector_list", "text", "links", "score", "rect"]
-    res = analysis.select(F.col("url").alias("_cur"), *res_cols)
-    out = cur.join(res, "_cur", "left")
-    given = F.when(F.coalesce(F.col("_prev"), F.lit("")) != "", F.col("_prev"))
-    prev = F.coalesce(given, F.when(F.col("_hops") > 0, F.col("_first_type")))
-    cur_type = PG.web_type("_cur")
+    res = analysis.select(F.col("url").alias("final_url"), *res_cols)
+    ok = chain.where("chain_ok").select("row_id", "final_url", "hops").join(res, "final_url")
+    out = r.join(ok, "row_id", "left")
+    first_type = F.when(F.col("hops") > 0, PG.web_type("url"))
+    prev = F.coalesce(F.nullif(F.col("_prev"), F.lit("")), first_type)
+    cur_type = PG.web_type("final_url")
     wt = F.when(prev.isNull(), cur_type).otherwise(PG.merge_web_type(cur_type, prev))
-    found = F.col("_ok") & F.col("node_id").isNotNull()
+    found = F.col("node_id").isNotNull()
     return (out.withColumn("found", found)
-               .withColumn("result_url", F.when(found, F.col("_cur")))
+               .withColumn("result_url", F.when(found, F.col("final_url")))
                .withColumn("result_web_type", F.when(found, wt))
-               .drop("_cur", "_next", "_hops", "_ok", "_first_type", "_prev"))
+               .drop("final_url", "hops", "_prev"))
 
 
 def quick_scan(watch: DataFrame, pages: DataFrame, nodes: DataFrame, prepared: DataFrame) -> DataFrame:
@@ -115,81 +116,85 @@ def scan_decision(watch: DataFrame, now: Column) -> DataFrame:
                  .withColumn("scan_mode", F.when(direct, "quick").when(eligible, "quick_full").otherwise("full")))
 
 
+# The error texts of a scan.
+EMPTY_RESULT, NO_RESULT = "Empty result page detected", "Full scan returned None"
+TIME_LIMIT_S = 60
+
+
 def update_state(watch: DataFrame, pages: DataFrame, nodes: DataFrame, prepared: DataFrame, now: Column,
-                 analysis: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                 analysis: DataFrame | None = None, robots: DataFrame | None = None, empty: DataFrame | None = None,
+                 durations: DataFrame | None = None, limit_s: int = TIME_LIMIT_S) -> tuple[DataFrame, DataFrame]:
     """C4 for every row: returns ``(new_watch, errors)``.
 
-    Quick scan when eligible; a page_changer/not_quickscan row is analysed in
-    full inside the quick call with a plane previous type and no new full-scan
-    stamp; otherwise, or when the quick scan finds nothing, a full scan with the
-    stored type; a failed full scan records an error and clears the selectors
-    and full-scan time (``result_vl`` untouched).  The row is rewritten when the
-    stored type is empty or the link fingerprint changed; a quick match always
-    keeps the reordered selector list.
+    Quick scan when eligible; a page_changer/not_quickscan row is analysed in full inside the quick call with a plane
+    previous type and no new full-scan stamp; otherwise, or when the quick scan finds nothing, a full scan with the
+    stored type.  The row is rewritten when the stored type is empty or the link fingerprint changed; a quick match
+    always keeps the reordered selector list.
+
+    Errors (S12: ``row_id, url, message``): a full scan without result, and a result page that ``empty(url)`` names
+    as empty, clear the selectors and the full-scan time (``result_vl`` untouched) and end the row's work; rows that
+    were worked to the end and took longer than ``limit_s`` by ``durations(row_id, duration_s)`` are told as well.
     """
     if analysis is None:
-        analysis = page_analysis(pages, nodes, prepared)
+        analysis = page_analysis(pages, nodes, prepared, robots=robots)
     skipped = watch.filter(F.col("url").isNull() | (F.col("url") == ""))      # F9
     watch = watch.filter(F.col("url").isNotNull() & (F.col("url") != ""))
-    d = scan_decision(watch, now)
+    d = cut_lineage(scan_decision(watch, now))
     q = quick_scan(d.filter(F.col("scan_mode") == "quick"), pages, nodes, prepared)
-    qcols = ["css_selector", "css_selector_list", "text", "links", "result_web_type", "result_url"]
-    d = d.join(q.select("row_id", *[F.col(c).alias("q_" + c) for c in qcols]), "row_id", "left")
-    d = d.withColumn("quick_hit", F.col("q_result_url").isNotNull())
-
-    req_qf = d.filter(F.col("scan_mode") == "quick_full").select("row_id", "url")
-    qf = full_scan(req_qf, analysis, previous_type=F.lit("plane"))
-    req_f = d.filter(~F.col("quick_hit")).select("row_id", "url", "web_page_type", "scan_mode")
-    fs = full_scan(req_f.select("row_id", "url", "web_page_type"), analysis, previous_type=F.col("web_page_type"))
-    fcols = ["css_selector_list", "links", "result_web_type", "result_url", "found"]
-    d = (d.join(qf.select("row_id", *[F.col(c).alias("qf_" + c) for c in fcols]), "row_id", "left")
-          .join(fs.select("row_id", *[F.col(c).alias("f_" + c) for c in fcols]), "row_id", "left"))
-    qf_hit = F.coalesce(F.col("qf_found"), F.lit(False))
-    f_hit = F.coalesce(F.col("f_found"), F.lit(False))
-    # quick_full rows whose analysis failed fall back to the ordinary full scan
-    use_quick = F.col("quick_hit")
-    use_qf = ~use_quick & qf_hit
-    use_full = ~use_quick & ~use_qf & f_hit
-    failed = ~use_quick & ~use_qf & ~f_hit
+    qcols = ["css_selector_list", "links", "result_web_type", "result_url"]
+    d = cut_lineage(d.join(q.select("row_id", *[F.col(c).alias("q_" + c) for c in qcols]), "row_id", "left")
+                     .withColumn("quick_hit", F.col("q_result_url").isNotNull()))
 
-    def pick(name):
-        return (F.when(use_quick, F.col("q_" + name)).when(use_qf, F.col("qf_" + name))
-                .when(use_full, F.col("f_" + name)))
+    # one full scan for all rows that the quick scan did not settle
+    requests = d.filter(~F.col("quick_hit")).select("row_id", "url", "web_page_type", "scan_mode")
+    in_quick = F.col("scan_mode") == "quick_full"
+    fs = full_scan(requests, analysis, previous_type=F.when(in_quick, F.lit("plane")).otherwise(F.col("web_page_type")))
+    d = d.join(fs.select("row_id", "found", *[F.col(c).alias("f_" + c) for c in qcols]), "row_id", "left")
+    scanned = F.coalesce(F.col("found"), F.lit(False))
 
-    d = (d.withColumn("_links", pick("links"))
-          .withColumn("_list", pick("css_selector_list"))
-          .withColumn("_type", pick("result_web_type"))
-          .withColumn("_url", pick("result_url")))
+    def pick(name):
+        return F.when(F.col("quick_hit"), F.col("q_" + name)).when(scanned, F.col("f_" + name))
+
+    d = d.select("*", pick("links").alias("_links"), pick("css_selector_list").alias("_list"),
+                 pick("result_web_type").alias("_type"), pick("result_url").alias("_url"))
+    if empty is not None:
+        marked = empty.select(F.col("url").alias("_url")).distinct().withColumn("_empty", F.lit(True))
+        d = d.join(marked, "_url", "left")
+    else:
+        d = d.withColumn("_empty", F.lit(False))
+    if durations is not None:
+        d = d.join(durations.select("row_id", F.col("duration_s").alias("_took")), "row_id", "left")
+    else:
+        d = d.withColumn("_took", F.lit(None).cast("double"))
+
+    none = F.col("_url").isNull()
+    is_empty = ~none & F.coalesce(F.col("_empty"), F.lit(False))
     new_hash = TX.link_fingerprint("_links")
-    changed = ~failed & ((F.col("web_page_type") == "") | (F.col("result_vl") != new_hash))
+    d = d.select("*", none.alias("_none"), is_empty.alias("_is_empty"), (none | is_empty).alias("_failed"), new_hash.alias("_hash"))
+    failed = F.col("_failed")
+    changed = ~failed & ((F.col("web_page_type") == "") | (F.col("result_vl") != F.col("_hash")))
     now_s = D.iso_utc_string(now)
-    out = (d.withColumn("full_scan_datetime",
-                        F.when(failed, F.lit("")).when(use_full, now_s).otherwise(F.col("full_scan_datetime")))
-            .withColumn("css_selector_list",
-                        F.when(failed, F.array().cast("array<string>"))
-                        .when(changed | use_quick, F.col("_list")).otherwise(F.col("css_selector_list")))
-            .withColumn("updated_datetime", F.when(changed, now_s).otherwise(F.col("updated_datetime")))
-            .withColumn("web_page_type", F.when(changed, F.col("_type")).otherwise(F.col("web_page_type")))
-            .withColumn("url", F.when(changed, F.col("_url")).otherwise(F.col("url")))
-            .withColumn("result_vl", F.when(changed, new_hash).otherwise(F.col("result_vl"))))
-    errors = out.filter(failed).select(F.col("row_id"), F.col("url"),
-                                       F.lit("Full scan returned None").alias("message"))
-    keep = ["row_id", "url", "run_code", "result_vl", "updated_datetime", "full_scan_datetime",
-            "css_selector_list", "web_page_type", "image_filename"]
-    return out.select(*keep).unionByName(skipped.select(*keep)), errors
-
-
-def timeout_errors(durations: DataFrame, limit_s: float = 60.0, url: str = "url",
-                   duration: str = "duration_s") -> DataFrame:
-    """S12 time-limit rows: reported after the work, only for scans that ran to the end."""
-    msg = F.format_string("Processing time exceeded %s sec -> %.2f sec", F.lit(str(int(limit_s))), F.col(duration))
-    return durations.filter(F.col(duration) > limit_s).select(url, msg.alias("message"))
+    stamped = ~F.col("quick_hit") & (F.col("scan_mode") != "quick_full")
+    out = d.select(
+        "row_id", F.when(changed, F.col("_url")).otherwise(F.col("url")).alias("url"), "run_code",
+        F.when(changed, F.col("_hash")).otherwise(F.col("result_vl")).alias("result_vl"),
+        F.when(changed, now_s).otherwise(F.col("updated_datetime")).alias("updated_datetime"),
+        F.when(failed, F.lit("")).when(stamped, now_s).otherwise(F.col("full_scan_datetime")).alias("full_scan_datetime"),
+        F.when(failed, F.array().cast("array<string>")).when(changed | F.col("quick_hit"), F.col("_list"))
+         .otherwise(F.col("css_selector_list")).alias("css_selector_list"),
+        F.when(changed, F.col("_type")).otherwise(F.col("web_page_type")).alias("web_page_type"), "image_filename")
+    ended = (F.when(F.col("_none"), F.lit(NO_RESULT)).when(F.col("_is_empty"), F.lit(EMPTY_RESULT)))
+    early = d.where(failed).select("row_id", "url", ended.alias("message"))
+    late = d.where(~failed & (F.col("_took") > limit_s)).select(
+        "row_id", "url", F.concat(F.lit(f"Processing time exceeded {limit_s} sec -> "), TX.py_fixed("_took", 2), F.lit(" sec")).alias("message"))
+    errors = early.unionByName(late) if durations is not None else early
+    return out.unionByName(skipped.select(*out.columns)), errors
 
 
 def zip_positional(urls: DataFrame, images: DataFrame) -> DataFrame:
-    """Pair changed URLs with screenshot ids by position (full outer on ``pos``);
+    """Pair changed URLs with their screenshots by position (full outer on ``pos``);
     a missing image gets no id (the digest shows the placeholder)."""
-    return urls.select("pos", "url").join(images.select("pos", "image_cid"), "pos", "full")
+    return urls.join(images, "pos", "full")
 
 
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -209,11 +214,34 @@ def set_image_names(watch: DataFrame, images: DataFrame, order: str | None = Non
 
 
 def monitoring_run(watch: DataFrame, pages: DataFrame, now: Column, nodes: DataFrame | None = None,
-                   prepared: DataFrame | None = None, analysis: DataFrame | None = None):
-    """Returns ``(new_watch, changed_rows, errors)``; the run code is stamped on every row."""
+                   prepared: DataFrame | None = None, analysis: DataFrame | None = None, robots: DataFrame | None = None,
+                   empty: DataFrame | None = None, durations: DataFrame | None = None):
+    """C4 for every row, then J4: returns ``(new_watch, changed_rows, errors)``; the run code is on every row."""
     if prepared is None:
         nodes, prepared = FS.prepare(pages, nodes)
-    new, errors = update_state(watch, pages, nodes, prepared, now, analysis=analysis)
-    changed = changes(watch, new)
-    new = new.withColumn("run_code", D.iso_utc_string(now))
+    new, errors = update_state(watch, pages, nodes, prepared, now, analysis, robots, empty, durations)
+    new, errors = cut_lineage(new.withColumn("run_code", D.iso_utc_string(now))), cut_lineage(errors)
+    return new, changes(watch, new), errors
+
+
+def monitor(spark: SparkSession, watch_path: str, pages: DataFrame, now: Column, out: str, images: DataFrame | None = None,
+            **scan) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """C5 from file to file: the watch list at ``watch_path`` (S1) is scanned (C4) and compared (J4), the changed rows take
+    the images of their positions (``images(pos, image_path, image_cid)``: J9, J10), and three documents are written
+    below ``out``: ``watch`` (S3), ``update`` (S10) and ``errors`` (S11; both absent when they would have no item).
+    Returns the new watch list, the changed rows with their image ids, and the errors."""
+    watch = cut_lineage(WL.read_json(spark, watch_path))
+    new, changed, errors = monitoring_run(watch, pages, now, **scan)
+    changed = cut_lineage(positions(changed, ["row_id"], "pos"))
+    if images is not None:
+        pairs = zip_positional(changed, images.select("pos", "image_path", "image_cid")).where("url is not null")
+        new = cut_lineage(set_image_names(new, pairs.where("image_path is not null"), "pos"))
+        changed = cut_lineage(pairs)
+    else:
+        changed = changed.withColumn("image_cid", F.lit(None).cast("string"))
+    WL.write_json(new, f"{out}/watch")
+    for name, lines, sep in (("update", DG.update_digest(changed.withColumn("run", F.lit(0)), "run", "pos"), ""),
+                             ("errors", DG.error_digest(errors.withColumn("run", F.lit(0)), "run", "row_id"), "\n")):
+        if not lines.isEmpty():
+            DG.write_document(lines, f"{out}/{name}", sep)
     return new, changed, errors

@@ -8,11 +8,14 @@ valid items (A3-A5) -> relevance of each item's text to the page's query (C8)
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as TX
+from ..functions import urls as U
 from ..operators import dom as DOM
 from ..operators import quality as Q
 from ..operators import relevance as R
@@ -23,19 +26,21 @@ LABELS = {"empty": "EMPTY", "low": "LOW QUALITY", "invalid": "INVALID", "none":
 
 
 def evaluate(pages: DataFrame, queries: DataFrame, nodes: DataFrame, prepared: DataFrame,
-             main: DataFrame | None = None, semantic: DataFrame | None = None) -> DataFrame:
-    """C6 for every page with a main content.  ``queries(page_id, query)``."""
+             main: DataFrame | None = None, semantic: DataFrame | None = None, rules: Q.Rules = Q.RULES,
+             model: Callable | None = None) -> DataFrame:
+    """C6 for every page with a main content.  ``queries(page_id, query)``; ``rules`` override the rule table (S7),
+    ``model`` or ``semantic`` bring the semantic score of the items."""
     if main is None:
         main = FS.main_content(pages, prepared, nodes)
-    nr = Q.no_results(main, prepared, pages)
+    nr = Q.no_results(main, prepared, pages, rules=rules)
     cont = Q.result_container(prepared, main)
-    items = Q.result_items(prepared, cont)
+    items = Q.result_items(prepared, cont, rules)
     counts = Q.quantify(items, main)
     # texts of the valid items (disjoint subtrees -> one interval each)
     roots = items.select("page_id", F.col("node_id").alias("root_id"), F.col("subtree_end").alias("root_end"))
     item_text = DOM.subtree_text(nodes, roots).withColumnRenamed("root_id", "node_id")
     scored = R.score_relevance(item_text.select("page_id", "node_id", "text"), queries, "page_id", "node_id",
-                               "text", semantic=semantic)
+                               "text", semantic=semantic, model=model)
     stats = scored.groupBy("page_id").agg(F.avg("relevance_score").alias("avg_relevance"),
                                           F.var_pop("relevance_score").alias("relevance_variance"),
                                           F.max("relevance_score").alias("max_relevance"))
@@ -79,13 +84,42 @@ def result_urls(nodes: DataFrame, pages: DataFrame, block_class: str = "g", limi
     return top_n_per_group(first, ["page_id"], [F.col("pos").asc()], limit, rank_col="rank")
 
 
-def process_content(pages: DataFrame, main: DataFrame) -> DataFrame:
-    """C10 + P24 + P14: main text, author/date from meta tags when present, credibility."""
-    meta_author = F.regexp_extract("html", r'<meta\s+name="author"\s+content="([^"]*)"', 1)
-    meta_date = F.regexp_extract("html", r'<meta\s+property="article:published_time"\s+content="([^"]*)"', 1)
-    p = pages.select("page_id", "url", F.nullif(meta_author, F.lit("")).alias("author"),
-                     F.nullif(meta_date, F.lit("")).alias("date"),
-                     F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1).alias("sitename"))
+#: What holds no tags of the page itself; a tag with its attributes; an attribute of it, with either quotes or none.
+_NO_TAGS = r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>"
+_META_TAG = r"(?is)<meta\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
+_ATTRIBUTE = r"(?is)\s{}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+_ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    value = F.concat(*(F.regexp_extract(tag, _ATTRIBUTE.format(name), i) for i in (1, 2, 3)))
+    for entity, char in _ENTITIES:
+        value = F.replace(value, F.lit(entity), F.lit(char))
+    return value
+
+
+def meta_content(html, attribute: str, value: str) -> Column:
+    """The content of the page's first ``meta`` tag whose ``attribute`` is ``value``, whatever the order and quotes of
+    its attributes; null without such a tag, or where its content is empty."""
+    bare = F.regexp_replace(F.col(html) if isinstance(html, str) else html, _NO_TAGS, "")
+    first = F.get(F.filter(F.regexp_extract_all(bare, F.lit(_META_TAG), F.lit(0)), lambda t: _attribute(t, attribute) == value), F.lit(0))
+    return F.nullif(_attribute(first, "content"), F.lit(""))
+
+
+AUTHOR, PUBLISHED = ("name", "author"), ("property", "article:published_time")
+
+
+def process_content(pages: DataFrame, main: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """C10 + P24 + P14: main text, author, date, credibility.  ``extracted(page_id, author, date, sitename)`` is what an
+    extractor found; what it left empty falls back to the page's ``meta`` tags (the site name to the host)."""
+    p = pages.select("page_id", "url", meta_content("html", *AUTHOR).alias("_author"),
+                     meta_content("html", *PUBLISHED).alias("_date"), U.netloc("url").alias("_sitename"))
+    names = ("author", "date", "sitename")
+    if extracted is not None:
+        p = p.join(extracted.select("page_id", *names), "page_id", "left")
+    else:
+        p = p.select("*", *[F.lit(None).cast("string").alias(c) for c in names])
+    p = p.select("page_id", "url", *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.col("_" + c)).alias(c) for c in names])
     out = p.join(main.select("page_id", "text"), "page_id", "left")
     return out.withColumn("final_url", F.col("url")).withColumn(
         "credibility_score", S.credibility("final_url", "author", "date"))

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "pagewise",
@@ -59,6 +61,35 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
+def written(df, label: str = "table"):
+    """Cut the lineage with a table written to the shared folder; later reads of it are pruned and pushed down."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark, allow_local_default=_is_local(spark)).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored_by(df, key: str, sort: list[str], label: str):
+    """Write ``df`` to the shared folder bucketed by ``key`` and sorted, one file a bucket.  Joins, windows and
+    aggregates by ``key`` then need no exchange of this side, and only the columns they name are read."""
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark, allow_local_default=_is_local(spark)).rstrip('/')}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartition(n, key).sortWithinPartitions(*sort)
+    placed.write.format("parquet").option("path", path).bucketBy(n, key).sortBy(*sort).saveAsTable(name)
+    return spark.table(name)
+
+
+#: A table is broadcast only when its counted rows times their width stay below this.
+BROADCAST_BYTES = 32 << 20
+
+
+def broadcast_if_small(df, row_bytes: int):
+    """``broadcast`` a table that is cheap to count when its row count proves it small; else leave the join to Spark."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.rank import positions
+
 WATCH_SCHEMA = T.StructType([
     T.StructField("row_id", T.LongType()),
     T.StructField("url", T.StringType()),
@@ -40,30 +42,39 @@ def normalize(df: DataFrame) -> DataFrame:
     return out.withColumn("css_selector_list", F.coalesce("css_selector_list", F.array().cast("array<string>")))
 
 
-def read_json(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """One file with a JSON array of records; a record without ``row_id`` takes its position in the array.
-    An absent file, or one that is no JSON array, gives an empty watch list.
-
-    With ``multiline=False``, JSON Lines, which Spark splits: lines have no position, so records need ``row_id``."""
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """A JSON array of records, in one file or in the part files that :func:`write_json` makes of one.  A record
+    without ``row_id`` takes its position in the array.  An absent file, or one that is no JSON array, gives an empty
+    watch list."""
     try:
-        if not multiline:
-            return normalize(spark.read.schema(WATCH_SCHEMA).json(path))
         texts = spark.read.text(path, wholetext=True)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return normalize(spark.createDataFrame([], WATCH_SCHEMA))
-    arrays = texts.where(F.col("value").rlike(r"^\s*\["))
-    records = arrays.select(F.posexplode(F.from_json("value", T.ArrayType(WATCH_SCHEMA))).alias("pos", "r"))
-    return normalize(records.select("pos", "r.*").withColumn("row_id", F.coalesce("row_id", F.col("pos").cast("long"))))
+    array = F.from_json("value", T.ArrayType(WATCH_SCHEMA))
+    first = r"\A\[\n"
+    texts = texts.select("value", F.when(F.col("value").rlike(r"\A\s*\["), array).alias("records"))
+    whole = (texts.where("records is not null").select(F.posexplode("records").alias("pos", "r"))
+             .select(F.coalesce("r.row_id", F.col("pos").cast("long")).alias("row_id"), F.struct("r.*").dropFields("row_id").alias("r"))
+             .where("r is not null").select("row_id", "r.*"))
+    if texts.where(F.col("value").rlike(first) & F.col("records").isNull()).isEmpty():
+        return normalize(whole)
+    # parts of one array: a record a line
+    lines = spark.read.text(path).where(F.col("value").rlike(r"^,?\{.*\}$"))
+    part = F.from_json(F.regexp_replace("value", "^,", ""), WATCH_SCHEMA)
+    return normalize(lines.select(part.alias("r")).where("r is not null").select("r.*"))
 
 
 def read_legacy_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless 7-column CSV; the selector is one string; page type '0.0' means none."""
+    """Headerless 7-column CSV; the selector is one string; page type '0.0' means none; ``row_id`` is the row's
+    position in the file (of several files, in the order of their names), however Spark splits it."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in LEGACY_CSV_COLUMNS])
     df = spark.read.schema(schema).csv(path, header=False)
-    df = (df.withColumn("row_id", F.monotonically_increasing_id())
-            .withColumn("css_selector_list",
+    df = df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_at"),
+                   F.monotonically_increasing_id().alias("_seq"))
+    df = positions(df, ["_file", "_at", "_seq"], "row_id").drop("_file", "_at", "_seq")
+    df = (df.withColumn("css_selector_list",
                         F.when(F.coalesce(F.col("css_selector_list"), F.lit("")) == "", F.array().cast("array<string>"))
                         .otherwise(F.array("css_selector_list")))
             .withColumn("web_page_type", F.when(F.col("web_page_type").isin("0.0", ""), F.lit(""))
@@ -77,7 +88,17 @@ def stamp_run(df: DataFrame, run_code) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """S3: one JSON array in ``row_id`` order, a record a line.  Its part files, read in the order of their names, are
+    the document; :func:`read_json` reads the folder back as it was."""
+    least = df.agg(F.min(F.coalesce("row_id", F.lit(-1)))).first()[0]
+    record = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    pos = F.coalesce("row_id", F.lit(-1))
+    comma = F.when(pos == F.lit(least), F.lit("")).otherwise(F.lit(","))
+    rows = df.select(F.lit(1).alias("section"), pos.alias("pos"), F.concat(comma, record).alias("value"))
+    spark = df.sparkSession
+    frame = spark.createDataFrame([(0, 0, "["), (2, 0, "]")], "section int, pos long, value string")
+    ordered = rows.unionByName(frame).repartitionByRange("section", "pos").sortWithinPartitions("section", "pos")
+    ordered.select("value").write.mode("overwrite").text(path)
 
 
 def latest_per_domain(snapshots: DataFrame, domain: str = "domain", order: str = "scanned_at") -> DataFrame:

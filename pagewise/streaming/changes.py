@@ -1,95 +1,78 @@
 """Continuous change detection on Structured Streaming.
 
-A stream of page snapshots ``(page_id, url, html)`` is processed per
-micro-batch with ``foreachBatch``: the batch is analysed with the same batch
-plan as the monitoring run (DOM nodes -> main content -> link fingerprint),
-then merged into a keyed state table (last fingerprint, selectors, page type,
-last full-scan time per url).  A row is emitted when the fingerprint of a url
-differs from its stored one (or the url is new).
-
-State and outputs live in the shared folder named by ``spark.checkpoint.dir``;
-each batch writes a new state version and its change rows under its batch id,
-so a replayed batch overwrites its own output (idempotent, survives restarts).
+A stream of page snapshots ``(page_id, url, html)`` is processed per micro-batch with ``foreachBatch``.  A batch is one
+monitoring run (C5) over the watch rows of the pages it brings: their state is looked up in a keyed table, a page without
+state starts as a new row, and only rows that the run changed are written back.  Change and error rows are written
+under the batch's number, so that a batch run again after a failure writes what it wrote before.
+
+The state has one row per URL.  A run may move a row to another URL (pagination): the old key is removed.  Of several
+snapshots of a URL in one batch the one with the largest ``page_id`` counts; the others are of no use to anyone.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as TX
-from ..functions import times as D
-from ..plans import full_scan as FS
 from ..plans import monitoring as MON
-from ..session import ensure_checkpoint_dir
-
-STATE_COLS = ["url", "result_vl", "css_selector_list", "web_page_type", "full_scan_datetime", "batch_id"]
-
-
-def batch_fingerprints(pages: DataFrame, now) -> DataFrame:
-    """Full-scan result per snapshot url: fingerprint, selectors, type, scan time."""
-    nodes, prep = FS.prepare(pages, cut=True)
-    analysis = MON.page_analysis(pages, nodes, prep)
-    req = pages.select(F.col("page_id").alias("row_id"), "url")
-    res = MON.full_scan(req, analysis)
-    return (res.filter("found")
-               .select(F.col("result_url").alias("url"),
-                       TX.link_fingerprint("links").alias("result_vl"),
-                       "css_selector_list", F.col("result_web_type").alias("web_page_type"),
-                       D.iso_utc_string(now).alias("full_scan_datetime")))
-
-
-def merge_state(state: DataFrame | None, batch: DataFrame, batch_id: int):
-    """MERGE of one batch into the state: returns ``(new_state, changes)``."""
-    b = batch.groupBy("url").agg(F.max_by(F.struct(*[c for c in batch.columns if c != "url"]),
-                                          F.col("full_scan_datetime")).alias("_b")).select("url", "_b.*")
-    b = b.withColumn("batch_id", F.lit(batch_id).cast("long"))
-    if state is None:
-        return b, b.select("url", "result_vl", F.lit(True).alias("is_new"), "batch_id")
-    old = state.select("url", F.col("result_vl").alias("_old"))
-    changes = (b.join(old, "url", "left")
-                .filter(~F.col("_old").eqNullSafe(F.col("result_vl")))
-                .select("url", "result_vl", F.col("_old").isNull().alias("is_new"), "batch_id"))
-    kept = state.join(b.select("url"), "url", "left_anti")
-    return kept.unionByName(b.select(*STATE_COLS)), changes
+from ..session import cut_lineage, ensure_checkpoint_dir
+from ..sources.watchlist import WATCH_SCHEMA, normalize
+from .state import KeyedTable
+
+CHANGE_COLS = ["url", "new_url", "result_vl", "is_new"]
+
+
+def newest_snapshots(batch: DataFrame) -> DataFrame:
+    """One snapshot per URL of a batch."""
+    pages = batch.where(F.col("url").isNotNull() & (F.col("url") != ""))
+    best = pages.groupBy("url").agg(F.max_by(F.struct("page_id", "html"), "page_id").alias("p"))
+    return best.select("p.page_id", "url", "p.html")
 
 
 class ChangeDetector:
-    """foreachBatch sink holding the state table in the shared folder."""
-
-    def __init__(self, spark: SparkSession, base: str, now=None):
-        self.spark = spark
-        self.base = base.rstrip("/")
-        self.now = now
-
-    def state_path(self, batch_id: int) -> str:
-        return f"{self.base}/state/batch_id={batch_id}"
-
-    def _latest_state(self, batch_id: int) -> DataFrame | None:
-        try:
-            st = self.spark.read.parquet(f"{self.base}/state")
-        except Exception:  # noqa: BLE001  (no state yet)
-            return None
-        prev = st.filter(F.col("batch_id") < batch_id).agg(F.max("batch_id")).first()[0]
-        if prev is None:
-            return None
-        return st.filter(F.col("batch_id") == prev).drop("batch_id").withColumn("batch_id", F.lit(prev).cast("long"))
+    """foreachBatch sink: the state in ``base/state``, change and error rows in ``base/changes`` and ``base/errors``."""
+
+    def __init__(self, spark: SparkSession, base: str, now: Column | None = None, robots: DataFrame | None = None,
+                 compact_every: int = 20):
+        self.spark, self.base, self.now, self.robots = spark, base.rstrip("/"), now, robots
+        self.state = KeyedTable(spark, f"{self.base}/state", WATCH_SCHEMA, "url", compact_every=compact_every)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        now = self.now if self.now is not None else F.current_timestamp()
-        fp = batch_fingerprints(batch, now)
-        new_state, changes = merge_state(self._latest_state(batch_id), fp, batch_id)
-        new_state.drop("batch_id").write.mode("overwrite").parquet(self.state_path(batch_id))
-        changes.drop("batch_id").write.mode("overwrite").parquet(f"{self.base}/changes/batch_id={batch_id}")
+        now = self.now if self.now is not None else F.lit(self.spark.sql("select current_timestamp()").first()[0])
+        pages = cut_lineage(newest_snapshots(batch))
+        known = self.state.lookup(pages.select("url"), batch_id).drop("row_id")
+        watch = pages.select(F.col("page_id").alias("row_id"), "url").join(
+            known.withColumn("is_known", F.lit(True)), "url", "left")
+        watch = cut_lineage(watch)
+        is_new = watch.select("row_id", F.col("is_known").isNull().alias("is_new"), F.col("url").alias("old_url"))
+        before = normalize(watch.drop("is_known"))
+        new, changed, errors = MON.monitoring_run(before, pages, now, robots=self.robots)
+        new = cut_lineage(new)
+        moved = new.join(is_new, "row_id")
+        gone = moved.where("old_url != url").select("old_url")
+        # several rows may have moved to one URL: the one with the largest id is its state from now on
+        rows = new.groupBy("url").agg(F.max_by(F.struct(*new.columns), "row_id").alias("r")).select("r.*")
+        self.state.put(self._differing(rows, before), gone, batch_id)
+        told = (changed.select("row_id").join(moved, "row_id")
+                .select(F.col("old_url").alias("url"), F.col("url").alias("new_url"), "result_vl", "is_new"))
+        told.write.mode("overwrite").parquet(f"{self.base}/changes/batch_id={batch_id}")
+        errors.select("url", "message").write.mode("overwrite").parquet(f"{self.base}/errors/batch_id={batch_id}")
+
+    @staticmethod
+    def _differing(rows: DataFrame, before: DataFrame) -> DataFrame:
+        """Rows that differ from the state they had; the run code, stamped on all, is no difference."""
+        cols = [c for c in WATCH_SCHEMA.names if c not in ("row_id", "run_code")]
+        old = before.select("row_id", F.struct(*cols).alias("old"))
+        return rows.join(old, "row_id", "left").where(~F.struct(*cols).eqNullSafe(F.col("old"))).drop("old")
 
 
 def start(spark: SparkSession, source_dir: str, schema: str = "page_id long, url string, html string",
           base: str | None = None, now=None, available_now: bool = True, max_files_per_trigger: int | None = None,
-          file_glob: str | None = None):
+          file_glob: str | None = None, robots: DataFrame | None = None, compact_every: int = 20):
     """Start the change-detection stream over parquet snapshot files in ``source_dir``
-    (optionally only files matching ``file_glob``)."""
+    (optionally only files matching ``file_glob``).  Started again with the same ``base``, it goes on where it was."""
     root = base or f"{ensure_checkpoint_dir(spark, allow_local_default=spark.sparkContext.master.startswith('local'))}/x2-{uuid.uuid4().hex}"
     reader = spark.readStream.schema(schema)
     if file_glob:
@@ -97,7 +80,7 @@ def start(spark: SparkSession, source_dir: str, schema: str = "page_id long, url
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = reader.parquet(source_dir)
-    sink = ChangeDetector(spark, root, now)
+    sink = ChangeDetector(spark, root, now, robots, compact_every)
     w = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/_checkpoint")
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start(), root

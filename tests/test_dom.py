@@ -1,4 +1,8 @@
-"""Tree fixtures: sample scored tree, pre-order, refinement, result containers, no-results."""
+"""Trees of our own: main content against a walk of each tree, parsing, result containers, no-results."""
+
+import math
+import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,44 +19,106 @@ PREP_SCHEMA = (f"page_id long, node_id int, parent_id int, subtree_end int, dept
                f"n_words int, page_w double, page_h double")
 
 
-def sample_tree(spark):
-    # node, parent, end, depth, tag, text length, rect
-    rows = [(0, None, 6, 0, "body", 0, (0, 0, 1000, 1000)), (1, 0, 1, 1, "header", 0, (0, 0, 1000, 100)),
-            (2, 0, 5, 1, "main", 1, (100, 100, 800, 600)), (3, 2, 4, 2, "article", 1, (150, 150, 700, 500)),
-            (4, 3, 4, 3, "p", 100, (200, 200, 600, 400)), (5, 2, 5, 2, "aside", 0, (850, 150, 100, 500)),
-            (6, 0, 6, 1, "footer", 0, (0, 700, 1000, 100))]
-    data = [(1, n, p, e, d, t, "", {}, t, tuple(float(v) for v in r), 0, tl, 0, 1000.0, 1000.0)
-            for n, p, e, d, t, tl, r in rows]
-    return spark.createDataFrame(data, PREP_SCHEMA)
-
-
-def test_candidates_sample_tree(spark):
-    c = FS.candidates(sample_tree(spark)).select("tag", "cand_score").collect()
-    scores = {r.tag: r.cand_score for r in c}
-    assert set(scores) == {"main", "article", "p"}          # header/aside/footer/body never candidates
-    assert scores["main"] == pytest.approx(0.50719, abs=1e-5)
-    assert scores["p"] == pytest.approx(0.00592, abs=1e-5)
-    assert scores["article"] == pytest.approx(0.00424, abs=1e-5)
-    top = FS.top_candidate(FS.candidates(sample_tree(spark))).first()
-    assert top.tag == "main"
-
-
-def test_depth_prefers_child(spark):
-    rect = (100.0, 100.0, 100.0, 100.0)
-    data = [(1, 0, None, 1, 1, "div", "", {}, "div", rect, 0, 1, 1, 1000.0, 1000.0),
-            (1, 1, 0, 1, 2, "div", "", {}, "div", rect, 0, 1, 1, 1000.0, 1000.0)]
-    df = spark.createDataFrame(data, PREP_SCHEMA)
-    roots = df.filter("node_id = 0").select("page_id", F.col("node_id").alias("root_id"),
-                                              F.col("subtree_end").alias("root_end"),
-                                              F.col("rect").alias("root_rect"), F.lit(0).alias("root_depth"))
-    s = {r.node_id: r.score for r in FS._rescore(df, roots, DS.CURRENT).collect()}
-    assert s[1] > s[0]
+TAGS = ["div", "section", "ul", "li", "p", "nav", "main", "span", "header", "article", "h2"]
+
+
+def _tree(rnd, page, n):
+    """A random tree in document order with boxes of its own: ``n`` elements below a body, some without a box."""
+    parent, depth = [None], [0]
+    for i in range(1, n):
+        at = i - 1
+        while at and rnd.random() < 0.45:
+            at = parent[at]
+        parent.append(at)
+        depth.append(depth[at] + 1)
+    end = list(range(n))
+    for i in range(n - 1, 0, -1):
+        end[parent[i]] = max(end[parent[i]], end[i])
+    rows = []
+    for i in range(n):
+        box = tuple(float(rnd.randrange(0, 900)) for _ in range(4)) if rnd.random() < 0.93 else None
+        tag, name = ("body" if not i else rnd.choice(TAGS)), rnd.choice(["", "", "", "main-1", f"n{i}"])
+        selector = f"{tag}#{name}" if name else tag if rnd.random() < 0.9 else ""
+        rows.append((page, i, parent[i], end[i], depth[i], tag, name, {"id": name} if name else {}, selector, box, rnd.randrange(0, 15),
+                     rnd.choice([0, 5, 40, 300, 2500]), 0, 1200.0, 800.0))
+    return rows
+
+
+def _density(box, w, h, links, text, profile):
+    """The base score of a box against a reference box, worked out by the standard library."""
+    x, y, bw, bh = box or (0, 0, 0, 0)
+    share = bw * bh / (w * h if w * h > 0 else 1)
+    score = math.exp(-((share - profile.occupancy_peak) / profile.occupancy_sigma) ** 2 / 2)
+    xn, wn = ((x + bw / 2) / w, bw / w) if box and w > 0 else (0, 0)
+    yn, hn = (y / h, bh / h) if box and h > 0 else (0, 0)
+    score *= statistics.NormalDist(0.5, 0.35).pdf(xn) * statistics.NormalDist(0.5, 0.35).pdf(yn) * min(hn, 0.9) ** 1.5
+    score *= wn ** 5.7 * math.exp(-wn / 0.11) / (math.gamma(6.7) * 0.11 ** 6.7) if wn > 0 else 0
+    if profile.legacy_links:
+        return score * 0.2 * min(links, 5)
+    link = math.exp(-((links - 6) / (5 if links <= 6 else 30)) ** 2 / 2) if links else 0.1
+    words = math.exp(-((text - 50) / (40 if text <= 50 else 1000)) ** 2 / 2) ** 1.5 if text else 0
+    return score * link * words
+
+
+def _brute_main_content(rows, profile):
+    """Candidates, refinement and selectors of one page, node by node: (candidates, winner, moves, selectors)."""
+    by = {r[1]: r for r in rows}
+    scores = {}
+    for r in rows:
+        box = r[9]
+        if r[5].upper() not in profile.invalid_tags and (box[2] * box[3] if box else 0) >= 0.05:
+            bonus = 0.5 if r[5] == "main" or "main" in r[7].get("id", "") else 0
+            scores[r[1]] = _density(box, 1200, 800, r[10], r[11], profile) + bonus
+    if not scores:
+        return {}, None
+    best = min(scores, key=lambda i: (-scores[i], by[i][4], i))
+    moves, listed = 0, []
+    while moves < profile.max_moves:
+        root = by[best]
+        w, h = root[9][2:] if root[9] else (0, 0)
+        listed = []
+        for i in range(best, root[3] + 1):
+            r, d = by[i], by[i][4] - root[4]
+            s = _density(r[9], w, h, r[10], r[11], profile) * 4 ** (d / profile.depth_max)
+            listed += [(-s, g, i) for g in range(d + 1 if profile.repeat_rescored else 1)]
+        listed.sort()
+        own = next(-s for s, _, i in listed if i == best)
+        if -listed[0][0] <= own:
+            break
+        best, moves = listed[0][2], moves + 1
+    return scores, (best, moves, [by[i][8] for _, _, i in listed[1:4] if by[i][8]])
+
+
+@pytest.mark.parametrize("profile", [DS.CURRENT], ids=lambda p: p.name)
+def test_main_content_against_a_walk_of_each_tree(spark, profile):
+    rnd = random.Random(11)
+    trees = {page: _tree(rnd, page, rnd.choice([1, 2, 9, 60, 150])) for page in range(40)}
+    prepared = spark.createDataFrame([r for t in trees.values() for r in t], PREP_SCHEMA)
+    pages = spark.createDataFrame([(p, f"http://e.example/{p}") for p in trees], "page_id long, url string")
+    got = {}
+    for r in FS.candidates(prepared, profile).collect():
+        got.setdefault(r.page_id, {})[r.node_id] = r.cand_score
+    main = {r.page_id: r for r in FS.main_content(pages, prepared, profile=profile).collect()}
+    moved = 0
+    for page, rows in trees.items():
+        scores, end = _brute_main_content(rows, profile)
+        assert got.get(page, {}) == pytest.approx(scores)
+        if end is None:
+            assert page not in main
+            continue
+        node, moves, selectors = end
+        own = rows[node][8]
+        assert (main[page].node_id, main[page].moves) == (node, moves)
+        assert main[page].css_selector_list == ([own] if own and own not in selectors else []) + selectors
+        moved += moves > 0
+    assert moved >= 5
 
 
 def test_preorder_parse():
-    html = "<body><header></header><main><article><p>x</p><img src=a></article><aside></aside></main><footer></footer></body>"
+    html = "<body><ul><li>one<li><em>two</em><br></ul><!-- no --><table><tr><td>3</table><hr></body>"
     tags = [n[3] for n in parse_html(html) if n[3] != "#text"]
-    assert tags == ["body", "header", "main", "article", "p", "img", "aside", "footer"]
+    assert tags == ["body", "ul", "li", "li", "em", "br", "table", "tbody", "tr", "td", "hr"] or tags == [
+        "body", "ul", "li", "li", "em", "br", "table", "tr", "td", "hr"]
 
 
 def test_implied_closes():
@@ -75,51 +141,46 @@ def test_refinement_moves_to_better_child_and_stops(spark):
     assert mc.text.strip() != ""
 
 
-def _results_page(spark, items_html):
-    html = ("<body><main><div class='results-list'>" + items_html + "<div class='ad-container'>ad</div></div>"
-            "</main></body>")
-    pages = spark.createDataFrame([(1, "http://s.com/q", html)], "page_id long, url string, html string")
+def _page(spark, body):
+    pages = spark.createDataFrame([(1, "http://find.example/?q=1", f"<body>{body}</body>")], "page_id long, url string, html string")
     nodes, prep = FS.prepare(pages, cut=False)
-    main = prep.filter("tag = 'main'").select("page_id", "node_id", "subtree_end")
-    return pages, nodes, prep, main
-
-
-def test_result_container_and_items(spark):
-    good = "<div class='result-item'><a href='/r'>link</a> " + "one two three four five six seven eight nine ten" + "</div>"
-    items = good + good + "<div class='result-item'>Short.</div>"
-    pages, nodes, prep, main = _results_page(spark, items)
-    c = Q.result_container(prep, main).first()
-    tag = prep.filter(F.col("node_id") == c.container_id).first()
-    assert tag.attributes["class"] == "results-list"
-    assert c.container_score == pytest.approx(9 / 4)
-    q = Q.quantify(Q.result_items(prep, Q.result_container(prep, main)), main).first()
-    assert q.result_count == 2
+    return pages, nodes, prep, prep.filter("id = 'found'").select("page_id", "node_id", "subtree_end")
 
 
-def test_no_container_without_repeats(spark):
-    pages, nodes, prep, main = _results_page(spark, "<div class='a'>x</div><div class='b'>y</div>")
-    assert Q.result_container(prep, main).count() == 0
-    q = Q.quantify(Q.result_items(prep, Q.result_container(prep, main)), main).first()
-    assert q.result_count == 0 and q.result_item_ids == []
+TEN = "eins zwei drei vier fünf sechs sieben acht neun"
+CARDS = "".join(f"<li class='card'><a href='/{i}'>zehn</a> {TEN}</li>" for i in range(4))
 
 
-@pytest.mark.parametrize("text,no_sel,expected,result", [
-    ("Sorry, no results found for your query.", False, False, True),
-    ("other", True, False, True),
-    ("other", False, True, False),
-    ("other", False, False, True),
+@pytest.mark.parametrize("body,score,items", [
+    (f"<ol id='found' class='k'>{CARDS}<li class='more'>x</li></ol>", 16 / 5, 4),
+    (f"<div id='found'><p>a</p><ol>{CARDS}</ol><ul><li class='z'>1</li><li class='z'>2</li></ul></div>", 4.0, 4),
+    (f"<div id='found'><ul><li class='z'>1</li><li class='z'>2</li></ul><ol><li class='y'>{TEN} zehn</li><li class='y'><a href=''>n</a> {TEN}</li></ol></div>", 2.0, 0),
+    ("<div id='found'><p class='a b'>1</p><p class='b a'>2</p><p>3</p><p>4</p></div>", None, 0),   # no class value twice, none is none
+    ("<div id='found'><p class='a'>1</p></div>", None, 0),
+    (f"<div id='found'>x</div><ol>{CARDS}</ol>", None, 0),                                          # outside the main content
 ])
-def test_no_results_triage(spark, text, no_sel, expected, result):
-    body = f"<main><p>{text}</p></main>"
-    if no_sel:
-        body += "<div class='no-results'>-</div>"
-    if expected:
-        body += "<div class='search-results'>-</div>"
-    pages = spark.createDataFrame([(1, "http://s.com/q", f"<body>{body}</body>")], "page_id long, url string, html string")
-    nodes, prep = FS.prepare(pages, cut=False)
-    mroot = prep.filter("tag = 'main'").select("page_id", F.col("node_id").alias("root_id"),
-                                               F.col("subtree_end").alias("root_end"))
-    main = DOM.subtree_text(nodes, mroot).withColumnRenamed("root_id", "node_id")
+def test_result_container_and_items(spark, body, score, items):
+    pages, nodes, prep, main = _page(spark, body)
+    found = Q.result_container(prep, main).collect()
+    assert [r.container_score for r in found] == ([] if score is None else [pytest.approx(score)])
+    q = Q.quantify(Q.result_items(prep, Q.result_container(prep, main)), main).first()
+    assert q.result_count == items == len(q.result_item_ids)
+    assert q.result_item_ids == sorted(q.result_item_ids)
+
+
+@pytest.mark.parametrize("text,more,result", [
+    ("Sadly, NOTHING found here", "<ul class='search-results'></ul>", True),            # the text speaks first
+    ("すみません、検索結果がありません。", "", True),
+    ("twelve hits", "<p class='x empty-state'>-</p><ul class='search-results'></ul>", True),   # then a selector for none
+    ("twelve hits", "<i data-qa='no-results-found'></i>", True),
+    ("twelve hits", "<b data-qa='else'></b><ul id='search-results-container'></ul>", False),   # then one for some
+    ("twelve hits", "<ul class='a results-list'></ul>", False),
+    ("twelve hits", "<ul id='results-list'></ul>", True),                                # neither: by default none
+])
+def test_no_results(spark, text, more, result):
+    pages, nodes, prep, _ = _page(spark, f"<div id='found'><p>{text}</p></div>{more}")
+    root = prep.filter("id = 'found'").select("page_id", F.col("node_id").alias("root_id"), F.col("subtree_end").alias("root_end"))
+    main = DOM.subtree_text(nodes, root).withColumnRenamed("root_id", "node_id")
     assert Q.no_results(main, prep, pages).first().is_no_results is result
 
 
@@ -147,3 +208,21 @@ def test_search_and_validate(spark):
     out = {r.url: r.label for r in search_and_validate(results, rnodes, pages, "python").collect()}
     assert set(out) == {"http://t.com/a", "http://t.com/b"}
     assert out["http://t.com/b"] == "no content" and out["http://t.com/a"] == "EMPTY"
+
+
+def test_nodes_stay_where_they_are_stored(spark):
+    """A refinement pass and a subtree read join the bucketed nodes without an exchange or sort of them."""
+    pages = spark.createDataFrame([(i, f"http://e.example/{i}", "<body>" + "<div><p>some words <a href='/x'>x</a></p></div>" * 5 + "</body>") for i in range(30)],
+                                  "page_id long, url string, html string")
+    nodes, prep = FS.prepare(pages)
+    start = FS.top_candidate(FS.candidates(prep))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        roots = start.select("page_id", F.col("node_id").alias("root_id"), F.col("subtree_end").alias("root_end"))
+        plan = DOM.in_subtree(nodes.select("page_id", "node_id", "text"), roots)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(page_id") == 0, plan
+        assert "Bucketed: true" in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    state = FS.refine(prep, start)
+    assert state.count() == 30 and state.select("page_id").distinct().count() == 30

@@ -83,12 +83,16 @@ def test_cache_lookup_brute_force(spark):
     c = spark.createDataFrame(sets, "k long, set_at timestamp")
     r = spark.createDataFrame(reqs, "rid long, k long, ts timestamp")
     got = {x.rid: (x.cache_hit, x.cache_set_at if x.cache_hit else None)
-           for x in H.cache_lookup(r, c, "k", "ts", "set_at", ttl_s=3600, bucket_s=1800).collect()}
+           for x in H.cache_lookup(r, c, "k", "ts", "set_at", ttl_s=3600).collect()}
     for rid, k, ts in reqs:
         cand = [s for kk, s in sets if kk == k and s <= ts]
         best = max(cand) if cand else None
         hit = best is not None and ts < best + timedelta(seconds=3600)
         assert got[rid] == (hit, best if hit else None)
+    log = c.select("k", F.col("set_at").alias("ts"), F.lit(None).cast("long").alias("rid")).unionByName(r.select("k", "ts", "rid"))
+    replay = H.cache_replay(log, "k", "ts", F.col("rid").isNull(), F.col("rid").isNotNull(), ttl_s=3600)
+    assert {x.rid: (x.cache_hit, x.cache_set_at if x.cache_hit else None) for x in replay.collect()} == got
+    assert replay.select("*")._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
 def test_dedupe_last_value_first_position(spark):
@@ -122,3 +126,151 @@ def test_relevance_stats(spark):
     got = {r.g: r for r in R.relevance_stats(df, "g").collect()}
     assert got["p"].result_count == 2 and got["p"].relevance_variance == pytest.approx(0.01)
     assert got["p"].max_relevance == pytest.approx(0.7)
+
+
+# ---- the inverted index -----------------------------------------------------------------------------------------
+
+def _lists(rnd, size=60, words=25):
+    """Result lists with common and rare words, equal and empty texts; searches that ask them, some for nothing."""
+    vocabulary = [f"w{int(words * rnd.random() ** 3)}" for _ in range(400)] + ["Both", "both", "ÄÖ", "a", ""]
+    items = [(c, 7 * i + 3, " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(0, 40)))) for c in ("p", "q") for i in range(size)]
+    items += [("p", 10_000, None), ("p", 10_001, ""), ("p", 10_002, items[0][2]), ("one", 1, "w1 w2 w3")]
+    searches = [(i, rnd.choice(["p", "q"]), " ".join(rnd.choice(vocabulary) for _ in range(rnd.randint(1, 9)))) for i in range(14)]
+    return items, [*searches, (90, "p", "nobody says this"), (91, "p", ""), (92, "one", "w1"), (93, "q", "w0 w0 w0 w1 w20 w24"), (94, "gone", "w1")]
+
+
+def _index(spark, items, **more):
+    from pagewise.operators import inverted as I
+    df = spark.createDataFrame(items, "c string, d long, t string")
+    return I.build_index(df, "c", "d", "t", "d", **more)
+
+
+@pytest.mark.parametrize("seed,n,block", [(1, 10, 1 << 16), (2, 3, 8), (3, 200, 8)])
+def test_bm25_by_bounds_is_bm25(spark, monkeypatch, seed, n, block):
+    from pagewise.operators import inverted as I
+    monkeypatch.setattr(I, "POSTINGS_PER_BLOCK", block)
+    items, searches = _lists(random.Random(seed))
+    queries = spark.createDataFrame(searches, "search long, corpus string, query string")
+    got = {}
+    for r in I.bm25_top(_index(spark, items, fields=("space",)), queries, n).orderBy("search", "rank").collect():
+        got.setdefault(r.search, []).append((r.doc, round(r.bm25_score, 9)))
+    for search, corpus, query in searches:
+        own = [(d, t or "") for c, d, t in items if c == corpus]
+        scores = bm25_brute([t for _, t in own], query) if own else []
+        want = sorted(((d, round(s, 9)) for (d, _), s in zip(own, scores)), key=lambda x: (-x[1], x[0]))[:n]
+        assert [d for d, _ in got.get(search, [])] == [d for d, _ in want], (search, query)
+        assert [s for _, s in got.get(search, [])] == pytest.approx([s for _, s in want], abs=1e-8)
+
+
+def test_bounds_leave_common_words_out(spark):
+    """A word that all documents have is not met by documents that no other word of the query has found."""
+    from pagewise.operators import inverted as I
+    items = [("c", i, "the " * 30 + ("rare words " if i % 50 == 0 else f"other{i} ")) for i in range(1000)]
+    queries = spark.createDataFrame([(1, "c", "the rare words")], "search long, corpus string, query string")
+    top = I.bm25_top(_index(spark, items, fields=("space",)), queries, 5)
+    assert [r.doc for r in top.orderBy("rank").collect()] == [0, 50, 100, 150, 200]
+
+
+def test_relevance_of_many_searches(spark):
+    from pagewise.operators import inverted as I
+    items, searches = _lists(random.Random(9))
+    queries = spark.createDataFrame(searches, "search long, corpus string, query string")
+    index = _index(spark, items)
+    scored = I.relevance(index, queries)
+    got = {(r.search, r.doc): r for r in scored.collect()}
+    stats = {r.search: r for r in I.relevance_stats(index, queries, scored).collect()}
+    assert 94 not in stats
+    for search, corpus, query in searches:
+        own = spark.createDataFrame([(corpus, d, t) for c, d, t in items if c == corpus] or [(corpus, 0, None)], "g string, k long, t string")
+        if corpus == "gone":
+            continue
+        want = R.score_relevance(own, spark.createDataFrame([(corpus, query)], "g string, query string"), "g", "k", "t").collect()
+        for w in want:
+            g = got.get((search, w.k))
+            assert ((g.jaccard_score, g.tfidf_score) if g else (0, 0)) == pytest.approx((w.jaccard_score, w.tfidf_score), abs=1e-9)
+        values = [w.relevance_score for w in want]
+        mean = sum(values) / len(values)
+        s = stats[search]
+        assert (s.result_count, s.avg_relevance, s.max_relevance) == (len(values), pytest.approx(mean), pytest.approx(max(values)))
+        assert s.relevance_variance == pytest.approx(sum((v - mean) ** 2 for v in values) / len(values), abs=1e-12)
+
+
+def _loader():
+    return lambda pairs: [float(len(t)) if "x" in q else -float(len(t)) for q, t in pairs]
+
+
+def test_model_orders_the_lexical_list(spark):
+    from pagewise.operators import inverted as I
+    from pagewise.plans.search import ranked_search
+    items = [("c", i, "x " * (i + 1) + "y") for i in range(6)]
+    docs = spark.createDataFrame([(c, d, d, f"h{d}", t, 0.0) for c, d, t in items], "corpus string, doc long, seq long, href string, body string, credibility_score double")
+    queries = spark.createDataFrame([(1, "c", "x"), (2, "c", "y")], "search long, corpus string, query string")
+    index = I.build_index(docs, "corpus", "doc", "body", "seq", ("space",))
+
+    def order(**more):
+        out = ranked_search(index, docs, queries, lexical_top_n=4, semantic_top_n=3, **more)
+        return {s: [r.doc for r in out.where(f"search = {s}").orderBy("final_rank").collect()] for s in (1, 2)}, out
+    plain, _ = order()
+    ranked, out = order(model=_loader)
+    assert plain != ranked
+    for s, query in ((1, "x"), (2, "y")):
+        brute = bm25_brute([t for _, _, t in items], query)
+        lexical = sorted(range(6), key=lambda i: (-round(brute[i], 9), i))[:4]
+        scores = _loader()([(query, items[i][2]) for i in lexical])
+        semantic = [i for _, _, i in sorted((-v, k, i) for k, (v, i) in enumerate(zip(scores, lexical)))][:3]
+        fused = dict.fromkeys(range(6), 0.0)
+        for ranks in (lexical, semantic, range(6)):
+            for k, i in enumerate(ranks):
+                fused[i] += 1 / (61 + k)
+        assert ranked[s] == sorted(fused, key=lambda i: (-round(fused[i], 9), i))[:3]
+    scored = R.score_relevance(spark.createDataFrame([("g", 1, "ab")], "g string, k long, t string"), spark.createDataFrame([("g", "x")], "g string, query string"),
+                               "g", "k", "t", model=_loader).first()
+    assert scored.semantic_score == 2.0 and scored.relevance_score == pytest.approx(1.0)
+
+
+def test_cosine_of_many_queries(spark, monkeypatch):
+    monkeypatch.setattr(R, "QUERY_BLOCK_BYTES", 100)        # a few queries a block
+    rnd = random.Random(4)
+    vectors = [(i, [rnd.choice([-1.0, 0.0, 2.0, 0.5]) for _ in range(4)]) for i in range(40)] + [(90, [0.0] * 4), (91, None)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 6 = 0 or vec_id > 89").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    got = {}
+    for r in R.embedding_cosine(df, asked, top_n=7).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.semantic_score, 9)))
+
+    def cosine(a, b):
+        length = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / length if length else 0.0
+    usable = {i: v for i, v in vectors if v is not None}
+    for q in [i for i in usable if i % 6 == 0 or i > 89]:
+        want = sorted(((i, round(cosine(usable[q], v), 9)) for i, v in usable.items()), key=lambda x: (-x[1], x[0]))[:7]
+        assert got[q] == want
+    assert 91 not in got and R.embedding_cosine(df, asked.limit(0)).count() == 0
+
+
+# ---- metadata -----------------------------------------------------------------------------------------------------
+
+HEADS = {
+    "<meta name=\"author\" content=\"A. Writer\"><meta property=\"article:published_time\" content=\"2020-01-02\">": ("A. Writer", "2020-01-02"),
+    "<META CONTENT='B &amp; &quot;C&quot;' data-x=1 NAME='author'>": ("B & \"C\"", None),
+    "<meta content=2021 property=article:published_time name=other/>": (None, "2021"),
+    "<!-- <meta name='author' content='hidden'> --><script>'<meta name=\"author\" content=\"no\">'</script>": (None, None),
+    "<meta name='author' content=''><meta name='author' content='second'>": (None, None),
+    "<meta name='authors' content='x'><meta property='author' content='y'><meta data-name='author' content='z'>": (None, None),
+    "<meta name='author' content='a > b'>": ("a > b", None),
+}
+
+
+def test_metadata_behind_an_extractor(spark):
+    from pagewise.plans.page_quality import process_content
+    rows = [(i, f"https://h{i}.example.org/p", f"<html><head>{h}</head><body>x</body></html>") for i, h in enumerate(HEADS)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    main = pages.select("page_id", F.lit("text").alias("text"))
+    got = {r.page_id: r for r in process_content(pages, main).collect()}
+    assert [(got[i].author, got[i].date) for i in range(len(rows))] == list(HEADS.values())
+    assert got[0].credibility_score == pytest.approx((0.1 + 0.15 + 0.15 + 0.1) / 1.1) and got[3].credibility_score == pytest.approx(0.2 / 1.1)
+    assert got[0].sitename == "h0.example.org"
+    found = spark.createDataFrame([(0, "Extracted", "", None), (3, None, "1999", "Site")], "page_id long, author string, date string, sitename string")
+    got = {r.page_id: r for r in process_content(pages, main, found).collect()}
+    assert (got[0].author, got[0].date, got[0].sitename) == ("Extracted", "2020-01-02", "h0.example.org")
+    assert (got[3].author, got[3].date, got[3].sitename) == (None, "1999", "Site")
