@@ -43,11 +43,11 @@ def r6(c) -> F.Column:
 # --------------------------------------------------------------------------------------
 
 SQL_SEARCHES = """
-lists AS (SELECT corpus, row_number() OVER (ORDER BY corpus) - 1 AS at
+lists AS (SELECT corpus, row_number() OVER (ORDER BY corpus) - 1 AS slot
           FROM (SELECT DISTINCT source AS corpus FROM documents WHERE source IS NOT NULL)),
 q AS (SELECT item_id AS search, corpus, query
       FROM (SELECT item_id, coalesce(text, '') AS query, row_number() OVER (ORDER BY item_id) - 1 AS number FROM benchmark)
-      JOIN lists ON at = number % (SELECT count(*) FROM lists))
+      JOIN lists ON slot = number % (SELECT count(*) FROM lists))
 """
 
 # Hits as they were stored, and with the content of the page they lead to.

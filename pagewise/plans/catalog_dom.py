@@ -312,8 +312,8 @@ def no_results(spark: SparkSession, sf: str) -> DataFrame:
 @register("page_quality", f"""
 WITH {_RESULTS_SQL},
 numbered AS (SELECT page_id, row_number() OVER (ORDER BY page_id) - 1 AS number FROM box),
-q AS (SELECT page_id, query FROM numbered JOIN (SELECT coalesce(text, '') AS query, row_number() OVER (ORDER BY item_id) - 1 AS at FROM benchmark)
-      ON at = number % (SELECT count(*) FROM benchmark)),
+q AS (SELECT page_id, query FROM numbered JOIN (SELECT coalesce(text, '') AS query, row_number() OVER (ORDER BY item_id) - 1 AS slot FROM benchmark)
+      ON slot = number % (SELECT count(*) FROM benchmark)),
 jac AS (SELECT page_id, doc_id, CASE WHEN len(list_distinct(list_concat(a, b))) = 0 THEN 0.0
                ELSE len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) END AS jaccard
         FROM (SELECT page_id, doc_id, list_distinct({words_sql("lower(t)")}) AS a, list_distinct({words_sql("lower(query)")}) AS b

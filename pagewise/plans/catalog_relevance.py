@@ -10,7 +10,7 @@ from ..operators import relevance as R
 from ..operators import search as H
 from ..operators.rank import top_n_per_group
 from ..sources.tables import table
-from .catalog import SQL_RRF, SQL_SEARCHES, r6, register, searches, utc
+from .catalog import SQL_RRF, SQL_SEARCHES, r6, register, searched, searches, utc
 from .sql_parts import words_sql
 
 

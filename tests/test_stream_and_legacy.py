@@ -15,7 +15,10 @@ from pagewise.sources.watchlist import normalize
 from pagewise.streaming import changes as X2
 from pagewise.streaming.state import KeyedTable
 
-NOW = F.lit("2024-03-01 00:00:00").cast("timestamp")
+def now():
+    return F.lit("2024-03-01 00:00:00").cast("timestamp")
+
+
 PAGE = "page_id long, url string, html string"
 
 
@@ -27,8 +30,8 @@ def _html(name, *links):
 #: Three deliveries: b changes in the second, c comes in the second, a changes in the third, which also brings b as it was.
 BATCHES = [
     [(1, "http://s.example/a", _html("a", "x", "y")), (2, "http://s.example/b", _html("b", "x"))],
-    [(3, "http://s.example/a", _html("a", "x", "y")), (4, "http://s.example/b", _html("b", "x", "z")), (5, "http://s.example/c", _html("c"))],
-    [(6, "http://s.example/a", _html("a", "y")), (7, "http://s.example/b", _html("b", "x", "z")), (8, "http://s.example/a", _html("a", "w", "y")),
+    [(3, "http://s.example/a", _html("a", "x", "y")), (4, "http://s.example/b", _html("b", "z", "x")), (5, "http://s.example/c", _html("c"))],
+    [(6, "http://s.example/a", _html("a", "y")), (7, "http://s.example/b", _html("b", "z", "x")), (8, "http://s.example/a", _html("a", "w", "y")),
      (9, "http://s.example/t/page-1", _html("t1", "t/page-2")), (10, "http://s.example/t/page-2", _html("t2", "q"))],
 ]
 CHANGED = [{"a", "b"}, {"b", "c"}, {"a", "t/page-1", "t/page-2"}]
@@ -49,11 +52,11 @@ def _by_c5(spark, batches):
         watch = normalize(spark.createDataFrame(known, "row_id long, url string, result_vl string, updated_datetime string, full_scan_datetime string, "
                                                        "css_selector_list array<string>, web_page_type string"))
         pages = spark.createDataFrame(list(last.values()), PAGE)
-        new, changed, _ = MON.monitoring_run(watch, pages, NOW)
+        new, changed, _ = MON.monitoring_run(watch, pages, now())
         old_url = {r.row_id: r.url for r in watch.collect()}
-        now = {r.row_id: r for r in new.collect()}
-        out.append({(old_url[r.row_id], now[r.row_id].url, now[r.row_id].result_vl) for r in changed.collect()})
-        for i, r in sorted(now.items()):
+        after = {r.row_id: r for r in new.collect()}
+        out.append({(old_url[r.row_id], after[r.row_id].url, after[r.row_id].result_vl) for r in changed.collect()})
+        for i, r in sorted(after.items()):
             if r.url != old_url[i]:
                 state.pop(old_url[i], None)
             state[r.url] = (r.url, r.result_vl, r.updated_datetime, r.full_scan_datetime, r.css_selector_list, r.web_page_type)
@@ -65,7 +68,7 @@ def test_stream_is_c5_batch_by_batch_and_after_a_restart(spark, tmp_path, compac
     source, base = str(tmp_path / "in"), str(tmp_path / "x2")
     spark.createDataFrame(BATCHES[0], PAGE).coalesce(1).write.parquet(source)
     _deliver(spark, source, BATCHES[1])
-    start = dict(now=NOW, max_files_per_trigger=1, file_glob="*.parquet", base=base, compact_every=compact_every)
+    start = dict(now=now(), max_files_per_trigger=1, file_glob="*.parquet", base=base, compact_every=compact_every)
     q, root = X2.start(spark, source, **start)
     q.awaitTermination()
     _deliver(spark, source, BATCHES[2])
@@ -83,7 +86,7 @@ def test_stream_is_c5_batch_by_batch_and_after_a_restart(spark, tmp_path, compac
 
 
 def test_batch_run_again_writes_the_same(spark, tmp_path):
-    sink = X2.ChangeDetector(spark, str(tmp_path / "x2"), NOW)
+    sink = X2.ChangeDetector(spark, str(tmp_path / "x2"), now())
     frames = [spark.createDataFrame(rows, PAGE) for rows in BATCHES[:2]]
     sink(frames[0], 0)
     sink(frames[1], 1)
@@ -95,7 +98,7 @@ def test_batch_run_again_writes_the_same(spark, tmp_path):
 
 def test_stream_with_robots_and_errors(spark, tmp_path):
     robots = spark.createDataFrame([("s.example", "User-agent: *\nDisallow: /b")], "host string, robots_txt string")
-    sink = X2.ChangeDetector(spark, str(tmp_path / "x2"), NOW, robots)
+    sink = X2.ChangeDetector(spark, str(tmp_path / "x2"), now(), robots)
     sink(spark.createDataFrame(BATCHES[0], PAGE), 0)
     assert {r.url for r in X2.read_changes(spark, sink.base).collect()} == {"http://s.example/a"}
     errors = spark.read.parquet(f"{sink.base}/errors").collect()
