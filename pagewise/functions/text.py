@@ -49,17 +49,11 @@ def jaccard(a, b) -> Column:
 
 
 def dot(a, b) -> Column:
+    """The dot product of two equal-length vectors."""
     return F.aggregate(F.zip_with(_c(a), _c(b), lambda x, y: x.cast("double") * y.cast("double")),
                        F.lit(0.0), lambda acc, v: acc + v)
 
 
-def cosine(a, b) -> Column:
-    """Cosine of two equal-length vectors (0 when either has zero norm)."""
-    na = F.sqrt(dot(a, a))
-    nb = F.sqrt(dot(b, b))
-    return F.when((na == 0) | (nb == 0), F.lit(0.0)).otherwise(dot(a, b) / (na * nb))
-
-
 def html_escape(s) -> Column:
     """P20: escape ``& < > " '`` (ampersand first)."""
     out = F.replace(_c(s), F.lit("&"), F.lit("&amp;"))

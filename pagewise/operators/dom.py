@@ -131,13 +131,6 @@ def prune_subtrees(nodes: DataFrame, bad: Column) -> DataFrame:
     return inside_intervals(nodes, roots).filter(~F.col("_inside")).drop("_inside")
 
 
-def children(nodes: DataFrame) -> DataFrame:
-    """J3 parent-child pairs of elements (``child_*`` columns are the child)."""
-    c = elements(nodes).select("page_id", F.col("parent_id").alias("node_id"),
-                               *[F.col(x).alias("child_" + x) for x in elements(nodes).columns if x != "page_id"])
-    return c
-
-
 def in_subtree(nodes: DataFrame, roots: DataFrame, root: str = "root_id", end: str = "root_end") -> DataFrame:
     """Nodes inside each root's interval (equi on page, range on id)."""
     r = roots.withColumnRenamed("page_id", "_rpage").alias("_r")

@@ -427,11 +427,33 @@ def _first_watch(pages: DataFrame) -> DataFrame:
     return normalize(pages.select(F.col("page_id").alias("row_id"), "url"))
 
 
-@register("scan_decision")
+# A watch list derived from the pages: times of the last full scan in several shapes (with an offset, without, legacy, none),
+# all page types, rows with and without selectors.
+_SCANNED = ("", "2024-02-27T12:00:00Z", "2024-02-25T00:00:00+09:00", "2024-02-28 00:00:00", "2024/02/28", None)
+_TYPES = ("", "plane", "page_changer", "WebType.not_quickscan")
+
+
+@register("scan_decision", f"""
+WITH w AS (SELECT page_id AS row_id, page_id % 6 AS t, page_id % 4 AS k, page_id % 5 <> 0 AS listed FROM pages),
+a AS (SELECT *, CASE t WHEN 1 THEN CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(TIMESTAMP '2024-02-27 12:00:00')) / 86400000000.0) AS BIGINT)
+                       WHEN 2 THEN CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(TIMESTAMP '2024-02-24 15:00:00')) / 86400000000.0) AS BIGINT)
+                       WHEN 4 THEN CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(TIMESTAMP '2024-02-28 00:00:00')) / 86400000000.0) AS BIGINT)
+                       ELSE 99 END AS scan_age_days FROM w)
+SELECT row_id, scan_age_days, listed AND scan_age_days < 4 AND k <> 0 AS quick_eligible,
+       CASE WHEN listed AND scan_age_days < 4 AND k = 1 THEN 'quick' WHEN listed AND scan_age_days < 4 AND k > 1 THEN 'quick_full' ELSE 'full' END AS scan_mode
+FROM a
+""")
 def scan_decision(spark: SparkSession, sf: str) -> DataFrame:
-    """F7/P8 on the state after one monitoring run (every row fully scanned 0 days ago)."""
-    state = _run_state(spark, sf)
-    d = MON.scan_decision(state, F.lit(NOW).cast("timestamp"))
+    """F7, P8."""
+    from ..sources.watchlist import normalize
+    utc(spark)
+
+    def pick(values, n):
+        return F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (F.col("page_id") % n + 1).cast("int"))
+    listed = F.when(F.col("page_id") % 5 != 0, F.array(F.lit("p"))).otherwise(F.array().cast("array<string>"))
+    watch = table(spark, sf, "pages").select(F.col("page_id").alias("row_id"), "url", pick(_SCANNED, 6).alias("full_scan_datetime"),
+                                             pick(_TYPES, 4).alias("web_page_type"), listed.alias("css_selector_list"))
+    d = MON.scan_decision(normalize(watch), F.lit(NOW).cast("timestamp"))
     return d.select("row_id", "scan_age_days", "quick_eligible", "scan_mode")
 
 

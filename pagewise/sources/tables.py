@@ -24,22 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> D
     return spread_input(df) if spread else df
 
 
-SPREAD_MIN_BYTES = 4 << 20
-
-
-def spread_input(df: DataFrame, min_bytes: int = SPREAD_MIN_BYTES) -> DataFrame:
-    """Hash-spread an input that plans fewer scan tasks than the parallelism,
-    unless its estimated size (from the file sizes) is too small to be worth it."""
+def spread_input(df: DataFrame) -> DataFrame:
+    """Hash-spread an input that plans fewer scan tasks than the parallelism."""
     want = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001  (no statistics: spread)
-        size = min_bytes
-    return df.repartition(want, df.columns[0]) if size >= min_bytes else df
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    for n in names:
-        table(spark, sf_dir, n).createOrReplaceTempView(n)
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want, df.columns[0])
