@@ -13,6 +13,7 @@ import base64
 from collections.abc import Iterator
 from functools import cached_property
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -144,19 +145,28 @@ class Tokenizer:
         whole = self.vocabulary.ranks.get(data)
         return [whole] if whole is not None else PrefixEncoder(self.vocabulary, data).tokens()
 
+    def ids(self, piece: str) -> bytes:
+        """A piece's ids as little-endian unsigned 32-bit integers, kept for the next time."""
+        known = self._known
+        ids = known.get(piece)
+        if ids is None:
+            ids = b"".join(i.to_bytes(4, "little") for i in self.piece(piece))
+            if len(piece) <= CACHE_PIECE_CHARS:
+                if len(known) >= CACHE_PIECES:
+                    known.clear()
+                known[piece] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        known, out = self._known, []
-        for piece in self.pieces(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = b"".join(i.to_bytes(4, "little") for i in self.piece(piece))
-                if len(piece) <= CACHE_PIECE_CHARS:
-                    if len(known) >= CACHE_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.ids, self.pieces(text)))
+
+    def encode_pieces(self, pieces: pa.ListArray) -> Iterator[bytes]:
+        """The ids of texts that are cut already: each distinct piece of the batch is looked up once."""
+        coded = pieces.flatten().dictionary_encode()
+        each = list(map(self.ids, coded.dictionary.to_pylist()))
+        codes, ends = coded.indices.to_pylist(), np.cumsum(pieces.value_lengths().fill_null(0).to_numpy()).tolist()
+        for start, end in zip([0, *ends], ends):
+            yield b"".join(map(each.__getitem__, codes[start:end]))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, memoryview(ids).cast("I")))
@@ -166,6 +176,36 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
     return worker_table((path, pattern), lambda: Tokenizer(Vocabulary.load(path), pattern))
 
 
+#: Code points that Java's Unicode version may not know; all others are of the same kind for the tokenizer's engine.
+DOUBTFUL = r"\p{Cn}"
+#: Pieces that a worker takes from a batch at a time.
+SLICE_PIECES = 400_000
+
+
+def cut(docs: DataFrame, pattern: str) -> DataFrame:
+    """``doc_id, text, pieces``: texts cut by ``pattern`` in the JVM; a text with a doubtful code point is left whole."""
+    java = pattern.replace(r"\S", r"\P{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
+    whole = F.rlike("text", F.lit(DOUBTFUL))
+    return base.select("doc_id", F.when(whole, F.col("text")).alias("text"),
+                       F.when(~whole, F.regexp_extract_all("text", F.lit(java), F.lit(0))).alias("pieces"))
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], own: Tokenizer) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """``doc_id`` and ids of the rows of cut texts, a bounded number of pieces at a time."""
+    for batch in by_bytes(batches, "text"):
+        part = np.cumsum(batch.column("pieces").value_lengths().fill_null(0).to_numpy().astype(np.int64)) // SLICE_PIECES
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            rows = batch.slice(a, b - a)
+            ids = list(own.encode_pieces(rows.column("pieces")))
+            for i, text in enumerate(rows.column("text").to_pylist()):
+                if text is not None:
+                    ids[i] = own.encode(text)
+            yield rows.column("doc_id"), ids
+
+
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode every text: ``doc_id``, ``ids`` (binary, little-endian unsigned 32-bit) per row of ``docs``.
 
@@ -173,12 +213,9 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     encoded in time proportional to its length.  Repeated rows give repeated rows, an empty table none; other
     columns are not read.  ``path`` names the vocabulary file, which every worker must be able to open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = tokenizer(path, pattern)
-        for batch in by_bytes(batches, "text"):
-            ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
-                       ).mapInArrow(run, "doc_id bigint, ids binary")
+        for doc_id, ids in _encoded(batches, tokenizer(path, pattern)):
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+    return cut(docs, pattern).mapInArrow(run, "doc_id bigint, ids binary")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -197,12 +234,10 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     Two steps in a row would hold two workers, each with its own vocabulary, for every running task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
-        for batch in by_bytes(batches, "text"):
-            ids = [own.encode(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())],
+        for doc_id, ids in _encoded(batches, own):
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())],
                                              names=["doc_id", "ids", "decoded"])
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")
-                       ).mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
+    return cut(docs, pattern).mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
 
 
 def op6(spark, docs: DataFrame, path: str, pattern: str) -> DataFrame:
