@@ -2,6 +2,10 @@
 
 Every stage takes what the stage before it kept, written as Parquet and read again.  All but the last return the
 columns of ``documents``; the last encodes the texts that are left.
+
+Of every stage: an empty table gives an empty one; a row whose id is null or repeated is a row like any other, but for
+near duplicates, where of equal texts one row stays; further columns, whatever their names, are passed on untouched by all
+but the last stage, which returns its own columns only; texts are read whole.
 """
 
 from __future__ import annotations
