@@ -13,10 +13,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
 from ..functions import scores as S
 from ..functions import text as T
@@ -25,6 +28,8 @@ from .rank import positions, top_n_per_group
 
 #: Bytes of query vectors that are broadcast at a time.
 QUERY_BLOCK_BYTES = 4 << 20
+#: Vectors that go through one matrix product.
+PACK_ROWS = 4096
 
 # Okapi BM25 defaults of the library the reference calls.
 BM25_K1 = 1.5
@@ -155,33 +160,131 @@ def relevance_stats(scored: DataFrame, group: str, score: str = "relevance_score
                .withColumn("quality_category", S.sqs_category("result_count", "sqs_score")))
 
 
+def _packed(keys: ST.DataType) -> ST.StructType:
+    return ST.StructType([ST.StructField("keys", ST.ArrayType(keys)), ST.StructField("flat", ST.ArrayType(ST.DoubleType())),
+                         ST.StructField("norms", ST.ArrayType(ST.DoubleType()))])
+
+
+def _pack(batches: Iterator[pa.RecordBatch], rows: int = PACK_ROWS) -> Iterator[pa.RecordBatch]:
+    """Rows ``(key, vector, norm)`` -> one row for up to ``rows`` of them: the keys, all components, the norms."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            part = batch.slice(at, rows)
+            yield pa.RecordBatch.from_arrays([
+                pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                for x in (part.column(0), part.column(1).flatten(), part.column(2))], names=["keys", "flat", "norms"])
+
+
+def _first_of_each(q: np.ndarray, s: np.ndarray, k: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of scored pairs, those that can be among the first ``n`` of their query ``q`` by the score rounded at 1e-9, then
+    by key; in the order of query, score (falling) and key."""
+    order = np.lexsort((k, -s, q))
+    q, s, k = q[order], s[order], k[order]
+    at = np.arange(len(q))
+    new = np.ones(len(q), bool)
+    new[1:] = q[1:] != q[:-1]
+    start = np.maximum.accumulate(np.where(new, at, 0))
+    nth = np.minimum(start + n - 1, len(q) - 1)
+    floor = np.where(q[nth] == q, s[nth], -np.inf)
+    new[1:] |= s[1:] != s[:-1]
+    of_equal = at - np.maximum.accumulate(np.where(new, at, 0))
+    keep = (s >= floor - 2e-9) & (of_equal < n)
+    return q[keep], s[keep], k[keep]
+
+
+def _nearest(n: int, query_rows: int = 256) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's packs of vectors against the one block of queries that every row brings along.  A matrix product finds the
+    pairs that may count, these are scored by the sums in the order that the column expression has, and of each query
+    only what can be among its first ``n`` is kept from pack to pack."""
+    def run(batches):
+        asked = best = floor = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if asked is None:
+                    names = batch.column("q_keys")[i].values
+                    qn = batch.column("q_norms")[i].values.to_numpy()
+                    asked = batch.column("q_flat")[i].values.to_numpy().reshape(len(names), -1)
+                    best = (np.empty(0, np.int64), np.empty(0), None)
+                    floor = np.full(len(names), -np.inf)
+                keys = batch.column("keys")[i].values
+                key = keys.to_numpy(zero_copy_only=False)
+                norm = batch.column("norms")[i].values.to_numpy()
+                vectors = batch.column("flat")[i].values.to_numpy().reshape(len(key), -1)
+                found = [best]
+                for a in range(0, len(asked), query_rows):
+                    length = qn[a:a + query_rows, None] * norm[None, :]
+                    with np.errstate(divide="ignore", invalid="ignore"):
+                        near = np.where(length > 0, (asked[a:a + query_rows] @ vectors.T) / length, 0.0)
+                    least = floor[a:a + query_rows]
+                    if len(key) > n and np.isinf(least).any():
+                        least = np.maximum(least, np.partition(near, len(key) - n, axis=1)[:, len(key) - n])
+                    q, x = np.nonzero(near >= least[:, None] - 1e-8)
+                    length, q, total = length[q, x], q + a, np.zeros(len(q))
+                    for d in range(asked.shape[1]):
+                        total += asked[q, d] * vectors[x, d]
+                    score = np.divide(total, length, out=np.zeros(len(q)), where=length > 0)
+                    found.append(_first_of_each(q, score, key[x], n))
+                found = [f for f in found if len(f[0])]
+                if found:
+                    best = _first_of_each(*(np.concatenate(c) for c in zip(*found)), n)
+                    counts = np.bincount(best[0], minlength=len(floor))
+                    full = np.flatnonzero(counts >= n)
+                    floor[full] = best[1][(np.cumsum(counts) - counts)[full] + n - 1]
+        if asked is not None and len(best[0]):
+            for a in range(0, len(best[0]), 100_000):
+                q, s, k = (c[a:a + 100_000] for c in best)
+                yield pa.RecordBatch.from_arrays([pa.array(k, keys.type), names.take(pa.array(q)), pa.array(s)],
+                                                 names=["key", "query", "score"])
+    return run
+
+
 def embedding_cosine(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", vec: str = "embedding", query: str = "query_id",
                      query_vec: str = "qvec", top_n: int = 25) -> DataFrame:
     """P22 + T4 for many query vectors: the ``top_n`` vectors of each by cosine, ``query, key, semantic_score, rank``.
 
-    Queries go in blocks of bounded bytes, each broadcast as one row with all its vectors, so that a vector is read once
-    a block and its cosines are one projection; a task keeps ``top_n`` rows of a query before anything is shuffled.
+    Queries go in blocks of bounded bytes, each broadcast as one row with all its vectors.  Every vector meets every
+    query: vectors of the queries' length with a usual norm (and those without length, which score 0) in packs by matrix
+    products (:func:`_nearest`), the others by column expressions.  A task keeps little more than ``top_n`` rows of
+    a query before anything is shuffled.
     A vector without length has a cosine of 0, like a null one; ties go to the smaller key."""
-    width = 8 * (queries.agg(F.max(F.size(query_vec))).first()[0] or 1) + 24
-    asked = queries.where(F.col(query_vec).isNotNull()).select(query, F.col(query_vec).cast("array<double>").alias("_v"))
-    numbered = positions(asked.withColumn("_n", F.sqrt(T.dot("_v", "_v"))), [query], "_number")
-    block = F.floor(F.col("_number") / max(1, QUERY_BLOCK_BYTES // width)).cast("int")
-    blocks = written(numbered.groupBy(block.alias("_block")).agg(F.collect_list(F.struct(
-        F.col(query).alias("q"), F.col("_v").alias("v"), F.col("_n").alias("n"))).alias("_queries")), "query-blocks")
-    items = vectors.where(F.col(vec).isNotNull()).select(key, F.col(vec).cast("array<double>").alias("_v"))
+    size = queries.agg(F.max(F.size(query_vec))).first()[0] or 1
+    asked = queries.where(F.col(query_vec).isNotNull()).select(F.col(query).alias("_key"), F.col(query_vec).cast("array<double>").alias("_v"))
+    asked = positions(asked.withColumn("_n", F.sqrt(T.dot("_v", "_v"))), ["_key"], "_number")
+    block = F.floor(F.col("_number") / max(1, QUERY_BLOCK_BYTES // (8 * size + 24))).cast("int")
+    items = vectors.where(F.col(vec).isNotNull()).select(F.col(key).alias("_key"), F.col(vec).cast("array<double>").alias("_v"))
     items = items.withColumn("_n", F.sqrt(T.dot("_v", "_v")))
+    none = F.coalesce(F.col("_n") == 0, F.lit(True))
+    usual = none | ((F.size("_v") == size) & F.col("_n").between(1e-100, 1e100))
+    flat = F.when(none, F.array_repeat(F.lit(0.0), size)).otherwise(F.col("_v"))
+    norm = F.when(none, 0.0).otherwise(F.col("_n"))
+    blocks = written(asked.groupBy(block.alias("_block"), usual.alias("_usual")).agg(F.collect_list(F.struct(
+        F.col("_key").alias("q"), F.col("_v").alias("v"), F.col("_n").alias("n"), flat.alias("flat"), norm.alias("norm"))).alias("_queries")), "query-blocks")
+    types = (vectors.schema[key].dataType, queries.schema[query].dataType)
+    out_schema = ST.StructType([ST.StructField("key", types[0]), ST.StructField("query", types[1]), ST.StructField("score", ST.DoubleType())])
+    named = usual & F.col("_key").isNotNull()
+    packs = items.where(named).select("_key", flat.alias("_v"), norm.alias("_n")).mapInArrow(_pack, _packed(types[0]))
+    others = items.where(~named)
+    any_other = not others.isEmpty()
     out = None
-    for i in range(blocks.count()):
-        one = F.broadcast(blocks.where(F.col("_block") == i).select("_queries", F.lit(1).alias("_one")))
-        met = items.withColumn("_one", F.lit(1)).join(one, "_one").select(key, "_v", "_n", F.explode("_queries").alias("_q"))
-        length = F.col("_n") * F.col("_q.n")
-        met = met.select(key, F.col("_q.q").alias(query),
-                         F.when(length > 0, T.dot(F.col("_q.v"), "_v") / length).otherwise(0.0).alias("semantic_score"))
+    for row in blocks.select("_block", "_usual").orderBy("_block", "_usual").collect():       # a few numbers
+        one = blocks.where((F.col("_block") == row["_block"]) & (F.col("_usual") == row["_usual"]))
+        met = None
+        if row["_usual"]:
+            with_all = one.select(F.transform("_queries", lambda q: q["q"]).alias("q_keys"), F.flatten(F.transform("_queries", lambda q: q["flat"])).alias("q_flat"),
+                                  F.transform("_queries", lambda q: q["norm"]).alias("q_norms"))
+            met = (packs.crossJoin(F.broadcast(with_all)).mapInArrow(_nearest(top_n), out_schema)
+                   .select(F.col("key").alias(key), F.col("query").alias(query), F.col("score").alias("semantic_score")))
+        if any_other or not row["_usual"]:
+            plain = (others if row["_usual"] else items).crossJoin(F.broadcast(one.select("_queries"))).select("_key", "_v", "_n", F.explode("_queries").alias("_q"))
+            length = F.col("_n") * F.col("_q.n")
+            plain = plain.select(F.col("_key").alias(key), F.col("_q.q").alias(query),
+                                 F.when(length > 0, T.dot(F.col("_q.v"), "_v") / length).otherwise(0.0).alias("semantic_score"))
+            met = plain if met is None else met.unionByName(plain)
         order = [F.round("semantic_score", 9).desc(), F.col(key).asc()]
         best = written(top_n_per_group(met, [query], order, top_n), "query-best")
         out = best if out is None else out.unionByName(best)
     if out is None:
-        return items.select(key, F.lit(None).cast(queries.schema[query].dataType).alias(query), F.lit(0.0).alias("semantic_score"),
+        return items.select(F.col("_key").alias(key), F.lit(None).cast(types[1]).alias(query), F.lit(0.0).alias("semantic_score"),
                             F.lit(0).alias("rank")).limit(0)
     return out
 

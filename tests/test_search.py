@@ -248,6 +248,31 @@ def test_cosine_of_many_queries(spark, monkeypatch):
     assert 91 not in got and R.embedding_cosine(df, asked.limit(0)).count() == 0
 
 
+def test_first_vectors_of_a_task():
+    """A task's packs against a block of queries: the first of each query by the rounded score, then by key, in whatever pack."""
+    import numpy as np
+    import pyarrow as pa
+    rnd = random.Random(9)
+    some = [[rnd.gauss(0, 1) for _ in range(5)] for _ in range(9)]
+    vectors = [rnd.choice(some) if i % 2 else [rnd.gauss(0, 1) for _ in range(5)] for i in range(60)] + [[0.0] * 5]
+    norms = [math.sqrt(sum(x * x for x in v)) for v in vectors]
+    asked = vectors[::6]
+
+    def arrow(rows):
+        return pa.array(rows, pa.list_(pa.float64()))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(61)), arrow(vectors), pa.array(norms)], names=["k", "v", "n"])
+    packs = list(R._pack([rows], rows=16))
+    assert [len(p.column("keys")[0]) for p in packs] == [16, 16, 16, 13]
+    block = [pa.array([list(range(0, 61, 6))]), arrow([sum(asked, [])]), arrow([norms[::6]])]
+    met = [pa.RecordBatch.from_arrays([*p.columns, *block], names=["keys", "flat", "norms", "q_keys", "q_flat", "q_norms"]) for p in packs]
+    got = {}
+    for r in (r for b in R._nearest(4, query_rows=3)(iter(met)) for r in b.to_pylist()):
+        got.setdefault(r["query"], []).append((-round(r["score"], 9), r["key"]))
+    for q in range(0, 61, 6):
+        scores = [(float(np.dot(vectors[q], v)) / (norms[q] * n) if norms[q] * n else 0.0) for v, n in zip(vectors, norms)]
+        assert sorted(got[q])[:4] == sorted((-round(s, 9), i) for i, s in enumerate(scores))[:4] and len(got[q]) < 30
+
+
 # ---- metadata -----------------------------------------------------------------------------------------------------
 
 HEADS = {
