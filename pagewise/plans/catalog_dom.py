@@ -495,9 +495,11 @@ def monitor_run(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("stream_changes")
 def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
-    """X2 over the pages table read as a file stream (one micro-batch per file)."""
+    """X2 over the pages table read as a file stream, be it one file or a folder of files (all that are there when the
+    query starts are one micro-batch)."""
     from ..streaming import changes as X2
-    q, root = X2.start(spark, sf, now=F.lit(NOW).cast("timestamp"), file_glob="pages.parquet")
+    # a pattern, as Spark does not stream from the plain path of a single file
+    q, root = X2.start(spark, f"{sf.rstrip('/')}/pages.parque[t]", now=F.lit(NOW).cast("timestamp"))
     q.awaitTermination()
     return X2.read_changes(spark, root).select("url", "new_url", "result_vl", "is_new", "batch_id")
 

@@ -183,3 +183,16 @@ def test_nested_documents_there_and_back(spark):
     assert sum(r.subtree_size for r in back if r.parent_id is None) == len(back)
     again = SN.read_documents(spark.createDataFrame([(9, None), (8, "{}")], "page_id long, json string"))
     assert again.count() == 0
+
+
+def test_stream_query_reads_a_folder_of_files(spark, tmp_path):
+    from pagewise.plans.catalog_dom import stream_changes
+    rows = [(i, f"http://s.example/{i}", f'<html><body><article><p>words of {i}</p><a href="/{i}/x">more</a></article></body></html>') for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.repartition(3).write.parquet(str(tmp_path / "folder" / "pages.parquet"))
+    pages.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "parts").glob("part-*")).rename(tmp_path / "file" / "pages.parquet")
+    for kind in ("folder", "file"):
+        got = stream_changes(spark, str(tmp_path / kind)).collect()
+        assert sorted((r.url, r.new_url, r.is_new) for r in got) == [(u, u, True) for _, u, _ in rows]
