@@ -226,3 +226,19 @@ def test_nodes_stay_where_they_are_stored(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     state = FS.refine(prep, start)
     assert state.count() == 30 and state.select("page_id").distinct().count() == 30
+
+
+def test_nodes_are_handed_on_in_small_pieces():
+    """However many pages Spark puts into one batch, a worker holds the node rows of about ``html_bytes`` of HTML."""
+    import pyarrow as pa
+
+    from pagewise.sources.html_nodes import _html_to_nodes
+    html = "<body>" + "<p class=c>some words</p>" * 50 + "</body>"
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(40), None]), pa.array([html] * 40 + [None])], names=["page_id", "html"])
+    pieces = list(_html_to_nodes([batch], html_bytes=2 * len(html), rows=150))
+    assert max(p.num_rows for p in pieces) <= 202 and len(pieces) >= 20
+    rows = [r for p in pieces for r in p.to_pylist()]
+    assert len(rows) == 40 * 101 and [r["node_id"] for r in rows[:101]] == list(range(101))
+    assert rows[1] | {"attributes": dict(rows[1]["attributes"])} == {
+        "page_id": 0, "node_id": 1, "parent_id": 0, "depth": 2, "child_idx": 0, "subtree_size": 2, "tag": "p", "id": "", "class": "c",
+        "attributes": {"class": "c"}, "text": None, "href": None}
