@@ -20,14 +20,6 @@ DIGEST_NO_IMAGE = "(スクリーンショット取得失敗)"
 ERROR_HEADING = "Web Checker Error Report"
 
 
-def _ordered_concat(df: DataFrame, group: str, order: str, piece: str) -> DataFrame:
-    """One row per group: its pieces in order (for groups that a top-n list bounds)."""
-    return (df.groupBy(group)
-              .agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(piece).alias("p"))))
-                   .alias("_parts"))
-              .select(group, F.array_join(F.transform("_parts", lambda s: s["p"]), "").alias("_body")))
-
-
 def _lines(items: DataFrame, group: str, pos: str, item: Column, head: str, tail: str) -> DataFrame:
     """``group, section, pos, line``: the heading (section 0), the items (1) in ``pos`` order, the closing (2).
     A group without items has no lines."""
@@ -50,12 +42,12 @@ def answer_prompt(docs: DataFrame, group: str, rank: str, head: str, mid: str, t
         F.lit("Final Score: "), T.py_fixed("final_score", 4),
         F.lit(" (Credibility: "), T.py_fixed("credibility_score", 2), F.lit(")\n"),
         F.lit("Extracted Content:\n"), F.coalesce(F.col("body"), F.lit("No content extracted.")), F.lit("\n\n"))
-    blocks = docs.withColumn("_block", block)
-    body = _ordered_concat(blocks, group, rank, "_block")
-    q = docs.groupBy(group).agg(F.first("query").alias("_q"))
-    return (body.join(q, group)
-                .select(group, F.concat(F.lit(head), F.col("_q"), F.lit(mid), F.col("_body"), F.lit(tail))
-                        .alias("prompt")))
+    # one aggregate gives the query as well: the ranking behind ``docs`` is worked out once
+    parts = F.array_sort(F.collect_list(F.struct(F.col(rank).alias("o"), F.col("_block").alias("p"))))
+    found = (docs.where(F.col(group).isNotNull()).withColumn("_block", block)
+             .groupBy(group).agg(F.first("query").alias("_q"), parts.alias("_parts")))
+    body = F.array_join(F.transform("_parts", lambda s: s["p"]), "")
+    return found.select(group, F.concat(F.lit(head), F.col("_q"), F.lit(mid), body, F.lit(tail)).alias("prompt"))
 
 
 def update_digest(changes: DataFrame, group: str, pos: str, url: str = "url",

@@ -273,6 +273,25 @@ def test_first_vectors_of_a_task():
         assert sorted(got[q])[:4] == sorted((-round(s, 9), i) for i, s in enumerate(scores))[:4] and len(got[q]) < 30
 
 
+def test_answer_prompt_reads_its_documents_once(spark):
+    from pagewise.operators.digest import answer_prompt
+    rows = [("a", "what?", i, f"http://x.example/{i}", 0.5 / (i + 1), 0.1, f"words {i}" if i else None) for i in range(3)]
+    rows += [("b", "who?", 0, None, 0.25, 0.0, "more"), (None, "lost", 0, None, 0.25, 0.0, "none")]
+    docs = spark.createDataFrame(rows[::-1], "search string, query string, rank int, href string, final_score double, credibility_score double, body string")
+    # one row of ``docs`` gives one key to the accumulator each time that it is read
+    read = spark.sparkContext.accumulator(0)
+    rdd = docs.rdd.map(lambda r: (read.add(1), r)[1])
+    prompts = answer_prompt(spark.createDataFrame(rdd, docs.schema).withColumn("title", F.lit(None).cast("string")), "search", "rank", "H:", "|", "T")
+    got = {r.search: r.prompt for r in prompts.collect()}
+    assert read.value == len(rows) and set(got) == {"a", "b"}
+
+    def block(i, href, score, cred, body):
+        return f"--- Information Source {i} ---\nTitle: N/A\nURL: {href}\nFinal Score: {score} (Credibility: {cred})\nExtracted Content:\n{body}\n\n"
+    assert got["b"] == "H:who?|" + block(1, "N/A", "0.2500", "0.00", "more") + "T"
+    assert got["a"] == "H:what?|" + "".join(block(i + 1, f"http://x.example/{i}", f"{0.5 / (i + 1):.4f}", "0.10", f"words {i}" if i else "No content extracted.")
+                                            for i in range(3)) + "T"
+
+
 # ---- metadata -----------------------------------------------------------------------------------------------------
 
 HEADS = {
