@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import dom_scores as DS
 from ..operators import dom as DOM
 from ..operators import pagination as PG
-from ..session import cut_lineage, stored_by
+from ..session import cut_lineage, one_table, stored_by
 
 NODE_COLS = ["node_id", "subtree_end", "depth", "tag", "id", "attributes", "css_selector", "rect", "n_links",
              "text_len", "n_words"]
@@ -61,7 +61,7 @@ def top_candidate(cands: DataFrame) -> DataFrame:
 def _rescore(prepared: DataFrame, roots: DataFrame, profile: DS.Profile) -> DataFrame:
     """Rescore every node of each root's subtree against the root's box."""
     r = roots.select("page_id", F.col("root_id"), F.col("root_end"), F.col("root_rect"), F.col("root_depth"))
-    sub = DOM.in_subtree(prepared.select("page_id", *NODE_COLS), r)
+    sub = DOM.in_subtree(prepared.select("page_id", *NODE_COLS), r.hint("merge"))
     score = DS.refinement_score(F.col("rect"), F.col("root_rect.width"), F.col("root_rect.height"),
                                 F.col("depth"), F.col("root_depth"), F.col("n_links"), F.col("text_len"), profile)
     return sub.withColumn("score", score)
@@ -92,7 +92,7 @@ def refine(prepared: DataFrame, start: DataFrame, profile: DS.Profile = DS.CURRE
     passes = profile.max_moves + (1 if always_first else 0)
     finished = None
     for i in range(passes):
-        s = moving.alias("s")
+        s = moving.hint("merge").alias("s")        # a broadcast would pass the state through the driver, pass by pass
         cond = ((F.col("_p") == F.col("s.page_id")) & (F.col("node_id") >= F.col("s.root_id"))
                 & (F.col("node_id") <= F.col("s.root_end")))
         score = DS.refinement_score(F.col("rect"), F.col("s.root_rect.width"), F.col("s.root_rect.height"),
@@ -120,7 +120,8 @@ def refine(prepared: DataFrame, start: DataFrame, profile: DS.Profile = DS.CURRE
         moving = state.where("not done").select(*state_cols)
         if checkpoint and moving.isEmpty():
             break
-    return finished
+    # readers plan one table, not every pass's
+    return cut_lineage(one_table(finished)) if checkpoint and i else finished
 
 
 def selector_list(prepared: DataFrame, state: DataFrame, profile: DS.Profile = DS.CURRENT,
@@ -157,7 +158,7 @@ def main_content(pages: DataFrame, prepared: DataFrame, nodes: DataFrame | None
     start = top_candidate(candidates(prepared, profile))
     state = refine(prepared, start, profile, checkpoint)
     own = prepared.select("page_id", "node_id", "tag", "id", "attributes", "css_selector", "n_links", "text_len", "n_words")
-    final = DOM.in_subtree(own, state.withColumn("_same", F.col("root_id")), "root_id", "_same").drop("_same", "node_id")
+    final = DOM.in_subtree(own, state.withColumn("_same", F.col("root_id")).hint("merge"), "root_id", "_same").drop("_same", "node_id")
     if profile.name == "current":
         sels = selector_list(prepared, state, profile)
         final = final.join(sels, "page_id", "left")
@@ -173,7 +174,9 @@ def main_content(pages: DataFrame, prepared: DataFrame, nodes: DataFrame | None
     wt = PG.web_type("url")
     final = final.withColumn("web_type", PG.merge_web_type(wt, F.lit(previous_type)) if previous_type else wt)
     if nodes is not None:
-        roots = final.select("page_id", "root_id", "root_end")
+        if checkpoint:          # its roots are read for the text, the links and the result
+            final = cut_lineage(final)
+        roots = final.select("page_id", "root_id", "root_end").hint("merge")
         final = (final.join(DOM.subtree_text(nodes, roots), ["page_id", "root_id"], "left")
                       .join(DOM.subtree_links(nodes, roots, pages), ["page_id", "root_id"], "left")
                       .withColumn("text", F.coalesce("text", F.lit(""))))

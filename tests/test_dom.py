@@ -228,6 +228,19 @@ def test_nodes_stay_where_they_are_stored(spark):
     assert state.count() == 30 and state.select("page_id").distinct().count() == 30
 
 
+def test_the_driver_plans_and_holds_no_more_by_the_pass(spark):
+    """Whoever reads a refinement plans one table, not every pass's, and no pass sends its state through the driver."""
+    pages = spark.createDataFrame([(i, f"http://e.example/{i}", "<body>" + "<div><main><p>some words <a href='/x'>x</a></p></main></div>" * 5 + "</body>")
+                                   for i in range(20)], "page_id long, url string, html string")
+    nodes, prep = FS.prepare(pages)
+    main = FS.main_content(pages, prep, nodes, profile=DS.LEGACY)
+    plan = main._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan, plan
+    assert main.count() == 20
+    passes = FS.refine(prep, FS.top_candidate(FS.candidates(prep)), checkpoint=False)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in passes and "Broadcast" not in passes, passes
+
+
 def test_nodes_are_handed_on_in_small_pieces():
     """However many pages Spark puts into one batch, a worker holds the node rows of about ``html_bytes`` of HTML."""
     import pyarrow as pa
