@@ -93,7 +93,8 @@ def quick_scan(watch: DataFrame, pages: DataFrame, nodes: DataFrame, prepared: D
                       & (F.size("css_selector_list") > 0))
               .join(pages.select("page_id", "url"), "url"))
     m = SEL.first_match(w.select("row_id", "page_id", "css_selector_list"), prepared)
-    m = m.select("row_id", "page_id", "node_id", "subtree_end", "tag", F.col("selector").alias("q_selector"))
+    # found once: the text, the links and the result read it
+    m = cut_lineage(m.select("row_id", "page_id", "node_id", "subtree_end", "tag", F.col("selector").alias("q_selector")))
     roots = m.select("page_id", F.col("node_id").alias("root_id"), F.col("subtree_end").alias("root_end")).distinct()
     txt = DOM.subtree_text(nodes, roots)
     lnk = DOM.subtree_links(nodes, roots, pages)
@@ -149,7 +150,8 @@ def update_state(watch: DataFrame, pages: DataFrame, nodes: DataFrame, prepared:
     requests = d.filter(~F.col("quick_hit")).select("row_id", "url", "web_page_type", "scan_mode")
     in_quick = F.col("scan_mode") == "quick_full"
     fs = full_scan(requests, analysis, previous_type=F.when(in_quick, F.lit("plane")).otherwise(F.col("web_page_type")))
-    d = d.join(fs.select("row_id", "found", *[F.col(c).alias("f_" + c) for c in qcols]), "row_id", "left")
+    # worked out once: the new watch list and the errors read it
+    d = cut_lineage(d.join(fs.select("row_id", "found", *[F.col(c).alias("f_" + c) for c in qcols]), "row_id", "left"))
     scanned = F.coalesce(F.col("found"), F.lit(False))
 
     def pick(name):
