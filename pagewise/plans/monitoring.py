@@ -45,6 +45,7 @@ def page_analysis(pages: DataFrame, nodes: DataFrame, prepared: DataFrame, check
     One row per page, read by every scan path of the run (quick-full, full, the
     pagination hops), so it is written once to the checkpoint folder."""
     mc = FS.main_content(pages, prepared, nodes).drop("web_type")
+    mc = cut_lineage(mc) if checkpoint else mc          # two short plans, not one of both: the driver holds a plan whole
     pl = page_links(nodes, pages)
     base = pages.select("page_id", "url").join(pl, "page_id", "left")
     base = with_robots(base.withColumn("next_url", PG.next_url("url", "page_links")), robots)
@@ -143,7 +144,8 @@ def update_state(watch: DataFrame, pages: DataFrame, nodes: DataFrame, prepared:
     d = cut_lineage(scan_decision(watch, now))
     q = quick_scan(d.filter(F.col("scan_mode") == "quick"), pages, nodes, prepared)
     qcols = ["css_selector_list", "links", "result_web_type", "result_url"]
-    d = cut_lineage(d.join(q.select("row_id", *[F.col(c).alias("q_" + c) for c in qcols]), "row_id", "left")
+    q = cut_lineage(q.select("row_id", *[F.col(c).alias("q_" + c) for c in qcols]))
+    d = cut_lineage(d.join(q, "row_id", "left")
                      .withColumn("quick_hit", F.col("q_result_url").isNotNull()))
 
     # one full scan for all rows that the quick scan did not settle

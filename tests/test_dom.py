@@ -241,6 +241,25 @@ def test_the_driver_plans_and_holds_no_more_by_the_pass(spark):
     assert "SortMergeJoin" in passes and "Broadcast" not in passes, passes
 
 
+def test_a_run_works_out_its_parts_once(spark):
+    """The selectors of a quick scan are matched once, and a run's watch list and errors are read from one scan of its rows."""
+    from pagewise.plans import monitoring as MON
+    from pagewise.sources.watchlist import normalize
+    pages = spark.createDataFrame([(i, f"http://e.example/{i}", f"<body><main><p>some words {i} <a href='/x'>x</a></p></main></body>") for i in range(6)],
+                                  "page_id long, url string, html string")
+    nodes, prep = FS.prepare(pages)
+    watch = normalize(pages.select(F.col("page_id").alias("row_id"), "url", F.lit("2024-02-28T00:00:00Z").alias("full_scan_datetime"),
+                                   F.lit("plane").alias("web_page_type"), F.array(F.lit("main")).alias("css_selector_list")))
+    q = MON.quick_scan(watch, pages, nodes, prep)
+    assert "Generate" not in q._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.row_id, r.tag, r.text) for r in q.collect()} == {(i, "main", f"some words {i} x") for i in range(6)}
+    missing = normalize(spark.createDataFrame([(9, "http://e.example/none")], "row_id long, url string")).select(*watch.columns)
+    new, errors = MON.update_state(watch.unionByName(missing), pages, nodes, prep, F.lit("2024-02-29 00:00:00").cast("timestamp"))
+    for part in (new, errors):
+        assert "Join" not in part._jdf.queryExecution().optimizedPlan().toString()
+    assert new.count() == 7 and [(r.row_id, r.message) for r in errors.collect()] == [(9, MON.NO_RESULT)]
+
+
 def test_nodes_are_handed_on_in_small_pieces():
     """However many pages Spark puts into one batch, a worker holds the node rows of about ``html_bytes`` of HTML."""
     import pyarrow as pa
