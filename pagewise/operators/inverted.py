@@ -1,25 +1,33 @@
-"""A written inverted index over stored result lists, and the relevance scores of many queries read from it.
+"""A written index over stored result lists, and the relevance scores of many queries read from it.
 
-One shuffle of (document, term) pairs makes the index; after that a query only meets the postings of its own terms.
 ``corpus`` is a result list (the group that BM25 and TF-IDF statistics hold for), and any number of searches may ask
 the same one.  Three fields share the tables, one for each way the scores split a text:
 
 * ``space``: single-space tokens, for BM25;   * ``word``: lower-case runs of two or more word characters, for TF-IDF;
 * ``set``: lower-case white-space words, for Jaccard.
 
-``postings(corpus, field, term, block, doc, tf, len)`` are sorted by field and term.  A term with many postings is
-split into ``blocks`` by document, and a query's row of that term is copied to each block, so that a common word is
-spread over as many tasks as it needs.  ``terms`` has for each term its document frequency, its blocks and its ``peak``,
-the largest share of the BM25 weight that any document reaches.
+``postings(corpus, doc, field, term, tf, len)`` stay in the order of the documents, a document's side by side: the terms of
+the searches are broadcast to them, and a document's score of a search is summed in the task that reads it.  Query terms
+too many to broadcast are joined by a shuffle; a term with many postings is then split into blocks by document, and
+a query's row of that term is copied to each block, so that a common word is spread over as many tasks as it needs.
+``terms`` has for each term its document frequency.
 """
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
+from .. import session
 from ..functions import scores as S
 from ..functions import text as T
 from ..session import broadcast_if_small, written
@@ -29,65 +37,111 @@ from .relevance import BM25_B, BM25_EPSILON, BM25_K1, TFIDF_TOKEN
 FIELDS = ("space", "word", "set")
 POSTINGS_PER_BLOCK = 1 << 16
 SCORE_DIGITS = 9
-#: The first terms of a query by their bound, until they have this many postings for each wanted result.
-FIRST_POSTINGS = 4
+#: Bytes of a query term, or of a term's weight, that is broadcast.
+TERM_BYTES = 128
 _BY_TERM = ["corpus", "field", "term"]
 
 
 @dataclass
 class TextIndex:
-    docs: DataFrame        # corpus, doc, seq, len, n_words, norm
+    docs: DataFrame        # corpus, doc, seq, len, n_words (0 without the field set), norm (0 without word)
     corpora: DataFrame     # corpus, n, avg_len, mean_idf
-    terms: DataFrame       # corpus, field, term, df, peak, blocks
-    postings: DataFrame    # corpus, field, term, block, doc, tf, len
+    terms: DataFrame       # corpus, field, term, df; none of the field set, whose scores need no frequency
+    postings: DataFrame    # corpus, doc, field, term, tf, len
     fields: tuple[str, ...] = FIELDS
 
 
-def _tokens(text: Column) -> dict[str, Column]:
+def _tokens(text: Column) -> dict[str, tuple[Column, Column]]:
+    """Each field's tokens, or the text that :func:`_counted` splits at white space as ``functions.text.words`` does."""
     t = F.coalesce(text, F.lit(""))
-    return {"space": T.space_tokens(t), "word": F.regexp_extract_all(F.lower(t), F.lit(TFIDF_TOKEN), 0), "set": T.words(F.lower(t))}
+    whole, cut = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    return {"space": (T.space_tokens(t), whole), "word": (F.regexp_extract_all(F.lower(t), F.lit(TFIDF_TOKEN), 0), whole), "set": (cut, F.lower(t))}
+
+
+def _counted(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows that end in their ``tokens`` and ``text`` -> a row for each distinct token, with its count ``tf`` and all tokens'
+    ``len``; texts and tokens of about ``limit`` bytes at a time."""
+    for batch in batches:
+        weight = 8 * pc.fill_null(pc.list_value_length(batch.column("tokens")), 0).to_numpy().astype(np.int64)
+        part = np.cumsum(weight + pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy() + 16) // limit
+        for a, b in itertools.pairwise([0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]):
+            rows = batch.slice(a, b - a)
+            texts, tokens = rows.column("text").to_pylist(), rows.column("tokens")
+            given = np.array([t is None for t in texts], bool)
+            lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+            words = [() if t is None else t.split() for t in texts]
+            lengths = np.where(given, lengths, list(map(len, words)))
+            at = np.arange(b - a)
+            row = np.concatenate([np.repeat(at[given], lengths[given]), np.repeat(at[~given], lengths[~given])])
+            coded = pa.concat_arrays([tokens.flatten().cast(pa.string()), pa.array(itertools.chain.from_iterable(words), pa.string())]).dictionary_encode()
+            kinds = max(len(coded.dictionary), 1)
+            pairs, tf = np.unique(row * kinds + coded.indices.to_numpy(), return_counts=True)
+            row = pairs // kinds
+            own = [c.take(pa.array(row)) for c in rows.columns[:-2]]
+            yield pa.RecordBatch.from_arrays(
+                [*own, coded.dictionary.take(pa.array(pairs % kinds)), pa.array(tf, pa.int32()), pa.array(lengths[row], pa.int32())],
+                names=[*batch.schema.names[:-2], "term", "tf", "len"])
 
 
 def _term_rows(df: DataFrame, cols: list[str], text: Column, names: tuple[str, ...]) -> DataFrame:
-    """``cols, field, term, tf, len`` of every text, read once for all fields."""
-    fields = F.array(*(F.struct(F.lit(f).alias("field"), t.alias("tokens")) for f, t in _tokens(text).items() if f in names))
+    """``cols, field, term, tf, len`` of every text, read once for all fields; a text's rows stay together in its task."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), t.alias("tokens"), w.alias("text")) for f, (t, w) in _tokens(text).items() if f in names))
     split = df.select(*cols, F.inline(fields))
-    return T.with_term_counts(split, [*cols, "field"], F.col("tokens"), keep_len="len")
+    more = [ST.StructField("term", ST.StringType()), ST.StructField("tf", ST.IntegerType()), ST.StructField("len", ST.IntegerType())]
+    return split.mapInArrow(_counted, ST.StructType([*split.schema.fields[:-2], *more]))
+
+
+def _distinct_words(text: Column) -> Column:
+    """How many different words ``functions.text.words`` would give."""
+    def count(s):
+        return s.map(lambda t: len(set(t.split()))).astype("int32")
+    count.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(count, "int")(text)
 
 
 def build_index(items: DataFrame, corpus: str, doc: str, text: str, seq: str, fields: tuple[str, ...] = FIELDS) -> TextIndex:
     """The index of ``items``; ``doc`` names an item within its ``corpus`` and ``seq`` is its place in the result list.
     Null texts are empty.  All tables are written to the shared folder.  Only the ``fields`` asked for are indexed."""
     base = items.select(F.col(corpus).alias("corpus"), F.col(doc).alias("doc"), F.col(seq).cast("long").alias("seq"), F.col(text).alias("_text"))
-    own = _tokens(F.col("_text"))
-    docs = written(base.select("corpus", "doc", "seq", F.size(own["space"]).alias("len"), F.size(F.array_distinct(own["set"])).alias("n_words")), "index-docs")
+    whole = F.coalesce("_text", F.lit(""))
+    length = F.length(whole) - F.length(F.replace(whole, F.lit(" "), F.lit(""))) + 1
+    words = _distinct_words(F.lower(whole)) if "set" in fields else F.lit(0)
+    docs = written(base.select("corpus", "doc", "seq", length.alias("len"), words.alias("n_words")), "index-docs")
     sizes = written(docs.groupBy("corpus").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len")), "index-sizes")
 
-    pairs = written(_term_rows(base, ["corpus", "doc"], F.col("_text"), fields), "index-pairs")
-    terms = (pairs.join(broadcast_if_small(sizes.select("corpus", "avg_len"), 100), "corpus")
-             .groupBy(*_BY_TERM).agg(F.count("*").alias("df"), F.max(_share()).alias("peak"))
-             .withColumn("blocks", F.ceil(F.col("df") / POSTINGS_PER_BLOCK).cast("int")))
+    postings = written(_term_rows(base, ["corpus", "doc"], F.col("_text"), fields), "index-postings")
+    terms = postings.where("corpus is not null and field != 'set'").groupBy(*_BY_TERM).agg(F.count("*").alias("df"))
     terms = written(terms, "index-terms")
-    split = broadcast_if_small(terms.where("blocks > 1").select(*_BY_TERM, "blocks"), 200)
-    block = F.pmod(F.xxhash64("doc"), F.coalesce("blocks", F.lit(1))).cast("int")
-    postings = (pairs.join(split, _BY_TERM, "left").withColumn("block", block).drop("blocks")
-                .repartition(*_BY_TERM, "block").sortWithinPartitions("field", "term", "corpus"))
-    postings = written(postings, "index-postings")
 
     mean = terms.where("field = 'space'").join(broadcast_if_small(sizes, 100), "corpus").groupBy("corpus").agg(F.avg(_bm25_idf()).alias("mean_idf"))
     corpora = written(sizes.join(mean, "corpus", "left"), "index-corpora")
     if "word" in fields:
         weights = (terms.where("field = 'word'").join(broadcast_if_small(sizes, 100), "corpus")
-                   .select(*_BY_TERM, "blocks", _smooth_idf(F.col("n"), F.col("df")).alias("w")))
-        weights = weights.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        norms = (postings.where("field = 'word'").join(weights, [*_BY_TERM, "block"])
-                 .groupBy("corpus", "doc").agg(F.sum((F.col("tf") * F.col("w")) ** 2).alias("norm")))
+                   .select("corpus", "term", "df", _smooth_idf(F.col("n"), F.col("df")).alias("w")))
+        norms = _norms(postings.where("field = 'word'").select("corpus", "doc", "term", "tf"), weights)
         docs = written(docs.join(norms, ["corpus", "doc"], "left").withColumn("norm", F.coalesce("norm", F.lit(0.0))), "index-docs")
     else:
         docs = docs.withColumn("norm", F.lit(0.0))
     return TextIndex(docs, corpora, terms, postings, tuple(fields))
 
 
+def _norms(postings: DataFrame, weights: DataFrame) -> DataFrame:
+    """``corpus, doc, norm``: the squared TF-IDF length of each document.  As many of the most frequent terms as a broadcast
+    holds meet their postings where those are; only postings of rarer terms are shuffled."""
+    bits = F.length(F.bin("df"))
+    room, least = session.BROADCAST_BYTES // TERM_BYTES, 65
+    for row in weights.groupBy(bits.alias("bits")).count().orderBy(F.desc("bits")).collect():       # 64 rows at most
+        room -= row["count"]
+        if room < 0:
+            break
+        least = row["bits"]
+    known = postings.join(F.broadcast(weights.where(bits >= least).drop("df")), ["corpus", "term"], "left")
+    rare = known.where("w is null").drop("w").join(weights.where(bits < least).drop("df"), ["corpus", "term"])
+    weight = F.col("tf") * F.col("w")
+    parts = [x.select("corpus", "doc", (weight * weight).alias("part")) for x in (known.where("w is not null"), rare)]
+    return parts[0].unionByName(parts[1]).groupBy("corpus", "doc").agg(F.sum("part").alias("norm"))
+
+
 def _bm25_idf() -> Column:
     return F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
 
@@ -103,82 +157,59 @@ def _smooth_idf(n: Column, df: Column) -> Column:
 
 
 def query_terms(index: TextIndex, queries: DataFrame) -> DataFrame:
-    """``search, corpus, field, term, qtf, df, peak, blocks, n, avg_len, mean_idf`` of ``queries(search, corpus, query)``;
-    ``df`` is 0 for a term that no item has."""
+    """``search, corpus, field, term, qtf, df, n, avg_len, mean_idf`` of ``queries(search, corpus, query)``; ``df`` is 0
+    for a term that no item has, and in the field ``set``."""
     q = _term_rows(queries.select("search", "corpus", F.col("query").alias("_q")), ["search", "corpus"], F.col("_q"), index.fields)
-    q = q.withColumnRenamed("tf", "qtf").drop("len").join(index.corpora, "corpus")
-    return q.join(index.terms, _BY_TERM, "left").fillna(0, ["df", "blocks"]).fillna(0.0, ["peak"])
+    q = written(q.withColumnRenamed("tf", "qtf").drop("len"), "search-words")
+    asked = index.terms.join(broadcast_if_small(q.select(*_BY_TERM).distinct(), TERM_BYTES), _BY_TERM, "left_semi")
+    return q.join(index.corpora, "corpus").join(asked, _BY_TERM, "left").fillna(0, ["df"])
 
 
 def _matched(index: TextIndex, terms: DataFrame) -> DataFrame:
-    """Query terms with each posting of theirs, block by block."""
-    spread = terms.where("blocks > 0").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return index.postings.join(spread.drop("peak", "blocks"), [*_BY_TERM, "block"])
+    """The written query ``terms`` with each posting of theirs, document by document if the terms can be broadcast."""
+    if terms.count() * TERM_BYTES <= session.BROADCAST_BYTES:
+        return index.postings.join(F.broadcast(terms), _BY_TERM)
+    often = index.postings.groupBy(*_BY_TERM).count().where(F.col("count") > POSTINGS_PER_BLOCK)
+    often = written(often.select(*_BY_TERM, F.ceil(F.col("count") / POSTINGS_PER_BLOCK).cast("int").alias("blocks")), "index-often")
+    often = broadcast_if_small(often, TERM_BYTES)
+    blocks = F.coalesce("blocks", F.lit(1))
+    postings = index.postings.join(often, _BY_TERM, "left").withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int")).drop("blocks")
+    spread = terms.join(often, _BY_TERM, "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
+    return postings.join(spread, [*_BY_TERM, "block"])
 
 
 # ---- BM25 (A8a, T3) ------------------------------------------------------------------------------------
 
 def _bm25_terms(index: TextIndex, queries: DataFrame) -> DataFrame:
-    """Query terms with their weight ``w``, and how much of a score they can add at most (``most``) or take (``least``)."""
+    """Query terms with their weight ``w``."""
     idf = F.when(_bm25_idf() < 0, BM25_EPSILON * F.col("mean_idf")).otherwise(_bm25_idf())
     t = query_terms(index, queries).where("field = 'space' and df > 0")
-    t = t.withColumn("w", F.col("qtf") * idf * (BM25_K1 + 1))
-    bound = F.col("w") * F.col("peak")
-    return t.select("search", *_BY_TERM, "w", "df", "peak", "blocks", "avg_len", F.greatest(bound, F.lit(0.0)).alias("most"),
-                    F.least(bound, F.lit(0.0)).alias("least"))
-
-
-def _bm25_parts(index: TextIndex, terms: DataFrame) -> DataFrame:
-    return _matched(index, terms).select("search", "corpus", "doc", (F.col("w") * _share()).alias("part"))
+    return written(t.select("search", *_BY_TERM, (F.col("qtf") * idf * (BM25_K1 + 1)).alias("w"), "avg_len"), "search-terms")
 
 
 def bm25_top(index: TextIndex, queries: DataFrame, n: int = 100) -> DataFrame:
     """The first ``n`` documents of each search by BM25 (rounded at 1e-9), then by ``seq``: ``search, corpus, doc, seq,
-    bm25_score, rank``.  Documents that share no term with the query score 0 and fill a list up.
-
-    Upper bounds spare common words: the terms with the largest bounds are scored first, and the ``n``-th best of
-    those sums is a floor that every result reaches.  Terms whose bounds together stay below that floor can't bring a
-    document in by themselves, so their postings are only met by the documents that another term has found."""
-    terms = written(_bm25_terms(index, queries), "search-terms")
-    falling = Window.partitionBy("search").orderBy(F.desc("most"), "term").rowsBetween(Window.unboundedPreceding, -1)
-    rising = Window.partitionBy("search").orderBy("most", F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    terms = terms.select("*", F.coalesce(F.sum("df").over(falling), F.lit(0)).alias("met"), F.sum("most").over(rising).alias("below"),
-                         F.sum("least").over(Window.partitionBy("search")).alias("loss"))
-    terms = written(terms, "search-bounds")
-
-    first = _bm25_parts(index, terms.where(F.col("met") < FIRST_POSTINGS * n))
-    first = first.groupBy("search", "doc").agg(F.sum("part").alias("sum"))
-    nth = top_n_per_group(first, ["search"], [F.desc("sum"), F.asc("doc")], n).where(F.col("rank") == n - 1)
-    floor = nth.select("search", F.col("sum").alias("floor"))
-    told = terms.join(broadcast_if_small(written(floor, "search-floor"), 100), "search", "left")
-    minor = F.coalesce(F.col("below") < F.col("floor") + F.col("loss") - 10.0 ** -(SCORE_DIGITS - 1), F.lit(False))
-    told = written(told.withColumn("minor", minor).drop("floor"), "search-split")
-
-    parts = written(_bm25_parts(index, told.where("not minor")), "search-parts")
-    more = _parts_of(index, told.where("minor"), parts.select("search", "corpus", "doc").distinct())
-    scored = written(parts.unionByName(more).groupBy("search", "corpus", "doc").agg(F.sum("part").alias("bm25_score")), "search-scores")
-    return _filled(index, queries, scored, n)
-
-
-def _parts_of(index: TextIndex, terms: DataFrame, found: DataFrame) -> DataFrame:
-    """What ``terms`` add to the scores of the documents ``found(search, corpus, doc)``: each pair of a document and a
-    term of its search looks one posting up."""
-    pairs = found.join(terms.select("search", *_BY_TERM, "blocks", "w", "avg_len"), ["search", "corpus"])
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    return (index.postings.join(pairs, [*_BY_TERM, "block", "doc"])
-            .select("search", "corpus", "doc", (F.col("w") * _share()).alias("part")))
+    bm25_score, rank``.  Documents that share no term with the query score 0 and fill a list up."""
+    met = _matched(index, _bm25_terms(index, queries))
+    scored = met.groupBy("search", "corpus", "doc").agg(F.sum(F.col("w") * _share()).alias("bm25_score"))
+    return _filled(index, queries, written(scored, "search-scores"), n)
 
 
 def bm25_of(index: TextIndex, queries: DataFrame, found: DataFrame) -> DataFrame:
     """``search, doc, bm25_score`` of given documents; one that shares no term with its query has no row."""
-    parts = _parts_of(index, _bm25_terms(index, queries), found)
-    return parts.groupBy("search", "doc").agg(F.sum("part").alias("bm25_score"))
+    terms = _bm25_terms(index, queries)
+    own = index.postings.where("field = 'space'").join(broadcast_if_small(found.select("search", "corpus", "doc"), TERM_BYTES), ["corpus", "doc"])
+    met = own.join(broadcast_if_small(terms, TERM_BYTES), ["search", *_BY_TERM])
+    return met.groupBy("search", "doc").agg(F.sum(F.col("w") * _share()).alias("bm25_score"))
 
 
 def _filled(index: TextIndex, queries: DataFrame, scored: DataFrame, n: int) -> DataFrame:
     """The best ``n`` of each search, unmatched documents (score 0) included where the list has room for them."""
     order = [F.round("bm25_score", SCORE_DIGITS).desc(), F.col("seq").asc()]
-    placed = index.docs.select("corpus", "doc", "seq").join(scored, ["corpus", "doc"])
+    # a document behind n better ones can't be in the list: the places are looked up for the others, equal ones all
+    ahead = F.rank().over(Window.partitionBy("search").orderBy(order[0]))
+    best = scored.withColumn("_ahead", ahead).where(F.col("_ahead") <= n).drop("_ahead")
+    placed = index.docs.select("corpus", "doc", "seq").join(best, ["corpus", "doc"])
     counts = scored.groupBy("search").agg(F.count("*").alias("all"), F.count_if(F.expr("bm25_score > 0")).alias("above"))
     short = queries.select("search", "corpus").join(counts, "search", "left").fillna(0, ["all", "above"]).where(F.col("above") < n)
     short = written(short, "search-short")
@@ -209,7 +240,7 @@ def relevance(index: TextIndex, queries: DataFrame, semantic: DataFrame | None =
         F.count_if(F.expr("field = 'set'")).alias("both"),
         F.coalesce(F.sum(F.col("tf") * F.col("w") * F.col("qtf") * F.col("w")), F.lit(0.0)).alias("dot"),
         # the query's own terms are one document more frequent in the space it is compared in
-        F.coalesce(F.sum(F.col("tf") ** 2 * (F.col("w") ** 2 - F.col("w0") ** 2)), F.lit(0.0)).alias("shift"))
+        F.coalesce(F.sum(F.col("tf") * F.col("tf") * (F.col("w") * F.col("w") - F.col("w0") * F.col("w0"))), F.lit(0.0)).alias("shift"))
     if semantic is not None:
         met = met.join(semantic.join(queries.select("search", "corpus"), "search"), ["search", "corpus", "doc"], "full").fillna(0)
     else:

@@ -3,7 +3,7 @@
 Input ``hits(corpus, seq, doc, href, title, body)``: the deduplicated results of each result list (``corpus``), ``seq``
 their original order.  ``queries(search, corpus, query)``: any number of searches, each over one list.
 
-Plan: J7 enrich -> written inverted index -> BM25 top-n by upper bounds (A8a, T3) -> model re-rank of those (T4,
+Plan: J7 enrich -> written index -> BM25 top-n (A8a, T3) -> model re-rank of those (T4,
 identity without a model) -> credibility rank of each list (T5) -> RRF (A7) -> final top-n (T6).  Rankings have a total
 order (score descending, ``seq`` ascending), scores compared at 1e-9 so that float summation order cannot flip ties.
 
