@@ -10,6 +10,7 @@ only as a whole piece.
 from __future__ import annotations
 
 import base64
+import struct
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -107,6 +108,15 @@ class PrefixEncoder:
             else:
                 raise ValueError("a byte of the piece has no token")
 
+    def turn_to(self, data: bytes) -> None:
+        """Encode another piece: the entries of the bytes that both begin with stay."""
+        same, most = 0, min(len(data), len(self.data))
+        while same < most and self.data[same] == data[same]:
+            same += 1
+        self.data = data[:same]
+        del self.last[same:]
+        self.append(data[same:])
+
     def replace(self, start: int, end: int, data: bytes) -> int:
         """Put ``data`` in place of the bytes ``[start, end)``; entries before ``start`` stay as they are.
         Behind the edit, entries are made again only until they agree with the old ones for as many bytes as
@@ -145,25 +155,32 @@ class Tokenizer:
         whole = self.vocabulary.ranks.get(data)
         return [whole] if whole is not None else PrefixEncoder(self.vocabulary, data).tokens()
 
-    def ids(self, piece: str) -> bytes:
-        """A piece's ids as little-endian unsigned 32-bit integers, kept for the next time."""
-        known = self._known
-        ids = known.get(piece)
-        if ids is None:
-            ids = b"".join(i.to_bytes(4, "little") for i in self.piece(piece))
+    def ids(self, pieces: list[str]) -> list[bytes]:
+        """Each piece's ids as little-endian unsigned 32-bit integers, kept for the next time.  New pieces are encoded in
+        the order of their bytes, so that each goes on from what it has in common with the one before."""
+        known, ranks, encoder = self._known, self.vocabulary.ranks, PrefixEncoder(self.vocabulary)
+        out = list(map(known.get, pieces))
+        new = {pieces[i] for i, ids in enumerate(out) if ids is None}
+        made = {}
+        for data, piece in sorted((p.encode("utf-8", "surrogatepass"), p) for p in new):
+            whole = ranks.get(data)
+            if whole is None:
+                encoder.turn_to(data)
+            tokens = encoder.tokens() if whole is None else [whole]
+            ids = made[piece] = struct.pack(f"<{len(tokens)}I", *tokens)
             if len(piece) <= CACHE_PIECE_CHARS:
                 if len(known) >= CACHE_PIECES:
                     known.clear()
                 known[piece] = ids
-        return ids
+        return [made[p] if ids is None else ids for p, ids in zip(pieces, out)]
 
     def encode(self, text: str) -> bytes:
-        return b"".join(map(self.ids, self.pieces(text)))
+        return b"".join(self.ids(self.pieces(text)))
 
     def encode_pieces(self, pieces: pa.ListArray) -> Iterator[bytes]:
         """The ids of texts that are cut already: each distinct piece of the batch is looked up once."""
         coded = pieces.flatten().dictionary_encode()
-        each = list(map(self.ids, coded.dictionary.to_pylist()))
+        each = self.ids(coded.dictionary.to_pylist())
         codes, ends = coded.indices.to_pylist(), np.cumsum(pieces.value_lengths().fill_null(0).to_numpy()).tolist()
         for start, end in zip([0, *ends], ends):
             yield b"".join(map(each.__getitem__, codes[start:end]))

@@ -302,6 +302,17 @@ def test_bpe_table(spark, documents, odd, nothing, tools):
     assert bpe.op6(spark, nothing, PATH, PATTERN).count() == 0
 
 
+def test_bpe_new_pieces_share_their_beginnings(tools, monkeypatch):
+    """Pieces in any order get the ids that merging gives them, and what two of them begin with alike is encoded once."""
+    own = bpe.Tokenizer(tools[0].vocabulary, PATTERN)
+    pieces = [" thinonerre", "zzqx", " thinonerrea", "", " thinonshre", "zzqx", " the", "zz", "Èonaiçx", "Èonaiça"]
+    made, append = [], bpe.PrefixEncoder.append
+    monkeypatch.setattr(bpe.PrefixEncoder, "append", lambda self, more: (made.append(len(more)), append(self, more))[1])
+    got = own.ids(pieces)
+    assert got == [b"".join(t.to_bytes(4, "little") for t in own.vocabulary.merged(p.encode())) for p in pieces]
+    assert own.ids(pieces) == got and sum(made) < sum(len(p.encode()) for p in set(pieces))
+
+
 @given(st.text("abeinrts", min_size=1, max_size=60), st.text("abeinrts", max_size=12), st.integers(0, 60), st.integers(0, 8))
 @settings(max_examples=150, deadline=None)
 def test_bpe_appends_and_edits(tools, text, new, at, cut):
