@@ -16,14 +16,15 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, worker_table
 
-#: Pieces kept with their encodings in a Python worker, and token pairs known to be compatible or not; beyond that the
-#: table starts anew.  About 60 MB each.
+#: Pieces kept with their encodings in a Python worker (beyond that, the half of them that was asked for longest ago goes), and token
+#: pairs known to be compatible or not (beyond that, the table starts anew).  About 60 and 30 MB.
 CACHE_PIECES = 300_000
 CACHE_PAIRS = 300_000
 CACHE_PIECE_CHARS = 64
@@ -35,7 +36,7 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
-        self._pair: dict[tuple[int, int], bool] = {}
+        self._pair: dict[int, bool] = {}
         self.longest = max(map(len, ranks), default=1)
 
     @classmethod
@@ -43,20 +44,16 @@ class Vocabulary:
         with open(path, "rb") as f:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, f)})
 
+    @cached_property
+    def flat(self) -> pa.Array:
+        """The tokens by id in one array; an id without a token is null."""
+        return pa.array(map(self.token.get, range(max(self.token, default=-1) + 1)), pa.large_binary())
+
     @cached_property
     def usable(self) -> dict[bytes, int]:
         """Tokens that merging gives back; others occur only as whole pieces.  Only encoding needs them."""
         return {t: i for t, i in self.ranks.items() if self.merged(t) == [i]}
 
-    @cached_property
-    def reach(self) -> dict[bytes, int]:
-        """The longest usable token of three bytes or more for each three last bytes."""
-        longest: dict[bytes, int] = {}
-        for t in self.usable:
-            if len(t) > 2:
-                longest[t[-3:]] = max(longest.get(t[-3:], 2), len(t))
-        return longest
-
     def merged(self, data: bytes) -> list[int]:
         """The definition: merge the adjacent pair of lowest rank, leftmost first, until none is left."""
         get, none = self.ranks.get, 1 << 62
@@ -73,11 +70,12 @@ class Vocabulary:
         return [self.ranks[p] for p in parts]
 
     def compatible(self, a: int, b: int) -> bool:
-        known = self._pair.get((a, b))
+        pair = a << 32 | b
+        known = self._pair.get(pair)
         if known is None:
             if len(self._pair) >= CACHE_PAIRS:
                 self._pair.clear()
-            known = self._pair[a, b] = self.merged(self.token[a] + self.token[b]) == [a, b]
+            known = self._pair[pair] = self.merged(self.token[a] + self.token[b]) == [a, b]
         return known
 
 
@@ -91,16 +89,16 @@ class PrefixEncoder:
     def append(self, more: bytes) -> None:
         v, n = self.vocabulary, len(self.data)
         self.data = data = self.data + more
-        last, usable, reach, pairs = self.last, v.usable.get, v.reach.get, v._pair
+        last, usable, pairs, longest = self.last, v.usable.get, v._pair, v.longest
         for end in range(n + 1, len(data) + 1):
-            least = end - reach(data[end - 3:end], 2) if end > 2 else 0
-            for start in range(end - 1, max(least, 0) - 1, -1):
+            # shortest first: the one that fits is found before those longer than it are looked at
+            for start in range(end - 1, max(end - longest, 0) - 1, -1):
                 t = usable(data[start:end])
                 if t is None:
                     continue
                 if start:
                     before = last[start - 1]
-                    fits = pairs.get((before, t))
+                    fits = pairs.get(before << 32 | t)
                     if not (v.compatible(before, t) if fits is None else fits):
                         continue
                 last.append(t)
@@ -136,19 +134,31 @@ class PrefixEncoder:
         return made
 
     def tokens(self) -> list[int]:
-        out, end = [], len(self.data)
+        out, end, last, token = [], len(self.data), self.last, self.vocabulary.token
         while end:
-            out.append(self.last[end - 1])
-            end -= len(self.vocabulary.token[out[-1]])
+            out.append(t := last[end - 1])
+            end -= len(token[t])
         return out[::-1]
 
 
+def joined(values: pa.Array, at: pa.Array, ends: np.ndarray) -> pa.Array:
+    """Rows of ``values[at]`` put together, row after row: the row i up to ``ends[i]``.  The parts lie one behind the
+    other already, so a row is no more than where it ends."""
+    parts = values.take(at)
+    if parts.null_count:
+        raise ValueError("an id has no token")
+    offsets = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset:parts.offset + len(parts) + 1] if len(parts) else np.zeros(1, np.int64)
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets[np.append(0, ends)]), parts.buffers()[2]])
+    return whole.cast(pa.binary())
+
+
 class Tokenizer:
     """Text to ids and back: pieces of ``pattern`` encoded separately; a piece that is a token is that token."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         self.vocabulary, self.pieces = vocabulary, regex.compile(pattern).findall
         self._known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> list[int]:
         data = piece.encode("utf-8", "surrogatepass")
@@ -160,34 +170,46 @@ class Tokenizer:
         the order of their bytes, so that each goes on from what it has in common with the one before."""
         known, ranks, encoder = self._known, self.vocabulary.ranks, PrefixEncoder(self.vocabulary)
         out = list(map(known.get, pieces))
-        new = {pieces[i] for i, ids in enumerate(out) if ids is None}
-        made = {}
-        for data, piece in sorted((p.encode("utf-8", "surrogatepass"), p) for p in new):
+        missing = {pieces[i] for i, ids in enumerate(out) if ids is None}
+        made = {p: ids for p in missing if (ids := self._older.get(p)) is not None}
+        for data, piece in sorted((p.encode("utf-8", "surrogatepass"), p) for p in missing if p not in made):
             whole = ranks.get(data)
             if whole is None:
                 encoder.turn_to(data)
             tokens = encoder.tokens() if whole is None else [whole]
-            ids = made[piece] = struct.pack(f"<{len(tokens)}I", *tokens)
+            made[piece] = struct.pack(f"<{len(tokens)}I", *tokens)
+        for piece, ids in made.items():
             if len(piece) <= CACHE_PIECE_CHARS:
-                if len(known) >= CACHE_PIECES:
-                    known.clear()
+                if len(known) >= CACHE_PIECES // 2:
+                    # those not asked for since the last time go
+                    self._older, known = known, {}
+                    self._known = known
                 known[piece] = ids
         return [made[p] if ids is None else ids for p, ids in zip(pieces, out)]
 
     def encode(self, text: str) -> bytes:
         return b"".join(self.ids(self.pieces(text)))
 
-    def encode_pieces(self, pieces: pa.ListArray) -> Iterator[bytes]:
+    def encode_pieces(self, pieces: pa.ListArray) -> pa.Array:
         """The ids of texts that are cut already: each distinct piece of the batch is looked up once."""
         coded = pieces.flatten().dictionary_encode()
-        each = self.ids(coded.dictionary.to_pylist())
-        codes, ends = coded.indices.to_pylist(), np.cumsum(pieces.value_lengths().fill_null(0).to_numpy()).tolist()
-        for start, end in zip([0, *ends], ends):
-            yield b"".join(map(each.__getitem__, codes[start:end]))
+        each = pa.array(self.ids(coded.dictionary.to_pylist()), pa.large_binary())
+        return joined(each, coded.indices, np.cumsum(_lengths(pieces)))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.vocabulary.token.__getitem__, memoryview(ids).cast("I")))
 
+    def decode_all(self, ids: pa.Array) -> pa.Array:
+        """:meth:`decode` of each row of a binary array; null ids: none."""
+        ids = pa.concat_arrays([ids.fill_null(b"")])
+        ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1]
+        if len(ends) < 2 or ends[0] == ends[-1]:
+            return pa.array([b""] * len(ids), pa.binary())
+        if (ends % 4).any():
+            raise ValueError("ids are 32-bit integers")
+        flat = np.frombuffer(ids.buffers()[2], "<u4", count=(ends[-1] - ends[0]) // 4, offset=ends[0])
+        return joined(self.vocabulary.flat, pa.array(flat), (ends[1:] - ends[0]) // 4)
+
 
 def tokenizer(path: str, pattern: str) -> Tokenizer:
     return worker_table((path, pattern), lambda: Tokenizer(Vocabulary.load(path), pattern))
@@ -195,32 +217,71 @@ def tokenizer(path: str, pattern: str) -> Tokenizer:
 
 #: Code points that Java's Unicode version may not know; all others are of the same kind for the tokenizer's engine.
 DOUBTFUL = r"\p{Cn}"
+#: Pieces of a text in one row on the way to a worker.  Spark counts the rows of an Arrow batch (10,000), and the JVM and
+#: the worker each hold one whole.
+ROW_PIECES = 64
 #: Pieces that a worker takes from a batch at a time.
-SLICE_PIECES = 400_000
+SLICE_PIECES = 200_000
 
 
 def cut(docs: DataFrame, pattern: str) -> DataFrame:
-    """``doc_id, text, pieces``: texts cut by ``pattern`` in the JVM; a text with a doubtful code point is left whole."""
+    """``doc_id, part, text, pieces``: texts cut by ``pattern`` in the JVM, in rows of at most ``ROW_PIECES`` pieces, one
+    behind the other; ``part`` counts the rows of a text from 0.  A text with a doubtful code point is left whole."""
     java = pattern.replace(r"\S", r"\P{IsWhite_Space}").replace(r"\s", r"\p{IsWhite_Space}")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
     whole = F.rlike("text", F.lit(DOUBTFUL))
-    return base.select("doc_id", F.when(whole, F.col("text")).alias("text"),
-                       F.when(~whole, F.regexp_extract_all("text", F.lit(java), F.lit(0))).alias("pieces"))
-
-
-def _encoded(batches: Iterator[pa.RecordBatch], own: Tokenizer) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """``doc_id`` and ids of the rows of cut texts, a bounded number of pieces at a time."""
+    pieces = base.select("doc_id", F.when(whole, F.col("text")).alias("text"),
+                         F.when(~whole, F.regexp_extract_all("text", F.lit(java), F.lit(0))).alias("pieces"))
+    last = F.greatest(F.lit(0), F.floor((F.coalesce(F.size("pieces"), F.lit(0)) - 1) / ROW_PIECES)).cast("int")
+    rows = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice("pieces", i * ROW_PIECES + 1, ROW_PIECES))
+    return pieces.select("doc_id", "text", F.posexplode(rows).alias("part", "pieces")).select("doc_id", "part", "text", "pieces")
+
+
+def _lengths(lists: pa.Array) -> np.ndarray:
+    return lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], own: Tokenizer) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """``doc_id`` and ids of the cut texts.  The last text of what came so far is held until it is known to be whole."""
+    held, begun = None, []
+    for part, doc_id, ids in _encoded_rows(batches, own):
+        starts = np.flatnonzero(part.to_numpy() == 0)
+        begun += ids[:starts[0] if len(starts) else len(ids)].to_pylist()
+        if not len(starts):
+            continue
+        if held is not None:
+            yield held, pa.array([b"".join(begun)], pa.binary())
+        if len(starts) > 1:
+            offsets = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset:ids.offset + len(ids) + 1][starts]
+            yield (doc_id.take(pa.array(starts[:-1])),
+                   pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), ids.buffers()[2]]))
+        held, begun = doc_id.take(pa.array(starts[-1:])), ids[starts[-1]:].to_pylist()
+    if held is not None:
+        yield held, pa.array([b"".join(begun)], pa.binary())
+
+
+def _encoded_rows(batches: Iterator[pa.RecordBatch], own: Tokenizer) -> Iterator[tuple[pa.Array, pa.Array, pa.Array]]:
+    """``part``, ``doc_id`` and ids of each row, a bounded number of pieces (or eight bytes for each) at a time."""
     for batch in by_bytes(batches, "text"):
-        part = np.cumsum(batch.column("pieces").value_lengths().fill_null(0).to_numpy().astype(np.int64)) // SLICE_PIECES
+        pieces = batch.column("pieces")
+        n = _lengths(pieces)
+        size = np.append(0, np.cumsum(pc.binary_length(pieces.flatten()).to_numpy(zero_copy_only=False).astype(np.int64)))
+        size = np.diff(size[np.append(0, np.cumsum(n))])
+        part = np.cumsum(np.maximum(n, size // 8)) // SLICE_PIECES
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
             rows = batch.slice(a, b - a)
-            ids = list(own.encode_pieces(rows.column("pieces")))
-            for i, text in enumerate(rows.column("text").to_pylist()):
-                if text is not None:
-                    ids[i] = own.encode(text)
-            yield rows.column("doc_id"), ids
+            ids = own.encode_pieces(rows.column("pieces"))
+            texts = rows.column("text")
+            if texts.null_count < len(texts):
+                told = ids.to_pylist()
+                for i, text in enumerate(texts.to_pylist()):
+                    if text is not None:
+                        told[i] = own.encode(text)
+                ids = pa.array(told, pa.binary())
+            yield rows.column("part"), rows.column("doc_id"), ids
+        del batch, pieces, rows, texts, ids          # a worker holds one batch, not the next one as well
 
 
 def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -231,7 +292,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     columns are not read.  ``path`` names the vocabulary file, which every worker must be able to open."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc_id, ids in _encoded(batches, tokenizer(path, pattern)):
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([doc_id, ids], names=["doc_id", "ids"])
     return cut(docs, pattern).mapInArrow(run, "doc_id bigint, ids binary")
 
 
@@ -240,9 +301,8 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for batch in by_bytes(batches, "ids"):
-            data = [own.decode(i or b"") for i in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(data, pa.binary())],
-                                             names=["doc_id", "ids", "decoded"])
+            ids = batch.column("ids")
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, own.decode_all(ids)], names=["doc_id", "ids", "decoded"])
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
 
 
@@ -252,8 +312,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path, pattern)
         for doc_id, ids in _encoded(batches, own):
-            yield pa.RecordBatch.from_arrays([doc_id, pa.array(ids, pa.binary()), pa.array(map(own.decode, ids), pa.binary())],
-                                             names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([doc_id, ids, own.decode_all(ids)], names=["doc_id", "ids", "decoded"])
     return cut(docs, pattern).mapInArrow(run, "doc_id bigint, ids binary, decoded binary")
 
 

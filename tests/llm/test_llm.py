@@ -13,6 +13,7 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -313,6 +314,57 @@ def test_bpe_new_pieces_share_their_beginnings(tools, monkeypatch):
     assert own.ids(pieces) == got and sum(made) < sum(len(p.encode()) for p in set(pieces))
 
 
+def test_bpe_batches(tools, monkeypatch):
+    """The cut texts of a batch, in slices of bounded pieces and bytes, give what each gives alone, and decode to themselves."""
+    own, lib = tools
+    texts = ["", "one two  three", "x" * 500, "Ça va? ça va!", "one one one " * 9, "", "ñ\n\nß 12345", ""]
+    pieces = pa.array([None if t == "" and i else own.pieces(t) for i, t in enumerate(texts)], pa.list_(pa.string()))
+    texts[7] = "two \u0378 three"
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array([0] * 8, pa.int32()), pa.array([None] * 7 + texts[7:], pa.string()), pieces],
+                                       names=["doc_id", "part", "text", "pieces"])
+
+    def encoded(*batches):
+        return [(i, np.frombuffer(ids, "<u4").tolist()) for at, ids in bpe._encoded(iter(batches), own) for i, ids in zip(at.to_pylist(), ids.to_pylist())]
+    for bound in (1, 7, 400_000):
+        monkeypatch.setattr(bpe, "SLICE_PIECES", bound)
+        for rows in (batch, batch.slice(2), batch.slice(5, 1)):
+            assert encoded(rows) == [(i, lib.encode_ordinary(texts[i])) for i in rows.column("doc_id").to_pylist()]
+        # a text in several rows, also of several batches
+        parts = [(i, k, p[k * 2:k * 2 + 2]) for i, t in enumerate(texts) for p in [own.pieces(t)] for k in range(max(1, -(-len(p) // 2)))]
+        table = pa.RecordBatch.from_arrays([pa.array([r[0] for r in parts], pa.int64()), pa.array([r[1] for r in parts], pa.int32()),
+                                            pa.nulls(len(parts), pa.string()), pa.array([r[2] for r in parts], pa.list_(pa.string()))], names=batch.schema.names)
+        want = [(i, lib.encode_ordinary(t)) for i, t in enumerate(texts)]
+        assert encoded(table) == want and encoded(*(table.slice(i, 3) for i in range(0, len(parts), 3))) == want and encoded() == []
+    told = pa.array([own.encode(t) for t in texts[:3]] + [None] + [own.encode(t) for t in texts[4:]], pa.binary())
+    assert own.decode_all(told).to_pylist() == [t.encode() for t in texts[:3]] + [b""] + [t.encode() for t in texts[4:]]
+    assert own.decode_all(told.slice(3, 3)).to_pylist() == [b"", texts[4].encode(), b""] and own.decode_all(told[3:4]).to_pylist() == [b""]
+    with pytest.raises(ValueError):
+        own.decode_all(pa.array([b"abc"], pa.binary()))
+
+
+def test_bpe_rows_of_bounded_pieces(spark, tools):
+    """A text goes to a worker in rows of bounded pieces, so that a batch of Spark's 10,000 rows is bounded too."""
+    n = bpe.ROW_PIECES
+    texts = [None, "", "one", " a" * n, " a" * (n + 1), " b" * (5 * n), "two \u0378 three"]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    rows = bpe.cut(docs, PATTERN).collect()
+    assert max(len(r.pieces or []) for r in rows) == n and [r.part for r in rows] == [0, 0, 0, 0, 0, 1, 0, 1, 2, 3, 4, 0]
+    got = bpe.encode(docs, PATH, PATTERN).collect()
+    assert [(r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in got] == [(i // 2, tools[1].encode_ordinary(t or "")) for i, t in enumerate(texts)]
+
+
+def test_bpe_kept_pieces(tools, monkeypatch):
+    """When a worker keeps no more pieces, those asked for of late stay: they are not encoded again."""
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 8)
+    own, made, turn = bpe.Tokenizer(tools[0].vocabulary, PATTERN), [], bpe.PrefixEncoder.turn_to
+    monkeypatch.setattr(bpe.PrefixEncoder, "turn_to", lambda self, data: (made.append(data), turn(self, data))[1])
+    for i in range(20):
+        pieces = [" often said", f" qzx{i}vw"]
+        assert own.ids(pieces) == [np.array(own.vocabulary.merged(p.encode()), "<u4").tobytes() for p in pieces]
+        assert len(own._known) <= 4 and len(own._older) <= 4
+    assert made.count(b" often said") == 1 and len(made) == 21
+
+
 @given(st.text("abeinrts", min_size=1, max_size=60), st.text("abeinrts", max_size=12), st.integers(0, 60), st.integers(0, 8))
 @settings(max_examples=150, deadline=None)
 def test_bpe_appends_and_edits(tools, text, new, at, cut):
