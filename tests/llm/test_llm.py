@@ -483,6 +483,31 @@ def test_near_copies_with_a_phrase_said_elsewhere():
                 assert len({u for _, _, u, _ in found}) == 2
 
 
+def test_passages_meet_by_no_line_at_the_end_of_texts():
+    r = np.random.default_rng(3)
+    say = lambda n: [f"w{x}" for x in r.integers(0, 10**6, n)]
+    line, passage = say(14), say(52)
+    texts = [say(80) + line for _ in range(60)] + [line + say(80) for _ in range(60)] + [say(40) + passage, say(60) + passage]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array([" ".join(w) for w in texts])], names=["node", "text"])
+    rows = pa.Table.from_batches(list(passages._windows(6, 50, 5)([batch]))).to_pandas()
+    met = set()
+    for side in (rows.beside // 2**32, rows.beside % 2**32):
+        for _, nodes in rows.groupby([rows.value, side]).node:
+            met |= {(a, b) for a in nodes for b in nodes if a < b}
+    assert met == {(120, 121)}
+
+
+def test_phrase_windows_keep_their_ends():
+    words = [f"w{x}" for x in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([5], pa.int64()), pa.array([" ".join(words + ["on"] * 300 + words[::-1])])], names=["node", "text"])
+    rows = pa.Table.from_batches(list(passages._windows(1, 50, 5)([batch]))).to_pandas()
+    run = rows[rows.value == passages.mix64(_sequence(["on"] * 5).shingles, 1).view(np.int64)[0]]
+    _, places, _ = passages.compact_windows(passages.mix64(_sequence(words + ["on"] * 300 + words[::-1]).shingles, 1), 46)
+    told = places[(places >= 60) & (places < 356)]
+    if len(told):
+        assert {int(told[0]), int(told[-1])} <= set(run["at"]) and len(run) < len(told) / 4
+
+
 def test_passages_edges(spark, odd):
     got = {r.doc_id: (r.class_id, r.n_passages) for r in passages.op7(spark, odd).collect()}
     assert got == {6: (6, 1), 7: (6, 1), 8: (8, 1), 9: (8, 1)}
