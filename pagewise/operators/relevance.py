@@ -122,16 +122,64 @@ def jaccard_scores(items: DataFrame, queries: DataFrame, group: str, key: str, t
                  .select(group, key, T.jaccard("_q", text).alias("jaccard_score")))
 
 
-def score_relevance(items: DataFrame, queries: DataFrame, group: str, key: str, text: str,
-                    query: str = "query", semantic: DataFrame | None = None, model: Callable | None = None) -> DataFrame:
-    """Jaccard, tf-idf cosine, semantic score and their hybrid per item.
+def _counts(tokens: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, token, count)`` of each distinct token (a code) of each row."""
+    kinds = int(tokens.max(initial=-1)) + 1 or 1
+    pairs, count = np.unique(np.repeat(np.arange(len(lengths)), lengths) * kinds + tokens, return_counts=True)
+    return pairs // kinds, pairs % kinds, count
+
+
+def _whole_group(items: pa.Table, asked: pa.Table) -> pa.Table:
+    """The scores of one group's items ``(group, key, text, tokens)`` against its query ``(group, text, tokens)``."""
+    n = items.num_rows
+    given = set(asked.column(1)[0].as_py().split()) if asked.num_rows else set()
+    words = [set(t.split()) for t in items.column(2).to_pylist()]
+    jaccard = [len(w & given) / len(w | given) if w or given else 0.0 for w in words]
+    chunks = [chunk for c in (items.column(3), asked.column(2)) for chunk in c.chunks if len(chunk)]
+    lengths = np.concatenate([np.zeros(0, np.int64), *(c.value_lengths().to_numpy(zero_copy_only=False) for c in chunks)]).astype(np.int64)
+    coded = pa.concat_arrays([pa.array([], pa.string()), *(c.flatten().cast(pa.string()) for c in chunks)]).dictionary_encode()
+    codes, of_items = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), int(lengths[:n].sum())
+    row, term, tf = _counts(codes[:of_items], lengths[:n])
+    wanted = np.bincount(codes[of_items:], minlength=len(coded.dictionary))
+    df = np.bincount(term, minlength=len(wanted)) + (wanted > 0)
+    idf = np.log((2 + n) / (1 + df)) + 1
+    w, wq = tf * idf[term], wanted * idf
+    own, asked_norm = np.sqrt(np.bincount(row, w * w, minlength=n)), np.sqrt((wq * wq).sum())
+    dot = np.bincount(row, w * wq[term], minlength=n)
+    length = own * asked_norm
+    tfidf = np.divide(dot, length, out=np.zeros(n), where=length > 0)
+    return pa.table([items.column(0), items.column(1), pa.array(jaccard, pa.float64()), pa.array(tfidf)],
+                    names=[*items.column_names[:2], "jaccard_score", "tfidf_score"])
+
+
+def whole_group_scores(items: DataFrame, queries: DataFrame, group: str, key: str, text: str, query: str = "query") -> DataFrame:
+    """:func:`jaccard_scores` and :func:`tfidf_cosine` of groups that a task can hold, such as the items of one page: each
+    is scored whole in one task, so that its terms are never shuffled.  ``queries`` has one row a group."""
+    def read(df: DataFrame, cols: list[str], col: str) -> DataFrame:
+        low = df.select(*cols, F.lower(F.coalesce(F.col(col), F.lit(""))).alias("_t"))
+        return low.select("*", F.regexp_extract_all("_t", F.lit(TFIDF_TOKEN), 0).alias("_tokens"))
+
+    schema = ST.StructType([items.schema[group], items.schema[key], ST.StructField("jaccard_score", ST.DoubleType()),
+                            ST.StructField("tfidf_score", ST.DoubleType())])
+    known = F.col(group).isNotNull()
+    return read(items.where(known), [group, key], text).groupBy(group).cogroup(
+        read(queries.where(known), [group], query).groupBy(group)).applyInArrow(_whole_group, schema)
+
+
+def score_relevance(items: DataFrame, queries: DataFrame, group: str, key: str, text: str, query: str = "query",
+                    semantic: DataFrame | None = None, model: Callable | None = None, whole_groups: bool = False) -> DataFrame:
+    """Jaccard, tf-idf cosine, semantic score and their hybrid per item.  ``whole_groups`` scores each group in one
+    task (:func:`whole_group_scores`).
 
     ``semantic`` is an optional ``(group, key, semantic_score)`` table; ``model``
     (see :func:`model_score`) scores query and text itself; without either the
     semantic term is 0.
     """
-    out = (jaccard_scores(items, queries, group, key, text, query)
-           .join(tfidf_cosine(items, queries, group, key, text, query), [group, key]))
+    if whole_groups:
+        out = whole_group_scores(items, queries, group, key, text, query)
+    else:
+        out = (jaccard_scores(items, queries, group, key, text, query)
+               .join(tfidf_cosine(items, queries, group, key, text, query), [group, key]))
     if model is not None:
         pairs = items.select(group, key, F.coalesce(text, F.lit("")).alias("_t")).join(
             queries.select(group, F.coalesce(query, F.lit("")).alias("_q")), group)

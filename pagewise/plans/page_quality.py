@@ -19,6 +19,7 @@ from ..functions import urls as U
 from ..operators import dom as DOM
 from ..operators import quality as Q
 from ..operators import relevance as R
+from ..session import written
 from . import full_scan as FS
 
 # Labels of the validation report.
@@ -32,15 +33,18 @@ def evaluate(pages: DataFrame, queries: DataFrame, nodes: DataFrame, prepared: D
     ``model`` or ``semantic`` bring the semantic score of the items."""
     if main is None:
         main = FS.main_content(pages, prepared, nodes)
+    # read for the triage, the container, the counts and the result
+    main = written(main.select("page_id", "node_id", "subtree_end", "tag", "css_selector", "text", "url"), "quality-main")
     nr = Q.no_results(main, prepared, pages, rules=rules)
     cont = Q.result_container(prepared, main)
-    items = Q.result_items(prepared, cont, rules)
+    cont = written(cont, "quality-containers")
+    items = written(Q.result_items(prepared, cont, rules).select("page_id", "node_id", "subtree_end"), "quality-items")
     counts = Q.quantify(items, main)
     # texts of the valid items (disjoint subtrees -> one interval each)
     roots = items.select("page_id", F.col("node_id").alias("root_id"), F.col("subtree_end").alias("root_end"))
     item_text = DOM.subtree_text(nodes, roots).withColumnRenamed("root_id", "node_id")
     scored = R.score_relevance(item_text.select("page_id", "node_id", "text"), queries, "page_id", "node_id",
-                               "text", semantic=semantic, model=model)
+                               "text", semantic=semantic, model=model, whole_groups=True)      # a page's items
     stats = scored.groupBy("page_id").agg(F.avg("relevance_score").alias("avg_relevance"),
                                           F.var_pop("relevance_score").alias("relevance_variance"),
                                           F.max("relevance_score").alias("max_relevance"))

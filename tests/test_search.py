@@ -359,3 +359,23 @@ def test_metadata_behind_an_extractor(spark):
     got = {r.page_id: r for r in process_content(pages, main, found).collect()}
     assert (got[0].author, got[0].date, got[0].sitename) == ("Extracted", "2020-01-02", "h0.example.org")
     assert (got[3].author, got[3].date, got[3].sitename) == (None, "1999", "Site")
+
+
+def test_scores_of_whole_groups(spark):
+    """A page's items scored in one task have the scores of the joins by term, also without texts, words or a query."""
+    items = spark.createDataFrame([(1, 1, "a red Fox, the fox_1 \u2003 x"), (1, 2, None), (1, 3, "red red red"), (1, 4, "nothing shared"), (2, 1, "x"), (2, 2, "\u00c9t\u00e9 \u03a3\u03a3"),
+                                   (3, 1, "no query"), (4, 1, "  "), (4, 2, "words 7\u00bd")], "page_id long, node_id int, text string")
+    asked = spark.createDataFrame([(1, "the RED red fox"), (2, "\u00e9t\u00e9 \u03c3\u03c3"), (4, None), (5, "no items")], "page_id long, query string")
+    columns = ["page_id", "node_id", "jaccard_score", "tfidf_score", "semantic_score", "relevance_score"]
+    read = lambda whole: sorted(tuple(round(x, 9) for x in r) for r in R.score_relevance(
+        items, asked, "page_id", "node_id", "text", whole_groups=whole).select(*columns).collect())
+    assert read(True) == read(False) and len(read(True)) == 9
+    assert R.score_relevance(items.where("false"), asked, "page_id", "node_id", "text", whole_groups=True).count() == 0
+
+
+def test_page_quality_shuffles_no_terms(spark):
+    """The items of a page stay in one task: no exchange of page_quality's relevance is by term."""
+    items = spark.createDataFrame([(1, 1, "a b")], "page_id long, node_id int, text string")
+    asked = spark.createDataFrame([(1, "a b")], "page_id long, query string")
+    plan = R.score_relevance(items, asked, "page_id", "node_id", "text", whole_groups=True)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(page_id" in plan and "term" not in plan
